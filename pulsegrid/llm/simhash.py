@@ -156,7 +156,7 @@ def forest(homes: np.ndarray, visitors: np.ndarray, radius: int, block: int = 10
             near = np.bitwise_count(part[:, None] ^ both[None, other : other + 8 * block]) <= radius
             while True:
                 # links inside what is connected already add nothing; one new link for each row at a time
-                near &= label[start : start + block, None] != label[None, other : other + 8 * block]
+                near &= label[start : start + len(part), None] != label[None, other : other + 8 * block]
                 rows = np.flatnonzero(near.any(axis=1))
                 if not len(rows):
                     break
