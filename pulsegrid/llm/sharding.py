@@ -36,12 +36,13 @@ def _seeded(*parts: Column | str) -> Column:
 
 
 def _offsets(counts: DataFrame, group: list[str], order: str) -> DataFrame:
-    """Rows before each range: a running sum over counts per range. ``counts`` has one row per group and range."""
-    before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    """Rows before each range (a running sum) and in its whole group. ``counts`` has one row per group and range."""
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_size": F.sum("_n").over(whole)})
 
 
-def interleave(docs: DataFrame, n_shards: int = 16, seed: int = 20, rows_per_range: int = 20_000) -> DataFrame:
+def interleave(docs: DataFrame, n_shards: int = 16, seed: int = 20, rows_per_range: int = 1000) -> DataFrame:
     """Add shard (0 to n_shards - 1) and slot (gapless from 0 in each shard): counts of shards differ by one at most.
 
     docs needs doc_id and source. Law kept: ``rows``.
@@ -63,10 +64,8 @@ def interleave(docs: DataFrame, n_shards: int = 16, seed: int = 20, rows_per_ran
 
     # rank of a row within its stratum: rows in earlier ranges, plus its rank inside the range
     counts = rows.groupBy("_stratum", "_range").agg(F.count("*").alias("_n"))
-    counts = _offsets(counts, ["_stratum"], "_range")
-    sizes = counts.groupBy("_stratum").agg(F.sum("_n").alias("_size"))
+    counts = _offsets(counts, ["_stratum"], "_range").drop("_n")
     inside = Window.partitionBy("_stratum", "_range").orderBy("_at", "doc_id", "text_crc32")
-    counts = counts.join(sizes, "_stratum").drop("_n")
     ranked = (
         rows.withColumn("_rank", F.row_number().over(inside) - 1)
         .join(counts, ["_stratum", "_range"])
