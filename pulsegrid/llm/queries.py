@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm.bpe import op8_bpe
+from pulsegrid.llm.decontamination import op4_decontamination
 from pulsegrid.llm.line_dedup import OP7_SQL, op7_line_dedup
+from pulsegrid.llm.quality import op5_quality
 from pulsegrid.llm.repetition import op6_repetition
 from pulsegrid.llm.sharding import op9_sharding
 from pulsegrid.llm.simhash import op10_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op6_repetition": op6_repetition,
     "op7_line_dedup": op7_line_dedup,
     "op8_bpe": op8_bpe,
