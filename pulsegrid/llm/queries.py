@@ -13,8 +13,10 @@ from pulsegrid.llm.quality import op5_quality
 from pulsegrid.llm.repetition import op6_repetition
 from pulsegrid.llm.sharding import op9_sharding
 from pulsegrid.llm.simhash import op10_simhash
+from pulsegrid.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_repetition": op6_repetition,
