@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm.bpe import op8_bpe
+from pulsegrid.llm.chat import OP1_SQL, op1_chat
 from pulsegrid.llm.decontamination import op4_decontamination
+from pulsegrid.llm.extraction import op3_html_extraction
 from pulsegrid.llm.line_dedup import OP7_SQL, op7_line_dedup
 from pulsegrid.llm.quality import op5_quality
 from pulsegrid.llm.repetition import op6_repetition
@@ -16,7 +18,9 @@ from pulsegrid.llm.simhash import op10_simhash
 from pulsegrid.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_repetition": op6_repetition,
@@ -27,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
 }
