@@ -69,9 +69,12 @@ def hashes(data: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors in joined texts; ends: where each text ends."""
-    none = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+def anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(places, hashes, low, high) of the anchors in joined texts; ends: where each text ends.
+
+    The windows whose anchor is at a place begin between high and low bytes before it.
+    """
+    none = tuple(np.empty(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int64))
     if len(data) < LENGTH:
         return none
     own = hashes(data)
@@ -87,23 +90,32 @@ def anchors_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for back in range(1, LENGTH):  # windows that run over a text's end
         at = ends[:-1] - back
         whole[at[(at >= 0) & (at < m)]] = False
-    places = np.unique((least[whole] & np.uint64((1 << 24) - 1)).astype(np.int64))
-    return places, own[places]
+    window = np.flatnonzero(whole)
+    if not len(window):
+        return none
+    place = (least[window] & np.uint64((1 << 24) - 1)).astype(np.int64)  # never falls from one window to the next
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    last = np.append(first[1:], len(place)) - 1
+    place = place[first]
+    return place, own[place], place - window[last], place - window[first]
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, place in it, hash) of all anchors."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(number of the text, place in it, hash, low, high) of all anchors."""
     if len(texts) == 1 and len(texts[0]) > PIECE:
-        found = {}
+        found: dict[int, tuple] = {}
         for start in range(0, len(texts[0]) - LENGTH + 1, PIECE - LENGTH + 1):
-            _, place, own = anchors([texts[0][start : start + PIECE]])
-            found |= dict(zip((place + start).tolist(), own.tolist(), strict=True))
+            _, place, own, low, high = anchors([texts[0][start : start + PIECE]])
+            for p, h, a, b in zip((place + start).tolist(), own.tolist(), low.tolist(), high.tolist(), strict=True):
+                _, a2, b2 = found.get(p, (h, a, b))
+                found[p] = (h, min(a, a2), max(b, b2))
         place = np.array(sorted(found), dtype=np.int64)
-        return np.zeros(len(place), dtype=np.int64), place, np.array([found[p] for p in place.tolist()], dtype=np.uint64)
+        own, low, high = (np.array([found[q][i] for q in place.tolist()], dtype=t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+        return np.zeros(len(place), dtype=np.int64), place, own, low, high
     ends = np.cumsum([len(t) for t in texts])
-    place, own = anchors_of(np.frombuffer(b"".join(texts), dtype=np.uint8), ends)
+    place, own, low, high = anchors_of(np.frombuffer(b"".join(texts), dtype=np.uint8), ends)
     text = np.searchsorted(ends, place, side="right")
-    return text, place - np.concatenate([[0], ends])[text], own
+    return text, place - np.concatenate([[0], ends])[text], own, low, high
 
 
 # ---- the enhanced suffix array ---------------------------------------------------------------------------------------
@@ -170,15 +182,14 @@ def mark(doc: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarra
     return marks
 
 
-def surroundings(texts: list[bytes], text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """left, right, n_left, n_right of anchors, as ``mark`` takes them."""
+def surroundings(texts: list[bytes], text: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """left, right, n_left, n_right of anchors, as ``mark`` takes them: no more than their own windows hold."""
     pad = b"\0" * LENGTH
     joined = np.frombuffer(pad + pad.join(texts) + pad, dtype=np.uint8)
     sizes = np.array([len(t) for t in texts])
     begins = np.cumsum(sizes + LENGTH) - sizes
     at = begins[text] + place
-    n_left = np.minimum(place, PLACES - 1).astype(np.uint8)
-    n_right = np.minimum(sizes[text] - place, LENGTH).astype(np.uint8)
+    n_left, n_right = high.astype(np.uint8), (LENGTH - low).astype(np.uint8)
     left = joined[at[:, None] - 1 - np.arange(PLACES - 1)]
     right = joined[at[:, None] + np.arange(LENGTH)]
     left[np.arange(PLACES - 1) >= n_left[:, None]] = 0
@@ -207,34 +218,43 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, lis
 _SENT = "bucket int, docs binary, hashes binary, more binary"
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one type, squeezed one after the other (each by differences of neighbours, which ids and places favour)."""
+    return zstandard.ZstdCompressor(level=1).compress(np.concatenate([np.diff(x, prepend=x.dtype.type(0)) for x in arrays]).tobytes())
+
+
+def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind).reshape(n, -1), axis=1, dtype=kind)
+
+
 def _ask(n_buckets: int):  # noqa: ANN202
-    """Send anchor hashes to their buckets. docs: (doc, text hash) for each hash, both 64 bits."""
+    """Send anchor hashes to their buckets, with the documents that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, th, texts in _sliced(batch):
-                text, _, own = anchors(texts)
+            batch = batch.filter(batch.column(3).is_valid())  # texts that equal a smaller document don't ask
+            for doc, _, texts in _sliced(batch):
+                text, _, own, _, _ = anchors(texts)
                 if not len(own):
                     continue
                 order = np.lexsort((doc[text], own))
                 own, text = own[order], text[order]
                 fresh = np.ones(len(own), dtype=bool)  # a document asks once for a hash
-                fresh[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+                fresh[1:] = (own[1:] != own[:-1]) | (doc[text[1:]] != doc[text[:-1]])
                 own, text = own[fresh], text[fresh]
                 at = np.flatnonzero(np.diff(own, prepend=~own[:1]))
                 count = np.diff(np.append(at, len(own)))
                 rank = np.arange(len(own)) - np.repeat(at, count)
                 # of a hash that five or more documents of the slice have, two ask and the others know
-                least, most = doc[text[at]], doc[text[at + count - 1]]
-                known = np.repeat((count > 4) & (least != most), count) & (rank != 0) & (rank != np.repeat(count - 1, count))
+                known = np.repeat(count > 4, count) & (rank != 0) & (rank != np.repeat(count - 1, count))
                 bucket = (own % np.uint64(n_buckets)).astype(np.int64)
                 bucket[known] = -1 - (bucket[known] + int(doc[0])) % n_buckets
-                rows = [(b, i) for b, i in _by_bucket(bucket)]
-                docs = [np.unique(text[i], return_inverse=True) for _, i in rows]
+                rows = list(_by_bucket(bucket))
+                docs = [np.unique(doc[text[i]], return_inverse=True) for _, i in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b for b, _ in rows], pa.int32()),
-                        pa.array([np.stack([doc[u], th[u]]).tobytes() for u, _ in docs], pa.binary()),
+                        pa.array([_pack(u) for u, _ in docs], pa.binary()),
                         pa.array([own[i].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for _, i in rows], pa.binary()),  # 48 bits
                         pa.array([v.astype(np.uint16 if len(u) < 65_536 else np.uint32).tobytes() for u, v in docs], pa.binary()),
                     ],
@@ -244,53 +264,62 @@ def _ask(n_buckets: int):  # noqa: ANN202
     return run
 
 
-def _read(docs: bytes, hashes_: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys = np.frombuffer(docs, dtype=np.int64).reshape(2, -1)
+def _read(docs: bytes, hashes_: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
     wide = np.zeros((len(hashes_) // 6, 8), dtype=np.uint8)
     wide[:, 2:] = np.frombuffer(hashes_, dtype=np.uint8).reshape(-1, 6)
     number = np.frombuffer(more, dtype=np.uint16 if len(more) == 2 * len(wide) else np.uint32)
-    return keys[0][number], keys[1][number], wide.view(np.uint64).ravel()
+    return _unpack(docs, np.int64, 1)[0][number], wide.view(np.uint64).ravel()
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """(starts, stops) of runs of equal keys in sorted rows."""
+    change = np.ones(len(keys[0]), dtype=bool)
+    change[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(change)
+    return at, [*at[1:].tolist(), len(change)] if len(at) else []
 
 
 def _answer(key: tuple, group: pa.Table) -> pa.Table:
     """Hashes of a bucket that at least two documents have, for each of these documents."""
     parts = [_read(*x) for x in zip(*(group.column(c).to_pylist() for c in ("docs", "hashes", "more")), strict=True)]
-    doc, th, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc, own = (np.concatenate(x) for x in zip(*parts, strict=True))
     if key[0].as_py() >= 0:
         order = np.lexsort((doc, own))
-        doc, th, own = doc[order], th[order], own[order]
-        at = np.flatnonzero(np.diff(own, prepend=~own[:1]))
-        count = np.diff(np.append(at, len(own)))
-        several = np.repeat(doc[at] != doc[at + count - 1], count)
-        doc, th, own = doc[several], th[several], own[several]
-    order = np.lexsort((th, doc))
-    doc, th, own = doc[order], th[order], own[order]
-    at = np.flatnonzero((np.diff(doc, prepend=~doc[:1]) != 0) | (np.diff(th, prepend=~th[:1]) != 0)) if len(doc) else np.empty(0, np.int64)
-    stops = [*at[1:].tolist(), len(doc)] if len(at) else []
-    packed = [own[a:b].tobytes() for a, b in zip(at.tolist(), stops, strict=True)]
-    return pa.table({"doc": pa.array(doc[at], pa.int64()), "th": pa.array(th[at], pa.int64()), "own": pa.array(packed, pa.binary())})
+        doc, own = doc[order], own[order]
+        at, stops = _runs(own)
+        several = np.repeat(doc[at] != doc[np.array(stops) - 1], np.array(stops) - at)
+        doc, own = doc[several], own[several]
+    order = np.argsort(doc, kind="stable")
+    doc, own = doc[order], own[order]
+    at, stops = _runs(doc)
+    packed = [own[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for a, b in zip(at.tolist(), stops, strict=True)]
+    return pa.table({"doc": pa.array(doc[at], pa.int64()), "own": pa.array(packed, pa.binary())})
 
 
 def _gather(n_buckets: int):  # noqa: ANN202
     """Send the surroundings of shared anchors to their buckets; of equal ones in a slice, those of the least document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            asked, seen = batch.column(3).to_pylist(), 0
+            batch = batch.filter(batch.column(3).is_valid())
+            asked, seen = batch.column(4).to_pylist(), 0
             for doc, th, texts in _sliced(batch):
-                flags = [np.frombuffer(b"".join(x), dtype=np.uint64) for x in asked[seen : seen + len(texts)]]
+                flags = asked[seen : seen + len(texts)]
                 seen += len(texts)
-                text, place, own = anchors(texts)
-                low = own & ~np.uint64(0xFFFF)
+                text, place, own, low, high = anchors(texts)
+                short = own & ~np.uint64(0xFFFF)
                 starts = np.searchsorted(text, np.arange(len(texts) + 1))
                 shared = np.zeros(len(own), dtype=bool)
                 for t, wanted in enumerate(flags):
-                    shared[starts[t] : starts[t + 1]] = np.isin(low[starts[t] : starts[t + 1]], wanted)
-                text, place, own = text[shared], place[shared], own[shared]
+                    if wanted:
+                        wide = np.zeros((len(raw := b"".join(wanted)) // 6, 8), dtype=np.uint8)
+                        wide[:, 2:] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+                        shared[starts[t] : starts[t + 1]] = np.isin(short[starts[t] : starts[t + 1]], wide.view(np.uint64).ravel())
+                text, place, own, low, high = text[shared], place[shared], own[shared], low[shared], high[shared]
                 if not len(own):
                     continue
-                left, right, n_left, n_right = surroundings(texts, text, place)
+                left, right, n_left, n_right = surroundings(texts, text, place, low, high)
                 lines = np.ascontiguousarray(np.hstack([left, right, n_left[:, None], n_right[:, None]]))
                 _, same = np.unique(lines.view(f"V{lines.shape[1]}").ravel(), return_inverse=True)
                 order = np.lexsort((doc[text], same))
@@ -306,9 +335,9 @@ def _gather(n_buckets: int):  # noqa: ANN202
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b for b, _ in rows], pa.int32()),
-                        pa.array([np.stack([doc[text[i]], th[text[i]], place[i]]).tobytes() for _, i in rows], pa.binary()),
+                        pa.array([_pack(doc[text[i]], place[i]) for _, i in rows], pa.binary()),
                         pa.array([squeeze.compress(lines[i][:, -2:].tobytes() if b < 0 else lines[i].tobytes()) for b, i in rows], pa.binary()),
-                        pa.array([b""] * len(rows), pa.binary()),
+                        pa.array([_pack(th[text[i]]) for _, i in rows], pa.binary()),
                     ],
                     ["bucket", "docs", "hashes", "more"],
                 )
@@ -319,8 +348,8 @@ def _gather(n_buckets: int):  # noqa: ANN202
 def _judge(key: tuple, group: pa.Table) -> pa.Table:
     """Marks of a bucket's anchors: for each document, places and bit masks of offsets."""
     spread = zstandard.ZstdDecompressor()
-    heads = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(3, -1) for x in group.column("docs").to_pylist()], axis=1)
-    doc, th, place = heads
+    doc, place = np.concatenate([_unpack(x, np.int64, 2) for x in group.column("docs").to_pylist()], axis=1)
+    th = np.concatenate([_unpack(x, np.int64, 1)[0] for x in group.column("more").to_pylist()])
     raw = [np.frombuffer(spread.decompress(x), dtype=np.uint8) for x in group.column("hashes").to_pylist()]
     if key[0].as_py() >= 0:
         lines = np.concatenate([x.reshape(-1, PLACES - 1 + LENGTH + 2) for x in raw])
@@ -333,20 +362,19 @@ def _judge(key: tuple, group: pa.Table) -> pa.Table:
         masks = (fits * (1 << offsets)).sum(axis=1)
     some = masks > 0
     doc, th, place, masks = doc[some], th[some], place[some], masks[some]
-    order = np.lexsort((th, doc))
+    order = np.lexsort((place, th, doc))
     doc, th, place, masks = doc[order], th[order], place[order], masks[order]
-    at = np.flatnonzero((np.diff(doc, prepend=~doc[:1]) != 0) | (np.diff(th, prepend=~th[:1]) != 0)) if len(doc) else np.empty(0, np.int64)
-    stops = [*at[1:].tolist(), len(doc)] if len(at) else []
-    packed = [np.stack([place[a:b], masks[a:b]], axis=1).tobytes() for a, b in zip(at.tolist(), stops, strict=True)]
+    at, stops = _runs(doc, th)
+    packed = [_pack(place[a:b], masks[a:b]) for a, b in zip(at.tolist(), stops, strict=True)]
     return pa.table({"doc": pa.array(doc[at], pa.int64()), "th": pa.array(th[at], pa.int64()), "own": pa.array(packed, pa.binary())})
 
 
 def covered(size: int, marks: list[bytes]) -> np.ndarray:
     """Whether each byte of a text is covered by a marked string."""
-    pairs = np.frombuffer(b"".join(marks), dtype=np.int64).reshape(-1, 2)
+    place, masks = np.concatenate([_unpack(x, np.int64, 2) for x in marks], axis=1)
     change = np.zeros(size + 1, dtype=np.int64)
     for o in range(PLACES):
-        begin = pairs[pairs[:, 1] >> o & 1 == 1, 0] - o
+        begin = place[masks >> o & 1 == 1] - o
         np.add.at(change, begin, 1)
         np.add.at(change, begin + LENGTH, -1)
     return np.cumsum(change)[:size] > 0
@@ -358,14 +386,15 @@ _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 def _cut(with_text: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, alone, marks, ids = (batch.column(i) for i in (2, 3, 4, 5))
+            ths, texts, alone, marks, ids = (batch.column(i) for i in (1, 2, 3, 4, 5))
             out: list[tuple] = []
-            for text, first, own in zip(texts.cast(pa.large_binary()), alone, marks, strict=True):
+            for th, text, first, found in zip(ths.to_pylist(), texts.cast(pa.large_binary()), alone, marks.to_pylist(), strict=True):
                 data = text.as_py()
+                own = [x["own"] for x in found or () if x["th"] == th]
                 if not first.is_valid and len(data) >= LENGTH:  # equals a smaller document
                     gone = np.ones(len(data), dtype=bool)
-                elif first.is_valid and own.is_valid:
-                    gone = covered(len(data), own.as_py())
+                elif first.is_valid and own:
+                    gone = covered(len(data), own)
                 else:
                     gone = None
                 if gone is None:
@@ -387,19 +416,21 @@ def _cut(with_text: bool):  # noqa: ANN202
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the bytes kept."""
-    n_buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty()
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MAX))
-    # One exchange of the texts serves all three steps that read them.
-    rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).repartition("doc", "th")
-    least = docs.groupBy(F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("th")).agg(F.min(doc).alias("doc"))
-    first = least.select("doc", "th", F.lit(True).alias("alone"))
-    key = ["doc", "th"]
-    asked = rows.join(first, key, "left_semi").mapInArrow(_ask(n_buckets), _SENT)
-    shared = asked.groupBy("bucket").applyInArrow(_answer, "doc long, th long, own binary").groupBy(*key).agg(F.collect_list("own").alias("own"))
-    sent = rows.join(shared, key).select("doc", "th", "text", "own").mapInArrow(_gather(n_buckets), _SENT)
-    marks = sent.groupBy("bucket").applyInArrow(_judge, "doc long, th long, own binary").groupBy(*key).agg(F.collect_list("own").alias("own"))
-    judged = rows.join(first, key, "left").join(marks, key, "left").select("doc", "th", "text", "alone", "own", F.nullif("doc", F.lit(LONG_MAX)).alias("doc_id"))
+    least = docs.groupBy(F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("th")).agg(F.min(doc).alias("first_doc"))
+    least = least.select("first_doc", F.col("th").alias("first_th"), F.lit(True).alias("alone"))
+    # One exchange of the texts, by document, serves all three steps that read them. Where an id has several texts, the
+    # text's hash is compared besides (in a form that doesn't ask for another exchange).
+    rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).repartition("doc")
+    same = (rows["doc"] == least["first_doc"]) & (rows["th"].bitwiseXOR(least["first_th"]) == 0)
+    rows = rows.join(least, same, "left").select("doc", "th", "text", "alone")
+    asked = rows.mapInArrow(_ask(n_buckets), _SENT)
+    shared = asked.groupBy("bucket").applyInArrow(_answer, "doc long, own binary").groupBy("doc").agg(F.collect_list("own").alias("own"))
+    sent = rows.join(shared, "doc").select("doc", "th", "text", "alone", "own").mapInArrow(_gather(n_buckets), _SENT)
+    marks = sent.groupBy("bucket").applyInArrow(_judge, "doc long, th long, own binary").groupBy("doc").agg(F.collect_list(F.struct("th", "own")).alias("own"))
+    judged = rows.join(marks, "doc", "left").select("doc", "th", "text", "alone", "own", F.nullif("doc", F.lit(LONG_MAX)).alias("doc_id"))
     return judged.mapInArrow(_cut(with_text), _CUT + (", kept binary" if with_text else ""))
 
 
