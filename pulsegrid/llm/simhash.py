@@ -246,14 +246,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, shard_rows: int = 1000, sample_rows: int = 20_000) -> DataFrame:
-    """docs' doc_id and _hash with fp and component_id; one row for each row of docs."""
+    """docs' doc_id and _hash with fp, component_id and _label (a fingerprint of the component); one row for each row of docs."""
     prints = cut(with_fingerprints(docs, shingle_words))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
     label = components(links(nodes.select("fp"), radius, shard_rows, sample_rows))
     # (fp, component's fp); nodes without a link are components of their own
     named = nodes.join(label, nodes.fp == label.node, "left").select("fp", "_least", F.coalesce("label", "fp").alias("_label"))
     least = named.groupBy("_label").agg(F.min("_least").alias("component_id"))
-    named = named.join(least, "_label").select("fp", "component_id")
+    named = named.join(least, "_label").select("fp", "component_id", "_label")
     return prints.join(named, "fp")
 
 
@@ -264,8 +264,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 2, shingle_words: int = 3) -> DataFrame:
-    """docs without the near-duplicates of a document with a smaller id; repeated rows of a kept document stay one row."""
-    found = near_duplicates(docs, radius, shingle_words).filter(F.coalesce("doc_id", F.lit(LONG_MAX)) == F.coalesce("component_id", F.lit(LONG_MAX)))
-    keep = found.groupBy(F.coalesce("doc_id", F.lit(LONG_MAX)).alias("_doc")).agg(F.min("_hash").alias("_hash"))
-    keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(LONG_MAX)), "_hash": F.xxhash64(text_or_empty())})
-    return keyed.join(keep, ["_doc", "_hash"], "left_semi").select(*docs.columns)
+    """docs without near-duplicates: of each component one row stays, of the least id (and of its texts, the least hash)."""
+    doc = lambda c: F.coalesce(c, F.lit(LONG_MAX))
+    least = near_duplicates(docs, radius, shingle_words).filter(doc("doc_id") == doc("component_id"))
+    keep = least.groupBy(doc("doc_id").alias("_doc"), "_label").agg(F.min("_hash").alias("_hash")).drop("_label")
+    keyed = docs.withColumns({"_doc": doc("doc_id"), "_hash": F.xxhash64(text_or_empty())})
+    return keyed.join(keep, ["_doc", "_hash"], "left_semi").dropDuplicates(["_doc", "_hash"]).select(*docs.columns)
