@@ -1,0 +1,169 @@
+"""Episodes, risk reports, files, health and serving on hand-made and random rows."""
+
+from __future__ import annotations
+
+import random
+from datetime import UTC, datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import episodes, files, health, ingest, labs, report, risk, serving
+from pulsegrid.sources import readers
+
+AT = datetime(2024, 1, 1, tzinfo=UTC)
+LOG = "batch_id long, patient_id string, window_start timestamp, window_end timestamp, severity string, reasons array<struct<code:string,value:double>>, max_heart_rate double, min_heart_rate double, min_spo2 double, max_temperature double"
+
+
+def fold(log: list[tuple]) -> list[tuple]:
+    """Episodes by extending or opening one breach after the other, in time order."""
+    out: list[list] = []
+    for batch, patient, start, end, severity, reasons, *_ in sorted(log, key=lambda r: (r[1], r[2], r[3], r[0])):
+        last = out[-1] if out and out[-1][0] == patient else None
+        if last and last[2] >= start:
+            last[4].add(end)
+            last[2] = max(last[2], end)
+            last[3] = "critical" if "critical" in (last[3], severity) else "warning"
+            last[5].append((severity == "critical", batch, start, reasons))
+        else:
+            out.append([patient, start, end, severity, {end}, [(severity == "critical", batch, start, reasons)]])
+    return sorted((p, s.timestamp(), e.timestamp(), v, len(n), max(x[:3] for x in r)[0]) for p, s, e, v, n, r in out)
+
+
+def test_episodes_equal_a_fold(spark) -> None:  # noqa: ANN001
+    rng = random.Random(1)
+    log = []
+    for p in range(60):
+        for _ in range(rng.randint(1, 12)):
+            start = AT + timedelta(seconds=10 * rng.randint(0, 60))
+            severity = rng.choice(["warning", "critical"])
+            log += [(rng.randint(0, 3), f"P{100 + p}", start, start + timedelta(seconds=30), severity, [(severity, 1.0)], 1.0, 1.0, 1.0, 1.0)] * rng.randint(1, 2)
+    got = episodes.episodes(spark.createDataFrame(log, LOG).repartition(3))
+    rows = got.select("patient_id", F.unix_seconds("first_window_start").cast("double"), F.unix_seconds("last_window_end").cast("double"), "severity", "breaching_windows", F.element_at("reasons", 1)["code"] == "critical").collect()
+    assert sorted(map(tuple, rows)) == fold(log)
+
+
+def test_touching_windows_merge_and_a_bridge_joins(spark) -> None:  # noqa: ANN001
+    at = lambda a, b, s="warning", n=0: (n, "P1", AT + timedelta(seconds=a), AT + timedelta(seconds=b), s, [(f"{s}{n}", float(a))], 1.0, 1.0, 1.0, 1.0)
+    count = lambda *rows: episodes.episodes(spark.createDataFrame(list(rows), LOG)).count()
+    assert count(at(0, 30), at(30, 60)) == 1
+    assert count(at(0, 30), at(31, 61)) == 2
+    assert count(at(0, 30), at(40, 70), at(20, 50, n=1)) == 1
+    one = episodes.episodes(spark.createDataFrame([at(0, 30, "critical", 0), at(10, 40, "warning", 1), at(0, 30, "critical", 2)], LOG)).first()
+    assert (one["severity"], one["breaching_windows"], one["reasons"][0]["code"]) == ("critical", 2, "critical2")
+
+
+def test_risk_report(spark) -> None:  # noqa: ANN001
+    """Five patients: both, labs only abnormal, nothing, labs without vitals, vitals without labs; a trend of 4 a minute."""
+    kind = "patient_id string, heart_rate int, spo2 double, temperature double, is_abnormal boolean, event_time timestamp"
+    vitals = []
+    for p, rates in {"P1": [118, 122, 126, 130], "P2": [80, 80, 80, 80], "P3": [70, 70, 70, 70], "P5": [120, 80, 80, 80]}.items():
+        vitals += [(p, r, 98.0, 37.0, r > 100, AT + timedelta(minutes=i)) for i, r in enumerate(rates)]
+    lines = [("P1", "CRP", "20", "0-10 x", None), ("P1", "WBC", "5", "4-11 x", None), ("P2", "CRP", "11", "0-10 x", None), ("P3", "CRP", "5", "0-10 x", None), ("P4", "CRP", "5", "0-10 x", None)]
+    lab = labs.clean(spark.createDataFrame([(p.replace("P", "P10"), *r) for p, *r in lines], "patient_id string, test_type string, result_value string, reference_range string, collected_at string"))
+    day = risk.day_summary(spark.createDataFrame([(p.replace("P", "P10"), *r) for p, *r in vitals], kind), F.lit(AT))
+    got = {(r["patient_id"], r["test_type"]): r for r in risk.reasons(risk.report(day, labs.rollup(lab))).collect()}
+    flags = {k: (v["risk_before_labs"], v["risk_after_labs"]) for k, v in got.items()}
+    assert flags == {
+        ("P101", "CRP"): ("elevated_vitals", "high"), ("P101", "WBC"): ("elevated_vitals", "high"), ("P102", "CRP"): ("normal", "elevated_labs"),
+        ("P103", "CRP"): ("normal", "normal"), ("P104", "CRP"): ("normal", "normal"), ("P105", None): ("elevated_vitals", "elevated_vitals"),
+    }
+    assert abs(got["P101", "CRP"]["heart_rate_trend"] - 4) < 1e-9
+    assert (got["P104", "CRP"]["total_readings"], got["P104", "CRP"]["abnormal_ratio"]) == (0, None)
+    assert [x["code"] for x in got["P101", "CRP"]["risk_reasons"]] == ["abnormal_percent", "heart_rate_high", "abnormal_labs"]
+    assert got["P105", None]["abnormal_ratio"] == 0.25
+
+
+def test_report_views(spark, tmp_path) -> None:  # noqa: ANN001
+    kind = "source_file string, patient_id string, test_type string, result_value double, ref_low double, ref_high double, lab_abnormal boolean, risk_before_labs string, risk_after_labs string, total_readings long, abnormal_labs long, abnormal_tests array<string>"
+    rows = [("f", "P2", "WBC", 5.0, 4.0, 11.0, False, "elevated_vitals", "high", 4, 1, ["CRP"]), ("f", "P2", "CRP", 20.0, 0.0, 10.0, True, "elevated_vitals", "high", 4, 1, ["CRP"]), ("f", "P1", None, None, None, None, None, "normal", "normal", 4, 0, None)]
+    frame = spark.createDataFrame(rows, kind)
+    patients = report.consolidated(frame)
+    assert {r["patient_id"]: [x["test_type"] for x in r["labs"]] for r in patients.collect()} == {"P1": [], "P2": ["CRP", "WBC"]}
+    assert {r["risk"]: r["patients"] for r in report.risk_counts(patients).collect()} == {"high": 1, "elevated_vitals": 0, "elevated_labs": 0, "normal": 1}
+    assert report.labs_effect(patients).first()["escalated_by_labs"] == ["P2"]
+    assert report.run_stats(frame).first()["high_patients"] == 1
+    report.write_markdown(frame, f"{tmp_path}/md")
+    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/md").collect()]
+    assert lines[0].startswith("| P2 | elevated_vitals -> high | 4 | CRP 20.00 (0.0-10.0) !; WBC 5.00") and lines[1].endswith("| - |")
+    report.write_csv(frame, f"{tmp_path}/csv")
+    report.write_csv(frame.withColumn("source_file", F.lit("g")).limit(1), f"{tmp_path}/csv")
+    assert {r["source_file"]: r["count"] for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").groupBy("source_file").count().collect()} == {"f": 3, "g": 1}
+
+
+def test_lab_files(spark, tmp_path) -> None:  # noqa: ANN001
+    names = ["lab_results_day1_1000.csv", "lab_results_day2_1120.csv", "lab_results_day1_1240.csv", "notes.csv", "lab_results_dayX_1.csv", "lab_results_day3_1360.csv.tmp"]
+    found = files.catalog(spark.createDataFrame([(n,) for n in names], "file_name string"), 120)
+    assert [(r["day"], r["epoch"]) for r in found.orderBy("epoch").collect()] == [(1, 1000), (2, 1120), (1, 1240)]
+    assert found.orderBy("epoch").select(F.unix_seconds("window_start").alias("s"), F.unix_seconds("window_end").alias("e")).first()[:] == (880, 1000)
+    done = spark.createDataFrame([(names[0],)], "source_file string")
+    waiting = lambda now, **k: [r["epoch"] for r in files.pending(found, done, F.lit(now), 10, 1000, **k).collect()]
+    assert waiting(1245) == [1120]  # the newest is within its grace
+    assert waiting(1250) == [1120, 1240]
+    assert waiting(1250, limit=1) == [1120]
+    assert waiting(2200) == [1240]  # the other is too old
+    gate = lambda latest, now: [r["ready"] for r in files.gate(files.pending(found, done, F.lit(now), 10, 5000), F.lit(latest), F.lit(now), 10, 120).orderBy("epoch").collect()]
+    assert gate(1240, 1260) == [True, True]
+    assert gate(1130, 1260) == [True, False]
+    assert gate(1100, 1245) == [False] and gate(1100, 1251) == [True, False]
+    assert gate(None, 2000) == [True, True]
+    (tmp_path / "lab_results_day1_5.csv").write_text("patient_id,test_type,result_value,reference_range,collected_at\nP101,CRP,5,0-10 x,\n")
+    assert readers.lab_csv(spark, str(tmp_path)).first()["source_file"] == "lab_results_day1_5.csv"
+    assert files.catalog(readers.listing(spark, str(tmp_path)), 120).count() == 1
+    assert readers.listing(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_readings_meet_many_files_by_bins(spark, monkeypatch) -> None:  # noqa: ANN001
+    kind = "patient_id string, event_time timestamp"
+    readings = spark.createDataFrame([("P101", AT + timedelta(seconds=7 * i)) for i in range(300)], kind)
+    base = int(AT.timestamp())
+    found = files.catalog(spark.createDataFrame([(f"lab_results_day1_{base + 100 * i + 37}.csv",) for i in range(15)], "file_name string"), 120)
+    few = files.readings_per_file(readings, found, 15, 120).select("source_file", F.unix_seconds("event_time").alias("t"))
+    monkeypatch.setattr(files, "MOST_BROADCAST", 0)
+    many = files.readings_per_file(readings, found, 15, 120).select("source_file", F.unix_seconds("event_time").alias("t"))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert few.count() > 200
+
+
+def test_rules_and_alert_life(spark) -> None:  # noqa: ANN001
+    found = readers.rules(spark)
+    assert found.count() == 8 and found.filter("metric is null or op is null or severity is null").count() == 0
+    metrics = spark.createDataFrame([("vitals_last_ingest_age_seconds", 61.0), ("lab_files_pending", 2.0), ("lab_feed_last_file_age_seconds", 301.0), ("batch_failure_ratio", None)], "metric string, value double")
+    got = {r["name"]: r["breached"] for r in health.evaluate(metrics, found, 120).collect()}
+    assert got == {
+        "vitals_stream_stale": True, "speed_layer_down": True, "live_summary_stale": True, "lab_feed_stale": True,
+        "batch_backlog": False, "batch_job_failing": False, "data_quality_rejects_high": False, "ward_abnormal_rate_high": False,
+    }
+    evaluated = health.evaluate(metrics, found, 120)
+    assert health.overall(evaluated).first()[:] == ("critical", True, 4)
+    assert health.overall(evaluated.limit(0)).first()[:] == ("ok", False, 0)
+    opened = spark.createDataFrame([("vitals_stream_stale", AT, AT), ("batch_backlog", AT, AT), ("gone", AT, AT)], "name string, opened_at timestamp, last_seen_at timestamp")
+    actions = {r["name"]: r["action"] for r in health.sync(evaluated, opened, F.lit(AT)).collect()}
+    assert (actions["vitals_stream_stale"], actions["batch_backlog"], actions["speed_layer_down"], actions["batch_job_failing"], actions["gone"]) == ("refresh", "resolve", "insert", "nothing", "nothing")
+    text = [r["text"] for r in health.exposition(metrics, evaluated).collect()]
+    assert any(t.endswith("batch_failure_ratio NaN") for t in text) and text[-1].startswith('pipeline_rule_breached{rule="ward_abnormal_rate_high"')
+
+
+def test_sustained_needs_history(spark) -> None:  # noqa: ANN001
+    rows = [("a", AT + timedelta(seconds=10 * i), b) for i, b in enumerate([True, True, True, True, False, True, True])]
+    got = [r["sustained"] for r in health.sustained(spark.createDataFrame(rows, "series string, at timestamp, breached boolean"), 30).orderBy("at").collect()]
+    assert got == [False, False, False, True, False, False, False]
+
+
+def test_serving(spark) -> None:  # noqa: ANN001
+    kind = "patient_id string, t timestamp, v int"
+    rows = spark.createDataFrame([("a", AT, 1), ("a", AT + timedelta(seconds=5), 2), ("b", None, 3)], kind)
+    assert {r["patient_id"]: r["v"] for r in serving.latest(rows, "patient_id", "t").collect()} == {"a": 2, "b": 3}
+    assert serving.newest(rows, "patient_id", 1, F.desc("t")).count() == 2
+    runs = spark.createDataFrame([("f", "success", AT, 1), ("g", "success", AT + timedelta(1), 2), ("h", "failed", AT + timedelta(2), 3)], "source_file string, status string, finished_at timestamp, run_id long")
+    assert [r["source_file"] for r in serving.report_list(runs).collect()] == ["g", "f"]
+    stored = spark.createDataFrame([("f", 1), ("g", 2)], "source_file string, x int")
+    assert serving.report_of(stored, runs).first()["x"] == 2 and serving.report_of(stored, runs, "f").first()["x"] == 1
+    wanted = spark.createDataFrame([("f",), ("g",), ("h",), ("i",)], "source_file string")
+    checked = report.validation(wanted, runs.withColumn("rows_written", F.lit(1)).withColumn("started_at", F.col("finished_at")), stored)
+    assert {r["source_file"]: r["problem"] for r in checked.collect()} == {"f": False, "g": False, "h": True, "i": True}
+
+
+def test_ingest_stats(spark) -> None:  # noqa: ANN001
+    kind = "kafka_partition int, patient_id string, is_valid boolean, is_abnormal boolean"
+    row = ingest.ingest_stats(spark.createDataFrame([(0, "a", True, True), (0, "a", True, False), (0, "b", False, True)], kind)).first()
+    assert (row["readings_in"], row["written"], row["rejected"], row["abnormal"], row["patients"]) == (3, 2, 1, 1, 1)
