@@ -6,8 +6,8 @@ of the item (the whole item, if shorter) occurs in the document with at most ``E
 
 By the q-gram lemma such a window keeps at least T = w + 1 - q (e + 1) of its q-grams, and e edits move it across at
 most e + 1 diagonals. So every q-gram of a document is looked up in the benchmark's, hits are counted in diagonal bands
-that overlap by half, and only places where T hits of one band lie within w + e bytes go on. These are verified by
-banded alignment of the item's windows. The filter loses nothing; the alignment decides.
+that overlap by half, and only places where T hits of one band lie within w + e bytes go on. Windows that keep enough
+short q-grams there, too, are verified by banded alignment of the item's windows. The filter loses nothing; the alignment decides.
 
 The benchmark's index travels to the tasks: its size is checked, and a benchmark of over ``BLOCK_BYTES`` is dealt by a
 hash into blocks that are searched one after the other. Documents aren't moved: no shuffle.
@@ -33,6 +33,8 @@ from pulsegrid.llm.repetition import slices
 Q = 10
 WINDOW = 60
 EDITS = 4
+#: Size of the q-grams that are counted once more before an alignment.
+SHORT = 3
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
 _BITS = 22
@@ -150,7 +152,13 @@ class Index:
         if not e:
             return False
         slack = 2 * e + abs(diagonals[0] - diagonals[1])
-        return bool((banded(item, text, np.array(windows), w, diagonals[0], slack) <= e).any())
+        # the lemma once more with short q-grams: a window within the budget keeps w + 1 - SHORT (e + 1) of them
+        near = text[max(0, low + diagonals[0] - slack) : max(0, high + w + diagonals[0] + slack)]
+        known = {near[k : k + SHORT] for k in range(len(near) - SHORT + 1)}
+        held = np.cumsum([0, *(item[k : k + SHORT] in known for k in range(low, high + w - SHORT + 1))])
+        kept = held[w - SHORT + 1 :] - held[: -(w - SHORT + 1)]
+        likely = low + np.flatnonzero(kept >= w + 1 - SHORT * (e + 1))
+        return len(likely) > 0 and bool((banded(item, text, likely, w, diagonals[0], slack) <= e).any())
 
 
 def banded(item: bytes, text: bytes, starts: np.ndarray, w: int, diagonal: int, slack: int) -> np.ndarray:
