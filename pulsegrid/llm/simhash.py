@@ -262,11 +262,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame, radius: int = 2, shingle_words: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component one row stays, of the least id (and of its texts, the least hash)."""
-    doc = lambda c: F.coalesce(c, F.lit(LONG_MAX))
-    least = near_duplicates(docs, radius, shingle_words).filter(doc("doc_id") == doc("component_id"))
-    keep = least.groupBy(doc("doc_id").alias("_doc"), "_label").agg(F.min("_hash").alias("_hash")).drop("_label")
-    keyed = docs.withColumns({"_doc": doc("doc_id"), "_hash": F.xxhash64(text_or_empty())})
-    return keyed.join(keep, ["_doc", "_hash"], "left_semi").dropDuplicates(["_doc", "_hash"]).select(*docs.columns)

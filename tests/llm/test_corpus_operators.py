@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, line_dedup, queries, sharding, simhash, suffix_dedup
+from pulsegrid.llm import chat, line_dedup, queries, sharding, simhash, similarity, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -175,9 +175,34 @@ def test_near_duplicates_of_odd_rows(spark) -> None:  # noqa: ANN001
     least = {g: min((d for (d, _), h in zip(rows, group, strict=True) if h == g and d is not None), default=None) for g in set(group)}
     assert got == Counter((d, p, least[g]) for (d, _), p, g in zip(rows, prints, group, strict=True))
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
-    kept = simhash.keep_one(frame)
-    assert kept.columns == frame.columns
-    assert kept.count() == len(set(group))
+
+
+def test_one_of_each_group_stays(spark) -> None:  # noqa: ANN001
+    """Groups are the components of both kinds of links; a seeded corpus with copies that differ in single words."""
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randint(0, 4000)}" for _ in range(n)]
+    rows = [(i, " ".join(say(rng.randint(1, 120)))) for i in range(40)]
+    for i in range(40, 90):
+        words = rng.choice(rows)[1].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "changed"
+        rows.append((i, " ".join(words)))
+    rows += [(90, None), (91, ""), (92, " \n"), (None, rows[0][1]), (3, "another text for id three"), (3, rows[3][1]), (5, rows[5][1].upper())]
+    sets = [set(similarity.shingles((t or "").encode())[1].tolist()) for _, t in rows]
+    prints = [slow_print(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            linked = (prints[i] ^ prints[j]).bit_count() <= 2 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if linked and group[i] != group[j]:
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    frame = docs(spark, rows, node="clash", group="clash", _hash="clash")
+    kept = similarity.keep_one(frame.drop("_hash"))
+    assert kept.columns == frame.drop("_hash").columns
+    found = Counter(r["doc_id"] for r in kept.collect())
+    least = Counter(min((d for (d, _), h in zip(rows, group, strict=True) if h == g and d is not None), default=None) for g in set(group))
+    assert found == least
+    assert similarity.keep_one(docs(spark, [])).count() == 0
 
 
 # ---- sharding --------------------------------------------------------------------------------------------------------
