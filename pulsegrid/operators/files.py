@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 NAME = r"^lab_results_day(\d+)_(\d+)\.csv$"
 #: Files that a broadcast range join takes; beyond it readings and periods meet by time bins.
-MOST_BROADCAST = 1000
+MOST_BROADCAST = 32
 
 
 def catalog(listing: DataFrame, day_seconds: int) -> DataFrame:

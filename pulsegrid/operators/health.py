@@ -130,6 +130,19 @@ def sustained(samples: DataFrame, hold_seconds: int) -> DataFrame:
     return rows.withColumn("sustained", every & covers).drop("_s")
 
 
+def absent(expected: DataFrame, samples: DataFrame, as_of: Column, seconds: int) -> DataFrame:
+    """Series of expected (series) without a sample (series, at) in the last so many seconds."""
+    recent = samples.filter(since("at", as_of, seconds)).select("series").distinct()
+    return expected.join(recent, "series", "left_anti")
+
+
+def by_status(alerts: DataFrame, status: str = "all", limit: int | None = None) -> DataFrame:
+    """Alerts (opened_at, resolved_at): open, resolved, or all; newest first."""
+    wanted = {"open": F.col("resolved_at").isNull(), "resolved": F.col("resolved_at").isNotNull(), "all": F.lit(True)}[status]
+    rows = alerts.filter(F.col("opened_at").isNotNull() & wanted).orderBy(F.desc("opened_at"), "name")
+    return rows.limit(limit) if limit else rows
+
+
 def exposition(metrics: DataFrame, evaluated: DataFrame, prefix: str = "pipeline") -> DataFrame:
     """Metrics in the text format of monitoring systems: order, then lines; NaN for no data; rule states by name."""
     name = F.concat(F.lit(f"{prefix}_"), F.col("metric"))

@@ -10,7 +10,7 @@ from pulsegrid.settings import STATUS_ORDER
 
 
 def latest(rows: DataFrame, key: str | list[str], *order: Column | str) -> DataFrame:
-    """The last row of each key by the given columns. An aggregation: no sort, and a hot key is combined before it moves."""
+    """The last row of each key by the given columns. An aggregation: each task sends one row for a key, however hot it is."""
     keys = [key] if isinstance(key, str) else key
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")).select(*keys, "_last.*")
@@ -73,15 +73,26 @@ def newest(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= n)
 
 
-def patient_detail(readings: DataFrame, windows: DataFrame, episodes: DataFrame, as_of: Column, minutes: int, most_readings: int = 200, most_windows: int = 60, most_alerts: int = 20) -> DataFrame:
-    """For all patients at once: newest readings, windows and alerts as rows (patient_id, kind, place, at, value)."""
+def latest_report(report: DataFrame) -> DataFrame:
+    """The report rows of each patient's latest file."""
+    last = report.groupBy("patient_id").agg(F.max_by("source_file", F.struct("generated_at", "source_file")).alias("source_file"))
+    return report.join(last, ["patient_id", "source_file"], "left_semi")
+
+
+def patient_detail(readings: DataFrame, windows: DataFrame, episodes: DataFrame, report: DataFrame, as_of: Column, minutes: int, most_readings: int = 200, most_windows: int = 60, most_alerts: int = 20) -> DataFrame:
+    """For all patients at once: newest readings, windows, alerts and the latest report, as rows (patient_id, kind, place, at, value)."""
     recent = readings.filter(since("event_time", as_of, minutes * 60))
     parts = [
         newest(recent.select("patient_id", F.col("event_time").alias("at"), F.col("heart_rate").cast("double").alias("value"), F.col("kafka_offset").alias("tie")), "patient_id", most_readings, F.desc("at"), F.desc("tie")).withColumn("kind", F.lit("reading")),
         newest(windows.select("patient_id", F.col("window_end").alias("at"), F.col("avg_heart_rate").alias("value"), F.lit(0).cast("long").alias("tie")), "patient_id", most_windows, F.desc("at")).withColumn("kind", F.lit("window")),
         newest(episodes.select("patient_id", F.col("last_window_end").alias("at"), F.col("breaching_windows").cast("double").alias("value"), F.lit(0).cast("long").alias("tie")), "patient_id", most_alerts, F.desc("at")).withColumn("kind", F.lit("alert")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("patient_id", "kind", "place", "at", "value")
+    tests = latest_report(report).withColumn("place", F.row_number().over(Window.partitionBy("patient_id").orderBy(F.coalesce("test_type", F.lit("")))))
+    parts.append(tests.select("patient_id", F.lit("report").alias("kind"), "place", F.col("generated_at").alias("at"), F.col("result_value").cast("double").alias("value")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("patient_id", "kind", "place", "at", "value")
 
 
 def alert_list(episodes: DataFrame, as_of: Column, active_seconds: int, active_only: bool = False, limit: int | None = None) -> DataFrame:

@@ -314,12 +314,15 @@ ORACLE_SQL: dict[str, str] = {
                round(avg(heart_rate) filter (where ingested_at > t - interval 5 day), 6) as avg_heart_rate, round(avg(spo2) filter (where ingested_at > t - interval 5 day), 6) as avg_spo2
         from valid, now),
       (select count(*) filter (where monitored) as monitored, count(*) filter (where status = 'critical') as critical, count(*) filter (where status = 'warning') as warning from ward_status)""",
-    "patient_detail": f"""with {EPISODES}, r as (
+    "patient_detail": f"""with {EPISODES.replace(READINGS, REPORT)}, r as (
         select patient_id, 'reading' as kind, row_number() over (partition by patient_id order by event_time desc, kafka_offset desc) as place, epoch_us(event_time) as at, cast(heart_rate as double) as value
         from valid, now where event_time > t - interval 7 day),
       w as (select patient_id, 'window' as kind, row_number() over (partition by patient_id order by window_end desc) as place, window_end as at, round(avg_heart_rate, 6) as value from summary),
-      x as (select patient_id, 'alert' as kind, row_number() over (partition by patient_id order by last_window_end desc) as place, last_window_end as at, cast(breaching_windows as double) as value from episodes)
-      select * from r where place <= 20 union all select * from w where place <= 10 union all select * from x where place <= 5""",
+      x as (select patient_id, 'alert' as kind, row_number() over (partition by patient_id order by last_window_end desc) as place, last_window_end as at, cast(breaching_windows as double) as value from episodes),
+      y as (select patient_id, 'report' as kind, row_number() over (partition by patient_id order by coalesce(test_type, '')) as place,
+                   cast(regexp_extract(source_file, '_(\\d+)\\.csv', 1) as bigint) * 1000000 as at, result_value as value
+            from report r where source_file = (select max(source_file) from report x where x.patient_id = r.patient_id))
+      select * from r where place <= 20 union all select * from w where place <= 10 union all select * from x where place <= 5 union all select * from y""",
     "alert_list": f"with {EPISODES} select patient_id, first_window_start, last_window_end, severity, last_window_end > epoch_us(t) - 172800000000 as active from episodes, now",
     "report_list": f"""with {FILES} select source_file, run_id, finished_at * 1000000 as finished_at, rows_written
       from (select *, row_number() over (partition by source_file order by finished_at desc, run_id desc) as p from runs where status = 'success') where p = 1""",

@@ -203,7 +203,7 @@ def ward_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def patient_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(serving.patient_detail(valid(spark, sf), summary(spark, sf), alert_episodes(spark, sf), as_of(spark, sf), 7 * 24 * 60, 20, 10, 5))
+    return plain(serving.patient_detail(valid(spark, sf), summary(spark, sf), alert_episodes(spark, sf), stamped(spark, sf), as_of(spark, sf), 7 * 24 * 60, 20, 10, 5))
 
 
 def alert_list(spark: SparkSession, sf: str) -> DataFrame:

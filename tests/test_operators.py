@@ -139,6 +139,9 @@ def test_rules_and_alert_life(spark) -> None:  # noqa: ANN001
     opened = spark.createDataFrame([("vitals_stream_stale", AT, AT), ("batch_backlog", AT, AT), ("gone", AT, AT)], "name string, opened_at timestamp, last_seen_at timestamp")
     actions = {r["name"]: r["action"] for r in health.sync(evaluated, opened, F.lit(AT)).collect()}
     assert (actions["vitals_stream_stale"], actions["batch_backlog"], actions["speed_layer_down"], actions["batch_job_failing"], actions["gone"]) == ("refresh", "resolve", "insert", "nothing", "nothing")
+    state = health.sync(evaluated, opened, F.lit(AT))
+    assert {r["name"] for r in health.by_status(state, "resolved").collect()} == {"batch_backlog"}
+    assert health.by_status(state, "open").count() == 5 and health.by_status(state, "all", 2).count() == 2
     text = [r["text"] for r in health.exposition(metrics, evaluated).collect()]
     assert any(t.endswith("batch_failure_ratio NaN") for t in text) and text[-1].startswith('pipeline_rule_breached{rule="ward_abnormal_rate_high"')
 
@@ -147,6 +150,9 @@ def test_sustained_needs_history(spark) -> None:  # noqa: ANN001
     rows = [("a", AT + timedelta(seconds=10 * i), b) for i, b in enumerate([True, True, True, True, False, True, True])]
     got = [r["sustained"] for r in health.sustained(spark.createDataFrame(rows, "series string, at timestamp, breached boolean"), 30).orderBy("at").collect()]
     assert got == [False, False, False, True, False, False, False]
+    expected = spark.createDataFrame([("a",), ("b",)], "series string")
+    gone = lambda now, n: [r["series"] for r in health.absent(expected, spark.createDataFrame(rows, "series string, at timestamp, breached boolean"), F.lit(AT + timedelta(seconds=now)), n).orderBy("series").collect()]
+    assert (gone(70, 30), gone(200, 30)) == (["b"], ["a", "b"])
 
 
 def test_serving(spark) -> None:  # noqa: ANN001
