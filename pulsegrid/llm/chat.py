@@ -87,11 +87,11 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["t"]) & (rooted["node"] == parents["u"]), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    walked = chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("total").alias("path_score"), "node")
+    walked = cut(chosen.select("tree", F.col("node").alias("leaf"), "rank", F.col("total").alias("path_score"), "node"))
     for jump in reversed(jumps[:-1]):
         up = jump.filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         more = walked.join(up, walked["tree"].eqNullSafe(up["t"]) & (walked["node"] == up["n"])).select("tree", "leaf", "rank", "path_score", F.col("up").alias("node"))
-        walked = walked.union(more)
+        walked = cut(walked.union(more))  # else the plan would double with each step
     deep = rooted.select(F.col("tree").alias("t"), F.col("node").alias("n"), "depth")
     met = walked.join(deep, walked["tree"].eqNullSafe(deep["t"]) & (walked["node"] == deep["n"]))
     return met.select("tree", "leaf", "rank", "path_score", "depth", "node")
