@@ -77,10 +77,10 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     bound = max(1, node.count()).bit_length() + 1
     while len(jumps) <= bound and not step.filter("up is not null").isEmpty():
         above = step.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("u"), F.col("depth").alias("d"), F.col("total").alias("s"))
-        met = step.join(above, step["tree"].eqNullSafe(above["t"]) & (step["up"] == above["n"]), "left")
-        step = cut(
-            met.select("tree", "node", F.col("u").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"))
-        )
+        open_ = step.filter("up is not null")  # messages that have met their root stay as they are
+        met = open_.join(above, open_["tree"].eqNullSafe(above["t"]) & (open_["up"] == above["n"]))
+        met = met.select("tree", "node", F.col("u").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"))
+        step = cut(step.filter("up is null").unionByName(met))
         jumps.append(step)
     rooted = step.filter("up is null")
     parents = jumps[0].filter("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u")).distinct()
