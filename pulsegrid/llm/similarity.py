@@ -6,9 +6,12 @@ for the corpus pipeline the components of ``simhash`` are joined with links of t
 ``BANDS`` band keys (``ROWS`` minima of shingle hashes each; a pair at 0.8 shares none with a chance below 1 in 10,000),
 and each candidate's similarity is then computed exactly from the shingle sets.
 
-Texts with equal word sequences are one node. In a band's group each node meets four leaders (the least and greatest of
-two orders), not all others: groups of up to three nodes are compared wholly, larger ones through their leaders, which
-differ between bands. Pairs therefore stay within four times the band rows, however large a group is.
+Texts with equal word sequences are one node. All pairs of a band's group are compared, in two steps. First each node
+meets four leaders of the group (the least and greatest of two orders), which compares groups of up to three nodes wholly
+and connects most of a larger group of copies. Then only pairs of different components can add anything: a larger group
+that holds several components is dealt by a hash into parts of bounded rows and bytes, each two parts meet in one task,
+and a task returns spanning-forest edges of verified links, never the pairs themselves. A group without a common core
+takes time by the square of its nodes, but no memory beyond two parts.
 
 Defined cases: as in ``simhash``; texts of fewer words than a shingle are compared as wholes; texts without words are
 equal; of a component one row stays, that of the least id (and of its texts, the least hash).
@@ -30,6 +33,8 @@ from pulsegrid.llm.common import LONG_MAX, cut, text_or_empty, write_table
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
+#: Nodes, and bytes of shingle sets, of one part of a large group.
+PART_NODES, PART_BYTES = 1000, 8 << 20
 #: A second order of nodes for choosing leaders.
 TURN = 0x2545F4914F6CDD1D
 _RNG = np.random.default_rng(5)
@@ -88,12 +93,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def similar(docs: DataFrame, marked: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes with a Jaccard similarity of at least ``similarity``. marked: sketches of docs."""
-    nodes = marked.groupBy("node").agg(F.first("keys").alias("keys"))
-    pairs = cut(candidates(nodes))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one row of docs for each node that has a candidate
+def shingle_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, own (40 bits of each shingle's hash), size (bytes of own) for the wanted nodes. marked: sketches of docs."""
+    # one row of docs for each node that is wanted
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MAX))
     one = marked.select("node", doc.alias("_doc"), "_hash").join(wanted, "node").groupBy("node").agg(F.min(F.struct("_doc", "_hash")).alias("m")).select("node", "m.*")
     texts = docs.select(doc.alias("_doc"), F.xxhash64(text_or_empty()).alias("_hash"), text_or_empty().alias("text"))
@@ -101,11 +103,15 @@ def similar(docs: DataFrame, marked: DataFrame, similarity: float = SIMILARITY)
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(shingles(x.as_py())[1] >> np.uint64(24)).astype("<u8") for x in batch.column(1).cast(pa.large_binary())]
-            packed = [x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in found]  # 40 bits of each
+            packed = [x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "own"])
 
     own = texts.join(one, ["_doc", "_hash"]).select("node", "text").mapInArrow(sets, "node long, own binary").dropDuplicates(["node"])
-    own = write_table(own, "shingle-sets")
+    return write_table(own.withColumn("size", F.length("own")), "shingle-sets")
+
+
+def similar(pairs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those pairs (a, b) of nodes with a Jaccard similarity of at least ``similarity``."""
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +127,57 @@ def similar(docs: DataFrame, marked: DataFrame, similarity: float = SIMILARITY)
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def forest(label: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of left and of right that join the components of label: edges of a spanning forest."""
+    label, sizes = label.copy(), np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(shingle, kind="stable")]  # of the first shingle, the second, ...
+    counts = np.bincount(shingle)
+    starts = np.cumsum(counts) - counts
+    edges = []
+    for i in left.tolist():
+        other = right[label[right] != label[i]]
+        if not len(other):
+            continue
+        mine = shingle[at[i] : at[i + 1]]
+        n = counts[mine]
+        places = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(holders[places], minlength=len(sets))[other]
+        for j in other[shared >= similarity * (sizes[i] + sizes[other] - shared)].tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                edges.append((i, j))
+    return edges
+
+
+def links_between(nodes: DataFrame, own: DataFrame, label: DataFrame, similarity: float = SIMILARITY, part_nodes: int = PART_NODES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Links (a, b) of nodes (node, keys) in the same band's group that join different components of label (node, label)."""
+    named = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "keys").join(own.select("node", "size"), "node")
+    rows = named.select("node", "label", "size", F.explode("keys").alias("key"))
+    # groups of up to three nodes met wholly through their leaders
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("label").alias("_1"), F.max("label").alias("_2")).filter("n > 3 and _1 <> _2")
+    n_parts = F.ceil(F.greatest(F.col("n") / part_nodes, F.col("bytes") / part_bytes)).cast("int")
+    dealt = rows.join(mixed.select("key", n_parts.alias("n_parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), "n_parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        node, label, part = (group.column(c).to_numpy() for c in ("node", "label", "part"))
+        left, right = (np.flatnonzero(part == key[k].as_py()) for k in (1, 2))
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right) and (label != label[0]).any():
+            sets = []
+            for x in group.column("own"):
+                wide = np.zeros((len(x.as_py()) // 5, 8), dtype=np.uint8)
+                wide[:, :5] = np.frombuffer(x.as_py(), dtype=np.uint8).reshape(-1, 5)
+                sets.append(np.unique(wide.view("<u8").ravel()))
+            found = forest(label, left, right, sets, similarity)
+        return pa.table({"a": pa.array([int(node[i]) for i, _ in found], pa.int64()), "b": pa.array([int(node[j]) for _, j in found], pa.int64())})
+
+    return dealt.join(own.select("node", "own"), "node").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, _hash and group (a node) of each row of docs: rows linked by fingerprints or by shingle sets."""
     marked = write_table(sketches(docs), "sketches")
@@ -129,8 +186,13 @@ def groups(docs: DataFrame) -> DataFrame:
     named = prints.select("_hash", "_label").distinct().join(by_text, "_hash").select("_label", "node").distinct()
     least = named.groupBy("_label").agg(F.min("node").alias("a"))
     same_print = named.join(least, "_label").select("a", F.col("node").alias("b"))
-    edges = similar(docs, marked).unionByName(same_print)
-    label = simhash.components(edges)
+    nodes = marked.groupBy("node").agg(F.first("keys").alias("keys"))
+    pairs = cut(candidates(nodes))
+    own = shingle_sets(docs, marked, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    label = simhash.components(similar(pairs, own).unionByName(same_print))
+    more = cut(links_between(nodes, own, label))
+    if not more.isEmpty():
+        label = simhash.components(more.unionByName(label.toDF("a", "b")))
     rows = marked.select("doc_id", "_hash", "node")
     return rows.join(label, "node", "left").select("doc_id", "_hash", F.coalesce("label", "node").alias("group"))
 

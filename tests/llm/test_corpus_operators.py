@@ -205,6 +205,49 @@ def test_one_of_each_group_stays(spark) -> None:  # noqa: ANN001
     assert similarity.keep_one(docs(spark, [])).count() == 0
 
 
+def slow_groups(sets: list[set]) -> list[int]:
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    return group
+
+
+def edited_copies(n: int) -> list[tuple[int, str]]:
+    """One original and n copies at 0.85 of it, each edited in places of its own: two copies have about 0.73."""
+    rng = random.Random(21)
+    first = [f"w{i}" for i in range(400)]
+    rows = [(n // 2, " ".join(first))]
+    for i in range(n):
+        words = list(first)
+        for at in rng.sample(range(5, 395, 10), 6):
+            words[at] = f"own{i}at{at}"
+        rows.append((i + (i >= n // 2), " ".join(words)))
+    return rows
+
+
+def test_pipeline_near_duplicates_of_one_original(spark) -> None:  # noqa: ANN001
+    rows = edited_copies(500)
+    group = slow_groups([set(similarity.shingles(t.encode())[1].tolist()) for _, t in rows])
+    least = sorted(min(d for (d, _), h in zip(rows, group, strict=True) if h == g) for g in set(group))
+    assert len(least) == 1
+    assert sorted(r["doc_id"] for r in similarity.keep_one(docs(spark, rows)).collect()) == least
+
+
+def test_links_between_parts_of_a_large_group(spark) -> None:  # noqa: ANN001
+    frame = docs(spark, edited_copies(150))
+    marked = similarity.sketches(frame).cache()
+    nodes = marked.select("node", "keys")
+    own = similarity.shingle_sets(frame, marked, marked.select("node"))
+    alone = marked.select("node", F.col("node").alias("label"))
+    found = similarity.links_between(nodes, own, alone, part_nodes=20)
+    assert found.count() < 25 * 8 * 8 / 2 * 40
+    named = simhash.components(found)
+    assert (named.count(), named.select("label").distinct().count()) == (150, 1)  # the least node has no row of its own
+    assert similarity.links_between(nodes, own, named).count() == 0
+
+
 # ---- sharding --------------------------------------------------------------------------------------------------------
 
 
