@@ -54,12 +54,11 @@ _NAMES = re.compile(
     re.IGNORECASE,
 )
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b(?:[^>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*)>|<[!?][^>]*>",
-    re.IGNORECASE | re.DOTALL,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+_RAW = {x: re.compile(rf"</{x}\s*+>", re.IGNORECASE) for x in ("script", "style", "noscript", "template", "textarea", "iframe", "svg")}
+_OPEN = re.compile(rf"<!--|<!\[CDATA\[|<(?P<end>/?)(?P<tag>(?=[a-zA-Z])(?:(?P<raw>{'|'.join(_RAW)})\b)?[a-zA-Z0-9:-]*)|<[!?]", re.IGNORECASE)
+_EDGE = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?", re.IGNORECASE)
+_READ = frozenset(("class", "id", "role", "hidden", "style"))
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？；]")
 
@@ -69,6 +68,8 @@ def _named(rest: str) -> tuple[str, bool]:
     parts, apart = [], False
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         value, name = a or b or c, name.lower()
+        if name not in _READ:
+            continue
         if name == "role":
             apart |= value.lower() in _ROLES
         elif name == "hidden":
@@ -81,6 +82,59 @@ def _named(rest: str) -> tuple[str, bool]:
     return " ".join(parts), apart
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, whether it ends an element, attributes) of each piece of markup; tag is None where nothing opens or ends.
+
+    Quoted values have any length. The time is linear in the page: edges (quotes and ends of tags) that lead to no end of
+    a tag are remembered, so that no part is searched twice for tags that never end.
+    """
+    size, last, last_data = len(page), page.rfind(">"), page.rfind("]]>")
+    dead: set[int] = set()
+    run = (0, -1)  # from where to which edge nothing lies between
+
+    def close(k: int) -> int:
+        nonlocal run
+        seen = []
+        while True:
+            if not run[0] <= k <= run[1]:
+                edge = _EDGE.search(page, k)
+                run = (k, edge.start() if edge else size)
+            q = run[1]
+            if q == size or q in dead:
+                break
+            if page[q] == ">":
+                return q + 1
+            seen.append(q)
+            k = page.find(page[q], q + 1) + 1
+            if not k:
+                break
+        dead.update(seen)
+        return -1
+
+    at = 0
+    while m := _OPEN.search(page, at):
+        start, k = m.span()
+        if m["tag"] is None:
+            if m[0] == "<!--":
+                end = page.find("-->", k)
+                end = size if end < 0 else end + 3
+            elif len(m[0]) > 2 and k <= last_data:
+                end = page.find("]]>", k) + 3
+            else:
+                end = page.find(">", start + 2) + 1 if start + 2 <= last else -1
+            if end > 0:
+                yield start, end, None, False, ""
+        else:
+            end = close(k)
+            if end > 0 and m["raw"] and not m["end"]:
+                over = _RAW[m["raw"].lower()].search(page, end)
+                end = over.end() if over else size
+                yield start, end, None, False, ""
+            elif end > 0:
+                yield start, end, m["tag"].lower(), bool(m["end"]), page[k : end - 1]
+        at = end if end > 0 else start + 1
+
+
 class _Block:
     __slots__ = ("linked", "parts", "path", "scope")
 
@@ -110,21 +164,19 @@ def blocks(page: str) -> list[_Block]:
         if links:
             block.linked += len(piece)
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, tag, ends, rest in _tokens(page):
+        text(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag in _INLINE:
             if tag == "a":
-                links = 0 if m["end"] else 1
+                links = 0 if ends else 1
             elif tag == "br":
                 text(" ")
             continue
         block, links = None, 0
-        if m["end"]:
+        if ends:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -140,7 +192,7 @@ def blocks(page: str) -> list[_Block]:
             if stack[k][0] in _CLOSES[tag]:
                 del stack[k:]
                 break
-        name, apart = _named(m["rest"]) if "=" in m["rest"] or "hidden" in m["rest"] else ("", False)
+        name, apart = _named(rest) if "=" in rest or "hidden" in rest else ("", False)
         above = stack[-1] if stack else ("", "", False, 0)
         # html and body say nothing of their kind; the class of an article is its own
         apart = above[2] or tag in _APART or (apart and tag not in ("html", "body", "main"))
@@ -148,7 +200,7 @@ def blocks(page: str) -> list[_Block]:
         if tag in _CONTENT and not apart:
             scopes += 1
             scope = scopes
-        if not m["rest"].endswith("/") or tag not in ("svg", "path"):
+        if not rest.endswith("/") or tag not in ("svg", "path"):
             stack.append((tag, f"{tag}.{name}" if name else tag, apart, scope))
     text(page[at:])
     return out

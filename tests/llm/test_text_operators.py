@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -138,6 +139,22 @@ def test_extraction_of_odd_pages(spark) -> None:  # noqa: ANN001
     assert extraction.main_text(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_extraction_of_long_attributes(quote) -> None:  # noqa: ANN001
+    long = quote + "hidden id=x > A1+/, " * 1000 + quote
+    page = f"""<article><h1>A title</h1><div class=ad data-x={long}>Buy this, now, please.</div><p>First paragraph, with text.</p>
+    <p><img src={long}>Second one, after an image.</p><div data-x={long}>Third one, in a long tag.</div><script data-x={long}>var t = "</p>";</script></article>"""
+    assert extraction.extract(page) == "A title\nFirst paragraph, with text.\nSecond one, after an image.\nThird one, in a long tag."
+
+
+def test_extraction_of_tags_that_never_end() -> None:
+    assert extraction.extract("<p>a <b title='x <i>c</i> d") == "a <b title='x c d"
+    for piece in ("<a ", "<a '", "<a '\" ", "<a x='\"'", "<![CDATA[", "<!x", "<svg ", "</p '"):
+        began = time.perf_counter()
+        extraction.extract("<p>" + piece * 100_000)
+        assert time.perf_counter() - began < 10
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------------
 
 
