@@ -7,8 +7,9 @@ paragraphs takes part of their weight, fused into one score, and paths whose mea
 best are content; the blocks under content paths are the text.
 
 Elements that name themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-by element or by class and id) are no candidates; if the page has an <article> or <main> with candidates, the one with
-the highest total is the scope.
+by element or by class and id) are no candidates; if the page has an <article> or <main> with candidates, the outermost
+one with the highest total is the scope, with all that it holds; such elements under one parent are parts of one scope.
+Inside a scope only paths that are mostly links have to reach the share.
 
 Pages are read one by one: no shuffle; a task holds one Arrow batch, dealt into slices.
 
@@ -146,10 +147,11 @@ class _Block:
 
 def blocks(page: str) -> list[_Block]:
     """Candidate text blocks in page order."""
-    stack: list[tuple[str, str, bool, int]] = []  # element, name in the path, apart, scope
+    stack: list[tuple[str, str, bool, int, int]] = []  # element, name in the path, apart, scope, number
     out: list[_Block] = []
     block: _Block | None = None
-    links, scopes, at = 0, 0, 0
+    links, at, number = 0, 0, 0
+    scopes: dict[int, int] = {}  # by the number of the parent
 
     def text(piece: str) -> None:
         nonlocal block
@@ -193,15 +195,15 @@ def blocks(page: str) -> list[_Block]:
                 del stack[k:]
                 break
         name, apart = _named(rest) if "=" in rest or "hidden" in rest else ("", False)
-        above = stack[-1] if stack else ("", "", False, 0)
+        above = stack[-1] if stack else ("", "", False, 0, 0)
         # html and body say nothing of their kind; the class of an article is its own
         apart = above[2] or tag in _APART or (apart and tag not in ("html", "body", "main"))
         scope = above[3]
-        if tag in _CONTENT and not apart:
-            scopes += 1
-            scope = scopes
+        if tag in _CONTENT and not apart and not scope:
+            scope = scopes.setdefault(above[4], len(scopes) + 1)
         if not rest.endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, f"{tag}.{name}" if name else tag, apart, scope))
+            number += 1
+            stack.append((tag, f"{tag}.{name}" if name else tag, apart, scope, number))
     text(page[at:])
     return out
 
@@ -235,12 +237,16 @@ def extract(page: str | None) -> str:
     scope = max(named, key=lambda s: (named[s], -s)) if named else 0
     inside = [k for k, (b, _) in enumerate(found) if b.scope == scope]
     mean: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    free: dict[tuple[str, ...], int] = defaultdict(int)  # characters outside links, less those in links
     for k in inside:
-        mean[found[k][0].path].append(fused[k])
+        b = found[k][0]
+        mean[b.path].append(fused[k])
+        free[b.path] += sum(map(len, b.parts)) - 2 * b.linked
     scores = {p: sum(v) / len(v) for p, v in mean.items()}
     least = THRESHOLD * max(scores.values())
     heads = ("h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt", "figcaption") if scope else ()
-    return "\n".join(found[k][1] for k in inside if scores[found[k][0].path] >= least or (found[k][0].path[-1].split(".")[0] in heads and found[k][0].linked < len(found[k][1])))
+    kept = {p for p, x in scores.items() if x >= least or (scope and free[p] >= 0)}
+    return "\n".join(found[k][1] for k in inside if found[k][0].path in kept or (found[k][0].path[-1].split(".")[0] in heads and found[k][0].linked < len(found[k][1])))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

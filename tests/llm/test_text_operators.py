@@ -155,6 +155,20 @@ def test_extraction_of_tags_that_never_end() -> None:
         assert time.perf_counter() - began < 10
 
 
+def test_extraction_keeps_the_whole_article() -> None:
+    long = ", ".join(["A paragraph of many words"] * 16) + "."
+    rest = "<nav><a href=1>Home</a></nav><div class=sidebar><p>Aside, with text.</p></div>"
+    more = "<ul class=x><li><a href=2>One</a></ul><div class=y><a href=3>Two links</a> <a href=4>here</a></div>"
+    short = f"<p>{long}</p><section><p>Yes.</p><p>No.</p></section><table><caption>Sums</caption><tr><th>Year</th><td>7</td></tr></table><div>So</div><div>it goes</div>"
+    kept = f"{long}\nYes.\nNo.\nSums\nYear\n7\nSo\nit goes"
+    assert extraction.extract(f"<body>{rest}<article>{short}{more}</article></body>") == kept
+    assert extraction.extract(f"<body>{rest}<main><h1>Title</h1><article>{short}{more}</article></main></body>") == f"Title\n{kept}"
+    parts = "".join(f"<article><h2>Part {i}</h2><p>{long[: 90 * i]}</p></article>" for i in (1, 2, 3))
+    said = "\n".join(f"Part {i}\n{long[: 90 * i].strip()}" for i in (1, 2, 3))
+    assert extraction.extract(f"<body>{rest}<article><p>First.</p>{parts}</article></body>") == f"First.\n{said}"
+    assert extraction.extract(f"<body>{rest}<div>{parts}</div></body>") == said
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------------
 
 
