@@ -43,6 +43,11 @@ def alert_metrics(episodes: DataFrame, as_of: Column, active_seconds: int, opene
     )
 
 
+def open_alert_metrics(alerts: DataFrame) -> DataFrame:
+    """alerts of the pipeline (resolved_at is null while they are open)."""
+    return alerts.agg(F.count_if(F.col("resolved_at").isNull()).cast("double").alias("pipeline_alerts_open"))
+
+
 def run_metrics(runs: DataFrame, as_of: Column, recent_seconds: int) -> DataFrame:
     """Recent successes and failures, their ratio (0 if none ran), age and duration of the last success."""
     recent = since("finished_at", as_of, recent_seconds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,25 @@ def ingest_stats(judged: DataFrame, batch: F.Column | str = "kafka_partition") -
     )
 
 
+def window_stats(updates: DataFrame, log: DataFrame) -> DataFrame:
+    """Counts for each batch of window updates (batch_id, patient_id): windows, patients, and alerts opened and extended.
+
+    log: breach observations (batch_id, patient_id, window_start, window_end). In order of arrival an observation extends
+    an alert if one of its patient's reaches its start, and opens one otherwise.
+    """
+    before = Window.partitionBy("patient_id").orderBy("batch_id", "window_start", "window_end").rowsBetween(Window.unboundedPreceding, -1)
+    extends = F.coalesce(F.max("window_end").over(before) >= F.col("window_start"), F.lit(False))
+    found = log.withColumn("_extends", extends).groupBy("batch_id").agg(F.count_if(~F.col("_extends")).alias("alerts_opened"), F.count_if("_extends").alias("alerts_extended"))
+    counts = updates.groupBy("batch_id").agg(F.count("*").alias("windows"), F.count_distinct("patient_id").alias("patients"))
+    return counts.join(found, "batch_id", "left").fillna(0, ["alerts_opened", "alerts_extended"])
+
+
+def cumulative(stats: DataFrame, names: tuple[str, ...], batch: str = "batch_id") -> DataFrame:
+    """stats (one row for each batch) with total_<name>: the counts of all batches so far."""
+    so_far = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return stats.withColumns({f"total_{n}": F.sum(n).over(so_far) for n in names})
+
+
 def quality_counts(judged: DataFrame) -> DataFrame:
     """How many readings each reject reason hits, and how many are valid or abnormal (a reading may have several)."""
     labels = F.concat(

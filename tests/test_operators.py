@@ -173,3 +173,19 @@ def test_ingest_stats(spark) -> None:  # noqa: ANN001
     kind = "kafka_partition int, patient_id string, is_valid boolean, is_abnormal boolean"
     row = ingest.ingest_stats(spark.createDataFrame([(0, "a", True, True), (0, "a", True, False), (0, "b", False, True)], kind)).first()
     assert (row["readings_in"], row["written"], row["rejected"], row["abnormal"], row["patients"]) == (3, 2, 1, 1, 1)
+
+
+def test_window_stats(spark) -> None:  # noqa: ANN001
+    hour = lambda h: AT + timedelta(hours=h)
+    updates = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "b")], "batch_id long, patient_id string")
+    log = [(1, "a", hour(0), hour(24)), (1, "a", hour(8), hour(32)), (2, "a", hour(40), hour(64)), (2, "b", hour(0), hour(24)), (2, "b", hour(24), hour(48))]
+    log = spark.createDataFrame(log, "batch_id long, patient_id string, window_start timestamp, window_end timestamp")
+    rows = ingest.cumulative(ingest.window_stats(updates, log), ("windows", "alerts_opened", "alerts_extended")).orderBy("batch_id").collect()
+    counts = ("windows", "patients", "alerts_opened", "alerts_extended", "total_windows", "total_alerts_opened", "total_alerts_extended")
+    assert [tuple(r[c] for c in counts) for r in rows] == [(3, 2, 1, 1, 3, 1, 1), (2, 2, 2, 1, 5, 3, 2), (1, 1, 0, 0, 6, 3, 2)]
+
+
+def test_open_alerts(spark) -> None:  # noqa: ANN001
+    alerts = spark.createDataFrame([("x", None), ("y", AT), ("z", None)], "name string, resolved_at timestamp")
+    assert health.open_alert_metrics(alerts).first()["pipeline_alerts_open"] == 2
+    assert health.open_alert_metrics(alerts.limit(0)).first()["pipeline_alerts_open"] == 0
