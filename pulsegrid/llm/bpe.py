@@ -1,42 +1,55 @@
 """BPE encoding and decoding by forced-boundary splitting.
 
-A byte pair that occurs inside no vocabulary token can never be joined by a merge, so a text may be cut between its
-two bytes with certainty. The pre-tokenizer has to agree: it's known to start a new piece at a space that follows a
-character other than white space, so the cuts used are those of the form (x, space) with x no white space whose byte
-pair is forced by the vocabulary at hand. Fragments between cuts are encoded independently and their ids concatenated.
+A byte pair that occurs inside no vocabulary token can never be joined by a merge, so a text may be cut between its two
+bytes with certainty. The table of such pairs is read from the vocabulary. The pre-tokenizer has to leave such a cut
+whole: it mustn't read either side differently once they are apart. Which cuts it leaves whole follows from the kinds
+of the two characters (see ``Encoder._table``); all that pass are made: between words, inside words, at line ends and
+between punctuation. Each fragment between cuts is encoded by itself, and the ids are concatenated.
 
-Fragments repeat (a word with its leading space is one), so each Python worker keeps a bounded table from fragment to
-ids; what it doesn't hold is encoded by the tokenizers library in one call for each slice of texts, and the ids of that
-call are dealt to its fragments by their byte lengths. Decoding joins the bytes of the ids.
+Cuts are found for a slice of texts at once with numpy. Fragments repeat, so the slice's fragments are numbered by
+value, each distinct one is encoded once by the tokenizers library, and their ids are gathered by number; a bounded
+table of fragments (two generations, the older of which goes when the younger is full) outlives the slice. Decoding
+joins the bytes of the ids.
 
-Texts are taken one by one: no shuffle; a task holds one Arrow batch, dealt into slices of at most 4 MB (or one text).
+Texts are taken one by one: no shuffle; a task holds one Arrow batch, dealt into slices of at most ``SLICE_BYTES`` (or
+one text).
 
 Defined cases: a null text counts as empty; an empty text has no ids, and the digests of empty strings; strings of
-special tokens inside a text become their ids, as the library does by default; a fragment of over ``LONGEST``
-characters is encoded but not kept in the table; rows with equal ids or texts each keep their row; an empty table gives
-an empty result; extra columns pass through unless they carry the name of a column made here.
+special tokens inside a text become their ids, as the library does by default; a text without any cut is one fragment;
+very long texts are encoded whole, and fragments of over ``LONGEST`` bytes aren't kept in the table; rows with equal ids
+or texts each keep their row; an empty table gives an empty result; extra columns pass through unless they carry the
+name of a column made here.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import table
 from pulsegrid.llm.repetition import slices
 
+#: Bytes of the longest fragment that a worker keeps, and the fragments of one generation of its table.
 LONGEST = 64
-#: Fragments that a worker keeps.
-MOST_KEPT = 400_000
-_AFTER_SPACE = re.compile(r"\s ")
-_WHITE = (" ", "\t", "\n", "\v", "\f", "\r", "\x1c", "\x1d", "\x1e", "\x1f")
+MOST_KEPT = 100_000
+SLICE_BYTES = 8 << 20
+#: Fragments in one call of the library.
+AT_ONCE = 2000
+#: Bytes whose pairs are looked up at once.
+_PART = 1 << 20
+
+# What the pre-tokenizer's pattern names, and white space beyond ASCII.
+_CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -50,107 +63,145 @@ class Encoder:
     """Encodes and decodes with one byte-level vocabulary (the JSON of the tokenizers library)."""
 
     def __init__(self, vocabulary: str, most_kept: int = MOST_KEPT):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are shared by tasks
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
         self.library.no_truncation()
         self.library.no_padding()
         parts = json.loads(vocabulary)
+        before = parts["pre_tokenizer"] or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or parts["normalizer"]:
+            raise ValueError("the vocabulary is not byte-level with the usual pattern")
         symbols = byte_of_symbol()
-        self.bytes: dict[int, bytes] = {i: bytes(symbols[c] for c in t) for t, i in parts["model"]["vocab"].items()}
-        # pairs of bytes inside vocabulary tokens; all others are forced boundaries
-        inside = {(a, b) for t in self.bytes.values() for a, b in zip(t, t[1:], strict=False)}
-        self.open = {a for a, b in inside if b == 32}
-        self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
-        self.bytes |= {i: s.encode() for s, i in self.special.items()}
-        self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        tokens: dict[int, bytes] = {i: bytes(symbols[c] for c in t) for t, i in parts["model"]["vocab"].items()}
+        self.forced = self._forced(list(tokens.values()))
+        self.special = {t["content"].encode(): t["id"] for t in parts["added_tokens"]}
+        tokens |= {i: s for s, i in self.special.items()}
+        self.at_special = re.compile(b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        every = range(max(tokens) + 1)
+        self.bytes = pa.array([tokens.get(i, b"") for i in every], pa.large_binary())
+        self.decimal = pa.array([b"%d," % i for i in every], pa.large_binary())
+        self.cuts = self._table(self.forced)
         self.most_kept = most_kept
-        self.kept: dict[str, bytes] = {}
-
-    def cuttable(self, text: str) -> bool:
-        """Whether every space is a forced boundary that follows no white space."""
-        if text[:1] == " " or (any(f"{x} " in text for x in _WHITE) if text.isascii() else _AFTER_SPACE.search(text)):
-            return False
-        data = text.encode()
-        return not any(bytes((b, 32)) in data for b in self.open)
-
-    def ends_well(self, fragment: str) -> bool:
-        """Whether a space after the fragment is a certain boundary."""
-        return fragment != "" and not fragment[-1].isspace() and fragment[-1].encode()[-1] not in self.open
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _forced(tokens: list[bytes]) -> np.ndarray:
+        """[a, b] is set if the byte a stands before b inside no token."""
+        forced = np.ones((256, 256), dtype=bool)
+        for token in [*tokens, *(x.encode() for x in _CONTRACTIONS)]:
+            own = np.frombuffer(token, dtype=np.uint8)
+            forced[own[:-1], own[1:]] = False
+        return forced
+
+    @staticmethod
+    def _table(forced: np.ndarray) -> np.ndarray:
+        """Forced pairs (last byte of a character, first byte of the next) that the pre-tokenizer leaves whole.
+
+        Its pattern takes letters, digits or other signs in runs (with one space before), contractions, and white space.
+        A run that is cut falls into runs of the same kind; a run's end, and white space after another character, end a
+        piece anyway. Only two things look further: white space looks ahead (so no cut follows a space, and one follows
+        another white-space character only where ``find`` sees that it stands alone), and an apostrophe after other
+        signs would begin a contraction if it stood first.
+        """
+        code = np.arange(256)
+        space = np.isin(code, [9, 10, 11, 12, 13, 32])
+        word = ((code >= 48) & (code <= 57)) | ((code >= 65) & (code <= 90)) | ((code >= 97) & (code <= 122))
+        odd = (code >= 28) & (code <= 31)  # engines differ on whether these are white space
+        begins = (code < 128) | (code >= 192)
+        good = forced & begins[None, :] & ~odd[:, None] & ~odd[None, :]
+        good[32] = False
+        good[space] &= ((code < 128) & ~space)[None, :]
+        good[~word, ord("'")] = False
+        return good.ravel()
+
+    def find(self, data: np.ndarray) -> np.ndarray:
+        """Places before which the bytes may be cut."""
+        found = []
+        for start in range(0, max(0, len(data) - 1), _PART):
+            part = data[start : start + _PART + 1]
+            at = np.flatnonzero(self.cuts[part[:-1].astype(np.uint16) << 8 | part[1:]]) + start + 1
+            found.append(at[self._alone(data, at)])
+        return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+    @staticmethod
+    def _alone(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether a cut may stand at each place as far as white space before it goes: none, or one ASCII character of it after another one."""
+        good = np.ones(len(at), dtype=bool)
+        last = data[at - 1]
+        white = np.flatnonzero(last <= 13)
+        second = data[np.maximum(at[white] - 2, 0)]
+        good[white] = (at[white] > 1) & (second > 32) & (second < 128)
+        wide = np.flatnonzero(last >= 128)
+        code = last[wide].astype(np.int64)
+        for back in (2, 3):  # the last three bytes as one number
+            code |= np.where(at[wide] >= back, data[np.maximum(at[wide] - back, 0)], 0).astype(np.int64) << 8 * (back - 1)
+        good[wide] = ~(np.isin(code, _WIDE_CODES) | np.isin(code & 0xFFFF, _WIDE_CODES))
+        return good
 
     def fragments(self, text: str) -> list[str]:
-        """Pieces of the text between certain cuts. All but the first stand without their leading space."""
-        pieces = text.split(" ")
-        if len(pieces) == 1 or self.cuttable(text):
-            return pieces
-        out = [pieces[0]]
-        for piece in pieces[1:]:
-            last = out[-1]
-            if self.ends_well(last):
-                out.append(piece)
-            else:
-                out[-1] = f"{last} {piece}"
-        return out
-
-    def encode_new(self, fragments: list[str]) -> dict[str, bytes]:
-        """ids (packed, four bytes each) of fragments that follow a space: from one call of the library, but for those
-        that may not stand before a space (they end a text)."""
-        last = [f for f in fragments if not self.ends_well(f)]
-        alone = self.library.encode_batch([" " + f for f in last], add_special_tokens=False)
-        out = {f: np.array(x.ids, dtype="<u4").tobytes() for f, x in zip(last, alone, strict=True)}
-        fragments = [f for f in fragments if f not in out]
-        if not fragments:
-            return out
-        ids = self.library.encode("." + "".join(" " + f for f in fragments), add_special_tokens=False).ids[1:]
-        ends = np.cumsum([len(self.bytes[i]) for i in ids])
-        stops = np.cumsum([len(f.encode()) + 1 for f in fragments])
-        cuts = np.searchsorted(ends, stops).tolist()
-        if len(ids) != cuts[-1] + 1 or (ends[cuts] != stops).any():
-            raise ValueError("a fragment's end is no boundary of tokens")
-        packed = np.array(ids, dtype="<u4").tobytes()
-        start = 0
-        for f, stop in zip(fragments, cuts, strict=True):
-            out[f] = packed[4 * start : 4 * (stop + 1)]
-            start = stop + 1
-        return out
-
-    def encode_segments(self, segments: list[str]) -> list[bytes]:
-        """ids of texts without special strings."""
-        pieces = [self.fragments(s) for s in segments]
-        wanted = set()
-        for p in pieces:
-            wanted.update(p[1:])
-        new = self.encode_new(list(wanted.difference(self.kept)))
-        more = {f: x for f, x in new.items() if len(f) <= LONGEST}
-        if len(self.kept) + len(more) > self.most_kept:
-            self.kept.clear()
-            new = self.encode_new(list(wanted))
-            more = {f: x for f, x in new.items() if len(f) <= LONGEST}
-        self.kept |= more
-        long = {f: x for f, x in new.items() if len(f) > LONGEST}
-        heads = self.library.encode_batch([p[0] for p in pieces], add_special_tokens=False)
-        get = (lambda f: self.kept.get(f) or long[f]) if long else self.kept.__getitem__
-        return [np.array(h.ids, dtype="<u4").tobytes() + b"".join(map(get, p[1:])) for h, p in zip(heads, pieces, strict=True)]
+        """Pieces of a text between certain cuts."""
+        data = text.encode()
+        ends = [0, *self.find(np.frombuffer(data, dtype=np.uint8)).tolist(), len(data)]
+        return [data[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)] if data else []
+
+    def ids_of(self, fragments: list[bytes]) -> list[bytes]:
+        """ids (packed, four bytes each) of distinct fragments, each encoded by itself."""
+        young, old = self.young, self.old
+        out: list[bytes | None] = [young.get(f) or old.get(f) for f in fragments]
+        new = [k for k, x in enumerate(out) if x is None]
+        for start in range(0, len(new), AT_ONCE):
+            part = new[start : start + AT_ONCE]
+            for k, x in zip(part, self.library.encode_batch([fragments[k].decode() for k in part], add_special_tokens=False), strict=True):
+                out[k] = np.array(x.ids, dtype="<u4").tobytes()
+        fresh = {f: x for f, x in zip(fragments, out, strict=True) if len(f) <= LONGEST}
+        if len(young) + len(fresh) > self.most_kept:
+            self.old, self.young = young, fresh
+        else:
+            young.update(fresh)
+        return out  # type: ignore[return-value]
+
+    def encode_joined(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where the ids of each text end) of joined texts in UTF-8; ends: where each text ends."""
+        if not len(data):
+            return np.empty(0, dtype="<u4"), np.zeros(len(ends), dtype=np.int64)
+        is_cut = np.zeros(len(data) + 1, dtype=bool)
+        is_cut[self.find(data)] = True
+        if self.at_special is not None:
+            whole = data.tobytes()
+            if any(s in whole for s in self.special):
+                begins = np.concatenate([[0], ends[:-1]])
+                for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+                    for m in self.at_special.finditer(whole, a, b):
+                        is_cut[m.start() : m.end()] = False
+                        is_cut[[m.start(), m.end()]] = True
+        is_cut[ends] = True
+        is_cut[[0, len(data)]] = True
+        at = np.flatnonzero(is_cut)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        packed = pa.array(self.ids_of(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        stops = np.frombuffer(packed.buffers()[1], dtype=np.int64)[: len(packed) + 1] // 4
+        ids = np.frombuffer(packed.buffers()[2], dtype="<u4")[: stops[-1]]
+        return ids, stops[np.searchsorted(at, ends)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """ids of each text, as the library's own call gives them."""
-        segments, owners, marks = [], [], []
-        for t, text in enumerate(texts):
-            parts = self.at_special.split(text) if self.at_special and self.at_special.search(text) else [text]
-            for k, part in enumerate(parts):
-                owners.append(t)
-                marks.append(self.special[part] if k % 2 else None)
-                segments.append("" if k % 2 else part)
-        out: list[list[bytes]] = [[] for _ in texts]
-        for t, mark, ids in zip(owners, marks, self.encode_segments(segments), strict=True):
-            out[t].append(ids if mark is None else np.array([mark], dtype="<u4").tobytes())
-        return [np.frombuffer(b"".join(x), dtype="<u4") for x in out]
+        raw = [t.encode() for t in texts]
+        ids, stops = self.encode_joined(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([len(x) for x in raw], dtype=np.int64))
+        return np.split(ids, stops[:-1]) if texts else []
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, special tokens included."""
+        return b"".join(self.bytes.take(pa.array(ids.astype(np.int64))).to_pylist())
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+_WIDE_CODES = [int.from_bytes(c.encode(), "big") for c in _WIDE_SPACES]
 _encoders: dict[str, Encoder] = {}
 
 
@@ -163,6 +214,17 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[key]
 
 
+def gathered(values: pa.Array, ids: np.ndarray, stops: np.ndarray) -> Iterator[memoryview]:
+    """For each run of ids (stops: where it ends), the values of its ids, joined."""
+    taken = values.take(pa.array(ids.astype(np.int64)))
+    place = np.frombuffer(taken.buffers()[1], dtype=np.int64)
+    joined = memoryview(taken.buffers()[2]) if taken.buffers()[2] is not None else memoryview(b"")
+    start = 0
+    for stop in (place[stops] if len(ids) else np.zeros(len(stops), dtype=np.int64)).tolist():
+        yield joined[start:stop]
+        start = stop
+
+
 def vocabulary_of(spark: SparkSession, path: str | None = None) -> str:
     """The vocabulary's JSON. Its size doesn't depend on the corpus."""
     if path is None:
@@ -192,24 +254,19 @@ def _mapped(docs: DataFrame, vocabulary_path: str | None, with_ids: bool) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value)
-        decimal = [f"{i},".encode() for i in range(max(bpe.bytes) + 1)]
         for batch in batches:
-            texts = batch.column(len(kept))
-            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts.cast(pa.large_binary())], dtype=np.int64)
-            for start, length in slices(sizes):
-                own = [x or "" for x in texts.slice(start, length).to_pylist()]
-                found = bpe.encode(own)
-                numbers, decoded = [], []
-                for ids in found:
-                    listed = ids.tolist()
-                    numbers.append(hashlib.sha256(b"".join(map(decimal.__getitem__, listed))[:-1]).hexdigest())
-                    back = b"".join(map(bpe.bytes.__getitem__, listed))
-                    decoded.append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
-                columns = [pa.array([len(x) for x in found], pa.int64()), pa.array(numbers), pa.array(decoded)]
+            texts = pc.fill_null(batch.column(len(kept)).cast(pa.large_binary()), b"")
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, length in slices(sizes, SLICE_BYTES):
+                own = texts.slice(start, length)
+                place = np.frombuffer(own.buffers()[1], dtype=np.int64)[start + texts.offset :][: length + 1]
+                data = np.frombuffer(own.buffers()[2] or b"", dtype=np.uint8)[place[0] : place[-1]]
+                ids, stops = bpe.encode_joined(data, place[1:] - place[0])
+                numbers = [hashlib.sha256(x[:-1]).hexdigest() for x in gathered(bpe.decimal, ids, stops)]
+                decoded = [hashlib.sha256(str(x, "utf-8", "replace").encode()).hexdigest() for x in gathered(bpe.bytes, ids, stops)]
+                columns = [pa.array(np.diff(stops, prepend=0), pa.int64()), pa.array(numbers, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                    flat = np.concatenate(found) if found else np.empty(0, dtype="<u4")
-                    columns.insert(0, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))))
+                    columns.insert(0, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), *columns], [*kept, *made])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"{c} {t}" for c, t in made.items())])

@@ -89,14 +89,29 @@ def test_bpe_equals_the_library(vocabulary: str) -> None:
             assert own.decode(ids) == library.decode(want.ids, skip_special_tokens=False) == text
 
 
-def test_bpe_cuts_are_forced(vocabulary: str) -> None:
+def test_bpe_cuts_are_forced_and_independent(vocabulary: str) -> None:
+    """Cuts stand at pairs inside no token, between words and inside them, and fragments encode by themselves."""
     own = bpe.Encoder(vocabulary)
-    inside = {p for t in own.bytes.values() for p in zip(t, t[1:], strict=False)} - {p for s in own.special for p in zip(s.encode(), s.encode()[1:], strict=False)}
-    for text in ("one two  three à four", "a\n b c"):
+    inside = {p for t in own.bytes.to_pylist() if t not in own.special for p in zip(t, t[1:], strict=False)}
+    rng = random.Random(13)
+    alphabet = [*"bqjxzv'.,!-07 \n", "'s", "'ll", " '", "\t", "é", "日", " ", "\u2003", "\u00a0", "\u2019", "\x1d", "  ", "\r\n"]
+    texts = ["one two  three à four", "a\n b c", "bqbq qzqz", "x\ny"] + ["".join(rng.choices(alphabet, k=rng.randint(2, 30))) for _ in range(3000)]
+    within = 0
+    for text in texts:
         pieces = own.fragments(text)
-        assert " ".join(pieces) == text
-        for piece in pieces[:-1]:
-            assert (piece.encode()[-1], 32) not in inside
+        assert "".join(pieces) == text
+        for piece, after in zip(pieces, pieces[1:], strict=False):
+            assert (piece.encode()[-1], after.encode()[0]) not in inside
+            within += piece[-1].isalpha() and after[0].isalpha()
+        alone = [i for x in own.library.encode_batch(pieces, add_special_tokens=False) for i in x.ids]
+        assert alone == own.library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert within > 100
+    assert own.fragments("bqbq two") == ["b", "q", "b", "q", " two"]
+
+
+def test_bpe_refuses_other_vocabularies(vocabulary: str) -> None:
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Encoder(vocabulary.replace('"add_prefix_space":false', '"add_prefix_space":true').replace('"add_prefix_space": false', '"add_prefix_space": true'))
 
 
 def test_bpe_query_form(spark) -> None:  # noqa: ANN001
