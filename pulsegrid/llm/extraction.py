@@ -1,15 +1,21 @@
 """HTML extraction by tag-path ratios.
 
 A page is read as a sequence of text blocks, each under a root-to-leaf path of block elements (inline elements don't
-count, so an unclosed <b> changes no path). For each path the text length outside links and the punctuation are summed
-over its blocks and divided by their number. The two ratios are smoothed along the page, so that a heading between
-paragraphs takes part of their weight, fused into one score, and paths whose mean score reaches a share of the page's
-best are content; the blocks under content paths are the text.
-
-Elements that name themselves as something else (menus, headers, footers, sidebars, notices, adverts, forms, comments,
-by element or by class and id) are no candidates; if the page has an <article> or <main> with candidates, the outermost
-one with the highest total is the scope, with all that it holds; such elements under one parent are parts of one scope.
-Inside a scope only paths that are mostly links have to reach the share.
+count, so an unclosed <b> changes no path). What can never be text of a page is skipped: scripts, styles, form controls,
+embedded objects, hidden elements. All else is judged by its path:
+
+1. Sums. For each path the text length outside links and the punctuation are summed over its blocks; divided by their
+   number they are the path's two ratios.
+2. Smoothing. Along the page each block's ratios are averaged with its neighbours', so that a heading between paragraphs
+   takes part of their weight.
+3. Fusion. Length times (1 + punctuation) is a block's weight; a path's weight is the sum over its blocks. Elements and
+   class names that usually hold something else (menus, footers, adverts, comments) lower it to ``WEAK``; they don't
+   decide by themselves.
+4. The weights, summed up the tree of paths, give the content's container: the deepest element that holds ``SHARE`` of
+   the page's weight (the outermost <article> or <main> around it, if any). Paths are smoothed once more along the
+   tree: a path in the container takes its full support, others lose a part of it for each step from it.
+5. Threshold. A path's score is the mean of that support and its share of the heaviest path's weight, lowered by a
+   majority of linked text and by a weak name; paths at ``THRESHOLD`` or more are content. Their blocks are the text.
 
 Pages are read one by one: no shuffle; a task holds one Arrow batch, dealt into slices.
 
@@ -31,22 +37,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.llm.common import table
 
-#: Share of the page's best score that a content path reaches.
-THRESHOLD = 0.12
+#: Least score of a content path.
+THRESHOLD = 0.3
+#: Share of the page's weight that the content's container holds.
+SHARE = 0.8
+#: Factor of weight and score for elements that usually hold something else than the article.
+WEAK = 0.05
+#: What is left of the container's support after a step away from it: for headings, for elements of running text, for others.
+STEP_HEADING, STEP_TEXT, STEP_OTHER = 0.75, 0.7, 0.4
 
 # Element names of HTML.
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_APART = frozenset("head title nav header footer aside form button select option textarea noscript template iframe object svg menu dialog fieldset".split())
+_NEVER = frozenset("head title button select option textarea noscript template iframe object svg script style".split())
+_WEAK = frozenset("nav header footer aside form menu dialog fieldset".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_TEXT = frozenset("p li blockquote pre td th dd dt figcaption caption".split())
 _CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
 _STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 _CONTENT = frozenset(("article", "main"))
-#: Words in class and id attributes that name what isn't the article.
+#: Words in class and id attributes that usually name something else than the article.
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumbs?"
     r"|header|masthead|topbar|footer|foot|colophon|copyright|legal|comments?|commentlist|replies|respond|disqus|discussion|cookies?|consent|gdpr|notices?|alert|warning|popup|modal"
@@ -64,23 +79,21 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 _PUNCTUATION = re.compile(r"[.,;:!?。，、！？；]")
 
 
-def _named(rest: str) -> tuple[str, bool]:
-    """(class and id as part of a path, whether they name something that isn't the article)."""
-    parts, apart = [], False
+def _named(rest: str) -> tuple[str, bool, bool]:
+    """(class, id and role as part of a path, whether they name something else than the article, whether it is hidden)."""
+    parts, weak, hidden = [], False, False
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         value, name = a or b or c, name.lower()
         if name not in _READ:
             continue
-        if name == "role":
-            apart |= value.lower() in _ROLES
-        elif name == "hidden":
-            apart = True
+        if name == "hidden":
+            hidden = True
         elif name == "style":
-            apart |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
         else:
             parts.append(value)
-            apart |= bool(_NAMES.search(_CAMEL.sub("-", value)))
-    return " ".join(parts), apart
+            weak |= value.lower() in _ROLES if name == "role" else bool(_NAMES.search(_CAMEL.sub("-", value)))
+    return " ".join(parts), weak, hidden
 
 
 def _tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
@@ -136,22 +149,26 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         at = end if end > 0 else start + 1
 
 
+Path = tuple[tuple[str, str], ...]
+
+
 class _Block:
-    __slots__ = ("linked", "parts", "path", "scope")
+    """Text under one path: (element, its name) from the root on. weak: how many elements on the path have a weak name."""
 
-    def __init__(self, path: tuple[str, ...], scope: int):
-        self.path, self.scope = path, scope
+    __slots__ = ("linked", "parts", "path", "weak")
+
+    def __init__(self, path: Path, weak: int):
+        self.path, self.weak = path, weak
         self.parts: list[str] = []
         self.linked = 0
 
 
 def blocks(page: str) -> list[_Block]:
-    """Candidate text blocks in page order."""
-    stack: list[tuple[str, str, bool, int, int]] = []  # element, name in the path, apart, scope, number
+    """Text blocks in page order."""
+    stack: list[tuple[str, str, bool, int, bool]] = []  # element, name, skipped, weak names so far, in an article
     out: list[_Block] = []
     block: _Block | None = None
-    links, at, number = 0, 0, 0
-    scopes: dict[int, int] = {}  # by the number of the parent
+    links, at = 0, 0
 
     def text(piece: str) -> None:
         nonlocal block
@@ -160,7 +177,7 @@ def blocks(page: str) -> list[_Block]:
         if block is None:
             if piece.isspace():
                 return
-            block = _Block(tuple(x[1] for x in stack), stack[-1][3] if stack else 0)
+            block = _Block(tuple(x[:2] for x in stack), stack[-1][3] if stack else 0)
             out.append(block)
         block.parts.append(piece)
         if links:
@@ -194,22 +211,78 @@ def blocks(page: str) -> list[_Block]:
             if stack[k][0] in _CLOSES[tag]:
                 del stack[k:]
                 break
-        name, apart = _named(rest) if "=" in rest or "hidden" in rest else ("", False)
-        above = stack[-1] if stack else ("", "", False, 0, 0)
-        # html and body say nothing of their kind; the class of an article is its own
-        apart = above[2] or tag in _APART or (apart and tag not in ("html", "body", "main"))
-        scope = above[3]
-        if tag in _CONTENT and not apart and not scope:
-            scope = scopes.setdefault(above[4], len(scopes) + 1)
+        name, weak, hidden = _named(rest) if "=" in rest or "hidden" in rest else ("", False, False)
+        above = stack[-1] if stack else ("", "", False, 0, False)
+        # html and body say nothing of their kind; an article's own header is part of it
+        weak = (weak and tag not in ("html", "body", "main")) or (tag in _WEAK and not (tag == "header" and above[4]))
         if not rest.endswith("/") or tag not in ("svg", "path"):
-            number += 1
-            stack.append((tag, f"{tag}.{name}" if name else tag, apart, scope, number))
+            stack.append((tag, name, above[2] or hidden or tag in _NEVER, above[3] + weak, above[4] or tag in _CONTENT))
     text(page[at:])
     return out
 
 
+def weights(found: list[tuple[_Block, str]]) -> dict[Path, float]:
+    """The weight of each path: its two ratios, smoothed along the page, fused, and summed over its blocks."""
+    sums: dict[Path, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    for b, said in found:
+        own = sums[b.path]
+        own[0] += max(0, len(said) - b.linked)
+        own[1] += len(_PUNCTUATION.findall(said))
+        own[2] += 1
+    ratio = [(s[0] / s[2], s[1] / s[2]) for s in (sums[b.path] for b, _ in found)]
+    out: dict[Path, float] = defaultdict(float)
+    for k, (b, _) in enumerate(found):
+        near = ratio[max(0, k - 1) : k + 2]
+        length, marks = ((ratio[k][i] + sum(x[i] for x in near)) / (len(near) + 1) for i in (0, 1))
+        out[b.path] += length * (1 + marks) * WEAK**b.weak
+    return out
+
+
+def container(weight: dict[Path, float]) -> Path:
+    """The deepest element above blocks that holds SHARE of all weight, or the outermost article around it."""
+    held: dict[Path, float] = defaultdict(float)
+    below: dict[Path, set[Path]] = defaultdict(set)
+    for path, w in weight.items():
+        for k in range(len(path)):
+            held[path[:k]] += w
+            if k:
+                below[path[: k - 1]].add(path[:k])
+    here: Path = ()
+    while inner := [c for c in below[here] if held[c] >= SHARE * held[()] and held[()] > 0]:
+        here = inner[0]  # there is one, for SHARE is over a half
+    for k, (tag, _) in enumerate(here):
+        if tag in _CONTENT:
+            return here[: k + 1]
+    return here
+
+
+def scores(found: list[tuple[_Block, str]]) -> dict[Path, float]:
+    """The score of each path, from 0 to 1."""
+    weight = weights(found)
+    home, heaviest = container(weight), max(weight.values()) or 1.0
+    linked: dict[Path, list[int]] = defaultdict(lambda: [0, 0])
+    weak: dict[Path, int] = {}
+    for b, _ in found:
+        linked[b.path][0] += b.linked
+        linked[b.path][1] += sum(map(len, b.parts))
+        weak[b.path] = b.weak
+    # weak names that the whole container carries tell nothing
+    usual = min(w for p, w in weak.items() if p[: len(home)] == home)
+    out = {}
+    for path, w in weight.items():
+        common = 0
+        while common < min(len(home), len(path)) and home[common] == path[common]:
+            common += 1
+        steps = 0 if common == len(home) else len(home) - common + max(0, len(path) - 1 - common)
+        tag = path[-1][0] if path else ""
+        step = STEP_HEADING if tag in _HEADINGS else STEP_TEXT if tag in _TEXT else STEP_OTHER
+        free = min(1.0, 2 - 2 * linked[path][0] / max(1, linked[path][1]))
+        out[path] = WEAK ** max(0, weak[path] - usual) * free * (step**steps + w / heaviest) / 2
+    return out
+
+
 def extract(page: str | None) -> str:
-    """The main text of a page: its content blocks, joined by newlines."""
+    """The main text of a page: the blocks of content paths, joined by newlines."""
     found = []
     for b in blocks(page or ""):
         said = " ".join(html.unescape("".join(b.parts)).split())
@@ -217,36 +290,8 @@ def extract(page: str | None) -> str:
             found.append((b, said))
     if not found:
         return ""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    for b, said in found:
-        own = sums[b.path]
-        own[0] += max(0, len(said) - b.linked)
-        own[1] += len(_PUNCTUATION.findall(said))
-        own[2] += 1
-    # ratios of each block's path, smoothed along the page and fused
-    ratio = [(s[0] / s[2], s[1] / s[2]) for s in (sums[b.path] for b, _ in found)]
-    fused = []
-    for k in range(len(ratio)):
-        near = ratio[max(0, k - 1) : k + 2]
-        length, marks = ((2 * ratio[k][i] + sum(x[i] for x in near) - ratio[k][i]) / (len(near) + 1) for i in (0, 1))
-        fused.append(length * (1 + marks))
-    totals: dict[int, float] = defaultdict(float)
-    for (b, _), score in zip(found, fused, strict=True):
-        totals[b.scope] += score
-    named = {s: t for s, t in totals.items() if s}
-    scope = max(named, key=lambda s: (named[s], -s)) if named else 0
-    inside = [k for k, (b, _) in enumerate(found) if b.scope == scope]
-    mean: dict[tuple[str, ...], list[float]] = defaultdict(list)
-    free: dict[tuple[str, ...], int] = defaultdict(int)  # characters outside links, less those in links
-    for k in inside:
-        b = found[k][0]
-        mean[b.path].append(fused[k])
-        free[b.path] += sum(map(len, b.parts)) - 2 * b.linked
-    scores = {p: sum(v) / len(v) for p, v in mean.items()}
-    least = THRESHOLD * max(scores.values())
-    heads = ("h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "dd", "dt", "figcaption") if scope else ()
-    kept = {p for p, x in scores.items() if x >= least or (scope and free[p] >= 0)}
-    return "\n".join(found[k][1] for k in inside if found[k][0].path in kept or (found[k][0].path[-1].split(".")[0] in heads and found[k][0].linked < len(found[k][1])))
+    score = scores(found)
+    return "\n".join(said for b, said in found if score[b.path] >= THRESHOLD)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

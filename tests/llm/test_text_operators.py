@@ -184,6 +184,81 @@ def test_extraction_keeps_the_whole_article() -> None:
     assert extraction.extract(f"<body>{rest}<div>{parts}</div></body>") == said
 
 
+LONG = " ".join(["A paragraph, of many words, that goes on."] * 6)
+
+
+def test_extraction_by_ratios_alone() -> None:
+    """No telling names, no article element: sums of length and punctuation, the container and the threshold decide."""
+    page = f"""<body><div class=a1><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div><div class=b2><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>
+    <table><tr><td>Seven</table></div><div class=c3>Partner offers here, click now.</div><div class=d4><p>All rights, reserved.</p></div></body>"""
+    assert extraction.extract(page) == f"Title\n{LONG}\n{LONG}\nSeven"
+
+
+def test_extraction_threshold_decides(monkeypatch) -> None:  # noqa: ANN001
+    page = f"<body><nav><a href=1>Home</a></nav><div class=x><p>{LONG}</p></div><footer>All rights, reserved.</footer></body>"
+    assert extraction.extract(page) == LONG
+    monkeypatch.setattr(extraction, "THRESHOLD", -1)
+    assert extraction.extract(page) == f"Home\n{LONG}\nAll rights, reserved."
+
+
+def test_extraction_names_only_weigh() -> None:
+    """A weak name that everything carries tells nothing; a heading before the container and a data URI do no harm."""
+    uri = "data:image/png;base64," + "A1b2>" * 3000
+    page = f"""<body><div class="sidebar"><h1>Title</h1><div class=t><p><img src="{uri}">{LONG}</p><p>{LONG}</p></div><div class=ad>Buy this, now.</div></div></body>"""
+    assert extraction.extract(page) == f"Title\n{LONG}\n{LONG}"
+    assert extraction.extract(f"<article><header><h1>Title</h1></header><p>{LONG}</p><footer>By me.</footer></article>") == f"Title\n{LONG}"
+
+
+def slow_scores(found: list) -> dict:
+    """The method's definitions, one path at a time."""
+    paths = [b.path for b, _ in found]
+    free = [max(0, len(said) - b.linked) for b, said in found]
+    marks = [sum(c in ".,;:!?。，、！？；" for c in said) for _, said in found]
+    mean = lambda of, p: sum(x for x, q in zip(of, paths, strict=True) if q == p) / paths.count(p)
+    fused = []
+    for k, (b, _) in enumerate(found):
+        around = [j for j in (k - 1, k, k, k + 1) if 0 <= j < len(found)]
+        a, c = (sum(mean(of, paths[j]) for j in around) / len(around) for of in (free, marks))
+        fused.append(a * (1 + c) * extraction.WEAK**b.weak)
+    total = sum(fused)
+    under = lambda c: sum(f for f, p in zip(fused, paths, strict=True) if p[: len(c)] == c and len(p) > len(c))
+    home = max((p[:k] for p in paths for k in range(len(p)) if total and under(p[:k]) >= extraction.SHARE * total), key=len, default=())
+    home = next((home[: k + 1] for k, (tag, _) in enumerate(home) if tag in ("article", "main")), home)
+    weight = {p: sum(f for f, q in zip(fused, paths, strict=True) if q == p) for p in paths}
+    least = min(b.weak for b, _ in found if b.path[: len(home)] == home)
+    out = {}
+    for p in weight:
+        common = max(k for k in range(min(len(p), len(home)) + 1) if p[:k] == home[:k])
+        steps = 0 if common == len(home) else (len(home) - common) + max(0, len(p) - common - 1)
+        tag = p[-1][0] if p else ""
+        step = 0.75 if re.fullmatch("h[1-6]", tag) else 0.7 if tag in extraction._TEXT else 0.4
+        own = [b for b, _ in found if b.path == p]
+        linked = sum(b.linked for b in own) / max(1, sum(len("".join(b.parts)) for b in own))
+        out[p] = 0.05 ** max(0, own[-1].weak - least) * min(1, 2 - 2 * linked) * (step**steps + weight[p] / (max(weight.values()) or 1)) / 2
+    return out
+
+
+def test_extraction_equals_slow_scores(sf_dir) -> None:  # noqa: ANN001
+    import html
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(14)
+    tags = ["div", "p", "section", "article", "ul", "li", "h2", "nav", "footer", "a", "b", "div class=ad", "div class=x"]
+
+    def grow(depth: int) -> str:
+        tag = rng.choice(tags)
+        inner = "".join(grow(depth - 1) for _ in range(rng.randint(1, 3))) if depth else "Some words, here. " * rng.randint(0, 6)
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    pages = pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist() + [grow(4) for _ in range(150)]
+    for page in pages:
+        found = [(b, said) for b in extraction.blocks(page) if (said := " ".join(html.unescape("".join(b.parts)).split()))]
+        if found:
+            got, want = extraction.scores(found), slow_scores(found)
+            assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in got)
+
+
 # ---- quality ---------------------------------------------------------------------------------------------------------
 
 
