@@ -8,11 +8,14 @@
 3. Scores of labelled rows left out of the fit are counted in ``BINS`` equal bins; pooling adjacent violators over the
    bins gives a rising map from raw score to the share of good rows.
 
-Texts pass through Python once: their numbers are written as a small table which fitting and scoring read.
-
-Defined cases: a null text counts as empty and is scored like any other; several labels of a document are averaged; a
-null label is none; a null doc_id is scored, not held out, and has no label; repeated rows are scored each; without
-labels every score is 1 (nothing to reject by); an empty table gives an empty result; extra columns are ignored.
+The model is fitted on about ``FIT_ROWS`` labelled documents, or all if there are fewer: a share of them by a hash of
+the id. Their ids are few enough to be broadcast, so only their texts are measured for the fit; then every text of the
+table is measured and scored in one pass, where it lies.
+
+Defined cases: a null text counts as empty and is scored like any other; a very long text is measured whole; several
+labels of a document are averaged; a null label is none; a null doc_id is scored, not held out, and has no label;
+repeated rows are scored each; without labels every score is 1 (nothing to reject by); an empty table gives an empty
+result; extra columns are ignored, and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import table, text_or_empty, write_table
+from pulsegrid.llm.common import lean, table, text_or_empty, write_table
 
 STATISTICS = (
     "log_words", "log_lines", "mean_word", "sd_word", "long_words", "alphabetic", "digits", "capitals", "symbols", "stops", "commas",
@@ -40,6 +43,8 @@ FEATURES = 256
 WIDTH = 2.0
 RIDGE = 1e-3
 BINS = 4096
+#: Labelled documents that a model is fitted and calibrated on, about.
+FIT_ROWS = 20_000
 SEED = 11
 _ALPHA = re.compile(r"[^\W\d_]")
 
@@ -79,17 +84,27 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of each row of docs."""
-    names = list(STATISTICS)
+def matrix(texts: pa.Array) -> np.ndarray:
+    """The statistics of texts, one row each; a null counts as empty."""
+    return np.array([statistics(x.as_py() or "") for x in texts], dtype=np.float64).reshape(-1, len(STATISTICS))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Statistics, _y (mean label) and _fold of about fit_rows labelled documents of docs; fold 2 is left out."""
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    marks = marks.agg(F.avg(F.col("quality").cast("double")).alias("_y")).withColumn("_fold", fold()).filter("_fold <> 2")
+    total = marks.count()
+    if total > fit_rows:
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(fit_rows / total * (1 << 30)))
+    names = [*STATISTICS, "_y", "_fold"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([statistics(x.as_py()) for x in batch.column(1)], dtype=np.float64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in np.ascontiguousarray(found.T))], ["doc_id", *names])
+            found = matrix(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in np.ascontiguousarray(found.T)), batch.column(1), batch.column(2)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).join(F.broadcast(marks), "doc_id").select("text", "_y", "_fold")
+    return rows.mapInArrow(lean(compute), ", ".join(f"{n} double" for n in [*STATISTICS, "_y"]) + ", _fold long")
 
 
 def fold() -> Column:
@@ -140,15 +155,13 @@ def isotonic(at: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return np.array([b[2] / b[1] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
-def fit(features: DataFrame, labels: DataFrame) -> Model:
-    """A model from the rows of features (doc_id, statistics) that labels (doc_id, quality) marks, fold 2 left out."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """A model from the rows of docs (doc_id, text) that labels (doc_id, quality) marks, fold 2 left out."""
     names = list(STATISTICS)
     rng = np.random.default_rng(SEED)
     weights = rng.normal(size=(len(names), FEATURES)) / (WIDTH * np.sqrt(len(names)))
     shift = rng.uniform(0, 2 * np.pi, FEATURES)
-    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    marks = marks.agg(F.avg(F.col("quality").cast("double")).alias("_y"))
-    known = write_table(features.join(marks, "doc_id").withColumn("_fold", fold()).filter("_fold <> 2"), "quality-labelled")
+    known = write_table(labelled(docs, labels, fit_rows), "quality-labelled")
     summary = known.agg(*(F.avg(n).alias(f"a_{n}") for n in names), *(F.stddev_pop(n).alias(f"s_{n}") for n in names), F.count("*").alias("n")).first()
     empty = np.empty(0)
     if not summary["n"]:
@@ -157,13 +170,13 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
     scale = np.maximum(np.array([summary[f"s_{n}"] for n in names]), 1e-6)
     model = Model(centre, scale, weights, shift, np.zeros(FEATURES + 1), empty, empty)
 
-    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+    def columns(batch: pa.RecordBatch) -> np.ndarray:
         return np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(names))])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES + 1, FEATURES + 2))
         for batch in batches:
-            z, y = model.lift(matrix(batch)), batch.column(len(names)).to_numpy()
+            z, y = model.lift(columns(batch)), batch.column(len(names)).to_numpy()
             total += z.T @ np.column_stack([z, y])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(FEATURES + 1, dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
 
@@ -184,7 +197,7 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = model.raw(matrix(batch))
+            raw = model.raw(columns(batch))
             yield pa.RecordBatch.from_arrays([pa.array(bin_of(raw)), pa.array(raw), batch.column(len(names))], ["bin", "raw", "y"])
 
     rest = known.filter("_fold = 3") if not known.filter("_fold = 3").isEmpty() else known
@@ -194,23 +207,20 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(features: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of features."""
-    n = len(STATISTICS)
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(i + 2).to_numpy(zero_copy_only=False) for i in range(n)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(x))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.score(matrix(batch.column(2))))], ["doc_id", "held_out", "score"])
 
-    rows = features.select("doc_id", (fold() == 2).alias("held_out"), *STATISTICS)
-    out = rows.mapInArrow(score, "doc_id long, held_out boolean, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), (fold() == 2).alias("held_out"), text_or_empty().alias("text"))
+    out = rows.mapInArrow(lean(score), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    features = write_table(measured(docs), "quality-statistics")
-    return scored(features, fit(features, labels))
+def classify(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    return scored(docs, fit(docs, labels, fit_rows))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,14 +229,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the classifier rejects. The text is measured again where it stands, so it isn't moved."""
-    model = fit(write_table(measured(docs), "quality-statistics"), labels)
-    names = list(docs.columns)
-    at = names.index("text")
+    """docs without those that the classifier rejects."""
+    model = fit(docs, labels)
+    at = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py() or "") for t in batch.column(at)], dtype=np.float64).reshape(-1, len(STATISTICS))
-            yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
+            yield batch.filter(pa.array(model.score(matrix(batch.column(at))) >= THRESHOLD))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return docs.mapInArrow(lean(judge), docs.schema)
