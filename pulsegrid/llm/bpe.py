@@ -35,13 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import table
+from pulsegrid.llm.common import lean, table
 from pulsegrid.llm.repetition import slices
 
 #: Bytes of the longest fragment that a worker keeps, and the fragments of one generation of its table.
 LONGEST = 64
-MOST_KEPT = 100_000
-SLICE_BYTES = 8 << 20
+MOST_KEPT = 60_000
+SLICE_BYTES = 2 << 20
 #: Fragments in one call of the library.
 AT_ONCE = 2000
 #: Bytes whose pairs are looked up at once.
@@ -270,7 +270,7 @@ def _mapped(docs: DataFrame, vocabulary_path: str | None, with_ids: bool) -> Dat
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), *columns], [*kept, *made])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"{c} {t}" for c, t in made.items())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
