@@ -8,13 +8,16 @@ and each candidate's similarity is then computed exactly from the shingle sets.
 
 Texts with equal word sequences are one node. All pairs of a band's group are compared, in two steps. First each node
 meets four leaders of the group (the least and greatest of two orders), which compares groups of up to three nodes wholly
-and connects most of a larger group of copies. Then only pairs of different components can add anything: a larger group
-that holds several components is dealt by a hash into parts of bounded rows and bytes, each two parts meet in one task,
-and a task returns spanning-forest edges of verified links, never the pairs themselves. A group without a common core
-takes time by the square of its nodes, but no memory beyond two parts.
-
-Defined cases: as in ``simhash``; texts of fewer words than a shingle are compared as wholes; texts without words are
-equal; of a component one row stays, that of the least id (and of its texts, the least hash).
+and connects most of a larger group of copies. Then only pairs of different components can add anything: in a larger
+group that holds several components, the nodes outside its most common component meet all others. Both kinds are dealt
+by a hash into parts of bounded rows and bytes, each two parts meet in one task, and a task returns spanning-forest edges
+of verified links, never the pairs themselves. A group without a common core takes time by the square of its nodes, but
+no memory beyond two parts.
+
+Defined cases: a null text counts as empty; texts of fewer words than a shingle are compared as wholes; texts without
+words are equal; a very long text is one node, read whole; rows with equal doc_id and equal text are one document, of
+which one row stays; a null doc_id counts as greater than any other; of a component one row stays, that of the least id
+(and of its texts, the least hash); an empty table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import simhash
-from pulsegrid.llm.common import LONG_MAX, cut, text_or_empty, write_table
+from pulsegrid.llm.common import LONG_MAX, cut, lean, text_or_empty, write_table
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 #: Nodes, and bytes of shingle sets, of one part of a large group.
-PART_NODES, PART_BYTES = 1000, 8 << 20
+PART_NODES, PART_BYTES = 1000, 4 << 20
 #: A second order of nodes for choosing leaders.
 TURN = 0x2545F4914F6CDD1D
 _RNG = np.random.default_rng(5)
@@ -44,21 +47,32 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes, words: int = WORDS) -> tuple[int, np.ndarray]:
-    """(hash of the word sequence, sorted hashes of its distinct shingles)."""
+    """(hash of the word sequence, sorted hashes of its distinct shingles).
+
+    A shingle's hash is a polynomial over the 64-bit hashes of its words, mixed once more.
+    """
     found = simhash.WORD.findall(text.translate(simhash._LOWER))
-    whole = b" ".join(found)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
+    whole = xxhash.xxh64_intdigest(b" ".join(found), 2)
     n = len(found) - words + 1
-    each = [digest(join(found[i : i + words]), 1) for i in range(n)] if n > 1 else [digest(whole, 1)]
-    return digest(whole, 2), np.unique(np.array(each, dtype=np.uint64))
+    if n < 2:
+        return whole, np.array([whole], dtype=np.uint64)
+    word = np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found))
+    each = word[:n].copy()
+    for k in range(1, words):
+        each *= _STEP
+        each += word[k : k + n]
+    each ^= each >> np.uint64(31)
+    each *= _STEP
+    return whole, np.unique(each ^ (each >> np.uint64(29)))
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
     """One key for each band: a hash of its minima."""
     least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for start in range(0, len(own), 4096):
-        part = own[start : start + 4096, None] * _FACTORS[None, :] + _TERMS[None, :]
-        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
+    for start in range(0, len(own), 1024):  # the hashes are random, so factor and term make orders enough
+        part = own[None, start : start + 1024] * _FACTORS[:, None]
+        part += _TERMS[:, None]
+        least = np.minimum(least, part.min(axis=1))
     key = np.arange(BANDS, dtype=np.uint64) * _STEP
     for row in least.reshape(BANDS, ROWS).T:
         key = (key ^ row) * _STEP
@@ -80,7 +94,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(nodes), listed], ["doc_id", "_hash", "node", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("_hash"), text_or_empty().alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, _hash long, node long, keys array<long>")
+    return rows.mapInArrow(lean(compute), "doc_id long, _hash long, node long, keys array<long>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -106,7 +120,7 @@ def shingle_sets(docs: DataFrame, marked: DataFrame, wanted: DataFrame) -> DataF
             packed = [x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "own"])
 
-    own = texts.join(one, ["_doc", "_hash"]).select("node", "text").mapInArrow(sets, "node long, own binary").dropDuplicates(["node"])
+    own = texts.join(one, ["_doc", "_hash"]).select("node", "text").mapInArrow(lean(sets), "node long, own binary").dropDuplicates(["node"])
     return write_table(own.withColumn("size", F.length("own")), "shingle-sets")
 
 
@@ -124,7 +138,7 @@ def similar(pairs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) ->
             part = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(check), "a long, b long")
 
 
 def forest(label: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -156,10 +170,22 @@ def links_between(nodes: DataFrame, own: DataFrame, label: DataFrame, similarity
     named = nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "keys").join(own.select("node", "size"), "node")
     rows = named.select("node", "label", "size", F.explode("keys").alias("key"))
     # groups of up to three nodes met wholly through their leaders
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("label").alias("_1"), F.max("label").alias("_2")).filter("n > 3 and _1 <> _2")
-    n_parts = F.ceil(F.greatest(F.col("n") / part_nodes, F.col("bytes") / part_bytes)).cast("int")
-    dealt = rows.join(mixed.select("key", n_parts.alias("n_parts")), "key").withColumn("part", F.pmod(F.xxhash64("node"), "n_parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    named = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    main = F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label"))
+    mixed = named.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("labels")).filter("n > 3 and labels > 1")
+    n_parts = lambda n, size: F.ceil(F.greatest(n / part_nodes, size / part_bytes)).cast("int")
+    mixed = mixed.select(
+        "key",
+        F.col("main.label").alias("main"),
+        n_parts(F.col("main.n"), F.col("main.bytes")).alias("n_main"),
+        n_parts(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("n_rest"),
+    )
+    # parts 0 to n_rest - 1 hold the rest, which meets every part; those from n_rest on hold the most common component
+    own_part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    in_main = F.col("label") == F.col("main")
+    dealt = rows.join(mixed, "key").withColumn("part", F.when(in_main, F.col("n_rest") + own_part(F.col("n_main"))).otherwise(own_part(F.col("n_rest"))))
+    others = F.sequence(F.lit(0), F.when(in_main, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_main")) - 1)
+    dealt = dealt.withColumn("other", F.explode(others))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "label")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
