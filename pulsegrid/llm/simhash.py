@@ -6,9 +6,10 @@ fingerprints link if they differ in at most ``radius`` bits; documents that link
 How exact pairs are found without comparing all pairs:
 
 1. Equal fingerprints are one node, so copies cost nothing further.
-2. A vantage-point tree is fitted on a bounded sample of the nodes (``sample_rows``). Each inner node holds a vantage
-   point and a radius: fingerprints within it go to the inner child, the others to the outer child. A branch of the
-   sample is split until it holds about ``shard_rows`` rows of the table.
+2. A vantage-point tree is fitted on a bounded sample of the nodes (``sample_rows``, by a hash). Each inner node holds a
+   vantage point and a radius: fingerprints within it go to the inner child, the others to the outer child. A branch of
+   the sample is split until it holds about ``shard_rows`` rows of the table. The sample grows with the table up to
+   ``MOST_SAMPLED``, so leaves keep their size up to some 10^9 distinct fingerprints; beyond, full shards are dealt (4).
 3. Every node is at home in one leaf, a shard. By the triangle inequality a partner lies on the other side of a
    boundary only if the node is within ``radius`` bits of it. Nodes near a boundary visit the other side too: a home
    node crosses from inner to outer only (of two partners at home on both sides it's enough that one visits), a
@@ -22,7 +23,8 @@ Components: the least document id of each node is sent along the forest edges wi
 small-star steps, over checkpointed tables.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other; rows
-with equal doc_id each get their own row, with the same component if their texts are equal; a null doc_id takes part
+with equal doc_id each get their own row, with the same component if their texts are equal; a very long text is read
+whole, its shingles counted in blocks; a null doc_id takes part
 but never names a component, unless the component has no other id; an empty table gives an empty result; extra columns
 pass through unless they carry the name of a column made here.
 """
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import LONG_MAX, cut, table, text_or_empty
+from pulsegrid.llm.common import LONG_MAX, cut, lean, table, text_or_empty
 
 #: Words of the fingerprints: runs of bytes that aren't ASCII white space.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SEED = 42
+#: Fingerprints that a tree is fitted on: at least, and at most.
+LEAST_SAMPLED, MOST_SAMPLED = 20_000, 500_000
 _BITS = np.arange(64, dtype=np.uint64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -59,9 +64,13 @@ def fingerprint(text: bytes, shingle_words: int = 3) -> int:
         return 0
     if len(words) <= shingle_words:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
     n = len(words) - shingle_words + 1
-    hashes = np.fromiter((digest(join(words[i : i + shingle_words]), SEED) for i in range(n)), dtype=np.uint64, count=n)
+    # shingles are slices of the words joined by spaces
+    whole = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]])[:n].tolist()
+    each = map(whole.__getitem__, map(slice, starts, (ends[shingle_words - 1 :] - 1).tolist()))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, each, repeat(SEED)), dtype=np.uint64, count=n)
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, n, 65_536):
         part = hashes[start : start + 65_536]
@@ -79,14 +88,18 @@ def with_fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["doc_id", "_hash", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("_hash"), text_or_empty().alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, _hash long, fp long")
+    return rows.mapInArrow(lean(compute), "doc_id long, _hash long, fp long")
 
 
 # ---- the vantage-point tree ------------------------------------------------------------------------------------------
 
 
-def build_tree(sample: np.ndarray, leaf_rows: float, seed: int = 7) -> list[tuple[int, int, int, int]]:
-    """Inner nodes (vantage point, bits, inner child, outer child); a child below zero is leaf -child - 1.
+#: Inner nodes of a tree: vantage point, bits, inner child, outer child; a child below zero is leaf -child - 1.
+_NODE = np.dtype([("vantage", "u8"), ("bits", "i4"), ("inner", "i4"), ("outer", "i4")])
+
+
+def build_tree(sample: np.ndarray, leaf_rows: float, seed: int = 7) -> np.ndarray:
+    """The inner nodes of a tree over the sample, the root first; none if it is one leaf.
 
     A branch in which no vantage point tried parts the rows stays one leaf.
     """
@@ -117,13 +130,13 @@ def build_tree(sample: np.ndarray, leaf_rows: float, seed: int = 7) -> list[tupl
         return at
 
     grow(sample)
-    return nodes
+    return np.array(nodes, dtype=_NODE)
 
 
-def place(prints: np.ndarray, tree: list[tuple[int, int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def place(prints: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, leaf, at home) for every leaf in which a row is at home or visits."""
     rows, leaves, homes = [], [], []
-    stack = [(0 if tree else -1, np.arange(len(prints)), np.ones(len(prints), dtype=bool))]
+    stack = [(0 if len(tree) else -1, np.arange(len(prints)), np.ones(len(prints), dtype=bool))]
     while stack:
         node, index, home = stack.pop()
         if not len(index):
@@ -133,7 +146,7 @@ def place(prints: np.ndarray, tree: list[tuple[int, int, int, int]], radius: int
             leaves.append(np.full(len(index), -node - 1, dtype=np.int32))
             homes.append(home)
             continue
-        vantage, bits, inner, outer = tree[node]
+        vantage, bits, inner, outer = tree[node].tolist()
         far = np.bitwise_count(prints[index] ^ np.uint64(vantage)).astype(np.int16)
         inside = far <= bits
         to_outer = ~inside | (far + radius > bits)
@@ -169,12 +182,14 @@ def forest(homes: np.ndarray, visitors: np.ndarray, radius: int, block: int = 10
     return [(int(values[a]), int(values[b])) for a, b in edges]
 
 
-def links(prints: DataFrame, radius: int, shard_rows: int = 1000, sample_rows: int = 20_000) -> DataFrame:
+def links(prints: DataFrame, radius: int, shard_rows: int = 1000, sample_rows: int | None = None) -> DataFrame:
     """Forest edges (a, b) whose connected components are those of all links. prints: distinct fp."""
     total = prints.count()
     if total == 0:
         return prints.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    taken = prints.orderBy(F.xxhash64("fp")).limit(sample_rows) if total > sample_rows else prints
+    if sample_rows is None:
+        sample_rows = min(MOST_SAMPLED, max(LEAST_SAMPLED, 4 * total // shard_rows))
+    taken = prints.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < int(sample_rows / total * (1 << 40))) if total > sample_rows else prints
     sample = np.array([r[0] for r in taken.collect()], dtype=np.int64).view(np.uint64)
     tree = build_tree(np.sort(sample), max(2.0, shard_rows * len(sample) / total))
 
@@ -185,19 +200,15 @@ def links(prints: DataFrame, radius: int, shard_rows: int = 1000, sample_rows: i
                 row, leaf, home = place(own.view(np.uint64), tree, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(leaf), pa.array(home)], ["fp", "leaf", "home"])
 
-    placed = prints.mapInArrow(assign, "fp long, leaf int, home boolean")
-    # Leaves are as many as the tree has: a bounded table. Parts of a full shard: homes by a hash; the others visit.
-    sizes = placed.groupBy("leaf").agg(F.count_if("home").alias("n")).filter(F.col("n") > 8 * shard_rows).collect()
-    parts = {r["leaf"]: -(-r["n"] // (4 * shard_rows)) for r in sizes}
-    if parts:
-        many = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-        n_parts = F.coalesce(F.try_element_at(many, F.col("leaf")), F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), n_parts).cast("int")
-        first = F.when(F.col("home"), own).otherwise(F.lit(0))
-        placed = placed.withColumn("_own", own).withColumn("part", F.explode(F.sequence(first, (n_parts - 1).cast("int"))))
-        placed = placed.withColumn("home", F.col("home") & (F.col("part") == F.col("_own"))).drop("_own")
-    else:
-        placed = placed.withColumn("part", F.lit(0))
+    placed = prints.mapInArrow(lean(assign), "fp long, leaf int, home boolean")
+    # One row for each leaf: as many as the tree has, a bounded table. Parts of a full shard: homes by a hash; the others visit.
+    sizes = placed.groupBy("leaf").agg(F.count_if("home").alias("n")).filter(F.col("n") > 8 * shard_rows)
+    sizes = cut(sizes.select("leaf", F.ceil(F.col("n") / (4 * shard_rows)).cast("int").alias("n_parts")))
+    placed = placed.join(F.broadcast(sizes), "leaf", "left").withColumn("n_parts", F.coalesce("n_parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("n_parts")).cast("int")
+    first = F.when(F.col("home"), own).otherwise(F.lit(0))
+    placed = placed.withColumn("_own", own).withColumn("part", F.explode(F.sequence(first, F.col("n_parts") - 1)))
+    placed = placed.select("fp", "leaf", "part", (F.col("home") & (F.col("part") == F.col("_own"))).alias("home"))
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         fps = group.column("fp").to_numpy().view(np.uint64)
@@ -245,7 +256,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, shard_rows: int = 1000, sample_rows: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle_words: int = 3, shard_rows: int = 1000, sample_rows: int | None = None) -> DataFrame:
     """docs' doc_id and _hash with fp, component_id and _label (a fingerprint of the component); one row for each row of docs."""
     prints = cut(with_fingerprints(docs, shingle_words))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("_least")))
