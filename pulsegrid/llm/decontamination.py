@@ -2,7 +2,8 @@
 
 Texts are normalised (A-Z in small letters; each run of ASCII white space, punctuation and control characters is one
 space) and compared as UTF-8 bytes. A document is contaminated by a benchmark item if some window of ``WINDOW`` bytes
-of the item (the whole item, if shorter) occurs in the document with at most ``EDITS`` edits.
+of the item (the whole item, if shorter) occurs in the document with at most ``EDITS`` edits; a shorter window has an
+edit budget in proportion. An item of less than q bytes has no q-gram: it must occur as it is, as whole words.
 
 By the q-gram lemma such a window keeps at least T = w + 1 - q (e + 1) of its q-grams, and e edits move it across at
 most e + 1 diagonals. So every q-gram of a document is looked up in the benchmark's, hits are counted in diagonal bands
@@ -10,11 +11,12 @@ that overlap by half, and only places where T hits of one band lie within w + e
 short q-grams there, too, are verified by banded alignment of the item's windows. The filter loses nothing; the alignment decides.
 
 The benchmark's index travels to the tasks: its size is checked, and a benchmark of over ``BLOCK_BYTES`` is dealt by a
-hash into blocks that are searched one after the other. Documents aren't moved: no shuffle.
+hash into blocks that are searched one after the other, with what was found so far written in between, so that a worker
+holds one block's index. Documents aren't moved: no shuffle.
 
-Defined cases: a null document text counts as empty, a null or too short benchmark text (under q bytes when normalised)
-matches nothing; equal items match alike; repeated rows are judged each; an empty table on either side gives clean
-documents or no rows; extra columns pass through unless they carry the name of a column made here.
+Defined cases: a null document text counts as empty, a null or empty benchmark text (once normalised) matches nothing;
+very long texts are searched whole; equal items match alike; repeated rows are judged each; an empty table on either
+side gives clean documents or no rows; extra columns pass through unless they carry the name of a column made here.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import table
+from pulsegrid.llm.common import lean, table, write_table
 from pulsegrid.llm.repetition import slices
 
 Q = 10
@@ -36,7 +38,7 @@ EDITS = 4
 #: Size of the q-grams that are counted once more before an alignment.
 SHORT = 3
 #: Bytes of benchmark text in one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _BITS = 22
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not (48 <= c <= 57 or 97 <= c <= 122) else c for c in range(256))
 
@@ -67,7 +69,10 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """q-grams of benchmark items: sorted hashes, and for each the places (item, offset) that have it."""
+    """q-grams of benchmark items: sorted hashes, and for each the places (item, offset) that have it; and items without any.
+
+    short: items of less than q bytes as words, with their numbers; ids and texts hold these last.
+    """
 
     ids: list[int]
     texts: list[bytes]
@@ -76,25 +81,39 @@ class Index:
     items: np.ndarray
     offsets: np.ndarray
     present: np.ndarray
+    short: dict[tuple[bytes, ...], list[int]]
 
     @staticmethod
     def build(rows: list[tuple[int, str | None]]) -> Index | None:
-        kept = [(i, t) for i, x in rows if i is not None and len(t := normal(x)) >= Q]
-        if not kept:
+        every = [(i, t) for i, x in rows if i is not None and (t := normal(x))]
+        if not every:
             return None
-        found = [grams(np.frombuffer(t, dtype=np.uint8)) for _, t in kept]
-        every = np.concatenate(found)
-        order = np.argsort(every, kind="stable")
-        hashes, starts = np.unique(every[order], return_index=True)
+        kept = [(i, t) for i, t in every if len(t) >= Q]
+        small = [(i, t) for i, t in every if len(t) < Q]
+        short: dict[tuple[bytes, ...], list[int]] = {}
+        for number, (_, t) in enumerate(small, start=len(kept)):
+            short.setdefault(tuple(t.split()), []).append(number)
+        found = [grams(np.frombuffer(t, dtype=np.uint8)) for _, t in kept] or [np.empty(0, dtype=np.uint64)]
+        joined = np.concatenate(found)
+        order = np.argsort(joined, kind="stable")
+        hashes, starts = np.unique(joined[order], return_index=True)
         present = np.zeros(1 << _BITS, dtype=bool)
         present[hashes >> np.uint64(64 - _BITS)] = True
-        items = np.repeat(np.arange(len(kept)), [len(f) for f in found])[order]
-        offsets = np.concatenate([np.arange(len(f)) for f in found])[order]
-        return Index([i for i, _ in kept], [t for _, t in kept], hashes, np.append(starts, len(every)), items, offsets, present)
+        items = np.repeat(np.arange(len(kept), dtype=np.int32), [len(f) for f in found[: len(kept)]])[order]
+        offsets = np.concatenate([np.arange(len(f), dtype=np.int32) for f in found])[order]
+        return Index([i for i, _ in kept + small], [t for _, t in kept + small], hashes, np.append(starts, len(joined)).astype(np.int32), items, offsets, present, short)
+
+    def whole_words(self, text: bytes) -> set[int]:
+        """Short items that occur in a normalised text as whole words."""
+        words = text.split()
+        sizes = {len(w) for w in self.short}
+        return {k for n in sizes for i in range(len(words) - n + 1) for k in self.short.get(tuple(words[i : i + n]), ())}
 
     def search(self, texts: list[bytes]) -> list[set[int]]:
         """For each normalised text, the items (by number) that contaminate it."""
-        out: list[set[int]] = [set() for _ in texts]
+        out = [self.whole_words(t) for t in texts] if self.short else [set() for _ in texts]
+        if not len(self.hashes):
+            return out
         joined = b"\0".join(texts) + b"\0" * Q
         data = np.frombuffer(joined, dtype=np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
@@ -111,7 +130,7 @@ class Index:
         if not len(place):
             return out
         copies = self.starts[number + 1] - self.starts[number]
-        i = np.repeat(place, copies)
+        i = np.repeat(place, copies).astype(np.int64)
         entry = np.repeat(self.starts[number], copies) + np.arange(len(i)) - np.repeat(np.cumsum(copies) - copies, copies)
         item, j = self.items[entry], self.offsets[entry]
         doc = np.searchsorted(ends, i, side="right")
@@ -211,7 +230,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
                     part = batch.slice(start, length)
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(names))), pa.array(ids, pa.list_(pa.int64()))], [*names, "item_ids"])
 
-        out = out.mapInArrow(judge, schema)
+        out = out.mapInArrow(lean(judge), schema)
+        if block < n_blocks - 1:
+            out = write_table(out, "contamination")
     return out.withColumn("contaminated", F.size("item_ids") > 0)
 
 
