@@ -8,15 +8,14 @@ UTF-8 bytes, overlaps count, and strings are judged on the input. The text is ne
    A window that two documents share has the same anchor in both, so suffixes that start at anchors are enough. Anchor
    hashes, about one for 17 bytes, are dealt by value; those of at least two documents are sent back to their documents.
 3. Enhanced suffix array. Suffixes at these anchors (LENGTH bytes, with what stands before them) are dealt by the
-   anchor's hash and sorted, with the common prefix of neighbours. Its intervals of common prefix form a tree. The scan
-   goes down the tree by prefix length, which LENGTH bounds, so every level handles all its intervals at once where a
-   stack would handle one at a time. At prefix length r an interval's strings of LENGTH bytes begin LENGTH - r bytes
-   before the anchor: if the left neighbours' bytes agree across the interval, it's one repeat group as it stands; if
-   they are diverse, the interval falls into a group for each left extension. Every group holds all its occurrences,
-   not just neighbours, and all but those of its least document are marked.
+   anchor's hash and sorted, with the common prefix of neighbours. A stack scan over the prefixes gives the intervals of
+   the common-prefix tree, each with its depth and its parent's. An interval's strings of LENGTH bytes begin LENGTH - r
+   bytes before the anchor for each r above the parent's depth and up to its own: if the bytes to the left agree across
+   the interval, it's one repeat group as it stands; if they are diverse, it falls into a group for each left extension.
+   Every group holds all its occurrences, not just neighbours, and all but those of its least document are marked.
 4. Marks go back to their documents, where covered bytes are merged and cut.
 
-Hot strings: what occurs in many documents of one slice of texts is combined there. Of an anchor hash only two
+Buckets follow the bytes of the table, about ``BUCKET_BYTES`` of text each. Hot strings: what occurs in many documents of one slice of texts is combined there. Of an anchor hash only two
 documents go to its bucket, and of equal surroundings only those of the least document; the rest are flagged or marked
 on the spot. Slices hold at most ``SLICE`` bytes or one text; very long texts are read in overlapping pieces.
 
@@ -45,6 +44,8 @@ K = 20
 PLACES = LENGTH - K + 1
 SLICE = 2 << 20
 PIECE = 4 << 20
+#: Text bytes for each bucket of anchors.
+BUCKET_BYTES = 32 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -132,6 +133,24 @@ def suffix_array(right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, differ.argmax(axis=1)
 
 
+def intervals(prefix: np.ndarray, least: int) -> np.ndarray:
+    """The intervals (first row, end, depth, parent's depth) of the common-prefix tree that are at least ``least`` deep.
+
+    A stack scan: an interval opens where the prefix with the row before grows, and is complete where it falls below.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    stack = [(0, 0)]
+    deep = np.where(prefix < least, 0, prefix)
+    for row, depth in enumerate([*deep[1:].tolist(), 0], start=1):
+        first = row - 1
+        while stack[-1][0] > depth:
+            top, first = stack.pop()
+            out.append((first, row, top, max(depth, stack[-1][0])))
+        if stack[-1][0] < depth:
+            stack.append((depth, first))
+    return np.array(out, dtype=np.int64).reshape(-1, 4)
+
+
 def mark(doc: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     """For each anchor's surroundings, bit o is set if the string that begins o bytes before it is in a smaller document.
 
@@ -146,23 +165,26 @@ def mark(doc: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: np.ndarra
     differ = np.ones((len(doc), PLACES), dtype=bool)
     differ[1:, : PLACES - 1] = left[1:] != left[:-1]
     agree = differ.argmax(axis=1)
+    first, end, depth, above = intervals(prefix, LENGTH - PLACES + 1).T
     extension = np.zeros(len(doc), dtype=np.uint64)
     found = np.zeros(len(doc), dtype=np.int64)
     for o in range(PLACES):
         if o:
             extension = (extension + left[:, o - 1] + np.uint64(1)) * _STEP
             extension ^= extension >> np.uint64(32)
-        real = (n_left >= o) & (n_right >= LENGTH - o)
-        start = prefix < LENGTH - o
-        start[0] = True
-        interval = np.cumsum(start) - 1
-        rows = np.flatnonzero(real)
-        size = np.bincount(interval[rows], minlength=interval[-1] + 1)
-        rows = rows[size[interval[rows]] > 1]
-        if not len(rows):
+        own = np.flatnonzero((depth >= LENGTH - o) & (above < LENGTH - o))  # intervals whose strings begin o bytes before
+        if not len(own):
             continue
-        diverse = np.zeros(interval[-1] + 1, dtype=bool)
-        diverse[interval[~start & (agree < o)]] = True
+        size = end[own] - first[own]
+        owner = np.repeat(np.arange(len(own)), size)
+        rows = np.arange(len(owner)) + np.repeat(first[own] - (np.cumsum(size) - size), size)
+        real = (n_left[rows] >= o) & (n_right[rows] >= LENGTH - o)
+        interval = np.zeros(len(doc), dtype=np.int64)
+        interval[rows] = owner
+        rows = rows[real]
+        # an interval is diverse if some neighbours in it differ in the o bytes to the left
+        differs = np.concatenate([[0], np.cumsum(agree < o)])
+        diverse = differs[end[own]] > differs[first[own] + 1]
         split = diverse[interval[rows]]
         for part, divided in ((rows[~split], False), (rows[split], True)):
             if not len(part):
@@ -416,8 +438,9 @@ def _cut(with_text: bool):  # noqa: ANN202
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the bytes kept."""
-    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty()
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MAX))
     least = docs.groupBy(F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("th")).agg(F.min(doc).alias("first_doc"))
     least = least.select("first_doc", F.col("th").alias("first_th"), F.lit(True).alias("alone"))
