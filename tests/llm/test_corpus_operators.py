@@ -92,6 +92,29 @@ def test_marks_need_left_extension() -> None:
     assert masks == [0, (1 << 31) - 1, 1]
 
 
+def test_intervals_equal_all_pairs_of_rows() -> None:
+    """Every maximal run of rows with a common prefix, by definition."""
+    rng = random.Random(15)
+    for _ in range(200):
+        n = rng.randint(2, 14)
+        prefix = np.array([0] + [rng.choice([0, 3, 20, 21, 25, 50]) for _ in range(n - 1)])
+        want = set()
+        for a in range(n):
+            for b in range(a + 2, n + 1):
+                depth = int(prefix[a + 1 : b].min())
+                before, after = int(prefix[a]), int(prefix[b]) if b < n else 0
+                if depth >= 20 and before < depth and after < depth:
+                    above = max(before, after)
+                    want.add((a, b, depth, above if above >= 20 else 0))
+        assert set(map(tuple, suffix_dedup.intervals(prefix, 20).tolist())) == want
+
+
+def test_suffix_dedup_with_many_buckets(spark, monkeypatch) -> None:  # noqa: ANN001
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 500)
+    rows = corpus(16)
+    assert sorted((tuple(r) for r in suffix_dedup.remove_repeats(docs(spark, rows)).collect()), key=str) == slow_removal(rows)
+
+
 # ---- line dedup ------------------------------------------------------------------------------------------------------
 
 
@@ -268,6 +291,42 @@ def test_sharding_law_and_mixture(spark) -> None:  # noqa: ANN001
     assert len({r["shard"] for r in sharding.interleave(alone, 16, rows_per_range=10).collect()}) == 16
 
 
+def slow_shards(rows: list[tuple], n_shards: int, seed: int) -> list[tuple]:
+    """(doc_id, source, crc, shard, slot), by definition: MD5 order inside each source, fractional ranks, equal runs."""
+    number = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:12], 16)
+    keyed = []
+    for name in {r[1] for r in rows}:
+        stratum = f"s{name}" if name is not None else "-"
+        own = sorted((number(*(x for x in (seed, d, c) if x is not None)), -1 if d is None else d, c, name) for d, s, c in rows if s == name)
+        phase = number(seed, stratum) / 2.0**48
+        keyed += [(int((k + phase) / len(own) * 2.0**48), stratum, d, c, name) for k, (_, d, c, name) in enumerate(own)]
+    out, firsts = [], {}
+    for place, (_, _, d, c, name) in enumerate(sorted(keyed, key=lambda x: x[:4])):
+        shard = place * n_shards // len(keyed)
+        firsts.setdefault(shard, place)
+        out.append((None if d == -1 else d, name, c, shard, place - firsts[shard]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows_per_range", [1000, 7])
+def test_sharding_equals_brute_force(spark, rows_per_range) -> None:  # noqa: ANN001
+    rng = random.Random(17)
+    rows = [(rng.randint(0, 400), rng.choice(["web", "web", "web", "book", None, f"rare{i % 9}"]), rng.randint(0, 9)) for i in range(700)] + [(None, "web", 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text_crc32 long").repartition(3)
+    got = sharding.interleave(frame, 16, 20, rows_per_range).select("doc_id", "source", "text_crc32", "shard", "slot").collect()
+    assert sorted((tuple(r) for r in got), key=str) == slow_shards(rows, 16, 20)
+
+
+def test_sharding_of_odd_rows(spark) -> None:  # noqa: ANN001
+    """Names that the operator uses itself, texts without a checksum column, a very long text."""
+    frame = docs(spark, [(1, "a"), (1, "b"), (2, None), (3, "x" * 2_000_000)], _range="r", _before="b", _rank="k", _row="w", _key="q")
+    got = sharding.interleave(frame, 2)
+    assert got.columns == [*frame.columns, "shard", "slot"]
+    assert Counter(r["shard"] for r in got.collect()) == {0: 2, 1: 2}
+    bare = sharding.interleave(frame.select("doc_id", "source"), 3)
+    assert bare.columns == ["doc_id", "source", "shard", "slot"] and bare.count() == 4
+
+
 def test_sharding_query(spark, sf_dir) -> None:  # noqa: ANN001
     texts = dict(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
     for r in sharding.op9_sharding(spark, sf_dir).collect():
@@ -364,3 +423,57 @@ def test_pipeline(spark, sf_dir) -> None:  # noqa: ANN001
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == {r[0] for r in before.select("doc_id").collect()}
     assert 0 < len(got) < frame.count()
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir, tmp_path) -> None:  # noqa: ANN001
+    """Nulls, empty and very long texts, repeated rows and columns with clashing names, through each stage; and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    long = " ".join(f"word{rng.randint(0, 999)}" for _ in range(60_000))
+    rows = [(1, None), (2, ""), (None, "a null id. With a sentence."), (3, "same text, here it is."), (3, "same text, here it is."), (4, "a\nb\nc\nd"), (5, long), (6, "same text, here it is.")]
+    frame = docs(spark, rows, _hash="clash", node="clash", group="clash", item_ids="clash", n_lines="clash")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, frame, sf_dir).collect()
+        ids = Counter(r["doc_id"] for r in got)
+        assert set(ids) <= {1, 2, 3, 4, 5, 6, None}, name
+        if name == "SimHash near-dedup":
+            assert ids == {None: 1, 1: 1, 3: 1, 4: 1, 5: 1}  # empty texts are equal, and so are those of 3 and 6
+        if name in ("line dedup", "BPE encoding and decoding"):
+            assert sum(ids.values()) == len(rows)
+        assert stage(spark, frame.limit(0), sf_dir).count() == 0
+
+
+def test_pipeline_equals_its_operators(spark, sf_dir, tmp_path) -> None:  # noqa: ANN001
+    """run() against the public operators (whose own results are held against brute force), joined by id on the driver."""
+    import corpus_pipeline
+
+    from pulsegrid.llm import bpe, decontamination, quality
+
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    frame = lambda texts: spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    texts = dict(read("documents").select("doc_id", "text").collect())
+    good = {r["doc_id"] for r in quality.classify(read("documents"), read("labels")).collect() if r["predicted"]}
+    texts = {d: t for d, t in texts.items() if d in good}
+    texts = dict(line_dedup.dedup_lines(frame(texts)).select("doc_id", "text").collect())
+    prints = {d: slow_print(t) for d, t in texts.items()}
+    sets = {d: set(similarity.shingles((t or "").encode())[1].tolist()) for d, t in texts.items()}
+    first: dict[int, int] = {d: d for d in texts}
+
+    def root(d: int) -> int:
+        while first[d] != d:
+            d = first[d]
+        return d
+
+    ids = sorted(texts)
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            if (prints[a] ^ prints[b]).bit_count() <= 2 or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                first[y] = x
+    texts = {d: t for d, t in texts.items() if root(d) == d}
+    index = decontamination.Index.build(list(read("benchmark").select("item_id", "text").collect()))
+    texts = {d: t for d, t in texts.items() if not index.search([decontamination.normal(t)])[0]}
+    encoder = bpe.Encoder(bpe.vocabulary_of(None))
+    want = {d: len(encoder.library.encode(t or "", add_special_tokens=False).ids) for d, t in texts.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == want

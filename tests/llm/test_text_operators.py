@@ -55,6 +55,36 @@ def test_repetition_counts_equal_brute_force(spark) -> None:  # noqa: ANN001
         assert not (r["base_failed"] and r["kept"])
 
 
+def slow_verdict(text: str) -> tuple[dict[str, float], bool]:
+    """Cover shares by marking words one by one, and the verdict."""
+    words = WORD.findall(text)
+    chars = sum(map(len, words)) or 1
+    shares = {}
+    for n in repetition.MAX_COVER:
+        runs = [tuple(words[k : k + n]) for k in range(len(words) - n + 1)]
+        covered = {p for k, r in enumerate(runs) if runs.count(r) > 1 for p in range(k, k + n)}
+        shares[f"cover_{n}"] = sum(len(words[p]) for p in covered) / chars
+    lines = text.split("\n")
+    shares["line_cover"] = sum(len(w) for x in lines if lines.count(x) > 1 for w in WORD.findall(x)) / chars
+    n_words, *_, repeats = slow_counts(text)
+    fine = all(shares[f"cover_{n}"] <= most for n, most in repetition.MAX_COVER.items()) and shares["line_cover"] <= repetition.MAX_LINE_COVER
+    return shares, n_words >= 20 and 100 * repeats <= 30 * n_words and fine
+
+
+def test_repetition_verdicts_equal_brute_force() -> None:
+    rng = random.Random(20)
+    texts = ["", "x"]
+    for _ in range(150):
+        parts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))]
+        texts.append(rng.choice(["\n", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 6))) + " ".join(str(rng.random()) for _ in range(rng.randint(0, 60))))
+    found = repetition.measure(texts)
+    for t, text in enumerate(texts):
+        shares, kept = slow_verdict(text)
+        assert all(abs(found[c][t] - x) < 1e-9 for c, x in shares.items())
+        assert bool(found["kept"][t]) == kept
+    assert 10 < sum(found["kept"]) < 140
+
+
 def test_repetition_rejects_repeats_and_keeps_clean_text() -> None:
     rng = random.Random(2)
     clean = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(200))
@@ -307,6 +337,63 @@ def test_quality_without_labels_or_rows(spark) -> None:  # noqa: ANN001
     assert quality.keep_good(docs(spark, ["a b c", "d"]), some).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def slow_scores_of_quality(texts: list[str], marks: list[int]) -> list[float]:
+    """The method on one machine: all rows at once, normal equations from whole matrices, pooling by repeated merging."""
+    import zlib
+
+    x = np.array([quality.statistics(t) for t in texts])
+    y = np.array(marks, dtype=float)
+    part = np.array([zlib.crc32(str(i).encode()) % 4 for i in range(len(texts))])
+    rng = np.random.default_rng(quality.SEED)
+    weights = rng.normal(size=(x.shape[1], quality.FEATURES)) / (quality.WIDTH * np.sqrt(x.shape[1]))
+    shift = rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    known = x[part != 2]
+    z = np.clip((x - known.mean(axis=0)) / np.maximum(known.std(axis=0), 1e-6), -6, 6)
+    z = np.hstack([np.cos(z @ weights + shift) * np.sqrt(2 / quality.FEATURES), np.ones((len(x), 1))])
+    own = part < 2
+    penalty = quality.RIDGE * own.sum() * np.eye(z.shape[1]) / quality.FEATURES
+    penalty[-1, -1] = 1e-9
+    raw = z @ np.linalg.solve(z[own].T @ z[own] + penalty, z[own].T @ y[own])
+    rest = part == 3
+    bins = np.floor(np.clip((raw[rest] + 0.5) / 2, 0, 1 - 1e-9) * quality.BINS)
+    blocks = [[raw[rest][bins == b].sum(), y[rest][bins == b].sum(), float((bins == b).sum())] for b in np.unique(bins)]
+    k = 0
+    while k + 1 < len(blocks):
+        if blocks[k][1] / blocks[k][2] >= blocks[k + 1][1] / blocks[k + 1][2]:
+            blocks[k : k + 2] = [[a + b for a, b in zip(blocks[k], blocks[k + 1], strict=True)]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    level = np.interp(raw, [b[0] / b[2] for b in blocks], [b[1] / b[2] for b in blocks])
+    return np.clip(0.999 * level + 0.001 * np.clip((raw + 0.5) / 2, 0, 1), 0, 1).tolist()
+
+
+def test_quality_equals_brute_force(spark) -> None:  # noqa: ANN001
+    texts, marks = labelled(400)
+    rng = random.Random(19)
+    marks = [m if rng.random() < 0.85 else 1 - m for m in marks]  # noise, so that calibration has something to pool
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs(spark, texts), labels).collect()}
+    want = slow_scores_of_quality(texts, marks)
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-6
+
+
+def test_quality_fits_on_a_bounded_share(spark) -> None:  # noqa: ANN001
+    texts, marks = labelled(900)
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    rows = quality.labelled(docs(spark, texts), labels, 200)
+    assert 120 < rows.count() < 280
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify(docs(spark, texts), labels, 200).collect()}
+    assert np.mean([got[i] == m for i, m in enumerate(marks)]) > 0.97
+
+
+def test_quality_of_odd_texts(spark) -> None:  # noqa: ANN001
+    texts, marks = labelled(100)
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs(spark, [*texts, *ODD], score="clash", held_out="clash"), labels).collect()}
+    assert len(got) == 100 + len(ODD) and all(0 <= x <= 1 for x in got.values())
+
+
 def test_isotonic_rises() -> None:
     at, level = quality.isotonic(np.arange(6.0), np.array([0, 3, 1, 2, 4, 4.0]), np.full(6, 4.0))
     assert (np.diff(level) > 0).all() and (np.diff(at) > 0).all()
@@ -349,6 +436,14 @@ def test_decontamination_equals_brute_force() -> None:
         assert found[1] == {k for k, t in enumerate(index.texts) if slow_hit(t, text)}
 
 
+def test_decontamination_by_short_items(spark) -> None:  # noqa: ANN001
+    """Items without a q-gram occur as whole words or not at all; very long texts are searched to their end."""
+    bench = spark.createDataFrame([(1, "tiny q"), (2, "Tiny  Q!"), (3, "ab"), (4, "exactly 10"), (5, " \n")], "item_id long, text string")
+    texts = ["here is tiny q now", "here is tiny qq now", "AB", "cab", "it's exactly-10, so", "w " * 300_000 + "tiny q", None, ""]
+    got = [sorted(r["item_ids"]) for r in decontamination.contamination(docs(spark, texts), bench).orderBy("doc_id").collect()]
+    assert got == [[1, 2], [], [3], [], [4], [1, 2], [], []]
+
+
 def test_decontamination_over_tables(spark, sf_dir) -> None:  # noqa: ANN001
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog while the seven wizards wait in the hall"), (2, None), (3, "")], "item_id long, text string")
     texts = [None, "", "THE QUICK -- brown fox; jumps over\nthe lazy dog while the seven wizards wait in the hall!", "clean text", "clean text"]
