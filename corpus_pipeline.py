@@ -1,13 +1,21 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again by the next.
+
+Defined cases, for every stage: a null text counts as empty (and stays null where the stage keeps it); a null doc_id is a
+document like any other, and the last to be kept among near-duplicates; empty and very long texts go through like others;
+rows with equal doc_id and equal text are one document, so line dedup gives both rows the same text and the near-duplicate
+stage keeps one; an empty table gives an empty result; extra columns are kept, but for n_lines and n_removed, which line
+dedup fills anew, and by all stages but the last.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import encode_digests
-from pulsegrid.llm.common import shared_dir, table
+from pulsegrid.llm.common import remove, shared_dir, table
 from pulsegrid.llm.decontamination import keep_clean
 from pulsegrid.llm.line_dedup import dedup_lines
 from pulsegrid.llm.quality import keep_good
@@ -21,7 +29,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the later occurrences of repeated three-line windows; n_chars is counted anew."""
-    return dedup_lines(docs).selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,9 +65,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after the other, over documents."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name.replace(' ', '_')}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)  # what the stage has read
+        before = path
     return docs
