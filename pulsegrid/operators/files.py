@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: names of lab files, with their day and epoch.
 NAME = r"^lab_results_day(\d+)_(\d+)\.csv$"
-#: Files that a broadcast range join takes; beyond it readings and periods meet by time bins.
-MOST_BROADCAST = 32
 
 
 def catalog(listing: DataFrame, day_seconds: int) -> DataFrame:
@@ -37,16 +36,14 @@ def gate(waiting: DataFrame, latest_event_epoch: Column, as_of_epoch: Column, gr
     return rows.withColumn("ready", F.bool_and(F.col("caught_up") | F.col("waited_out")).over(prefix))
 
 
-def readings_per_file(readings: DataFrame, files: DataFrame, n_files: int, day_seconds: int) -> DataFrame:
+def readings_per_file(readings: DataFrame, files: DataFrame, day_seconds: int) -> DataFrame:
     """Readings of each file's period [epoch - day, epoch), all files in one job; periods may overlap.
 
-    Few files are broadcast. Many meet readings by bins of a period's length: each period touches two bins.
+    Readings and periods meet by bins of a period's length: an equi-join, in which each period touches two bins.
     """
-    inside = (F.col("event_time") >= F.col("window_start")) & (F.col("event_time") < F.col("window_end"))
     periods = files.select(F.col("file_name").alias("source_file"), "window_start", "window_end")
-    if n_files <= MOST_BROADCAST:
-        return readings.join(F.broadcast(periods), inside)
     tile = lambda c: F.floor(F.unix_micros(c) / F.lit(1_000_000 * day_seconds))
     last = F.timestamp_micros(F.unix_micros("window_end") - 1)
     tiled = periods.withColumn("_bin", F.explode(F.sequence(tile(F.col("window_start")), tile(last))))
+    inside = (F.col("event_time") >= F.col("window_start")) & (F.col("event_time") < F.col("window_end"))
     return readings.withColumn("_bin", tile(F.col("event_time"))).join(tiled, "_bin").filter(inside).drop("_bin")

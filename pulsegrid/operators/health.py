@@ -7,17 +7,46 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.serving import age_seconds, since
 
-
-def reading_metrics(readings: DataFrame, as_of: Column, recent_seconds: int, active_seconds: int) -> DataFrame:
-    """One row: age of the newest reading, lag of its event, counts and abnormal share of the recent past."""
+# Names of the metrics and what they tell.
+METRIC_HELP = {
+    "vitals_last_ingest_age_seconds": "Seconds since the newest raw reading was stored",
+    "vitals_last_event_lag_seconds": "Ingest time minus event time of the newest reading (end-to-end latency)",
+    "vitals_readings_5m": "Raw readings stored in the last 5 minutes",
+    "vitals_abnormal_ratio_5m": "Share of abnormal readings in the last 5 minutes",
+    "active_patients_2m": "Patients with at least one reading in the last 2 minutes",
+    "live_summary_last_update_age_seconds": "Seconds since vitals_live_summary was last upserted",
+    "speed_layer_heartbeat_age_seconds": "Seconds since the speed-layer driver last reported",
+    "speed_layer_rejected_ratio": "Share of consumed readings rejected by data-quality rules",
+    "speed_layer_input_rows_per_second": "Kafka input rate of the raw query (last micro-batch)",
+    "patient_alerts_active": "Patient alert episodes updated in the last 2 minutes",
+    "patient_alerts_24h": "Patient alert episodes opened in the last 24 hours",
+    "batch_runs_success_30m": "Successful batch-layer runs in the last 30 minutes",
+    "batch_runs_failed_30m": "Failed batch-layer runs in the last 30 minutes",
+    "batch_failure_ratio_30m": "Failed / finished batch runs in the last 30 minutes",
+    "batch_last_success_age_seconds": "Seconds since the last successful batch run",
+    "batch_last_duration_seconds": "Duration of the last finished batch run",
+    "lab_feed_last_file_age_seconds": "Seconds since the newest lab results file was dropped",
+    "lab_files_pending": "Lab files older than the grace period without a successful batch run",
+    "pipeline_alerts_open": "Open pipeline-health alerts",
+}
+RULE_HELP = "1 if the health-check rule is currently breached"
+
+
+def reading_metrics(readings: DataFrame, as_of: Column, recent_seconds: int, active_seconds: int, day_seconds: int = 86_400) -> DataFrame:
+    """One row: age of the newest reading, lag of its event, counts and abnormal share of the recent past.
+
+    Only the last day is read; all history is only where that day has no reading.
+    """
+    today = readings.filter(since("ingested_at", as_of, max(day_seconds, recent_seconds, active_seconds)))
+    readings = readings if today.isEmpty() else today
     recent = since("ingested_at", as_of, recent_seconds)
     newest = F.max("ingested_at")
     return readings.agg(
         age_seconds(newest, as_of).alias("vitals_last_ingest_age_seconds"),
-        F.max_by((F.unix_micros("ingested_at") - F.unix_micros("event_time")) / 1_000_000.0, F.struct("ingested_at", "event_time")).alias("vitals_event_lag_seconds"),
-        F.count_if(recent).cast("double").alias("vitals_readings_recent"),
-        F.avg(F.when(recent, F.col("is_abnormal").cast("int"))).alias("vitals_abnormal_ratio_recent"),
-        F.count_distinct(F.when(since("ingested_at", as_of, active_seconds), F.col("patient_id"))).cast("double").alias("patients_active"),
+        F.max_by((F.unix_micros("ingested_at") - F.unix_micros("event_time")) / 1_000_000.0, F.struct("ingested_at", "event_time")).alias("vitals_last_event_lag_seconds"),
+        F.count_if(recent).cast("double").alias("vitals_readings_5m"),
+        F.avg(F.when(recent, F.col("is_abnormal").cast("int"))).alias("vitals_abnormal_ratio_5m"),
+        F.count_distinct(F.when(since("ingested_at", as_of, active_seconds), F.col("patient_id"))).cast("double").alias("active_patients_2m"),
     )
 
 
@@ -32,14 +61,14 @@ def heartbeat_metrics(progress: DataFrame, as_of: Column) -> DataFrame:
     return last.select(
         age_seconds(F.col("p.beat_at"), as_of).alias("speed_layer_heartbeat_age_seconds"),
         F.when(seen > 0, F.col("p.details.rejected") / seen).alias("speed_layer_rejected_ratio"),
-        F.col("p.details.input_rate").cast("double").alias("speed_layer_input_rate"),
+        F.col("p.details.input_rate").cast("double").alias("speed_layer_input_rows_per_second"),
     )
 
 
 def alert_metrics(episodes: DataFrame, as_of: Column, active_seconds: int, opened_seconds: int) -> DataFrame:
     return episodes.agg(
         F.count_if(since("last_window_end", as_of, active_seconds)).cast("double").alias("patient_alerts_active"),
-        F.count_if(since("first_window_start", as_of, opened_seconds)).cast("double").alias("patient_alerts_opened"),
+        F.count_if(since("first_window_start", as_of, opened_seconds)).cast("double").alias("patient_alerts_24h"),
     )
 
 
@@ -48,18 +77,39 @@ def open_alert_metrics(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.count_if(F.col("resolved_at").isNull()).cast("double").alias("pipeline_alerts_open"))
 
 
+def run_alerts(runs: DataFrame, key: str = "task") -> DataFrame:
+    """Alerts of tasks: a failed run opens one, further failures are seen in it, the next successful run resolves it.
+
+    runs: key, run_id, status, finished_at, error, in any order. Key of an alert: name, opened_at.
+    """
+    failed, ok = F.col("status") == "failed", F.col("status") == "success"
+    done = runs.filter((failed | ok) & F.col("finished_at").isNotNull())
+    before = Window.partitionBy(key).orderBy("finished_at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    rounds = done.withColumn("_round", F.coalesce(F.sum(ok.cast("int")).over(before), F.lit(0)))
+    said = F.concat(F.lit("task "), F.col(key), F.lit(" failed (run "), F.col("run_id").cast("string"), F.lit("): "), F.coalesce("error", F.lit("")))
+    found = rounds.groupBy(key, "_round").agg(
+        F.count_if(failed).alias("failures"),
+        F.min(F.when(failed, F.col("finished_at"))).alias("opened_at"),
+        F.max(F.when(failed, F.col("finished_at"))).alias("_last"),
+        F.max(F.when(ok, F.col("finished_at"))).alias("resolved_at"),
+        F.max_by(F.substring(said, 1, 2000), F.when(failed, F.struct("finished_at", "run_id"))).alias("message"),
+    )
+    found = found.filter("failures > 0")
+    return found.select(F.concat(F.lit("task:"), F.col(key)).alias("name"), F.lit("critical").alias("severity"), "failures", "opened_at", F.coalesce("resolved_at", "_last").alias("last_seen_at"), "resolved_at", "message")
+
+
 def run_metrics(runs: DataFrame, as_of: Column, recent_seconds: int) -> DataFrame:
-    """Recent successes and failures, their ratio (0 if none ran), age and duration of the last success."""
-    recent = since("finished_at", as_of, recent_seconds)
+    """Successes and failures among runs that started lately, their ratio (0 if none ended), age of the last success, duration of the last finished run."""
+    recent = since("started_at", as_of, recent_seconds)
     ok, bad = F.count_if(recent & (F.col("status") == "success")), F.count_if(recent & (F.col("status") == "failed"))
-    done = F.when(F.col("status") == "success", F.struct("finished_at", "run_id"))
+    finished = F.when(F.col("finished_at").isNotNull(), F.struct("finished_at", "run_id"))
     took = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1_000_000.0
     return runs.agg(
-        ok.cast("double").alias("batch_runs_ok"),
-        bad.cast("double").alias("batch_runs_failed"),
-        F.coalesce(F.try_divide(bad, ok + bad), F.lit(0.0)).alias("batch_failure_ratio"),
+        ok.cast("double").alias("batch_runs_success_30m"),
+        bad.cast("double").alias("batch_runs_failed_30m"),
+        F.coalesce(F.try_divide(bad, ok + bad), F.lit(0.0)).alias("batch_failure_ratio_30m"),
         age_seconds(F.max(F.when(F.col("status") == "success", F.col("finished_at"))), as_of).alias("batch_last_success_age_seconds"),
-        F.max_by(took, done).alias("batch_last_duration_seconds"),
+        F.max_by(took, finished).alias("batch_last_duration_seconds"),
     )
 
 
@@ -90,7 +140,9 @@ def evaluate(metrics: DataFrame, rules: DataFrame, day_seconds: int) -> DataFram
         F.when(F.col("op") == ">", value > edge).when(F.col("op") == ">=", value >= edge).when(F.col("op") == "<", value < edge).when(F.col("op") == "<=", value <= edge)
     )
     breached = F.when(value.isNull(), F.coalesce(F.col("on_missing") == "breach", F.lit(False))).otherwise(F.coalesce(holds, F.lit(False)))
-    message = F.concat(F.col("name"), F.lit(": "), F.coalesce(F.concat(F.lit("value="), F.round(value, 3).cast("string")), F.lit("no data")), F.lit(" "), F.col("op"), F.lit(" "), edge.cast("string"))
+    number = F.when(edge == F.floor(edge), edge.cast("long").cast("string")).otherwise(edge.cast("string"))
+    shown = F.when(value.isNull(), "no data").otherwise(F.format_string("%.2f", F.round(F.round(value, 6), 2)))
+    message = F.concat(F.col("description"), F.lit(" (value="), shown, F.lit(", threshold="), number, F.lit(")"))
     return rows.withColumns({"breached": breached, "message": message})
 
 
@@ -148,16 +200,20 @@ def by_status(alerts: DataFrame, status: str = "all", limit: int | None = None)
     return rows.limit(limit) if limit else rows
 
 
-def exposition(metrics: DataFrame, evaluated: DataFrame, prefix: str = "pipeline") -> DataFrame:
-    """Metrics in the text format of monitoring systems: order, then lines; NaN for no data; rule states by name."""
-    name = F.concat(F.lit(f"{prefix}_"), F.col("metric"))
+def exposition(metrics: DataFrame, evaluated: DataFrame, prefix: str = "pipeline_") -> DataFrame:
+    """Metrics, then rule states, in the text format of monitoring systems, as rows (place, text): NaN where there is no data."""
+    name = F.concat(F.lit(prefix), F.col("metric"))
+    texts = F.create_map(*(F.lit(x) for pair in METRIC_HELP.items() for x in pair))
+    said = F.coalesce(F.try_element_at(texts, F.col("metric")), F.col("metric"))
     number = F.coalesce(F.col("value").cast("string"), F.lit("NaN"))
     values = metrics.select(
         F.struct(F.lit(0).alias("part"), F.col("metric").alias("of")).alias("place"),
-        F.concat(F.lit("# HELP "), name, F.lit(" pipeline metric\n# TYPE "), name, F.lit(" gauge\n"), name, F.lit(" "), number).alias("text"),
+        F.concat(F.lit("# HELP "), name, F.lit(" "), said, F.lit("\n# TYPE "), name, F.lit(" gauge\n"), name, F.lit(" "), number).alias("text"),
     )
+    rule = f"{prefix}health_rule_breached"
+    title = evaluated.limit(1).select(F.struct(F.lit(1).alias("part"), F.lit("").alias("of")).alias("place"), F.lit(f"# HELP {rule} {RULE_HELP}\n# TYPE {rule} gauge").alias("text"))
     states = evaluated.select(
-        F.struct(F.lit(1).alias("part"), F.col("name").alias("of")).alias("place"),
-        F.concat(F.lit(f'{prefix}_rule_breached{{rule="'), F.col("name"), F.lit('",severity="'), F.col("severity"), F.lit('"} '), F.col("breached").cast("int").cast("string")).alias("text"),
+        F.struct(F.lit(2).alias("part"), F.col("name").alias("of")).alias("place"),
+        F.concat(F.lit(f'{rule}{{rule="'), F.col("name"), F.lit('"} '), F.col("breached").cast("int").cast("string")).alias("text"),
     )
-    return values.unionByName(states).orderBy("place")
+    return values.unionByName(title).unionByName(states).orderBy("place")

@@ -1,4 +1,4 @@
-"""Consolidated reports, their counts, exports and validation."""
+"""Consolidated reports, their counts, exports and validation. Rows are those of the report table (``risk.report_rows``)."""
 
 from __future__ import annotations
 
@@ -6,35 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
+from pulsegrid.operators.risk import report_order, shown
 from pulsegrid.settings import RISK_ORDER
 
+# What a consolidated report says of a patient, and of its file.
+PATIENT_FIELDS = (
+    "risk_flag", "vitals_only_risk", "risk_changed_by_labs", "vitals_concerning", "total_readings", "vitals_abnormal_count", "abnormal_ratio", "avg_heart_rate", "avg_spo2",
+    "avg_temperature", "min_spo2", "max_heart_rate", "hr_trend_bpm_per_min", "spo2_trend_pct_per_min", "patient_abnormal_lab_count", "risk_reasons",
+)
+FILE_FIELDS = ("report_day", "run_id", "window_start", "window_end", "generated_at")
+
 
 def consolidated(rows: DataFrame, key: str = "source_file") -> DataFrame:
     """One row for each file and patient, with the labs nested (an empty array if there are none)."""
-    lab = F.struct("test_type", "result_value", "ref_low", "ref_high", "lab_abnormal")
+    lab = F.struct(F.col("lab_test_type").alias("test_type"), F.col("lab_result_value").alias("result_value"), F.col("lab_reference_range").alias("reference_range"), F.col("lab_abnormal").alias("abnormal"))
     one = lambda c: F.first(c, ignorenulls=True).alias(c)
-    return rows.groupBy(key, "patient_id").agg(
-        one("risk_after_labs"), one("risk_before_labs"), one("total_readings"), one("abnormal_labs"),
-        F.array_sort(F.collect_list(F.when(F.col("test_type").isNotNull(), lab))).alias("labs"),
-    )
+    labs = F.array_sort(F.collect_list(F.when(F.col("lab_test_type").isNotNull(), lab)))  # a few tests of one patient
+    return rows.groupBy(key, "patient_id").agg(*map(one, FILE_FIELDS), *map(one, PATIENT_FIELDS), labs.alias("labs"))
 
 
 def risk_counts(patients: DataFrame, key: str = "source_file") -> DataFrame:
     """Patients for each file and flag; every flag has a row."""
     flags = patients.select(key).distinct().select(key, F.posexplode(F.array(*map(F.lit, RISK_ORDER))).alias("risk_rank", "risk"))
-    found = patients.groupBy(key, F.col("risk_after_labs").alias("risk")).agg(F.count("*").alias("n"))
+    found = patients.groupBy(key, F.col("risk_flag").alias("risk")).agg(F.count("*").alias("n"))
     return flags.join(found, [key, "risk"], "left").select(key, "risk_rank", "risk", F.coalesce("n", F.lit(0)).alias("patients"))
 
 
 def labs_effect(patients: DataFrame, key: str = "source_file") -> DataFrame:
-    """Ordered ids of patients whom labs raised from elevated vitals to high, and of those whom only labs flag."""
-    ids = lambda flag: F.array_sort(F.collect_list(F.when(F.col("risk_after_labs") == flag, F.col("patient_id"))))
-    return patients.groupBy(key).agg(ids("high").alias("escalated_by_labs"), ids("elevated_labs").alias("newly_flagged_by_labs"))
+    """Ordered ids of patients whom labs raised from elevated vitals to high, and of those whom only labs flag.
+
+    One list of ids for each file, as the written report has it.
+    """
+    ids = lambda found: F.array_sort(F.collect_list(F.when(found, F.col("patient_id"))))
+    raised = (F.col("vitals_only_risk") == "elevated") & (F.col("risk_flag") == "high")
+    return patients.groupBy(key).agg(ids(raised).alias("escalated_by_labs"), ids(F.col("risk_flag") == "elevated_labs").alias("newly_flagged_by_labs"))
 
 
 def run_stats(rows: DataFrame, key: str = "source_file") -> DataFrame:
     """Rows, distinct patients, and distinct patients of each flag."""
-    per_flag = (F.count_distinct(F.when(F.col("risk_after_labs") == flag, F.col("patient_id"))).alias(f"{flag}_patients") for flag in RISK_ORDER)
+    per_flag = (F.count_distinct(F.when(F.col("risk_flag") == flag, F.col("patient_id"))).alias(f"{flag}_patients") for flag in RISK_ORDER)
     return rows.groupBy(key).agg(F.count("*").alias("report_rows"), F.count_distinct("patient_id").alias("patients"), *per_flag)
 
 
@@ -51,34 +61,71 @@ def validation(requested: DataFrame, runs: DataFrame, stored: DataFrame) -> Data
     return found.select("source_file", F.col("run.status").alias("status"), F.col("run.rows_written").alias("rows_written"), rows.alias("stored_rows"), problem.alias("problem"))
 
 
-def shown(value: Column, pattern: str) -> Column:
-    """A formatted number, or a dash for none."""
-    return F.coalesce(F.when(value.isNotNull(), F.format_string(pattern, value)), F.lit("-"))
+def _numbered(*lines: Column | str) -> Column:
+    return F.posexplode(F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines))).alias("place", "line")
 
 
 def markdown_lines(rows: DataFrame, key: str = "source_file") -> DataFrame:
-    """Lines of the Markdown report, with their place: file, patient rank, line. Written as text in this order."""
-    patient = consolidated(rows, key)
-    lab = lambda x: F.format_string("%s %s (%s-%s)%s", x["test_type"], shown(x["result_value"], "%.2f"), shown(x["ref_low"], "%.1f"), shown(x["ref_high"], "%.1f"), F.when(x["lab_abnormal"], " !").otherwise(""))
-    line = F.concat_ws(
-        " | ",
-        F.lit(""),
-        F.col("patient_id"),
-        F.concat(F.col("risk_before_labs"), F.lit(" -> "), F.col("risk_after_labs")),
-        F.col("total_readings").cast("string"),
-        F.when(F.size("labs") > 0, F.array_join(F.transform("labs", lab), "; ")).otherwise("-"),
-        F.lit(""),
-    )
-    return patient.select(key, rules.rank_in(RISK_ORDER, F.col("risk_after_labs")).alias("risk_rank"), "patient_id", F.trim(line).alias("line"))
+    """Lines of the Markdown reports: key, section, risk_rank, patient_id, place, line, to be written in this order.
+
+    Sections: 0 the head, 1 the table of risks, 2 what the labs changed, 3 patients, 4 laboratory results.
+    """
+    patients = consolidated(rows, key)
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ssxxx")
+    none, empty = F.lit(0), F.lit("")
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)
+    head = patients.groupBy(key).agg(*map(one, FILE_FIELDS)).select(
+        key, none.alias("section"), none.alias("risk_rank"), empty.alias("patient_id"),
+        _numbered(
+            F.concat(F.lit("# Daily Patient Risk Report - simulated day "), F.col("report_day").cast("string")), "",
+            F.concat(F.lit("- **Lab file:** `"), F.col(key), F.lit("`")),
+            F.concat(F.lit("- **Vitals window (UTC):** "), when("window_start"), F.lit(" -> "), when("window_end")),
+            F.concat(F.lit("- **Generated:** "), when("generated_at"), F.lit(" (run `"), F.col("run_id").cast("string"), F.lit("`)")),
+            "", "## Risk summary", "", "| Risk flag | Patients |", "|---|---|",
+        ),
+    )
+    counts = risk_counts(patients, key).select(key, F.lit(1).alias("section"), "risk_rank", empty.alias("patient_id"), _numbered(F.format_string("| %s | %d |", "risk", "patients")))
+    said = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none")
+    effect = labs_effect(patients, key).select(
+        key, F.lit(2).alias("section"), none.alias("risk_rank"), empty.alias("patient_id"),
+        _numbered(
+            "", "**How yesterday's labs change the risk picture**", "",
+            F.concat(F.lit("- Escalated to *high* (concerning vitals confirmed by abnormal labs): "), said("escalated_by_labs")),
+            F.concat(F.lit("- Newly flagged by labs alone (vitals looked normal): "), said("newly_flagged_by_labs")),
+            "", "## Patients (most severe first)", "",
+            "| Patient | Risk | Vitals-only | Readings | Abnormal % | Avg HR | Avg SpO2 | Avg Temp | HR trend (bpm/min) | SpO2 trend (%/min) | Reasons |", "|---|---|---|---|---|---|---|---|---|---|---|",
+        ),
+    )
+    number = lambda c, digits, sign="": F.coalesce(F.when(c.isNotNull(), shown(c, digits, sign)), F.lit("-"))
+    rank = rules.rank_in(RISK_ORDER, F.col("risk_flag")).alias("risk_rank")
+    cells = (
+        F.col("patient_id"), F.concat(F.lit("**"), F.col("risk_flag"), F.lit("**")), F.col("vitals_only_risk"), F.col("total_readings").cast("string"),
+        number(F.col("abnormal_ratio") * 100, 0), number(F.col("avg_heart_rate"), 0), number(F.col("avg_spo2"), 1), number(F.col("avg_temperature"), 1),
+        number(F.col("hr_trend_bpm_per_min"), 1, "+"), number(F.col("spo2_trend_pct_per_min"), 2, "+"), F.coalesce("risk_reasons", empty),
+    )
+    row = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
+    table = patients.select(key, F.lit(3).alias("section"), rank, "patient_id", none.alias("place"), row(*cells).alias("line"))
+    titles = patients.select(key).distinct().select(
+        key, F.lit(4).alias("section"), none.alias("risk_rank"), empty.alias("patient_id"),
+        _numbered("", "## Lab results", "", "| Patient | Test | Result | Reference range | Abnormal |", "|---|---|---|---|---|"),
+    )
+    labs = patients.select(key, rank, "patient_id", F.posexplode("labs").alias("place", "lab")).select(
+        key, F.lit(4).alias("section"), "risk_rank", "patient_id", "place",
+        row(F.col("patient_id"), F.col("lab.test_type"), F.col("lab.result_value").cast("string"), F.col("lab.reference_range"), F.when(F.col("lab.abnormal"), "**YES**").otherwise("no")).alias("line"),
+    )
+    out = head
+    for part in (counts, effect, table, titles, labs):
+        out = out.unionByName(part)
+    return out
 
 
 def write_markdown(rows: DataFrame, path: str, key: str = "source_file") -> None:
-    """One folder of text for each file, its lines in order of risk and patient."""
+    """One folder of text for each file; a file's lines are its report, sorted by one task for each file."""
     lines = markdown_lines(rows, key)
-    lines.repartition(key).sortWithinPartitions(key, "risk_rank", "patient_id").select(key, F.col("line").alias("value")).write.partitionBy(key).mode("overwrite").text(path)
+    lines.repartition(key).sortWithinPartitions(key, "section", "risk_rank", "patient_id", "place").select(key, F.col("line").alias("value")).write.partitionBy(key).mode("overwrite").text(path)
 
 
 def write_csv(rows: DataFrame, path: str, key: str = "source_file") -> None:
-    """The report as CSV with a header, one folder for each file; only files among rows are replaced."""
-    flat = rows.select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct")) else F.col(c) for c, t in rows.dtypes))
+    """The report as CSV with a header, in report order, one folder for each file; only files among rows are replaced."""
+    flat = rows.orderBy(*report_order()).select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct")) else F.col(c) for c, t in rows.dtypes))
     flat.write.option("header", True).option("partitionOverwriteMode", "dynamic").partitionBy(key).mode("overwrite").csv(path)

@@ -33,16 +33,31 @@ def latest_alert(episodes: DataFrame, as_of: Column, active_seconds: int) -> Dat
     return latest(active, "patient_id", F.col("severity") == "critical", "last_window_end", "first_window_start")
 
 
-def ward_patients(readings: DataFrame, windows: DataFrame, episodes: DataFrame, report: DataFrame, as_of: Column, monitored_seconds: int, active_seconds: int, silent_seconds: int) -> DataFrame:
-    """One row for each patient with readings: last reading, last window, active alert, last risk, and status."""
-    last = latest(readings.select("patient_id", "heart_rate", "spo2", "temperature", "event_time", "kafka_offset"), "patient_id", "event_time", "kafka_offset")
-    window = latest(windows.select("patient_id", "window_end", "avg_heart_rate", "abnormal_count"), "patient_id", "window_end")
-    alert = latest_alert(episodes.select("patient_id", "severity", "last_window_end", "first_window_start"), as_of, active_seconds)
-    risk = latest(report.select("patient_id", "risk_after_labs", "source_file", "generated_at"), "patient_id", "generated_at", "source_file")
-    rows = last.join(window, "patient_id", "left").join(alert.select("patient_id", "severity"), "patient_id", "left").join(risk.select("patient_id", "risk_after_labs"), "patient_id", "left")
-    age = age_seconds(F.col("event_time"), as_of)
-    status = F.coalesce("severity", F.when(F.col("age_seconds") > silent_seconds, "no_signal"), F.lit("normal"))
-    return rows.withColumn("age_seconds", age).withColumns({"status": status, "monitored": F.col("age_seconds") <= monitored_seconds})
+def ward_patients(readings: DataFrame, windows: DataFrame, episodes: DataFrame, report: DataFrame, as_of: Column, monitored_seconds: int, active_seconds: int, silent_seconds: int, day_seconds: int = 86_400) -> DataFrame:
+    """One row for each patient with a reading of the last day: that reading, the day's last window, active alert, last risk, and status.
+
+    report: rows of the report table.
+    """
+    fresh = readings.filter(since("event_time", as_of, day_seconds))
+    shown = ["heart_rate", "spo2", "systolic_bp", "diastolic_bp", "temperature", "is_abnormal"]
+    last = latest(fresh.select("patient_id", "event_time", *shown, "kafka_offset"), "patient_id", "event_time", "kafka_offset").drop("kafka_offset")
+    means = ["avg_heart_rate", "avg_spo2", "avg_temperature"]
+    window = windows.filter(since("window_end", as_of, day_seconds)).select("patient_id", "window_start", "window_end", *means, F.col("abnormal_count").alias("window_abnormal_count"), F.col("total_readings").alias("window_readings"))
+    alert = latest_alert(episodes.select("patient_id", "severity", "reasons", "last_window_end", "first_window_start"), as_of, active_seconds)
+    alert = alert.select("patient_id", alert_id().alias("alert_id"), F.col("severity").alias("alert_severity"), F.col("reasons").alias("alert_reasons"))
+    risk = latest(report.select("patient_id", F.col("risk_flag").alias("latest_daily_risk"), F.col("report_day").alias("latest_report_day"), "source_file", "generated_at"), "patient_id", "generated_at", "source_file")
+    rows = last.withColumnsRenamed({"event_time": "last_reading_at", "is_abnormal": "last_reading_abnormal"})
+    for other in (latest(window, "patient_id", "window_end"), alert, risk.drop("source_file", "generated_at")):
+        rows = rows.join(other, "patient_id", "left")
+    age = age_seconds(F.col("last_reading_at"), as_of)
+    silent = F.col("seconds_since_last_reading")
+    status = F.coalesce("alert_severity", F.when(silent > silent_seconds, "no_signal"), F.lit("normal"))
+    return rows.withColumn("seconds_since_last_reading", age).withColumns({"status": status, "monitored": silent <= monitored_seconds})
+
+
+def alert_id() -> Column:
+    """An alert's name: its patient and the second of its first window."""
+    return F.concat("patient_id", F.lit("-"), F.unix_seconds("first_window_start").cast("string"))
 
 
 def ward_order() -> list[Column]:
@@ -60,6 +75,7 @@ def ward_snapshot(readings: DataFrame, patients: DataFrame, as_of: Column, monit
         F.avg(F.when(recent, F.col("is_abnormal").cast("int"))).alias("abnormal_ratio"),
         F.avg(F.when(recent, F.col("heart_rate"))).alias("avg_heart_rate"),
         F.avg(F.when(recent, F.col("spo2"))).alias("avg_spo2"),
+        F.avg(F.when(recent, F.col("temperature"))).alias("avg_temperature"),
         F.max(wide).alias("_wide"),
     )
     states = patients.agg(
@@ -80,19 +96,28 @@ def latest_report(report: DataFrame) -> DataFrame:
 
 
 def patient_detail(readings: DataFrame, windows: DataFrame, episodes: DataFrame, report: DataFrame, as_of: Column, minutes: int, most_readings: int = 200, most_windows: int = 60, most_alerts: int = 20) -> DataFrame:
-    """For all patients at once: newest readings, windows, alerts and the latest report, as rows (patient_id, kind, place, at, value)."""
+    """For all patients at once: newest readings, windows, alerts and the latest report, as rows (patient_id, kind, place, at, ...).
+
+    Columns that a kind hasn't are null; heart_rate, spo2 and temperature of a window are its means. report: rows of the
+    report table.
+    """
+    vitals = ("heart_rate", "spo2", "temperature")
+    as_double = lambda *names: [F.col(n).cast("double").alias(n) for n in names]
     recent = readings.filter(since("event_time", as_of, minutes * 60))
+    recent = recent.select("patient_id", F.col("event_time").alias("at"), *as_double(*vitals), "systolic_bp", "diastolic_bp", "is_abnormal", "kafka_offset")
+    views = windows.select("patient_id", F.col("window_end").alias("at"), "window_start", *(F.col(f"avg_{n}").alias(n) for n in vitals), "abnormal_count", "total_readings")
+    alerts = episodes.select("patient_id", F.col("last_window_end").alias("at"), F.col("first_window_start").alias("window_start"), "severity", "reasons", "breaching_windows")
+    tests = latest_report(report).withColumn("place", F.row_number().over(Window.partitionBy("patient_id").orderBy(F.coalesce("lab_test_type", F.lit("")))))
     parts = [
-        newest(recent.select("patient_id", F.col("event_time").alias("at"), F.col("heart_rate").cast("double").alias("value"), F.col("kafka_offset").alias("tie")), "patient_id", most_readings, F.desc("at"), F.desc("tie")).withColumn("kind", F.lit("reading")),
-        newest(windows.select("patient_id", F.col("window_end").alias("at"), F.col("avg_heart_rate").alias("value"), F.lit(0).cast("long").alias("tie")), "patient_id", most_windows, F.desc("at")).withColumn("kind", F.lit("window")),
-        newest(episodes.select("patient_id", F.col("last_window_end").alias("at"), F.col("breaching_windows").cast("double").alias("value"), F.lit(0).cast("long").alias("tie")), "patient_id", most_alerts, F.desc("at")).withColumn("kind", F.lit("alert")),
-    ]
-    tests = latest_report(report).withColumn("place", F.row_number().over(Window.partitionBy("patient_id").orderBy(F.coalesce("test_type", F.lit("")))))
-    parts.append(tests.select("patient_id", F.lit("report").alias("kind"), "place", F.col("generated_at").alias("at"), F.col("result_value").cast("double").alias("value")))
+        newest(recent, "patient_id", most_readings, F.desc("at"), F.desc("kafka_offset")).drop("kafka_offset").withColumn("kind", F.lit("reading")),
+        newest(views, "patient_id", most_windows, F.desc("at")).withColumn("kind", F.lit("window")),
+        newest(alerts, "patient_id", most_alerts, F.desc("at")).withColumn("kind", F.lit("alert")),
+        tests.select("patient_id", F.lit("report").alias("kind"), "place", F.col("generated_at").alias("at"), "risk_flag", "risk_reasons", "lab_test_type", "lab_result_value", "lab_reference_range", "lab_abnormal"),
+    ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.select("patient_id", "kind", "place", "at", "value")
+    return out
 
 
 def alert_list(episodes: DataFrame, as_of: Column, active_seconds: int, active_only: bool = False, limit: int | None = None) -> DataFrame:

@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
+from pulsegrid.operators.health import METRIC_HELP, RULE_HELP
+
 EPOCH = "cast(1704067200 as bigint)"
 
+
+def thousandths(value: str) -> str:
+    return f"cast(round(round({value}, 6) * 1000) as bigint)"
+
+
+def shown(value: str, digits: int, sign: str = "") -> str:
+    """A number with so many decimals, as text."""
+    return f"printf('%{sign}.{digits}f', round(round({value}, 6), {digits}) + 0.0::double)"
+
+
 READINGS = """
 e as (select event_id, user_id, event_type, ts, cast(json_extract_string(props, '$.k') as integer) as k from events),
 readings as (
@@ -33,7 +45,7 @@ now as (select max(ts) as t from events)
 
 WINDOWS = (
     READINGS
-    + """,
+    + f""",
 spread as (
   select *, (epoch_us(event_time) // 28800000000 - j) * 28800000000 as ws from valid, (values (0), (1), (2)) as s(j)
 ),
@@ -45,9 +57,9 @@ summary as (
 ),
 alerts as (
   select *, case when critical <> '' then 'critical' else 'warning' end as severity,
-         case when critical <> '' then critical else 'abnormal_readings' end as reasons
-  from (select *, concat_ws(',', case when avg_spo2 < 90 then 'spo2_low' end, case when avg_heart_rate < 50 then 'heart_rate_low' end,
-                   case when avg_heart_rate > 130 then 'heart_rate_high' end, case when avg_temperature >= 39 then 'temperature_high' end) as critical
+         case when critical <> '' then critical else 'abnormal_readings=' || abnormal_count * 1000 end as reasons
+  from (select *, concat_ws(',', case when avg_spo2 < 90 then 'spo2_low=' || {thousandths("avg_spo2")} end, case when avg_heart_rate < 50 then 'heart_rate_low=' || {thousandths("avg_heart_rate")} end,
+                   case when avg_heart_rate > 130 then 'heart_rate_high=' || {thousandths("avg_heart_rate")} end, case when avg_temperature >= 39 then 'temperature_high=' || {thousandths("avg_temperature")} end) as critical
         from summary)
   where critical <> '' or abnormal_count > 0
 )
@@ -79,12 +91,12 @@ LABS = f"""
 people as (select cast(floor((max(user_id) + 1) * 4 / 3) as bigint) as m from events),
 labs_raw as (
   select 'lab_results_day' || day || '_' || ({EPOCH} + day * 864000) || '.csv' as source_file, {EPOCH} + day * 864000 as epoch,
-         case when key % 200 = 0 then ' p' || (100 + o_custkey % m) || ' ' when key % 1300 = 0 then 'BAD' else 'P' || (100 + o_custkey % m) end as patient_id,
+         case when key % 4 = 0 then ' p' || (100 + o_custkey % m) || ' ' when key % 26 = 0 then 'BAD' else 'P' || (100 + o_custkey % m) end as patient_id,
          substr(o_orderpriority, 3) as test_type,
-         case when key % 700 = 0 then null else o_totalprice end as result_value,
-         key % 1100 <> 0 as ranged,
-         case when key % 450 = 0 then null else epoch_us(o_orderdate) end as collected_at
-  from (select *, o_orderkey as key, 1 + (o_orderkey // 50) % 3 as day from orders where o_orderkey % 50 = 0), people
+         case when key % 14 = 0 then null else o_totalprice end as result_value,
+         key % 22 <> 0 as ranged,
+         case when key % 9 = 0 then null else epoch_us(o_orderdate) end as collected_at
+  from (select *, o_orderkey as key, 1 + o_orderkey % 3 as day from orders), people
 ),
 lab_lines as (
   select source_file, upper(trim(patient_id)) as patient_id, test_type, round(result_value, 2) as result_value, collected_at,
@@ -92,7 +104,7 @@ lab_lines as (
   from labs_raw where patient_id <> 'BAD' and result_value is not null and ranged
 ),
 labs as (
-  select source_file, patient_id, test_type, result_value, collected_at, cast(30000 as double) as ref_low, cast(450000 as double) as ref_high,
+  select source_file, patient_id, test_type, result_value, collected_at, '30000-450000 u' as reference_range, cast(30000 as double) as ref_low, cast(450000 as double) as ref_high,
          not (result_value between 30000 and 450000) as lab_abnormal
   from lab_lines where place = 1
 ),
@@ -104,11 +116,16 @@ rolled as (
 periods as (select distinct source_file, epoch from labs_raw)
 """
 
+FIELDS = (
+    "report_day", "run_id", "window_start", "window_end", "generated_at", "risk_flag", "vitals_only_risk", "risk_changed_by_labs", "vitals_concerning", "total_readings",
+    "vitals_abnormal_count", "abnormal_ratio", "avg_heart_rate", "avg_spo2", "avg_temperature", "min_spo2", "max_heart_rate", "hr_trend_bpm_per_min", "spo2_trend_pct_per_min",
+    "patient_abnormal_lab_count", "risk_reasons",
+)
 REPORT = (
     READINGS
     + ","
     + LABS
-    + """,
+    + f""",
 per_file as (
   select p.source_file, p.epoch, v.* from valid v, periods p
   where epoch_us(v.event_time) >= (p.epoch - 864000) * 1000000 and epoch_us(v.event_time) < p.epoch * 1000000
@@ -123,8 +140,8 @@ day as (
 ),
 joined as (
   select coalesce(d.source_file, l.source_file) as source_file, coalesce(d.patient_id, l.patient_id) as patient_id, test_type, result_value,
-         coalesce(total_readings, 0) as total_readings, coalesce(abnormal_labs, 0) as abnormal_labs, abnormal_ratio, avg_heart_rate, avg_spo2, avg_temperature,
-         lab_abnormal, abnormal_tests
+         coalesce(total_readings, 0) as total_readings, coalesce(abnormal_readings, 0) as abnormal_readings, coalesce(abnormal_labs, 0) as abnormal_labs, abnormal_ratio,
+         avg_heart_rate, avg_spo2, avg_temperature, min_spo2, max_heart_rate, heart_rate_trend, spo2_trend, reference_range, collected_at, lab_abnormal, abnormal_tests
   from day d full join rolled l on d.source_file = l.source_file and d.patient_id = l.patient_id
 ),
 flagged as (
@@ -136,11 +153,29 @@ report as (
          case when vitals_concerning and abnormal_labs > 0 then 'high' when vitals_concerning then 'elevated_vitals' when abnormal_labs > 0 then 'elevated_labs' else 'normal' end as risk_after_labs
   from flagged
 ),
+said as (
+  select *, concat_ws('; ', case when total_readings = 0 then 'no vitals received in window' end,
+      case when abnormal_ratio >= 0.2::double then {shown("abnormal_ratio * 100", 0)} || '% of ' || total_readings || ' readings abnormal' end,
+      case when avg_spo2 < 95 then 'avg SpO2 ' || {shown("avg_spo2", 1)} || '%' end,
+      case when avg_heart_rate > 100 or avg_heart_rate < 60 then 'avg HR ' || {shown("avg_heart_rate", 0)} || ' bpm' end,
+      case when avg_temperature > 37.5::double then 'avg temp ' || {shown("avg_temperature", 1)} || 'C' end,
+      case when abnormal_labs > 0 then 'abnormal labs: ' || replace(abnormal_tests, ',', ', ') end) as risk_text
+  from report
+),
+kept as (
+  select cast(regexp_extract(source_file, 'day(\\d+)', 1) as bigint) as report_day, patient_id, avg_heart_rate, avg_spo2, abnormal_readings as vitals_abnormal_count, test_type as lab_test_type,
+         result_value as lab_result_value, lab_abnormal, risk_after_labs as risk_flag, epoch * 1000000 as generated_at, source_file, 'run-' || epoch as run_id,
+         (epoch - 864000) * 1000000 as window_start, epoch * 1000000 as window_end, total_readings, abnormal_ratio, avg_temperature, min_spo2, max_heart_rate,
+         heart_rate_trend as hr_trend_bpm_per_min, spo2_trend as spo2_trend_pct_per_min, reference_range as lab_reference_range, collected_at as lab_collected_at,
+         cast(abnormal_labs as bigint) as patient_abnormal_lab_count, vitals_concerning, case when vitals_concerning then 'elevated' else 'normal' end as vitals_only_risk,
+         abnormal_labs > 0 as risk_changed_by_labs, risk_text as risk_reasons
+  from (select *, cast(regexp_extract(source_file, '_(\\d+)\\.csv', 1) as bigint) as epoch from said)
+),
 patients as (
-  select source_file, patient_id, any_value(risk_after_labs) as risk_after_labs, any_value(risk_before_labs) as risk_before_labs, any_value(total_readings) as total_readings,
-         any_value(abnormal_labs) as abnormal_labs,
-         coalesce(string_agg(test_type || '=' || cast(round(result_value * 100) as bigint), ';' order by test_type) filter (where test_type is not null), '') as labs
-  from report group by source_file, patient_id
+  select source_file, patient_id, {", ".join(f"any_value({c}) as {c}" for c in FIELDS)},
+         coalesce(string_agg(lab_test_type || '=' || cast(round(lab_result_value * 100) as bigint) || '/' || lab_reference_range || case when lab_abnormal then '!' else '' end,
+                             ';' order by lab_test_type) filter (where lab_test_type is not null), '') as labs
+  from kept group by source_file, patient_id
 )
 """
 )
@@ -153,11 +188,11 @@ drops as (
 ),
 files as (select file_name, day, epoch, size from drops where d % 604800 <> 0),
 runs as (
-  select o_orderkey as run_id, 'lab_results_day' || day(o_orderdate) || '_' || d || '.csv' as source_file,
+  select o_orderkey as run_id, 'report_' || o_custkey as task, 'error in ' || o_orderpriority as error, 'lab_results_day' || day(o_orderdate) || '_' || d || '.csv' as source_file,
          case o_orderstatus when 'F' then 'failed' when 'P' then 'success' else 'running' end as status,
-         d + o_orderkey % 3600 as started_at, case when o_orderstatus in ('F', 'P') then d + o_orderkey % 3600 + 5 + o_orderkey % 7 end as finished_at,
+         d + o_orderkey % 3600 as started_at, case when o_orderstatus in ('F', 'P') then d + o_orderkey % 3600 + 5 + o_orderkey % 7 + o_custkey % 50 * 600 end as finished_at,
          case when o_orderstatus = 'P' then o_custkey % 40 end as rows_written
-  from (select *, cast(epoch(o_orderdate) as bigint) as d from orders where o_orderkey % 20 = 0)
+  from (select *, cast(epoch(o_orderdate) as bigint) as d from orders)
 ),
 last as (select max(epoch) as t from files),
 pending as (
@@ -170,18 +205,20 @@ WARD = (
     EPISODES.replace(READINGS, REPORT)
     + """,
 ward as (
-  select r.patient_id, r.heart_rate, r.spo2, r.temperature, r.event_time, r.kafka_offset, w.window_end, w.avg_heart_rate, w.abnormal_count, a.severity, k.risk_after_labs,
-         greatest(0, (epoch_us(t) - epoch_us(r.event_time)) / 1000000.0::double) as age_seconds
-  from (select *, row_number() over (partition by patient_id order by event_time desc, kafka_offset desc) as p from valid) r
-  cross join now
-  left join (select *, row_number() over (partition by patient_id order by window_end desc) as p from summary) w on w.patient_id = r.patient_id and w.p = 1
-  left join (select patient_id, max(severity) as x, case when bool_or(severity = 'critical') then 'critical' else 'warning' end as severity
-             from episodes, now where last_window_end > epoch_us(t) - 172800000000 group by patient_id) a on a.patient_id = r.patient_id
-  left join (select patient_id, risk_after_labs, row_number() over (partition by patient_id order by source_file desc) as p from patients) k on k.patient_id = r.patient_id and k.p = 1
+  select r.patient_id, epoch_us(r.event_time) as last_reading_at, r.heart_rate, r.spo2, r.systolic_bp, r.diastolic_bp, r.temperature, r.is_abnormal as last_reading_abnormal,
+         w.window_start, w.window_end, w.avg_heart_rate, w.avg_spo2, w.avg_temperature, w.abnormal_count as window_abnormal_count, w.total_readings as window_readings,
+         a.alert_id, a.severity as alert_severity, a.reasons as alert_reasons, k.risk_flag as latest_daily_risk, k.report_day as latest_report_day,
+         greatest(0, (epoch_us(r.t) - epoch_us(r.event_time)) / 1000000.0::double) as seconds_since_last_reading
+  from (select *, row_number() over (partition by patient_id order by event_time desc, kafka_offset desc) as p from valid, now where event_time > t - interval 5 day) r
+  left join (select *, row_number() over (partition by patient_id order by window_end desc) as p from summary, now where window_end > epoch_us(t) - 432000000000) w on w.patient_id = r.patient_id and w.p = 1
+  left join (select *, patient_id || '-' || first_window_start // 1000000 as alert_id,
+                    row_number() over (partition by patient_id order by severity = 'critical' desc, last_window_end desc, first_window_start desc) as p
+             from episodes, now where last_window_end > epoch_us(t) - 172800000000) a on a.patient_id = r.patient_id and a.p = 1
+  left join (select *, row_number() over (partition by patient_id order by generated_at desc, source_file desc) as p from patients) k on k.patient_id = r.patient_id and k.p = 1
   where r.p = 1
 ),
 ward_status as (
-  select *, coalesce(severity, case when age_seconds > 172800 then 'no_signal' else 'normal' end) as status, age_seconds <= 172800 as monitored from ward
+  select *, coalesce(alert_severity, case when seconds_since_last_reading > 172800 then 'no_signal' else 'normal' end) as status, seconds_since_last_reading <= 172800 as monitored from ward
 )
 """
 )
@@ -200,41 +237,59 @@ beat as (
   select date_trunc('hour', ingested_at) as h, count(*) as n, count(*) filter (where not is_valid) as bad from judged group by 1 order by 1 desc limit 1
 ),
 done as (
-  select count(*) filter (where status = 'success' and finished_at > t - 17280000) as ok, count(*) filter (where status = 'failed' and finished_at > t - 17280000) as bad,
+  select count(*) filter (where status = 'success' and started_at > t - 17280000) as ok, count(*) filter (where status = 'failed' and started_at > t - 17280000) as bad,
          greatest(0, t - max(finished_at) filter (where status = 'success')) as age,
-         arg_max(finished_at - started_at, finished_at * 100000000 + run_id) filter (where status = 'success') as took
+         arg_max(finished_at - started_at, finished_at * 100000000 + run_id) filter (where finished_at is not null) as took
   from runs, last group by t
 ),
+rounds as (
+  select *, coalesce(sum(case when status = 'success' then 1 else 0 end) over (partition by task order by finished_at, run_id rows between unbounded preceding and 1 preceding), 0) as n
+  from runs where finished_at is not null
+),
+run_alerts as (
+  select 'task:' || task as name, 'critical' as severity, count(*) filter (where status = 'failed') as failures, min(finished_at) filter (where status = 'failed') as opened_at,
+         coalesce(max(finished_at) filter (where status = 'success'), max(finished_at)) as last_seen_at, max(finished_at) filter (where status = 'success') as resolved_at,
+         'task ' || task || ' failed (run ' || arg_max(run_id, finished_at * 100000000 + run_id) filter (where status = 'failed') || '): '
+           || arg_max(error, finished_at * 100000000 + run_id) filter (where status = 'failed') as message
+  from rounds group by task, n having count(*) filter (where status = 'failed') > 0
+),
 metrics as (
   select 'vitals_last_ingest_age_seconds' as metric, cast(ingest as double) as value from ages
-  union all select 'vitals_event_lag_seconds', 2 from ages
-  union all select 'vitals_readings_recent', recent from ages
-  union all select 'vitals_abnormal_ratio_recent', share from ages
-  union all select 'patients_active', people from ages
+  union all select 'vitals_last_event_lag_seconds', 2 from ages
+  union all select 'vitals_readings_5m', recent from ages
+  union all select 'vitals_abnormal_ratio_5m', share from ages
+  union all select 'active_patients_2m', people from ages
   union all select 'live_summary_last_update_age_seconds', greatest(0, epoch_us(t) - max(window_start)) / 1000000.0::double from summary, now group by t
   union all select 'speed_layer_heartbeat_age_seconds', greatest(0, epoch_us(t) - epoch_us(h)) / 1000000.0::double from beat, now
   union all select 'speed_layer_rejected_ratio', bad / n from beat
-  union all select 'speed_layer_input_rate', n / 3600.0::double from beat
+  union all select 'speed_layer_input_rows_per_second', n / 3600.0::double from beat
   union all select 'patient_alerts_active', count(*) filter (where last_window_end > epoch_us(t) - 172800000000) from episodes, now
-  union all select 'patient_alerts_opened', count(*) filter (where first_window_start > epoch_us(t) - 432000000000) from episodes, now
-  union all select 'batch_runs_ok', ok from done
-  union all select 'batch_runs_failed', bad from done
-  union all select 'batch_failure_ratio', coalesce(bad / nullif(ok + bad, 0), 0) from done
+  union all select 'patient_alerts_24h', count(*) filter (where first_window_start > epoch_us(t) - 432000000000) from episodes, now
+  union all select 'batch_runs_success_30m', ok from done
+  union all select 'batch_runs_failed_30m', bad from done
+  union all select 'batch_failure_ratio_30m', coalesce(bad / nullif(ok + bad, 0), 0) from done
   union all select 'batch_last_success_age_seconds', age from done
   union all select 'batch_last_duration_seconds', took from done
   union all select 'lab_feed_last_file_age_seconds', 86400
   union all select 'lab_files_pending', count(*) from pending
+  union all select 'pipeline_alerts_open', count(*) from run_alerts where resolved_at is null
 ),
 rules as (
   select * from (values
-    ('vitals_stream_stale', 'vitals_last_ingest_age_seconds', 60::double, true, 'critical'), ('speed_layer_down', 'speed_layer_heartbeat_age_seconds', 60, true, 'critical'),
-    ('live_summary_stale', 'live_summary_last_update_age_seconds', 90, true, 'warning'), ('lab_feed_stale', 'lab_feed_last_file_age_seconds', 216000, true, 'warning'),
-    ('batch_backlog', 'lab_files_pending', 2, false, 'warning'), ('batch_job_failing', 'batch_failure_ratio', 0.2, false, 'critical'),
-    ('data_quality_rejects_high', 'speed_layer_rejected_ratio', 0.05, false, 'warning'), ('ward_abnormal_rate_high', 'vitals_abnormal_ratio_recent', 0.3, false, 'warning')
-  ) as r(name, metric, edge, missing, severity)
+    ('vitals_stream_stale', 'vitals_last_ingest_age_seconds', 60::double, true, 'critical', 'No vitals reading stored in the last 60s - producer, Kafka or speed layer is down'),
+    ('speed_layer_down', 'speed_layer_heartbeat_age_seconds', 60, true, 'critical', 'Speed-layer driver has not reported a heartbeat in 60s - Spark job stopped or crashed'),
+    ('live_summary_stale', 'live_summary_last_update_age_seconds', 90, true, 'warning', 'Real-time serving view (vitals_live_summary) not updated in 90s'),
+    ('lab_feed_stale', 'lab_feed_last_file_age_seconds', 216000, true, 'warning', 'No new lab results file for 2.5 simulated days - daily batch source is late'),
+    ('batch_backlog', 'lab_files_pending', 2, false, 'warning', 'More than 2 lab files are waiting for the batch layer - Airflow/batch job is falling behind'),
+    ('batch_job_failing', 'batch_failure_ratio_30m', 0.2, false, 'critical', 'More than 20% of batch-layer runs failed in the last 30 minutes'),
+    ('data_quality_rejects_high', 'speed_layer_rejected_ratio', 0.05, false, 'warning', 'More than 5% of consumed readings rejected as invalid - producer or schema problem'),
+    ('ward_abnormal_rate_high', 'vitals_abnormal_ratio_5m', 0.3, false, 'warning', 'More than 30% of readings in the last 5 minutes are abnormal (expected ~10%) - ward-wide event or faulty sensors')
+  ) as r(name, metric, edge, missing, severity, description)
 ),
 evaluated as (
-  select r.name, r.metric, r.edge, m.value, r.severity, case when m.value is null then r.missing else m.value > r.edge end as breached
+  select r.name, r.metric, r.edge, m.value, r.severity, case when m.value is null then r.missing else m.value > r.edge end as breached,
+         description || ' (value=' || coalesce(printf('%.2f', round(round(m.value, 6), 2)), 'no data') || ', threshold='
+           || case when edge = floor(edge) then cast(cast(edge as bigint) as varchar) else cast(edge as varchar) end || ')' as message
   from rules r left join metrics m on m.metric = r.metric
 )
 """
@@ -255,6 +310,11 @@ _SUMMARY = f"""select patient_id, window_start, window_end, {_MEANS}, abnormal_c
   round(min_spo2, 6) as min_spo2, round(max_temperature, 6) as max_temperature from summary"""
 _MASTER = """select kafka_partition, kafka_offset, patient_id, heart_rate, round({spo2}, 6) as spo2, systolic_bp, diastolic_bp, round({temperature}, 6) as temperature,
   {time} as event_time"""
+_ROUNDED = ", ".join(
+    f"round({c}, 6) as {c}" for c in ("abnormal_ratio", "avg_heart_rate", "avg_spo2", "avg_temperature", "min_spo2", "hr_trend_bpm_per_min", "spo2_trend_pct_per_min")
+)
+_WHEN = "strftime(make_timestamp({}), '%Y-%m-%d %H:%M:%S+00:00')"
+_RANK = "list_position(['high', 'elevated_vitals', 'elevated_labs', 'normal'], risk_flag)"
 _EPISODES = """select patient_id, first_window_start, last_window_end, severity, breaching_windows, reasons, max_heart_rate, min_heart_rate,
   round(min_spo2, 6) as min_spo2, round(max_temperature, 6) as max_temperature from episodes"""
 
@@ -285,45 +345,72 @@ ORACLE_SQL: dict[str, str] = {
     "risk_report": f"""with {REPORT} select source_file, patient_id, test_type, total_readings, round(abnormal_ratio, 6) as abnormal_ratio, result_value, cast(abnormal_labs as bigint) as abnormal_labs,
       vitals_concerning, risk_before_labs, risk_after_labs, abnormal_labs > 0 as risk_changed_by_labs,
       cast(list_position(['high', 'elevated_vitals', 'elevated_labs', 'normal'], risk_after_labs) as bigint) as risk_rank from report""",
-    "risk_reasons": f"""with {REPORT} select source_file, patient_id, test_type, concat_ws(',', case when abnormal_ratio >= 0.2::double then 'abnormal_percent' end,
-      case when avg_heart_rate > 100 then 'heart_rate_high' end, case when avg_heart_rate < 60 then 'heart_rate_low' end, case when avg_spo2 < 95 then 'spo2_low' end,
-      case when avg_temperature > 37.5::double then 'temperature_high' end, case when abnormal_labs > 0 then 'abnormal_labs' end) as risk_reasons from report""",
-    "report_consolidated": f"with {REPORT} select source_file, patient_id, risk_after_labs, risk_before_labs, total_readings, cast(abnormal_labs as bigint) as abnormal_labs, labs from patients",
+    "risk_reasons": f"""with {REPORT} select source_file, patient_id, test_type, concat_ws(',', case when total_readings = 0 then 'no_vitals=0' end,
+      case when abnormal_ratio >= 0.2::double then 'abnormal_percent=' || {thousandths("abnormal_ratio * 100")} end, case when avg_spo2 < 95 then 'spo2_low=' || {thousandths("avg_spo2")} end,
+      case when avg_heart_rate > 100 then 'heart_rate_high=' || {thousandths("avg_heart_rate")} end, case when avg_heart_rate < 60 then 'heart_rate_low=' || {thousandths("avg_heart_rate")} end,
+      case when avg_temperature > 37.5::double then 'temperature_high=' || {thousandths("avg_temperature")} end,
+      case when abnormal_labs > 0 then 'abnormal_labs=' || cast(abnormal_labs * 1000 as bigint) end) as risk_reasons, risk_text from said""",
+    "report_rows": f"with {REPORT} select * replace ({_ROUNDED}) from kept",
+    "report_consolidated": f"with {REPORT} select * replace ({_ROUNDED}) from patients",
+    "report_markdown": f"""with {REPORT}, f as (select source_file, any_value(report_day) as day, any_value(run_id) as run, any_value(window_start) as a, any_value(window_end) as b from patients group by 1),
+      flags as (select * from (values (0, 'high'), (1, 'elevated_vitals'), (2, 'elevated_labs'), (3, 'normal')) as g(r, flag)),
+      changed as (select source_file, string_agg(patient_id, ', ' order by patient_id) filter (where vitals_only_risk = 'elevated' and risk_flag = 'high') as up,
+                   string_agg(patient_id, ', ' order by patient_id) filter (where risk_flag = 'elevated_labs') as fresh from patients group by 1),
+      x as (
+        select source_file, 0 as section, 0 as risk_rank, '' as patient_id, ['# Daily Patient Risk Report - simulated day ' || day, '', '- **Lab file:** `' || source_file || '`',
+          '- **Vitals window (UTC):** ' || {_WHEN.format("a")} || ' -> ' || {_WHEN.format("b")}, '- **Generated:** ' || {_WHEN.format("b")} || ' (run `' || run || '`)',
+          '', '## Risk summary', '', '| Risk flag | Patients |', '|---|---|'] as l from f
+        union all select f.source_file, 1, r, '', ['| ' || flag || ' | ' || (select count(*) from patients p where p.source_file = f.source_file and p.risk_flag = flag) || ' |'] from f, flags
+        union all select source_file, 2, 0, '', ['', '**How yesterday''s labs change the risk picture**', '',
+          '- Escalated to *high* (concerning vitals confirmed by abnormal labs): ' || coalesce(up, 'none'), '- Newly flagged by labs alone (vitals looked normal): ' || coalesce(fresh, 'none'),
+          '', '## Patients (most severe first)', '', '| Patient | Risk | Vitals-only | Readings | Abnormal % | Avg HR | Avg SpO2 | Avg Temp | HR trend (bpm/min) | SpO2 trend (%/min) | Reasons |',
+          '|---|---|---|---|---|---|---|---|---|---|---|'] from changed
+        union all select source_file, 4, 0, '', ['', '## Lab results', '', '| Patient | Test | Result | Reference range | Abnormal |', '|---|---|---|---|---|'] from f)
+      select source_file, cast(section as bigint) as section, cast(risk_rank as bigint) as risk_rank, patient_id, cast(i - 1 as bigint) as place, l[i] as line from (select *, unnest(range(1, len(l) + 1)) as i from x)
+      union all select source_file, 3, {_RANK}, patient_id, 0, '| ' || concat_ws(' | ', patient_id, '**' || risk_flag || '**', vitals_only_risk, total_readings,
+        coalesce({shown("abnormal_ratio * 100", 0)}, '-'), coalesce({shown("avg_heart_rate", 0)}, '-'), coalesce({shown("avg_spo2", 1)}, '-'), coalesce({shown("avg_temperature", 1)}, '-'),
+        coalesce({shown("hr_trend_bpm_per_min", 1, "+")}, '-'), coalesce({shown("spo2_trend_pct_per_min", 2, "+")}, '-'), coalesce(risk_reasons, '')) || ' |' from patients
+      union all select source_file, 4, {_RANK}, patient_id, row_number() over (partition by source_file, patient_id order by lab_test_type) - 1,
+        '| ' || concat_ws(' | ', patient_id, lab_test_type, cast(lab_result_value as varchar), lab_reference_range, case when lab_abnormal then '**YES**' else 'no' end) || ' |'
+        from kept where lab_test_type is not null""",
     "risk_counts": f"""with {REPORT}, flags as (select * from (values (0, 'high'), (1, 'elevated_vitals'), (2, 'elevated_labs'), (3, 'normal')) as f(risk_rank, risk))
       select f.source_file, cast(risk_rank as bigint) as risk_rank, risk, count(p.patient_id) as patients
-      from (select distinct source_file, risk_rank, risk from patients, flags) f left join patients p on p.source_file = f.source_file and p.risk_after_labs = f.risk group by all""",
-    "labs_effect": f"""with {REPORT} select source_file, coalesce(string_agg(patient_id, ',' order by patient_id) filter (where risk_after_labs = 'high'), '') as escalated_by_labs,
-      coalesce(string_agg(patient_id, ',' order by patient_id) filter (where risk_after_labs = 'elevated_labs'), '') as newly_flagged_by_labs from patients group by source_file""",
+      from (select distinct source_file, risk_rank, risk from patients, flags) f left join patients p on p.source_file = f.source_file and p.risk_flag = f.risk group by all""",
+    "labs_effect": f"""with {REPORT} select source_file, coalesce(string_agg(patient_id, ',' order by patient_id) filter (where vitals_only_risk = 'elevated' and risk_flag = 'high'), '') as escalated_by_labs,
+      coalesce(string_agg(patient_id, ',' order by patient_id) filter (where risk_flag = 'elevated_labs'), '') as newly_flagged_by_labs from patients group by source_file""",
     "run_stats": f"""with {REPORT} select source_file, count(*) as report_rows, count(distinct patient_id) as patients,
       count(distinct patient_id) filter (where risk_after_labs = 'high') as high_patients, count(distinct patient_id) filter (where risk_after_labs = 'elevated_vitals') as elevated_vitals_patients,
       count(distinct patient_id) filter (where risk_after_labs = 'elevated_labs') as elevated_labs_patients, count(distinct patient_id) filter (where risk_after_labs = 'normal') as normal_patients
       from report group by source_file""",
     "report_validation": f"""with {FILES}, l as (select *, row_number() over (partition by source_file order by started_at desc, run_id desc) as p from runs),
-      s as (select source_file, count(*) as n from runs group by source_file)
+      s as (select 'lab_results_day' || day(l_shipdate) || '_' || cast(epoch(l_shipdate) as bigint) || '.csv' as source_file, count(*) as n from lineitem group by 1)
       select f.file_name as source_file, l.status, l.rows_written, coalesce(s.n, 0) as stored_rows,
              l.status is distinct from 'success' or coalesce(s.n, 0) = 0 or coalesce(s.n, 0) is distinct from l.rows_written as problem
       from files f left join l on l.source_file = f.file_name and l.p = 1 left join s on s.source_file = f.file_name""",
     "latest_reading": f"with {READINGS} "
     + _MASTER.format(spo2="spo2", temperature="temperature", time="epoch_us(event_time)")
     + ", epoch_us(ingested_at) as ingested_at, is_abnormal from (select *, row_number() over (partition by patient_id order by event_time desc, kafka_offset desc) as p from valid) where p = 1",
-    "ward_patients": f"""with {WARD} select patient_id, heart_rate, round(spo2, 6) as spo2, round(temperature, 6) as temperature, epoch_us(event_time) as event_time, kafka_offset, window_end,
-      round(avg_heart_rate, 6) as avg_heart_rate, abnormal_count, severity, risk_after_labs, round(age_seconds, 6) as age_seconds, status, monitored from ward_status""",
+    "ward_patients": f"with {WARD} select * replace ({', '.join(f'round({c}, 6) as {c}' for c in ('spo2', 'temperature', 'avg_heart_rate', 'avg_spo2', 'avg_temperature', 'seconds_since_last_reading'))}) from ward_status",
     "ward_snapshot": f"""with {WARD} select * from (
         select count(distinct patient_id) filter (where ingested_at > t - interval 2 day) as active_patients, count(*) filter (where ingested_at > t - interval 5 day) as recent_readings,
                round(avg(is_abnormal::int) filter (where ingested_at > t - interval 5 day), 6) as abnormal_ratio,
-               round(avg(heart_rate) filter (where ingested_at > t - interval 5 day), 6) as avg_heart_rate, round(avg(spo2) filter (where ingested_at > t - interval 5 day), 6) as avg_spo2
+               round(avg(heart_rate) filter (where ingested_at > t - interval 5 day), 6) as avg_heart_rate, round(avg(spo2) filter (where ingested_at > t - interval 5 day), 6) as avg_spo2,
+               round(avg(temperature) filter (where ingested_at > t - interval 5 day), 6) as avg_temperature
         from valid, now),
       (select count(*) filter (where monitored) as monitored, count(*) filter (where status = 'critical') as critical, count(*) filter (where status = 'warning') as warning from ward_status)""",
     "patient_detail": f"""with {EPISODES.replace(READINGS, REPORT)}, r as (
-        select patient_id, 'reading' as kind, row_number() over (partition by patient_id order by event_time desc, kafka_offset desc) as place, epoch_us(event_time) as at, cast(heart_rate as double) as value
+        select patient_id, 'reading' as kind, row_number() over (partition by patient_id order by event_time desc, kafka_offset desc) as place, epoch_us(event_time) as at, cast(heart_rate as double) as heart_rate,
+               round(spo2, 6) as spo2, round(temperature, 6) as temperature, systolic_bp, diastolic_bp, is_abnormal
         from valid, now where event_time > t - interval 7 day),
-      w as (select patient_id, 'window' as kind, row_number() over (partition by patient_id order by window_end desc) as place, window_end as at, round(avg_heart_rate, 6) as value from summary),
-      x as (select patient_id, 'alert' as kind, row_number() over (partition by patient_id order by last_window_end desc) as place, last_window_end as at, cast(breaching_windows as double) as value from episodes),
-      y as (select patient_id, 'report' as kind, row_number() over (partition by patient_id order by coalesce(test_type, '')) as place,
-                   cast(regexp_extract(source_file, '_(\\d+)\\.csv', 1) as bigint) * 1000000 as at, result_value as value
-            from report r where source_file = (select max(source_file) from report x where x.patient_id = r.patient_id))
-      select * from r where place <= 20 union all select * from w where place <= 10 union all select * from x where place <= 5 union all select * from y""",
-    "alert_list": f"with {EPISODES} select patient_id, first_window_start, last_window_end, severity, last_window_end > epoch_us(t) - 172800000000 as active from episodes, now",
+      w as (select patient_id, 'window' as kind, row_number() over (partition by patient_id order by window_end desc) as place, window_end as at, window_start, round(avg_heart_rate, 6) as heart_rate,
+                   round(avg_spo2, 6) as spo2, round(avg_temperature, 6) as temperature, abnormal_count, total_readings from summary),
+      x as (select patient_id, 'alert' as kind, row_number() over (partition by patient_id order by last_window_end desc) as place, last_window_end as at, first_window_start as window_start, severity, reasons,
+                   breaching_windows from episodes),
+      y as (select patient_id, 'report' as kind, row_number() over (partition by patient_id order by coalesce(lab_test_type, '')) as place, generated_at as at, risk_flag, risk_reasons, lab_test_type,
+                   lab_result_value, lab_reference_range, lab_abnormal
+            from kept r where source_file = (select max(source_file) from kept x where x.patient_id = r.patient_id))
+      select * from r where place <= 200 union all by name select * from w where place <= 60 union all by name select * from x where place <= 20 union all by name select * from y""",
+    "alert_list": f"with {EPISODES} select patient_id, first_window_start, last_window_end, severity, reasons, last_window_end > epoch_us(t) - 172800000000 as active from episodes, now",
     "report_list": f"""with {FILES} select source_file, run_id, finished_at * 1000000 as finished_at, rows_written
       from (select *, row_number() over (partition by source_file order by finished_at desc, run_id desc) as p from runs where status = 'success') where p = 1""",
     "readings_per_file": f"""with {REPORT} select source_file, count(*) as readings, count(distinct patient_id) as patients, epoch_us(min(event_time)) as first_event, epoch_us(max(event_time)) as last_event
@@ -335,7 +422,14 @@ ORACLE_SQL: dict[str, str] = {
       count(*) filter (where is_valid and is_abnormal) as abnormal, count(distinct patient_id) filter (where is_valid) as patients, round(count(*) filter (where not is_valid) / count(*), 6) as rejected_ratio
       from judged group by kafka_partition""",
     "pipeline_metrics": f"with {METRICS} select metric, round(value, 6) as value from metrics",
-    "rule_eval": f'with {METRICS} select name, metric, edge as "limit", round(value, 6) as value, severity, breached from evaluated',
+    "rule_eval": f'with {METRICS} select name, metric, edge as "limit", round(value, 6) as value, severity, breached, message from evaluated',
+    "run_alerts": f"""with {METRICS} select name, severity, failures, opened_at * 1000000 as opened_at, last_seen_at * 1000000 as last_seen_at, resolved_at * 1000000 as resolved_at, message from run_alerts""",
+    "exposition": f"""with {METRICS}, h as (select unnest([{", ".join(f"'{n}'" for n in METRIC_HELP)}]) as metric, unnest([{", ".join(f"'{t}'" for t in METRIC_HELP.values())}]) as help)
+      select cast(0 as bigint) as part, m.metric as of, '# HELP pipeline_' || m.metric || ' ' || help || chr(10) || '# TYPE pipeline_' || m.metric || ' gauge' || chr(10) || 'pipeline_' || m.metric || ' '
+        || case when value is null then 'NaN' when abs(value) >= 10000000 then regexp_replace(printf('%.7e', floor(value)), '0*e.*', '') || 'E' || cast(floor(log10(value)) as bigint) else cast(floor(value) as bigint) || '.0' end as text
+      from metrics m join h on h.metric = m.metric
+      union all select 1, '', '# HELP pipeline_health_rule_breached {RULE_HELP}' || chr(10) || '# TYPE pipeline_health_rule_breached gauge'
+      union all select 2, name, 'pipeline_health_rule_breached{{rule="' || name || '"}} ' || cast(breached as int) from evaluated""",
     "health_status": f"""with {METRICS} select case when bool_or(breached and severity = 'critical') then 'critical' when bool_or(breached) then 'degraded' else 'ok' end as status,
       bool_or(breached and severity = 'critical') as has_critical, count(*) filter (where breached) as breaches from evaluated""",
     "alert_sync": f"""with {WINDOWS}, half as (select ({EPOCH} + 15 * 86400) * 1000000 as h),

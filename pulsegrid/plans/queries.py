@@ -27,7 +27,8 @@ def plain(df: DataFrame) -> DataFrame:
         if kind in ("double", "float"):
             return F.round(c.cast("double"), 6).alias(name)
         if kind == "array<struct<code:string,value:double>>":
-            return F.array_join(F.transform(c, lambda x: x["code"]), ",").alias(name)
+            # values in thousandths
+            return F.array_join(F.transform(c, lambda x: F.concat(x["code"], F.lit("="), F.round(F.round(x["value"], 6) * 1000).cast("long").cast("string"))), ",").alias(name)
         if kind == "array<string>":
             return F.array_join(c, ",").alias(name)
         return c.cast("long").alias(name) if kind in ("int", "bigint") else c.alias(name)
@@ -70,8 +71,7 @@ def periods(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def per_file(spark: SparkSession, sf: str) -> DataFrame:
-    found = periods(spark, sf)
-    return files.readings_per_file(valid(spark, sf), found, found.count(), a.DAY_SECONDS)
+    return files.readings_per_file(valid(spark, sf), periods(spark, sf), a.DAY_SECONDS)
 
 
 def per_day(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,13 +82,14 @@ def risk_rows(spark: SparkSession, sf: str) -> DataFrame:
     return risk.report(per_day(spark, sf), labs.rollup(clean_labs(spark, sf), ("source_file",)), ("source_file",))
 
 
-def stamped(spark: SparkSession, sf: str) -> DataFrame:
-    """Report rows with a time of generation that follows the file."""
-    return risk_rows(spark, sf).withColumn("generated_at", F.timestamp_seconds(F.regexp_extract("source_file", files.NAME, 2).cast("long")))
+def report_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the report table; run and time of generation follow the file."""
+    epoch = F.regexp_extract("source_file", files.NAME, 2).cast("long")
+    return risk.report_rows(risk_rows(spark, sf), F.concat(F.lit("run-"), epoch.cast("string")), F.timestamp_seconds(epoch), a.DAY_SECONDS)
 
 
 def ward(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.ward_patients(valid(spark, sf), summary(spark, sf), alert_episodes(spark, sf), stamped(spark, sf), as_of(spark, sf), 2 * DAY, 2 * DAY, 2 * DAY)
+    return serving.ward_patients(valid(spark, sf), summary(spark, sf), alert_episodes(spark, sf), report_table(spark, sf), as_of(spark, sf), 2 * DAY, 2 * DAY, 2 * DAY, 5 * DAY)
 
 
 # ---- queries ---------------------------------------------------------------------------------------------------------
@@ -163,31 +164,42 @@ def risk_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def risk_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(risk.reasons(risk_rows(spark, sf)).select("source_file", "patient_id", "test_type", "risk_reasons"))
+    rows = risk.reasons(risk_rows(spark, sf))
+    text = risk.reasons_text(F.col("risk_reasons"), F.col("total_readings"), F.col("abnormal_tests"))
+    return plain(rows.select("source_file", "patient_id", "test_type", "risk_reasons", text.alias("risk_text")))
+
+
+def report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(report_table(spark, sf).orderBy(*risk.report_order()))
 
 
 def report_consolidated(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.array_join(F.transform("labs", lambda x: F.concat(x["test_type"], F.lit("="), F.round(x["result_value"] * 100).cast("long").cast("string"))), ";")
-    return plain(report.consolidated(risk_rows(spark, sf)).withColumn("labs", said))
+    cents = lambda x: F.round(x["result_value"] * 100).cast("long").cast("string")
+    said = F.array_join(F.transform("labs", lambda x: F.concat(x["test_type"], F.lit("="), cents(x), F.lit("/"), x["reference_range"], F.when(x["abnormal"], "!").otherwise(""))), ";")
+    return plain(report.consolidated(report_table(spark, sf)).withColumn("labs", said))
+
+
+def report_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(report.markdown_lines(report_table(spark, sf)))
 
 
 def risk_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(report.risk_counts(report.consolidated(risk_rows(spark, sf))))
+    return plain(report.risk_counts(report.consolidated(report_table(spark, sf))))
 
 
 def labs_effect(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(report.labs_effect(report.consolidated(risk_rows(spark, sf))))
+    return plain(report.labs_effect(report.consolidated(report_table(spark, sf))))
 
 
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(report.run_stats(risk_rows(spark, sf)))
+    return plain(report.run_stats(report_table(spark, sf)))
 
 
 def report_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Requested: every lab file of the catalogue. Stored rows: the order lines of its date with a key that 20 divides."""
+    """Requested: every lab file of the catalogue. Stored rows: the line items of its date."""
     asked = files.catalog(a.lab_files(spark, sf), DAY).select(F.col("file_name").alias("source_file"))
     runs = a.run_events(spark, sf)
-    return plain(report.validation(asked, runs, runs))
+    return plain(report.validation(asked, runs, a.stored_lines(spark, sf)))
 
 
 def latest_reading(spark: SparkSession, sf: str) -> DataFrame:
@@ -203,12 +215,12 @@ def ward_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def patient_detail(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(serving.patient_detail(valid(spark, sf), summary(spark, sf), alert_episodes(spark, sf), stamped(spark, sf), as_of(spark, sf), 7 * 24 * 60, 20, 10, 5))
+    return plain(serving.patient_detail(valid(spark, sf), summary(spark, sf), alert_episodes(spark, sf), report_table(spark, sf), as_of(spark, sf), 7 * 24 * 60))
 
 
 def alert_list(spark: SparkSession, sf: str) -> DataFrame:
     rows = serving.alert_list(alert_episodes(spark, sf), as_of(spark, sf), 2 * DAY)
-    return plain(rows.select("patient_id", "first_window_start", "last_window_end", "severity", "active"))
+    return plain(rows.select("patient_id", "first_window_start", "last_window_end", "severity", "reasons", "active"))
 
 
 def report_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,12 +265,13 @@ def metrics(spark: SparkSession, sf: str) -> DataFrame:
     waiting, last_file = _waiting(spark, sf)
     runs = a.run_events(spark, sf)
     return health.unpivoted(
-        health.reading_metrics(readings, now, 5 * DAY, 2 * DAY),
+        health.reading_metrics(readings, now, 5 * DAY, 2 * DAY, 5 * DAY),
         health.window_metrics(summary(spark, sf), now, "window_start"),
         health.heartbeat_metrics(beats, now),
         health.alert_metrics(alert_episodes(spark, sf), now, 2 * DAY, 5 * DAY),
         health.run_metrics(runs, F.timestamp_seconds(last_file), 200 * DAY),
         health.file_metrics(_catalog(spark, sf)[0], waiting, last_file + DAY),
+        health.open_alert_metrics(health.run_alerts(runs)),
     )
 
 
@@ -271,7 +284,17 @@ def evaluated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rule_eval(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(evaluated(spark, sf).select("name", "metric", "limit", "value", "severity", "breached"))
+    return plain(evaluated(spark, sf).select("name", "metric", "limit", "value", "severity", "breached", "message"))
+
+
+def run_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(health.run_alerts(a.run_events(spark, sf)))
+
+
+def exposition(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the text format; values without a common text form are left to pipeline_metrics."""
+    rows = health.exposition(metrics(spark, sf).withColumn("value", F.floor("value").cast("double")), evaluated(spark, sf))
+    return rows.select(F.col("place.part").cast("long").alias("part"), F.col("place.of").alias("of"), "text")
 
 
 def health_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,6 +318,17 @@ def sustained_breach(spark: SparkSession, sf: str) -> DataFrame:
     return plain(health.sustained(samples, 16 * 3600))
 
 
+_drained: dict[tuple[str, str], str] = {}
+
+
+def drained(spark: SparkSession, sf: str) -> str:
+    """The tables that the live path leaves after reading the records of sf; drained once for each application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _drained:
+        _drained[key] = replay.drain(as_records(spark, sf), a.WINDOW, a.SLIDE)
+    return _drained[key]
+
+
 def lab_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Lab lines written as CSV drops and read back with their file."""
     folder = readers.scratch(spark, "lab-drops")
@@ -314,13 +348,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         decode_payload, parse_readings, reading_quality, readings_in_window, sliding_summary, window_alerts, lab_clean, lab_rollup, lab_quality, day_summary,
-        vitals_trend, risk_report, risk_reasons, report_consolidated, risk_counts, labs_effect, run_stats, report_validation, latest_reading, ward_patients,
+        vitals_trend, risk_report, risk_reasons, report_rows, report_markdown, report_consolidated, risk_counts, labs_effect, run_stats, report_validation, latest_reading, ward_patients,
         ward_snapshot, patient_detail, alert_list, report_list, readings_per_file, pending_files, completeness_gate, ingest_stats, pipeline_metrics, rule_eval,
-        health_status, alert_sync, sustained_breach, lab_csv_scan, lab_file_catalog,
+        health_status, run_alerts, exposition, alert_sync, sustained_breach, lab_csv_scan, lab_file_catalog,
     )
 } | {
     "alert_episodes": lambda spark, sf: plain(alert_episodes(spark, sf)),
-    "stream_sliding_summary": lambda spark, sf: plain(replay.summary(as_records(spark, sf), a.WINDOW, a.SLIDE)),
-    "stream_raw_append": lambda spark, sf: plain(replay.master(as_records(spark, sf))),
-    "stream_alerts": lambda spark, sf: plain(replay.alerts(as_records(spark, sf), a.WINDOW, a.SLIDE)),
+    "stream_sliding_summary": lambda spark, sf: plain(replay.summary(spark, drained(spark, sf))),
+    "stream_raw_append": lambda spark, sf: plain(replay.master(spark, drained(spark, sf))),
+    "stream_alerts": lambda spark, sf: plain(replay.alerts(spark, drained(spark, sf))),
 }

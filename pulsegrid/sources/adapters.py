@@ -49,18 +49,18 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lab lines as text, as a lab file has them, with the day and the source file."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_orderkey") % 50 == 0)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     people = spark.read.parquet(f"{sf_dir}/events.parquet").agg(((F.max("user_id") + 1) * 4 / 3).cast("long").alias("m"))
     key, number = F.col("o_orderkey"), (F.col("o_custkey") % F.col("m") + 100).cast("string")
-    day = (1 + (key / 50).cast("long") % 3).cast("int")
+    day = (1 + key % 3).cast("int")
     return orders.crossJoin(F.broadcast(people)).select(
         day.alias("day"),
         F.concat(F.lit("lab_results_day"), day, F.lit("_"), F.lit(EPOCH) + day * DAY_SECONDS, F.lit(".csv")).alias("source_file"),
-        F.when(key % 200 == 0, F.concat(F.lit(" p"), number, F.lit(" "))).when(key % 1300 == 0, "BAD").otherwise(F.concat(F.lit("P"), number)).alias("patient_id"),
+        F.when(key % 4 == 0, F.concat(F.lit(" p"), number, F.lit(" "))).when(key % 26 == 0, "BAD").otherwise(F.concat(F.lit("P"), number)).alias("patient_id"),
         F.substring("o_orderpriority", 3, 100).alias("test_type"),
-        F.when(key % 700 == 0, "n/a").otherwise(F.format_string("%.2f", "o_totalprice")).alias("result_value"),
-        F.when(key % 1100 == 0, "unknown").otherwise("30000-450000 u").alias("reference_range"),
-        F.when(key % 450 != 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))).alias("collected_at"),
+        F.when(key % 14 == 0, "n/a").otherwise(F.format_string("%.2f", "o_totalprice")).alias("result_value"),
+        F.when(key % 22 == 0, "unknown").otherwise("30000-450000 u").alias("reference_range"),
+        F.when(key % 9 != 0, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))).alias("collected_at"),
     )
 
 
@@ -78,17 +78,25 @@ def lab_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit lines of report runs, from orders whose key is a multiple of 20: run_id, source_file, status, times, counts."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.col("o_orderkey") % 20 == 0)
+    """Audit lines of report runs, one for each order: run_id, source_file, task, status, times, counts. Runs end out of order."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     date = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
     key = F.col("o_orderkey")
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "success").otherwise("running")
     return orders.select(
         key.alias("run_id"),
         F.concat(F.lit("lab_results_day"), F.dayofmonth("o_orderdate"), F.lit("_"), date, F.lit(".csv")).alias("source_file"),
+        F.concat(F.lit("report_"), F.col("o_custkey").cast("string")).alias("task"),
         status.alias("status"),
         F.timestamp_seconds(date + key % 3600).alias("started_at"),
-        F.when(status != "running", F.timestamp_seconds(date + key % 3600 + 5 + key % 7)).alias("finished_at"),
+        F.when(status != "running", F.timestamp_seconds(date + key % 3600 + 5 + key % 7 + F.col("o_custkey") % 50 * 600)).alias("finished_at"),
         F.when(status == "success", F.col("o_custkey") % 40).alias("rows_written"),
         F.when(status == "failed", F.concat(F.lit("error in "), F.col("o_orderpriority"))).alias("error"),
     )
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of stored reports, one for each line item, under the file of its date: source_file."""
+    date = F.unix_timestamp(F.col("l_shipdate").cast("timestamp"))
+    name = F.concat(F.lit("lab_results_day"), F.dayofmonth("l_shipdate"), F.lit("_"), date, F.lit(".csv"))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(name.alias("source_file"))

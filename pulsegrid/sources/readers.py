@@ -21,7 +21,9 @@ RULES = Path(__file__).with_name("rules.json")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under the checkpoint folder, or one of this machine's where none is set (tests)."""
+    """A new folder that all executors see: under the checkpoint folder. Only a local session may do without one."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set")
     return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
 
 

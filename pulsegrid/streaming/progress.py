@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from datetime import UTC, datetime
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -57,9 +58,13 @@ def heartbeats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_until_any_ends(spark: SparkSession, queries: list[StreamingQuery], beats: Beats | None = None, path: str | None = None, every_seconds: int = 15) -> None:
-    """Wait until one query ends, stop the others, and raise what ended it."""
+    """Wait until one query ends, stop the others, and raise what ended it. Other queries of the session don't matter."""
     while all(q.isActive for q in queries):
-        spark.streams.awaitAnyTermination(every_seconds)
+        try:
+            spark.streams.awaitAnyTermination(every_seconds)
+        except StreamingQueryException:
+            pass  # of whichever query; those at hand are asked below
+        spark.streams.resetTerminated()
         if beats and path:
             beats.flush(spark, path)
     for q in queries:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.operators import episodes, ingest
 from pulsegrid.settings import DEFAULT
@@ -24,13 +24,14 @@ def drain(records: DataFrame, window: str, slide: str, watermark: str = "100000
     return base
 
 
-def summary(records: DataFrame, window: str, slide: str) -> DataFrame:
-    return sinks.current_windows(records.sparkSession, f"{drain(records, window, slide)}/windows").drop("batch_id", "computed_at")
+def summary(spark: SparkSession, base: str) -> DataFrame:
+    """The windows that a drain left."""
+    return sinks.current_windows(spark, f"{base}/windows").drop("batch_id", "computed_at")
 
 
-def master(records: DataFrame, window: str = "1 day", slide: str = "1 day") -> DataFrame:
-    return records.sparkSession.read.parquet(f"{drain(records, window, slide)}/master").drop("batch_id", "event_date")
+def master(spark: SparkSession, base: str) -> DataFrame:
+    return spark.read.parquet(f"{base}/master").drop("batch_id", "event_date")
 
 
-def alerts(records: DataFrame, window: str, slide: str) -> DataFrame:
-    return episodes.episodes(records.sparkSession.read.parquet(f"{drain(records, window, slide)}/breaches"))
+def alerts(spark: SparkSession, base: str) -> DataFrame:
+    return episodes.episodes(spark.read.parquet(f"{base}/breaches"))

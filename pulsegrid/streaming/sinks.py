@@ -22,19 +22,25 @@ def _replace(rows: DataFrame, path: str, *partitions: str) -> None:
 def append_readings(judged: DataFrame, batch_id: int, path: str, quarantine: str | None = None) -> None:
     """Valid readings, once for each (partition, offset), under their batch; rejects with reasons to quarantine.
 
-    Keys that other batches hold are left out. Only partitions of dates in this batch are read for that.
+    Keys that other batches hold are left out. A record that comes again has the same event time, so only partitions of
+    this batch's dates, given as literals, are read for that.
     """
     spark = judged.sparkSession
     key = ["kafka_partition", "kafka_offset"]
     rows = judged.filter("is_valid").drop("reject_reasons", "is_valid").dropDuplicates(key).withColumn("event_date", F.to_date("event_time")).withColumn("batch_id", F.lit(batch_id).cast("long"))
     if _exists(spark, path):
-        held = spark.read.schema(rows.schema).parquet(path).filter(F.col("batch_id") != batch_id).select(*key, "event_date")
-        rows = rows.join(held, [*key, "event_date"], "left_anti")
+        rows = rows.join(held_keys(spark.read.schema(rows.schema).parquet(path), rows, batch_id), key, "left_anti")
     _replace(rows.select(*[c for c in rows.columns if c not in ("batch_id", "event_date")], "batch_id", "event_date"), path, "batch_id", "event_date")
     if quarantine:
         _replace(judged.filter(~F.col("is_valid")).withColumn("batch_id", F.lit(batch_id).cast("long")), quarantine, "batch_id")
 
 
+def held_keys(master: DataFrame, rows: DataFrame, batch_id: int) -> DataFrame:
+    """Keys that other batches of master hold on the dates of rows; the dates are literals, which prune partitions."""
+    first, last = rows.agg(F.min("event_date"), F.max("event_date")).first()
+    return master.filter((F.col("batch_id") != batch_id) & F.col("event_date").between(F.lit(first), F.lit(last))).select("kafka_partition", "kafka_offset")
+
+
 def upsert_windows(summary: DataFrame, batch_id: int, path: str) -> None:
     """A version of each window of this batch; ``current_windows`` shows the last of each."""
     _replace(summary.withColumn("computed_at", F.current_timestamp()).withColumn("batch_id", F.lit(batch_id).cast("long")), path, "batch_id")

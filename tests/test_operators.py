@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import UTC, datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import episodes, files, health, ingest, labs, report, risk, serving
@@ -73,21 +74,69 @@ def test_risk_report(spark) -> None:  # noqa: ANN001
     assert got["P105", None]["abnormal_ratio"] == 0.25
 
 
-def test_report_views(spark, tmp_path) -> None:  # noqa: ANN001
-    kind = "source_file string, patient_id string, test_type string, result_value double, ref_low double, ref_high double, lab_abnormal boolean, risk_before_labs string, risk_after_labs string, total_readings long, abnormal_labs long, abnormal_tests array<string>"
-    rows = [("f", "P2", "WBC", 5.0, 4.0, 11.0, False, "elevated_vitals", "high", 4, 1, ["CRP"]), ("f", "P2", "CRP", 20.0, 0.0, 10.0, True, "elevated_vitals", "high", 4, 1, ["CRP"]), ("f", "P1", None, None, None, None, None, "normal", "normal", 4, 0, None)]
+def report_table(spark, rows):  # noqa: ANN001, ANN201
+    """Rows (file, patient, test, result, abnormal, concerning, readings, abnormal labs, mean SpO2) of the report table."""
+    kind = "source_file string, patient_id string, test_type string, result_value double, lab_abnormal boolean, vitals_concerning boolean, total_readings long, abnormal_labs long, avg_spo2 double"
     frame = spark.createDataFrame(rows, kind)
+    labs_ = F.col("abnormal_labs") > 0
+    none = {c: F.lit(None).cast("double") for c in ("avg_heart_rate", "avg_temperature", "min_spo2", "max_heart_rate", "heart_rate_trend", "spo2_trend")}
+    frame = frame.withColumns(
+        none | {
+            "abnormal_readings": F.lit(1), "abnormal_ratio": F.when(F.col("total_readings") > 0, F.lit(0.25)), "reference_range": F.lit("0-10 x"), "collected_at": F.lit(AT),
+            "abnormal_tests": F.array(F.lit("CRP")), "risk_changed_by_labs": labs_,
+            "risk_after_labs": F.when(F.col("vitals_concerning") & labs_, "high").when(F.col("vitals_concerning"), "elevated_vitals").when(labs_, "elevated_labs").otherwise("normal"),
+        }
+    )
+    return risk.report_rows(frame, F.lit("r1"), F.lit(AT), 120)
+
+
+REPORT = [
+    ("lab_results_day1_1704067200.csv", "P2", "WBC", 5.0, False, True, 4, 1, 94.25),
+    ("lab_results_day1_1704067200.csv", "P2", "CRP", 20.0, True, True, 4, 1, 94.25),
+    ("lab_results_day1_1704067200.csv", "P3", "CRP", 11.0, True, False, 0, 1, None),
+    ("lab_results_day1_1704067200.csv", "P1", None, None, None, False, 4, 0, 98.0),
+]
+
+
+def test_report_rows(spark) -> None:  # noqa: ANN001
+    """28 columns, most severe first, then patient and test; reasons in their order and form."""
+    rows = report_table(spark, REPORT)
+    assert tuple(rows.columns) == risk.REPORT_COLUMNS and len(rows.columns) == 28
+    got = rows.orderBy(*risk.report_order()).collect()
+    assert [(r["patient_id"], r["lab_test_type"], r["risk_flag"]) for r in got] == [("P2", "CRP", "high"), ("P2", "WBC", "high"), ("P3", "CRP", "elevated_labs"), ("P1", None, "normal")]
+    assert got[0]["risk_reasons"] == "25% of 4 readings abnormal; avg SpO2 94.3%; abnormal labs: CRP"
+    assert got[2]["risk_reasons"] == "no vitals received in window; abnormal labs: CRP"
+    assert (got[0]["report_day"], got[0]["vitals_only_risk"], got[2]["vitals_only_risk"], got[0]["run_id"]) == (1, "elevated", "normal", "r1")
+    seconds = rows.select(F.unix_seconds("window_start"), F.unix_seconds("window_end")).first()
+    assert seconds[:] == (1704067080, 1704067200)
+
+
+def test_report_views(spark, tmp_path) -> None:  # noqa: ANN001
+    frame = report_table(spark, REPORT)
     patients = report.consolidated(frame)
-    assert {r["patient_id"]: [x["test_type"] for x in r["labs"]] for r in patients.collect()} == {"P1": [], "P2": ["CRP", "WBC"]}
-    assert {r["risk"]: r["patients"] for r in report.risk_counts(patients).collect()} == {"high": 1, "elevated_vitals": 0, "elevated_labs": 0, "normal": 1}
-    assert report.labs_effect(patients).first()["escalated_by_labs"] == ["P2"]
+    assert set(report.PATIENT_FIELDS) | set(report.FILE_FIELDS) < set(patients.columns)
+    found = {r["patient_id"]: r for r in patients.collect()}
+    assert {p: [(x["test_type"], x["reference_range"], x["abnormal"]) for x in r["labs"]] for p, r in found.items()} == {
+        "P1": [], "P2": [("CRP", "0-10 x", True), ("WBC", "0-10 x", False)], "P3": [("CRP", "0-10 x", True)],
+    }
+    assert {r["risk"]: r["patients"] for r in report.risk_counts(patients).collect()} == {"high": 1, "elevated_vitals": 0, "elevated_labs": 1, "normal": 1}
+    effect = report.labs_effect(patients).first()
+    assert (effect["escalated_by_labs"], effect["newly_flagged_by_labs"]) == (["P2"], ["P3"])
     assert report.run_stats(frame).first()["high_patients"] == 1
     report.write_markdown(frame, f"{tmp_path}/md")
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/md").collect()]
-    assert lines[0].startswith("| P2 | elevated_vitals -> high | 4 | CRP 20.00 (0.0-10.0) !; WBC 5.00") and lines[1].endswith("| - |")
+    assert lines[0] == "# Daily Patient Risk Report - simulated day 1"
+    assert "| high | 1 |" in lines and "- Escalated to *high* (concerning vitals confirmed by abnormal labs): P2" in lines
+    people = [x for x in lines if x.startswith(("| P1 | **", "| P2 | **", "| P3 | **"))]
+    assert people == [
+        "| P2 | **high** | elevated | 4 | 25 | - | 94.3 | - | - | - | 25% of 4 readings abnormal; avg SpO2 94.3%; abnormal labs: CRP |",
+        "| P3 | **elevated_labs** | normal | 0 | - | - | - | - | - | - | no vitals received in window; abnormal labs: CRP |",
+        "| P1 | **normal** | normal | 4 | 25 | - | 98.0 | - | - | - | 25% of 4 readings abnormal |",
+    ]
+    assert lines[-3:] == ["| P2 | CRP | 20.0 | 0-10 x | **YES** |", "| P2 | WBC | 5.0 | 0-10 x | no |", "| P3 | CRP | 11.0 | 0-10 x | **YES** |"]
     report.write_csv(frame, f"{tmp_path}/csv")
     report.write_csv(frame.withColumn("source_file", F.lit("g")).limit(1), f"{tmp_path}/csv")
-    assert {r["source_file"]: r["count"] for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").groupBy("source_file").count().collect()} == {"f": 3, "g": 1}
+    assert {r["source_file"]: r["count"] for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").groupBy("source_file").count().collect()} == {"lab_results_day1_1704067200.csv": 4, "g": 1}
 
 
 def test_lab_files(spark, tmp_path) -> None:  # noqa: ANN001
@@ -112,22 +161,21 @@ def test_lab_files(spark, tmp_path) -> None:  # noqa: ANN001
     assert readers.listing(spark, f"{tmp_path}/none").count() == 0
 
 
-def test_readings_meet_many_files_by_bins(spark, monkeypatch) -> None:  # noqa: ANN001
-    kind = "patient_id string, event_time timestamp"
-    readings = spark.createDataFrame([("P101", AT + timedelta(seconds=7 * i)) for i in range(300)], kind)
+def test_readings_meet_files_by_bins(spark) -> None:  # noqa: ANN001
     base = int(AT.timestamp())
-    found = files.catalog(spark.createDataFrame([(f"lab_results_day1_{base + 100 * i + 37}.csv",) for i in range(15)], "file_name string"), 120)
-    few = files.readings_per_file(readings, found, 15, 120).select("source_file", F.unix_seconds("event_time").alias("t"))
-    monkeypatch.setattr(files, "MOST_BROADCAST", 0)
-    many = files.readings_per_file(readings, found, 15, 120).select("source_file", F.unix_seconds("event_time").alias("t"))
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
-    assert few.count() > 200
+    times, ends = [base + 7 * i for i in range(300)], [base + 100 * i + 37 for i in range(15)]
+    readings = spark.createDataFrame([("P101", datetime.fromtimestamp(t, UTC)) for t in times], "patient_id string, event_time timestamp")
+    found = files.catalog(spark.createDataFrame([(f"lab_results_day1_{e}.csv",) for e in ends], "file_name string"), 120)
+    got = files.readings_per_file(readings, found, 120).select("source_file", F.unix_seconds("event_time").alias("t"))
+    want = sorted((f"lab_results_day1_{e}.csv", t) for e in ends for t in times if e - 120 <= t < e)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 200
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
 def test_rules_and_alert_life(spark) -> None:  # noqa: ANN001
     found = readers.rules(spark)
     assert found.count() == 8 and found.filter("metric is null or op is null or severity is null").count() == 0
-    metrics = spark.createDataFrame([("vitals_last_ingest_age_seconds", 61.0), ("lab_files_pending", 2.0), ("lab_feed_last_file_age_seconds", 301.0), ("batch_failure_ratio", None)], "metric string, value double")
+    metrics = spark.createDataFrame([("vitals_last_ingest_age_seconds", 61.0), ("lab_files_pending", 2.0), ("lab_feed_last_file_age_seconds", 301.0), ("batch_failure_ratio_30m", None)], "metric string, value double")
     got = {r["name"]: r["breached"] for r in health.evaluate(metrics, found, 120).collect()}
     assert got == {
         "vitals_stream_stale": True, "speed_layer_down": True, "live_summary_stale": True, "lab_feed_stale": True,
@@ -142,8 +190,87 @@ def test_rules_and_alert_life(spark) -> None:  # noqa: ANN001
     state = health.sync(evaluated, opened, F.lit(AT))
     assert {r["name"] for r in health.by_status(state, "resolved").collect()} == {"batch_backlog"}
     assert health.by_status(state, "open").count() == 5 and health.by_status(state, "all", 2).count() == 2
+    messages = {r["name"]: r["message"] for r in evaluated.collect()}
+    assert messages["vitals_stream_stale"] == "No vitals reading stored in the last 60s - producer, Kafka or speed layer is down (value=61.00, threshold=60)"
+    assert messages["data_quality_rejects_high"].endswith("(value=no data, threshold=0.05)")
     text = [r["text"] for r in health.exposition(metrics, evaluated).collect()]
-    assert any(t.endswith("batch_failure_ratio NaN") for t in text) and text[-1].startswith('pipeline_rule_breached{rule="ward_abnormal_rate_high"')
+    assert text[0] == "# HELP pipeline_batch_failure_ratio_30m Failed / finished batch runs in the last 30 minutes\n# TYPE pipeline_batch_failure_ratio_30m gauge\npipeline_batch_failure_ratio_30m NaN"
+    assert text[4] == f"# HELP pipeline_health_rule_breached {health.RULE_HELP}\n# TYPE pipeline_health_rule_breached gauge"
+    assert text[-1] == 'pipeline_health_rule_breached{rule="ward_abnormal_rate_high"} 0' and len(text) == 4 + 1 + 8
+
+
+def test_rules_from_a_path(spark, tmp_path) -> None:  # noqa: ANN001
+    (tmp_path / "r.json").write_text('{"rules": [\n{"name": "a", "metric": "m", "op": "<", "threshold": 2, "severity": "warning", "description": "d"}]}')
+    (rule,) = readers.rules(spark, str(tmp_path / "r.json")).collect()
+    assert (rule["name"], rule["threshold"], rule["on_missing"]) == ("a", 2.0, None)
+    values = spark.createDataFrame([("m", 1.0)], "metric string, value double")
+    assert health.evaluate(values, readers.rules(spark, str(tmp_path / "r.json")), 120).first()["message"] == "d (value=1.00, threshold=2)"
+
+
+RUNS = "task string, run_id long, status string, started_at timestamp, finished_at timestamp, error string"
+
+
+def test_run_alerts(spark) -> None:  # noqa: ANN001
+    at = lambda m: AT + timedelta(minutes=m)
+    runs = [
+        ("a", 1, "failed", at(0), at(1), "x"), ("a", 2, "failed", at(2), at(3), "y"), ("a", 3, "success", at(4), at(5), None), ("a", 4, "failed", at(6), at(7), None),
+        ("b", 5, "success", at(0), at(1), None), ("b", 6, "running", at(2), None, None), ("c", 7, "failed", at(0), at(9), "z"),
+    ]
+    frame = spark.createDataFrame(runs, RUNS).repartition(3)
+    minute = lambda c: ((F.unix_seconds(c) - int(AT.timestamp())) / 60).cast("int").alias(c)
+    got = health.run_alerts(frame).select("name", "failures", minute("opened_at"), minute("last_seen_at"), minute("resolved_at"), "message").collect()
+    assert sorted((tuple(r) for r in got), key=str) == [
+        ("task:a", 1, 7, 7, None, "task a failed (run 4): "), ("task:a", 2, 1, 5, 5, "task a failed (run 2): y"), ("task:c", 1, 9, 9, None, "task c failed (run 7): z"),
+    ]
+    assert health.open_alert_metrics(health.run_alerts(frame)).first()["pipeline_alerts_open"] == 2
+
+
+def test_run_metrics(spark) -> None:  # noqa: ANN001
+    """Runs that start and end in different orders: counts go by the start, the duration by the last end of any kind."""
+    at = lambda m: AT + timedelta(minutes=m)
+    runs = [("a", 1, "success", at(-100), at(-2), None), ("a", 2, "success", at(-20), at(-10), None), ("a", 3, "failed", at(-5), at(-1), "x"), ("a", 4, "running", at(-3), None, None)]
+    got = health.run_metrics(spark.createDataFrame(runs, RUNS), F.lit(AT), 1800).first()
+    assert got[:] == (1.0, 1.0, 0.5, 120.0, 240.0)
+
+
+def test_reading_metrics_of_an_old_feed(spark) -> None:  # noqa: ANN001
+    kind = "patient_id string, event_time timestamp, ingested_at timestamp, is_abnormal boolean"
+    frame = spark.createDataFrame([("P1", AT, AT + timedelta(seconds=2), True)], kind)
+    late = health.reading_metrics(frame, F.lit(AT + timedelta(days=3)), 300, 120).first()
+    assert late[:] == (3 * 86_400 - 2.0, 2.0, 0.0, None, 0.0)
+    soon = health.reading_metrics(frame, F.lit(AT + timedelta(seconds=62)), 300, 120).first()
+    assert soon[:] == (60.0, 2.0, 1.0, 1.0, 1.0)
+
+
+def test_adapters_without_their_modules(tmp_path) -> None:  # noqa: ANN001
+    plain = readers.kafka_options("b:9092", "vitals", "earliest", 10)
+    assert plain == {"kafka.bootstrap.servers": "b:9092", "subscribe": "vitals", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "10", "failOnDataLoss": "false"}
+    safe = readers.kafka_options("b:9092", "vitals", sasl={"mechanism": "PLAIN", "jaas": "j"})
+    assert (safe["kafka.security.protocol"], safe["kafka.sasl.mechanism"], safe["kafka.sasl.jaas.config"], safe["startingOffsets"]) == ("SASL_SSL", "PLAIN", "j", "latest")
+    (tmp_path / "s.avsc").write_text('{"type": "record", "name": "r", "fields": []}')
+    assert '"record"' in readers.avro_schema(str(tmp_path / "s.avsc"))
+    (tmp_path / "s.avsc").write_text("{")
+    with pytest.raises(ValueError):
+        readers.avro_schema(str(tmp_path / "s.avsc"))
+
+
+def test_ward_drops_silent_patients(spark) -> None:  # noqa: ANN001
+    """Readings and windows of the last day only; the active alert, critical first; the report's flag and day."""
+    now = AT + timedelta(days=2)
+    at = lambda s: now - timedelta(seconds=s)
+    reading = "patient_id string, event_time timestamp, heart_rate int, spo2 double, systolic_bp int, diastolic_bp int, temperature double, is_abnormal boolean, kafka_offset long"
+    rows = [("P1", at(10), 80, 98.0, 120, 80, 37.0, False, 1), ("P1", at(5), 140, 91.0, 121, 81, 38.0, True, 2), ("P2", at(130), 70, 97.0, 120, 80, 36.5, False, 3), ("P3", at(90_000), 70, 97.0, 120, 80, 36.5, False, 4)]
+    windows = "patient_id string, window_start timestamp, window_end timestamp, avg_heart_rate double, avg_spo2 double, avg_temperature double, abnormal_count long, total_readings long"
+    views = [("P1", at(40), at(10), 110.0, 94.0, 37.5, 1, 2), ("P2", at(90_030), at(90_000), 70.0, 97.0, 36.5, 0, 1)]
+    log = "patient_id string, severity string, reasons string, last_window_end timestamp, first_window_start timestamp"
+    alerts = [("P1", "warning", "w", at(5), at(50)), ("P1", "critical", "c", at(20), at(80))]
+    got = serving.ward_patients(
+        spark.createDataFrame(rows, reading), spark.createDataFrame(views, windows), spark.createDataFrame(alerts, log), report_table(spark, REPORT).replace("P3", "P1", ["patient_id"]), F.lit(now), 120, 60, 120
+    ).orderBy(*serving.ward_order()).collect()
+    assert [(r["patient_id"], r["status"], r["monitored"]) for r in got] == [("P1", "critical", True), ("P2", "no_signal", False)]
+    first = got[0]
+    assert (first["heart_rate"], first["systolic_bp"], first["last_reading_abnormal"], first["window_readings"], first["alert_reasons"]) == (140, 121, True, 2, "c")
+    assert (first["alert_id"], first["latest_report_day"], got[1]["window_end"]) == (f"P1-{int(at(80).timestamp())}", 1, None)
 
 
 def test_sustained_needs_history(spark) -> None:  # noqa: ANN001

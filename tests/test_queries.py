@@ -8,7 +8,7 @@ import pytest
 
 from pulsegrid.plans import oracles, queries
 
-TABLES = ("events", "orders")
+TABLES = ("events", "orders", "lineitem")
 
 
 def text(x) -> str:  # noqa: ANN001

@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import replace
 from datetime import UTC, datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import ingest
@@ -37,6 +39,27 @@ def test_sinks_are_idempotent(spark, sf_dir, tmp_path) -> None:  # noqa: ANN001
     assert 0 < part.count() < len(once)
 
 
+def test_append_reads_the_dates_of_its_batch_only(spark, sf_dir, tmp_path) -> None:  # noqa: ANN001
+    judged = ingest.judge(adapters.readings(spark, sf_dir))
+    sinks.append_readings(judged, 0, f"{tmp_path}/master")
+    rows = judged.filter("is_valid").withColumn("event_date", F.to_date("event_time")).filter("event_date = '2024-01-03'")
+    held = sinks.held_keys(spark.read.parquet(f"{tmp_path}/master"), rows, 7)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(held.inputFiles()) > 1
+    assert held.count() == rows.count()
+    assert sinks.held_keys(spark.read.parquet(f"{tmp_path}/master"), rows.limit(0), 7).count() == 0
+
+
+def test_a_failing_query_stops_the_others(spark) -> None:  # noqa: ANN001
+    stream = lambda: spark.readStream.format("rate").option("rowsPerSecond", 10).load()
+    broken = stream().select(F.raise_error(F.lit("broken on purpose")).cast("string").alias("x")).writeStream.queryName("broken").format("noop").start()
+    fine = stream().writeStream.queryName("fine").format("noop").start()
+    with pytest.raises(StreamingQueryException):
+        progress.run_until_any_ends(spark, [fine, broken], every_seconds=1)
+    assert not fine.isActive and not broken.isActive
+
+
 def test_report_replaces_its_file_only(spark, tmp_path) -> None:  # noqa: ANN001
     write = lambda rows: sinks.replace_report(spark.createDataFrame(rows, "x int, source_file string"), f"{tmp_path}/r")
     write([(1, "f"), (2, "f"), (3, "g")])
