@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +18,18 @@ def sure(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def reject_reasons(limits: Limits = LIMITS) -> Column:
-    """Why a reading isn't plausible: an array of codes, empty for a valid reading. Unknown values are reasons."""
-    checks = {
+def once(value: Column) -> Column:
+    """The same value, worked out once for each row: explode of one element.
+
+    A filter on columns that come from a costly expression would else be moved before it, with the expression in each of
+    its conditions.
+    """
+    return F.explode(F.array(value))
+
+
+def checks(limits: Limits = LIMITS) -> dict[str, Column]:
+    """What a plausible reading fulfils, by code."""
+    return {
         "patient_id": F.col("patient_id").rlike(limits.patient_id),
         "event_time": F.col("event_time").isNotNull(),
         "heart_rate": F.col("heart_rate").between(*limits.plausible_heart_rate),
@@ -27,7 +39,16 @@ def reject_reasons(limits: Limits = LIMITS) -> Column:
         "diastolic_bp": F.col("diastolic_bp").between(*limits.plausible_pressure),
         "pressure_order": F.col("systolic_bp") > F.col("diastolic_bp"),
     }
-    return F.filter(F.array(*(F.when(~sure(ok), F.lit(code)) for code, ok in checks.items())), lambda x: x.isNotNull())
+
+
+def reject_reasons(limits: Limits = LIMITS) -> Column:
+    """Why a reading isn't plausible: an array of codes, empty for a valid reading. Unknown values are reasons."""
+    return F.filter(F.array(*(F.when(~sure(ok), F.lit(code)) for code, ok in checks(limits).items())), lambda x: x.isNotNull())
+
+
+def plausible(limits: Limits = LIMITS) -> Column:
+    """Whether there is no such reason; without the array of reasons, so that a filter stays in generated code."""
+    return sure(reduce(and_, checks(limits).values()))
 
 
 def abnormal(limits: Limits = LIMITS) -> Column:

@@ -25,14 +25,14 @@ PAYLOAD = T.StructType(
 
 def decode_json(records: DataFrame, schema: T.StructType = PAYLOAD) -> DataFrame:
     """records (value: JSON as text or bytes) with the struct payload; a corrupt value gives nulls and no failure."""
-    return records.withColumn("payload", F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE"}))
+    return records.select("*", rules.once(F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE"})).alias("payload"))
 
 
 def decode_avro(records: DataFrame, schema_json: str) -> DataFrame:
     """The same for schemaless Avro; needs Spark's Avro module on the class path."""
     from pyspark.sql.avro.functions import from_avro
 
-    return records.withColumn("payload", from_avro("value", schema_json, {"mode": "PERMISSIVE"}))
+    return records.select("*", rules.once(from_avro("value", schema_json, {"mode": "PERMISSIVE"})).alias("payload"))
 
 
 def parse(decoded: DataFrame) -> DataFrame:
@@ -56,9 +56,7 @@ def parse(decoded: DataFrame) -> DataFrame:
 
 def judge(readings: DataFrame, limits: Limits = DEFAULT.limits) -> DataFrame:
     """readings with reject_reasons (codes), is_valid and is_abnormal."""
-    return readings.withColumn("reject_reasons", rules.reject_reasons(limits)).withColumns(
-        {"is_valid": F.size("reject_reasons") == 0, "is_abnormal": rules.abnormal(limits)}
-    )
+    return readings.withColumns({"reject_reasons": rules.reject_reasons(limits), "is_valid": rules.plausible(limits), "is_abnormal": rules.abnormal(limits)})
 
 
 def ingest_stats(judged: DataFrame, batch: F.Column | str = "kafka_partition") -> DataFrame:

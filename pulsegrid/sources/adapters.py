@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.rules import once
+
 #: Length of a "day" of these tables: three of them hold the month that events span.
 DAY_SECONDS = 10 * 86_400
 #: First second of the month.
@@ -18,8 +20,8 @@ INGEST_LAG = "2 seconds"
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with k, the number in props."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return rows.withColumns({"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("int")})
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.select("*", once(F.get_json_object("props", "$.k").cast("int")).alias("k"))
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
