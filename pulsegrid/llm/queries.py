@@ -10,6 +10,7 @@ from pulsegrid.llm.bpe import op8_bpe
 from pulsegrid.llm.chat import OP1_SQL, op1_chat
 from pulsegrid.llm.decontamination import op4_decontamination
 from pulsegrid.llm.extraction import op3_html_extraction
+from pulsegrid.llm.fill_middle import OP12_SQL, op12_fill_middle
 from pulsegrid.llm.line_dedup import OP7_SQL, op7_line_dedup
 from pulsegrid.llm.quality import op5_quality
 from pulsegrid.llm.repetition import op6_repetition
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": OP1_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op12_fill_middle": OP12_SQL,
 }
