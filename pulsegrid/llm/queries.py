@@ -12,6 +12,7 @@ from pulsegrid.llm.decontamination import op4_decontamination
 from pulsegrid.llm.extraction import op3_html_extraction
 from pulsegrid.llm.fill_middle import OP12_SQL, op12_fill_middle
 from pulsegrid.llm.line_dedup import OP7_SQL, op7_line_dedup
+from pulsegrid.llm.periodic import op11_periodic_runs
 from pulsegrid.llm.quality import op5_quality
 from pulsegrid.llm.repetition import op6_repetition
 from pulsegrid.llm.sharding import op9_sharding
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_fill_middle": op12_fill_middle,
 }
 
