@@ -13,6 +13,7 @@ from pulsegrid.llm.extraction import op3_html_extraction
 from pulsegrid.llm.fill_middle import OP12_SQL, op12_fill_middle
 from pulsegrid.llm.line_dedup import OP7_SQL, op7_line_dedup
 from pulsegrid.llm.periodic import op11_periodic_runs
+from pulsegrid.llm.pieces import op13_pieces
 from pulsegrid.llm.quality import op5_quality
 from pulsegrid.llm.repetition import op6_repetition
 from pulsegrid.llm.sharding import op9_sharding
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_fill_middle": op12_fill_middle,
+    "op13_pieces": op13_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
