@@ -1,8 +1,10 @@
 """HTML extraction by tag-path ratios.
 
-A page is read as a sequence of text blocks, each under a root-to-leaf path of block elements (inline elements don't
-count, so an unclosed <b> changes no path). What can never be text of a page is skipped: scripts, styles, form controls,
-embedded objects, hidden elements. All else is judged by its path:
+A page is read as a sequence of text blocks, each in an element; a root-to-leaf path names the element by its tag and
+class and those above it (inline elements don't count, so an unclosed <b> changes no path). Elements and paths are trees
+of nodes that know their parent, so that time and memory are linear in the page, however deep it is. What can never be
+text of a page is skipped: scripts, styles, form controls, embedded objects, hidden elements. All else is judged by its
+path and its place:
 
 1. Sums. For each path the text length outside links and the punctuation are summed over its blocks; divided by their
    number they are the path's two ratios.
@@ -11,18 +13,21 @@ embedded objects, hidden elements. All else is judged by its path:
 3. Fusion. Length times (1 + punctuation) is a block's weight; a path's weight is the sum over its blocks. Elements and
    class names that usually hold something else (menus, footers, adverts, comments) lower it to ``WEAK``; they don't
    decide by themselves.
-4. The weights, summed up the tree of paths, give the content's container: the deepest element that holds ``SHARE`` of
-   the page's weight (the outermost <article> or <main> around it, if any). Paths are smoothed once more along the
-   tree: a path in the container takes its full support, others lose a part of it for each step from it.
-5. Threshold. A path's score is the mean of that support and its share of the heaviest path's weight, lowered by a
-   majority of linked text and by a weak name; paths at ``THRESHOLD`` or more are content. Their blocks are the text.
+4. The weights, summed up the tree of elements, give the content's container: the only <article> or <main> if there is
+   one, else the deepest element that holds ``SHARE`` of the page's weight (or the outermost <article> or <main> around
+   it). Support is smoothed along the tree: an element in the container takes it in full, others lose a part of it for
+   each step from it.
+5. Threshold. The score of a path's blocks in one element is the mean of that support and the path's share of the
+   heaviest path's weight (beside an <article>, half the support alone), lowered by a majority of linked text in the
+   element (or among the siblings of one list, table row or run of paragraphs) and by a weak name; elements at
+   ``THRESHOLD`` or more are content. Their blocks are the text.
 
 Pages are read one by one: no shuffle; a task holds one Arrow batch, dealt into slices.
 
 Defined cases: a null page counts as empty and gives an empty text; a page without candidates too; broken markup is
-read as far as it goes (an unclosed tag is text, an unknown end tag is nothing); very long pages are read whole; equal
-rows each keep their row; an empty table gives an empty result; extra columns pass through unless they carry the name
-of a column made here.
+read as far as it goes (an unclosed tag is text, an unknown end tag is nothing); very long and very deep pages are read
+whole; equal rows each keep their row; an empty table gives an empty result; extra columns pass through unless they carry
+the name of a column made here.
 """
 
 from __future__ import annotations
@@ -65,8 +70,8 @@ _CONTENT = frozenset(("article", "main"))
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adbox|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|sidebar|side|aside|widget|menu|nav|navbar|navigation|breadcrumbs?"
     r"|header|masthead|topbar|footer|foot|colophon|copyright|legal|comments?|commentlist|replies|respond|disqus|discussion|cookies?|consent|gdpr|notices?|alert|warning|popup|modal"
-    r"|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|more-links|pagination|pager|skip|search|form|tags|meta|toolbar"
-    r"|hidden|teaser|outbrain|taboola|byline|disclaimer|feedback|rating|poll|survey)(?:$|[\s_-])",
+    r"|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|recommendations|more-links|pagination|pager|skip|search|form|toolbar"
+    r"|hidden|outbrain|taboola)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -149,40 +154,78 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
         at = end if end > 0 else start + 1
 
 
-Path = tuple[tuple[str, str], ...]
+class Path:
+    """The elements from the root to one kind of element: its tag and name, and the path above."""
+
+    __slots__ = ("below", "name", "parent", "tag")
+
+    def __init__(self, parent: Path | None = None, tag: str = "", name: str = ""):
+        self.parent, self.tag, self.name = parent, tag, name
+        self.below: dict[tuple[str, str], Path] = {}
+
+    def step(self, tag: str, name: str) -> Path:
+        found = self.below.get((tag, name))
+        if found is None:
+            found = self.below[tag, name] = Path(self, tag, name)
+        return found
+
+
+class Element:
+    """An element of the page. weak: how many elements from the root to it have a weak name; number: its place in the page."""
+
+    __slots__ = ("content", "depth", "number", "parent", "path", "skipped", "weak")
+
+    def __init__(self, number: int, path: Path, parent: Element | None = None, skipped: bool = False, weak: int = 0, content: Element | None = None):
+        self.number, self.path, self.parent, self.skipped, self.weak = number, path, parent, skipped, weak
+        self.depth = parent.depth + 1 if parent else 0
+        self.content = content  # the outermost article or main around it, or itself
 
 
 class _Block:
-    """Text under one path: (element, its name) from the root on. weak: how many elements on the path have a weak name."""
+    """Text in one element."""
 
-    __slots__ = ("linked", "parts", "path", "weak")
+    __slots__ = ("element", "linked", "parts")
 
-    def __init__(self, path: Path, weak: int):
-        self.path, self.weak = path, weak
+    def __init__(self, element: Element):
+        self.element = element
         self.parts: list[str] = []
         self.linked = 0
 
+    @property
+    def path(self) -> Path:
+        return self.element.path
+
+    @property
+    def weak(self) -> int:
+        return self.element.weak
+
 
 def blocks(page: str) -> list[_Block]:
     """Text blocks in page order."""
-    stack: list[tuple[str, str, bool, int, bool]] = []  # element, name, skipped, weak names so far, in an article
+    stack = [Element(0, Path())]
+    is_open: dict[str, int] = defaultdict(int)
     out: list[_Block] = []
     block: _Block | None = None
-    links, at = 0, 0
+    links, at, number = 0, 0, 0
 
     def text(piece: str) -> None:
         nonlocal block
-        if not piece or (stack and stack[-1][2]):
+        if not piece or stack[-1].skipped:
             return
         if block is None:
             if piece.isspace():
                 return
-            block = _Block(tuple(x[:2] for x in stack), stack[-1][3] if stack else 0)
+            block = _Block(stack[-1])
             out.append(block)
         block.parts.append(piece)
         if links:
             block.linked += len(piece)
 
+    def leave(k: int) -> None:
+        for x in stack[k:]:
+            is_open[x.path.tag] -= 1
+        del stack[k:]
+
     for start, end, tag, ends, rest in _tokens(page):
         text(page[at:start])
         at = end
@@ -196,33 +239,41 @@ def blocks(page: str) -> list[_Block]:
             continue
         block, links = None, 0
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if is_open[tag]:
+                k = len(stack) - 1
+                while stack[k].path.tag != tag:
+                    k -= 1
+                leave(k)
             continue
         if tag in _VOID:
             continue
-        if stack and stack[-1][0] == "p":  # a block element ends an open paragraph
-            stack.pop()
-        for k in range(len(stack) - 1, -1, -1) if tag in _CLOSES else ():
-            if stack[k][0] in _STOP.get(tag, ("table",)):
-                break
-            if stack[k][0] in _CLOSES[tag]:
-                del stack[k:]
-                break
+        if stack[-1].path.tag == "p":  # a block element ends an open paragraph
+            leave(len(stack) - 1)
+        closes = _CLOSES.get(tag, ())
+        if any(is_open[x] for x in closes):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].path.tag in _STOP.get(tag, ("table",)):
+                    break
+                if stack[k].path.tag in closes:
+                    leave(k)
+                    break
         name, weak, hidden = _named(rest) if "=" in rest or "hidden" in rest else ("", False, False)
-        above = stack[-1] if stack else ("", "", False, 0, False)
+        above = stack[-1]
         # html and body say nothing of their kind; an article's own header is part of it
-        weak = (weak and tag not in ("html", "body", "main")) or (tag in _WEAK and not (tag == "header" and above[4]))
+        weak = (weak and tag not in ("html", "body", "main")) or (tag in _WEAK and not (tag == "header" and above.content is not None))
         if not rest.endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, name, above[2] or hidden or tag in _NEVER, above[3] + weak, above[4] or tag in _CONTENT))
+            number += 1
+            inner = Element(number, above.path.step(tag, name), above, above.skipped or hidden or tag in _NEVER, above.weak + weak, above.content)
+            if inner.content is None and tag in _CONTENT:
+                inner.content = inner
+            stack.append(inner)
+            is_open[tag] += 1
     text(page[at:])
     return out
 
 
-def weights(found: list[tuple[_Block, str]]) -> dict[Path, float]:
-    """The weight of each path: its two ratios, smoothed along the page, fused, and summed over its blocks."""
+def fused(found: list[tuple[_Block, str]]) -> list[float]:
+    """The weight of each block: its path's two ratios, smoothed along the page, and fused."""
     sums: dict[Path, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for b, said in found:
         own = sums[b.path]
@@ -230,59 +281,91 @@ def weights(found: list[tuple[_Block, str]]) -> dict[Path, float]:
         own[1] += len(_PUNCTUATION.findall(said))
         own[2] += 1
     ratio = [(s[0] / s[2], s[1] / s[2]) for s in (sums[b.path] for b, _ in found)]
-    out: dict[Path, float] = defaultdict(float)
+    out = []
     for k, (b, _) in enumerate(found):
         near = ratio[max(0, k - 1) : k + 2]
         length, marks = ((ratio[k][i] + sum(x[i] for x in near)) / (len(near) + 1) for i in (0, 1))
-        out[b.path] += length * (1 + marks) * WEAK**b.weak
+        out.append(length * (1 + marks) * WEAK**b.weak)
     return out
 
 
-def container(weight: dict[Path, float]) -> Path:
-    """The deepest element above blocks that holds SHARE of all weight, or the outermost article around it."""
-    held: dict[Path, float] = defaultdict(float)
-    below: dict[Path, set[Path]] = defaultdict(set)
-    for path, w in weight.items():
-        for k in range(len(path)):
-            held[path[:k]] += w
-            if k:
-                below[path[: k - 1]].add(path[:k])
-    here: Path = ()
-    while inner := [c for c in below[here] if held[c] >= SHARE * held[()] and held[()] > 0]:
-        here = inner[0]  # there is one, for SHARE is over a half
-    for k, (tag, _) in enumerate(here):
-        if tag in _CONTENT:
-            return here[: k + 1]
-    return here
-
-
-def scores(found: list[tuple[_Block, str]]) -> dict[Path, float]:
-    """The score of each path, from 0 to 1."""
-    weight = weights(found)
-    home, heaviest = container(weight), max(weight.values()) or 1.0
-    linked: dict[Path, list[int]] = defaultdict(lambda: [0, 0])
-    weak: dict[Path, int] = {}
+def _above(found: list[tuple[_Block, str]]) -> list[Element]:
+    """The elements of blocks and all above them, in page order: each after its parent."""
+    seen: dict[int, Element] = {}
     for b, _ in found:
-        linked[b.path][0] += b.linked
-        linked[b.path][1] += sum(map(len, b.parts))
-        weak[b.path] = b.weak
+        e: Element | None = b.element
+        while e is not None and e.number not in seen:
+            seen[e.number] = e
+            e = e.parent
+    return [seen[n] for n in sorted(seen)]
+
+
+def container(found: list[tuple[_Block, str]], weight: list[float]) -> tuple[Element, bool]:
+    """The content's element, and whether it is the page's only <article> or <main> with text outside links."""
+    articles = {b.element.content for b, said in found if b.element.content is not None and b.element.content.weak == 0 and len(said) > b.linked}
+    if len(articles) == 1:
+        return articles.pop(), True
+    order = _above(found)
+    held = dict.fromkeys((e.number for e in order), 0.0)
+    own = dict(held)
+    for (b, _), w in zip(found, weight, strict=True):
+        own[b.element.number] += w
+    inner: dict[int, Element] = {}  # the heaviest element inside each
+    for e in reversed(order):
+        if e.parent is not None:
+            held[e.parent.number] += held[e.number] + own[e.number]
+            best = inner.get(e.parent.number)
+            if held[e.number] and (best is None or held[e.number] > held[best.number]):
+                inner[e.parent.number] = e
+    here, total = order[0], held[order[0].number]
+    while here.number in inner and held[inner[here.number].number] >= SHARE * total:
+        here = inner[here.number]
+    return here.content or here, False
+
+
+def scores(found: list[tuple[_Block, str]]) -> dict[Element, float]:
+    """The score of each element with text, from 0 to 1."""
+    weight = fused(found)
+    home, certain = container(found, weight)
+    of_path: dict[Path, float] = defaultdict(float)
+    linked: dict[tuple[Element, Path], list[int]] = defaultdict(lambda: [0, 0])
+    group = lambda e: (e.parent if e.path.tag in _TEXT and e.parent else e, e.path)
+    for (b, _), w in zip(found, weight, strict=True):
+        of_path[b.path] += w
+        own = linked[group(b.element)]
+        own[0] += b.linked
+        own[1] += sum(map(len, b.parts))
+    heaviest = max(of_path.values()) or 1.0
+    on_way, e = set(), home
+    while e is not None:
+        on_way.add(e.number)
+        e = e.parent
+    common: dict[int, int] = {}  # how deep an element and the container have all above in common
+    inside: dict[int, bool] = {}
+    for e in _above(found):
+        inside[e.number] = e is home or (e.parent is not None and inside[e.parent.number])
+        common[e.number] = e.depth if e.number in on_way else common[e.parent.number]
     # weak names that the whole container carries tell nothing
-    usual = min(w for p, w in weak.items() if p[: len(home)] == home)
-    out = {}
-    for path, w in weight.items():
-        common = 0
-        while common < min(len(home), len(path)) and home[common] == path[common]:
-            common += 1
-        steps = 0 if common == len(home) else len(home) - common + max(0, len(path) - 1 - common)
-        tag = path[-1][0] if path else ""
-        step = STEP_HEADING if tag in _HEADINGS else STEP_TEXT if tag in _TEXT else STEP_OTHER
-        free = min(1.0, 2 - 2 * linked[path][0] / max(1, linked[path][1]))
-        out[path] = WEAK ** max(0, weak[path] - usual) * free * (step**steps + w / heaviest) / 2
+    usual = min((b.weak for b, _ in found if inside[b.element.number]), default=0)
+    out: dict[Element, float] = {}
+    for b, _ in found:
+        e = b.element
+        if e in out:
+            continue
+        tag, share = e.path.tag, of_path[e.path] / heaviest
+        free = min(1.0, 2 - 2 * linked[group(e)][0] / max(1, linked[group(e)][1]))
+        if inside[e.number]:
+            support = 1.0
+        else:
+            steps = home.depth - common[e.number] + max(0, e.depth - 1 - common[e.number])
+            support = (STEP_HEADING if tag in _HEADINGS else STEP_TEXT if tag in _TEXT and not certain else STEP_OTHER) ** steps
+            share *= not certain
+        out[e] = WEAK ** max(0, b.weak - usual) * free * (support + share) / 2
     return out
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page: the blocks of content paths, joined by newlines."""
+    """The main text of a page: the blocks of content elements, joined by newlines."""
     found = []
     for b in blocks(page or ""):
         said = " ".join(html.unescape("".join(b.parts)).split())
@@ -291,7 +374,7 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     score = scores(found)
-    return "\n".join(said for b, said in found if score[b.path] >= THRESHOLD)
+    return "\n".join(said for b, said in found if score[b.element] >= THRESHOLD)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
