@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +34,18 @@ METRIC_HELP = {
 RULE_HELP = "1 if the health-check rule is currently breached"
 
 
-def reading_metrics(readings: DataFrame, as_of: Column, recent_seconds: int, active_seconds: int, day_seconds: int = 86_400) -> DataFrame:
+def reading_metrics(readings: DataFrame, as_of: Column, recent_seconds: int, active_seconds: int, newest: Column | None = None) -> DataFrame:
     """One row: age of the newest reading, lag of its event, counts and abnormal share of the recent past.
 
-    Only the last day is read; all history is only where that day has no reading.
+    newest: when the newest reading was stored; then nothing before it and before the recent past is read.
     """
-    today = readings.filter(since("ingested_at", as_of, max(day_seconds, recent_seconds, active_seconds)))
-    readings = readings if today.isEmpty() else today
     recent = since("ingested_at", as_of, recent_seconds)
-    newest = F.max("ingested_at")
+    if newest is not None:
+        wide = F.lit(max(recent_seconds, active_seconds)).cast("decimal(18,6)")
+        readings = readings.filter(F.col("ingested_at") >= F.least(newest, as_of - F.make_dt_interval(secs=wide)))
+    last = F.max("ingested_at")
     return readings.agg(
-        age_seconds(newest, as_of).alias("vitals_last_ingest_age_seconds"),
+        age_seconds(last, as_of).alias("vitals_last_ingest_age_seconds"),
         F.max_by((F.unix_micros("ingested_at") - F.unix_micros("event_time")) / 1_000_000.0, F.struct("ingested_at", "event_time")).alias("vitals_last_event_lag_seconds"),
         F.count_if(recent).cast("double").alias("vitals_readings_5m"),
         F.avg(F.when(recent, F.col("is_abnormal").cast("int"))).alias("vitals_abnormal_ratio_5m"),
@@ -66,6 +69,10 @@ def heartbeat_metrics(progress: DataFrame, as_of: Column) -> DataFrame:
 
 
 def alert_metrics(episodes: DataFrame, as_of: Column, active_seconds: int, opened_seconds: int) -> DataFrame:
+    """Active alerts and those that opened lately. Episodes of windows that end after the earlier of both times suffice.
+
+    One that is cut there was open before, and counts as active alike.
+    """
     return episodes.agg(
         F.count_if(since("last_window_end", as_of, active_seconds)).cast("double").alias("patient_alerts_active"),
         F.count_if(since("first_window_start", as_of, opened_seconds)).cast("double").alias("patient_alerts_24h"),
@@ -128,22 +135,38 @@ def unpivoted(*facts: DataFrame) -> DataFrame:
     return out
 
 
+def general(value: Column) -> Column:
+    """A number with six significant digits, without trailing zeros, with an exponent where that is shorter: 0.5, 216000, 1e+06."""
+    said = F.format_string("%.5e", value)
+    power = F.split_part(said, F.lit("e"), F.lit(2)).try_cast("int")
+    short = lambda text: F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1")
+    bare = lambda text: F.regexp_replace(F.when(F.contains(text, F.lit(".")), short(text)).otherwise(text), r"\.$", "")
+    out = F.concat(bare(F.split_part(said, F.lit("e"), F.lit(1))), F.lit("e"), F.split_part(said, F.lit("e"), F.lit(2)))
+    for p in range(-4, 6):
+        out = F.when(power == p, bare(F.format_string(f"%.{5 - p}f", value))).otherwise(out)
+    return F.when(value == 0, "0").when(value.isNotNull(), out)
+
+
+def _limit(rule: Callable[[str], Column], day_seconds: int) -> Column:
+    return F.coalesce(rule("threshold_simulated_days") * day_seconds, rule("threshold").cast("double"))
+
+
+def _breached(value: Column, rule: Callable[[str], Column], edge: Column) -> Column:
+    op = rule("op")
+    holds = F.when(op == ">", value > edge).when(op == ">=", value >= edge).when(op == "<", value < edge).when(op == "<=", value <= edge)
+    return F.when(value.isNull(), F.coalesce(rule("on_missing") == "breach", F.lit(False))).otherwise(F.coalesce(holds, F.lit(False)))
+
+
 def evaluate(metrics: DataFrame, rules: DataFrame, day_seconds: int) -> DataFrame:
     """Each rule (name, metric, op, threshold, threshold_simulated_days, on_missing, severity) with its value and breached.
 
     Rules are a configuration file, far smaller than data; metrics has one row for each metric.
     """
-    limit = F.coalesce(F.col("threshold_simulated_days") * day_seconds, F.col("threshold").cast("double"))
-    rows = rules.withColumn("limit", limit).join(metrics, "metric", "left")
+    rows = rules.withColumn("limit", _limit(F.col, day_seconds)).join(metrics, "metric", "left")
     value, edge = F.col("value"), F.col("limit")
-    holds = (
-        F.when(F.col("op") == ">", value > edge).when(F.col("op") == ">=", value >= edge).when(F.col("op") == "<", value < edge).when(F.col("op") == "<=", value <= edge)
-    )
-    breached = F.when(value.isNull(), F.coalesce(F.col("on_missing") == "breach", F.lit(False))).otherwise(F.coalesce(holds, F.lit(False)))
-    number = F.when(edge == F.floor(edge), edge.cast("long").cast("string")).otherwise(edge.cast("string"))
     shown = F.when(value.isNull(), "no data").otherwise(F.format_string("%.2f", F.round(F.round(value, 6), 2)))
-    message = F.concat(F.col("description"), F.lit(" (value="), shown, F.lit(", threshold="), number, F.lit(")"))
-    return rows.withColumns({"breached": breached, "message": message})
+    message = F.concat(F.col("description"), F.lit(" (value="), shown, F.lit(", threshold="), general(edge), F.lit(")"))
+    return rows.withColumns({"breached": _breached(value, F.col, edge), "message": message})
 
 
 def overall(evaluated: DataFrame) -> DataFrame:
@@ -157,11 +180,12 @@ def overall(evaluated: DataFrame) -> DataFrame:
 
 
 def sync(evaluated: DataFrame, opened: DataFrame, as_of: Column) -> DataFrame:
-    """The next state of alerts: rule results against open alerts (name, opened_at, last_seen_at), at most one each.
+    """The next state of alerts: rule results (with message) against open alerts (name, opened_at, last_seen_at, message), at most one each.
 
-    action: insert, refresh, resolve, or nothing; a rule that is gone leaves its alert as it is.
+    action: insert, refresh, resolve, or nothing; a rule that is gone leaves its alert as it is. An insert and a refresh
+    take the result's message; an alert that resolves keeps its last one, and was last seen when it resolved.
     """
-    rows = evaluated.select("name", "severity", "breached", "value").join(opened, "name", "full_outer")
+    rows = evaluated.select("name", "severity", "breached", "value", F.col("message").alias("_said")).join(opened, "name", "full_outer")
     is_open = F.col("opened_at").isNotNull()
     breached = F.col("breached")
     action = (
@@ -172,8 +196,9 @@ def sync(evaluated: DataFrame, opened: DataFrame, as_of: Column) -> DataFrame:
     return rows.select(
         "name", "severity", "value", "action",
         F.coalesce("opened_at", F.when(kept, as_of)).alias("opened_at"),
-        F.when(kept, as_of).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
+        F.when(kept | (F.col("action") == "resolve"), as_of).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
         F.when(F.col("action") == "resolve", as_of).alias("resolved_at"),
+        F.when(kept, F.col("_said")).otherwise(F.col("message")).alias("message"),
     )
 
 
@@ -193,6 +218,20 @@ def absent(expected: DataFrame, samples: DataFrame, as_of: Column, seconds: int)
     return expected.join(recent, "series", "left_anti")
 
 
+def gaps(expected: DataFrame, samples: DataFrame, start: Column, end: Column, seconds: int) -> DataFrame:
+    """Stretches of over so many seconds from start to end in which a series of expected (series) has no sample (series, at).
+
+    series, gap_from, gap_to, seconds; a series without any sample is one gap. What is known of a sample lasts until the
+    next one, so a gap begins at a sample (or at start) and ends at the next (or at end).
+    """
+    inside = samples.filter((F.col("at") >= start) & (F.col("at") < end)).select("series", "at")
+    ends = expected.select("series").distinct().withColumn("at", end)
+    before = F.lag("at").over(Window.partitionBy("series").orderBy("at"))
+    rows = inside.join(ends.select("series"), "series", "left_semi").unionByName(ends).withColumn("gap_from", F.coalesce(before, start))
+    lasted = (F.unix_micros("at") - F.unix_micros("gap_from")) / 1_000_000.0
+    return rows.select("series", "gap_from", F.col("at").alias("gap_to"), lasted.alias("seconds")).filter(F.col("seconds") > seconds)
+
+
 def by_status(alerts: DataFrame, status: str = "all", limit: int | None = None) -> DataFrame:
     """Alerts (opened_at, resolved_at): open, resolved, or all; newest first."""
     wanted = {"open": F.col("resolved_at").isNull(), "resolved": F.col("resolved_at").isNotNull(), "all": F.lit(True)}[status]
@@ -200,20 +239,40 @@ def by_status(alerts: DataFrame, status: str = "all", limit: int | None = None)
     return rows.limit(limit) if limit else rows
 
 
-def exposition(metrics: DataFrame, evaluated: DataFrame, prefix: str = "pipeline_") -> DataFrame:
-    """Metrics, then rule states, in the text format of monitoring systems, as rows (place, text): NaN where there is no data."""
+def plain_number(value: Column) -> Column:
+    """A number with the fewest digits that tell it from others, with a point; an exponent only below 0.0001 and from 1e16 on: 60.0, 12345678.0, 1e-05."""
+    said, size = value.cast("string"), F.abs(value)
+    spread = F.regexp_replace(said.try_cast("decimal(38,22)").cast("string"), r"0+$", "")
+    wide = F.regexp_replace(said.try_cast("decimal(38,12)").cast("string"), r"0+$", "")
+    pointed = lambda text: F.when(text.endswith("."), F.concat(text, F.lit("0"))).otherwise(text)
+    power = F.split_part(said, F.lit("E"), F.lit(2)).try_cast("int")
+    exponent = F.concat(F.regexp_replace(F.split_part(said, F.lit("E"), F.lit(1)), r"\.0$", ""), F.lit("e"), F.format_string("%+03d", power))
+    return (
+        F.when(value.isNull(), "NaN").when((size >= 1e7) & (size < 1e16), pointed(wide)).when((size < 1e-3) & (size >= 1e-4), spread).when(power.isNotNull(), exponent).otherwise(said)
+    )
+
+
+def exposition(metrics: DataFrame, rules: DataFrame, day_seconds: int, prefix: str = "pipeline_") -> DataFrame:
+    """Metrics, then rule states, in the text format of monitoring systems, as rows (place, text): NaN where there is no data.
+
+    metrics is read once: the rules of each metric, a list of configuration, stand beside it, and its lines and theirs
+    are made from one row.
+    """
     name = F.concat(F.lit(prefix), F.col("metric"))
     texts = F.create_map(*(F.lit(x) for pair in METRIC_HELP.items() for x in pair))
     said = F.coalesce(F.try_element_at(texts, F.col("metric")), F.col("metric"))
-    number = F.coalesce(F.col("value").cast("string"), F.lit("NaN"))
-    values = metrics.select(
-        F.struct(F.lit(0).alias("part"), F.col("metric").alias("of")).alias("place"),
-        F.concat(F.lit("# HELP "), name, F.lit(" "), said, F.lit("\n# TYPE "), name, F.lit(" gauge\n"), name, F.lit(" "), number).alias("text"),
-    )
-    rule = f"{prefix}health_rule_breached"
-    title = evaluated.limit(1).select(F.struct(F.lit(1).alias("part"), F.lit("").alias("of")).alias("place"), F.lit(f"# HELP {rule} {RULE_HELP}\n# TYPE {rule} gauge").alias("text"))
-    states = evaluated.select(
-        F.struct(F.lit(2).alias("part"), F.col("name").alias("of")).alias("place"),
-        F.concat(F.lit(f'{rule}{{rule="'), F.col("name"), F.lit('"} '), F.col("breached").cast("int").cast("string")).alias("text"),
-    )
-    return values.unionByName(title).unionByName(states).orderBy("place")
+    line = lambda part, of, text: F.struct(F.struct(F.lit(part).alias("part"), of.alias("of")).alias("place"), text.alias("text"))
+    about = F.concat(F.lit("# HELP "), name, F.lit(" "), said, F.lit("\n# TYPE "), name, F.lit(" gauge\n"), name, F.lit(" "), plain_number(F.col("value")))
+    title = f"{prefix}health_rule_breached"
+
+    def state(rule: Column) -> Column:
+        of = lambda field: rule[field]
+        breached = _breached(F.col("value"), of, _limit(of, day_seconds)).cast("int").cast("string")
+        return line(2, rule["name"], F.concat(F.lit(f'{title}{{rule="'), rule["name"], F.lit('"} '), breached))
+
+    grouped = rules.groupBy("metric").agg(F.collect_list(F.struct(*rules.columns)).alias("rules"), F.lit(True).alias("ruled"))
+    rows = metrics.withColumn("known", F.lit(True)).join(grouped, "metric", "full_outer")
+    states = F.transform(F.coalesce("rules", F.array()), state)
+    lines = rows.select(F.explode(F.concat(F.when(F.col("known"), F.array(line(0, F.col("metric"), about))).otherwise(F.array()), states)).alias("line")).select("line.*")
+    heading = rules.limit(1).select(line(1, F.lit(""), F.lit(f"# HELP {title} {RULE_HELP}\n# TYPE {title} gauge")).alias("line")).select("line.*")
+    return lines.unionByName(heading).orderBy("place")

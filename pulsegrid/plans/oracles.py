@@ -289,7 +289,7 @@ rules as (
 evaluated as (
   select r.name, r.metric, r.edge, m.value, r.severity, case when m.value is null then r.missing else m.value > r.edge end as breached,
          description || ' (value=' || coalesce(printf('%.2f', round(round(m.value, 6), 2)), 'no data') || ', threshold='
-           || case when edge = floor(edge) then cast(cast(edge as bigint) as varchar) else cast(edge as varchar) end || ')' as message
+           || printf('%g', edge) || ')' as message
   from rules r left join metrics m on m.metric = r.metric
 )
 """
@@ -305,6 +305,60 @@ STREAMED = {
 }
 STREAM_EPISODES = EPISODES.replace(READINGS, STREAMED[READINGS])
 
+#: Breach observations by batches, and episodes of all of them; then the same taken one after the other.
+ARRIVALS = (
+    WINDOWS
+    + """,
+slotted as (select *, window_start // 28800000000 as slot, cast(substr(patient_id, 2) as bigint) as person from alerts),
+log as (select *, (slot + person) % 5 as batch from slotted union all select *, 5 + slot % 8 // 4 from slotted where slot % 4 = 0)
+"""
+)
+BATCHED = (
+    ARRIVALS
+    + """,
+reached as (select *, max(window_end) over (partition by patient_id order by window_start, window_end, batch rows between unbounded preceding and 1 preceding) as reach from log),
+numbered as (
+  select *, sum(case when reach is null or window_start > reach then 1 else 0 end) over (partition by patient_id order by window_start, window_end, batch rows unbounded preceding) as n from reached
+),
+episodes as (
+  select patient_id, min(window_start) as first_window_start, max(window_end) as last_window_end, case when bool_or(severity = 'critical') then 'critical' else 'warning' end as severity,
+         count(distinct window_end) as breaching_windows, arg_max(reasons, (case when severity = 'critical' then 10 else 0 end + batch) * 10000000000000000 + window_start) as reasons,
+         max(max_heart_rate) as max_heart_rate, min(min_heart_rate) as min_heart_rate, min(min_spo2) as min_spo2, max(max_temperature) as max_temperature
+  from numbered group by patient_id, n
+)
+"""
+)
+FOLDED = (
+    ARRIVALS
+    + """,
+arrived as (select *, row_number() over (partition by patient_id order by batch, window_start, window_end) as r from log),
+fold as (
+  select patient_id, r, 1 as episode, window_start as first_window_start, window_end as last_window_end, severity, 1 as breaching_windows, reasons, max_heart_rate, min_heart_rate, min_spo2, max_temperature
+  from arrived where r = 1
+  union all
+  select patient_id, r, episode + opens, if(opens = 1, window_start, first_window_start), if(opens = 1, window_end, greatest(last_window_end, window_end)),
+         if(opens = 1, x_severity, if(severity = 'critical' or x_severity = 'critical', 'critical', 'warning')), if(opens = 1, 1, breaching_windows + if(window_end > last_window_end, 1, 0)),
+         if(opens = 1 or x_severity = 'critical' or severity = 'warning', x_reasons, reasons), if(opens = 1, x_max_rate, greatest(max_heart_rate, x_max_rate)),
+         if(opens = 1, x_min_rate, least(min_heart_rate, x_min_rate)), if(opens = 1, x_spo2, least(min_spo2, x_spo2)), if(opens = 1, x_temperature, greatest(max_temperature, x_temperature))
+  from (select f.* exclude (r), x.r, x.window_start, x.window_end, x.severity as x_severity, x.reasons as x_reasons, x.max_heart_rate as x_max_rate, x.min_heart_rate as x_min_rate, x.min_spo2 as x_spo2,
+               x.max_temperature as x_temperature, if(x.window_start > f.last_window_end, 1, 0) as opens
+        from fold f join arrived x on x.patient_id = f.patient_id and x.r = f.r + 1)
+),
+episodes as (select * exclude (p) from (select *, row_number() over (partition by patient_id, episode order by r desc) as p from fold) where p = 1)
+"""
+)
+#: Records in three turns, and how far the watermark is when a turn begins.
+TURNS = (
+    STREAMED[READINGS]
+    + f""",
+turned as (
+  select *, case when epoch_us(ingested_at) < ({EPOCH} + 864000) * 1000000 then if(kafka_offset % 7 = 0, 2, 0) when epoch_us(ingested_at) < ({EPOCH} + 1728000) * 1000000 then if(kafka_offset % 7 = 0, 2, 1) else 2 end as turn
+  from judged
+),
+marks as (select t.turn, coalesce(max(epoch_us(event_time)) // 1000 * 1000 - 172800000000, 0) as mark from (values (0), (1), (2)) as t(turn) left join turned x on x.is_valid and x.turn < t.turn group by t.turn)
+"""
+)
+
 _MEANS = ", ".join(f"round({c}, 6) as {c}" for c in ("avg_heart_rate", "avg_spo2", "avg_temperature"))
 _SUMMARY = f"""select patient_id, window_start, window_end, {_MEANS}, abnormal_count, total_readings, max_heart_rate, min_heart_rate,
   round(min_spo2, 6) as min_spo2, round(max_temperature, 6) as max_temperature from summary"""
@@ -426,7 +480,7 @@ ORACLE_SQL: dict[str, str] = {
     "run_alerts": f"""with {METRICS} select name, severity, failures, opened_at * 1000000 as opened_at, last_seen_at * 1000000 as last_seen_at, resolved_at * 1000000 as resolved_at, message from run_alerts""",
     "exposition": f"""with {METRICS}, h as (select unnest([{", ".join(f"'{n}'" for n in METRIC_HELP)}]) as metric, unnest([{", ".join(f"'{t}'" for t in METRIC_HELP.values())}]) as help)
       select cast(0 as bigint) as part, m.metric as of, '# HELP pipeline_' || m.metric || ' ' || help || chr(10) || '# TYPE pipeline_' || m.metric || ' gauge' || chr(10) || 'pipeline_' || m.metric || ' '
-        || case when value is null then 'NaN' when abs(value) >= 10000000 then regexp_replace(printf('%.7e', floor(value)), '0*e.*', '') || 'E' || cast(floor(log10(value)) as bigint) else cast(floor(value) as bigint) || '.0' end as text
+        || coalesce(cast(value as varchar), 'NaN') as text
       from metrics m join h on h.metric = m.metric
       union all select 1, '', '# HELP pipeline_health_rule_breached {RULE_HELP}' || chr(10) || '# TYPE pipeline_health_rule_breached gauge'
       union all select 2, name, 'pipeline_health_rule_breached{{rule="' || name || '"}} ' || cast(breached as int) from evaluated""",
@@ -435,12 +489,13 @@ ORACLE_SQL: dict[str, str] = {
     "alert_sync": f"""with {WINDOWS}, half as (select ({EPOCH} + 15 * 86400) * 1000000 as h),
       o as (select patient_id as name, min(window_start) as opened_at, max(window_start) as last_seen_at from alerts, half where window_start < h group by 1),
       n as (select patient_id, count(*) as n, max(severity) as severity from alerts, half where window_start >= h group by 1),
-      r as (select p.patient_id as name, severity, coalesce(n, 0) >= 3 as breached, cast(n as double) as value from (select distinct patient_id from valid) p left join n on n.patient_id = p.patient_id),
-      s as (select coalesce(r.name, o.name) as name, severity, value, opened_at, last_seen_at, epoch_us(t) as t,
+      r as (select p.patient_id as name, severity, coalesce(n, 0) >= 3 as breached, cast(n as double) as value, p.patient_id || ': ' || coalesce(n, 0) || ' windows' as said from (select distinct patient_id from valid) p left join n on n.patient_id = p.patient_id),
+      s as (select coalesce(r.name, o.name) as name, severity, value, said, opened_at, last_seen_at, epoch_us(t) as t,
                    case when breached and opened_at is null then 'insert' when breached then 'refresh' when not breached and opened_at is not null then 'resolve' else 'nothing' end as action
             from r full join o on o.name = r.name, now)
       select name, severity, value, action, coalesce(opened_at, case when action in ('insert', 'refresh') then t end) as opened_at,
-             case when action in ('insert', 'refresh') then t else last_seen_at end as last_seen_at, case when action = 'resolve' then t end as resolved_at from s""",
+             case when action in ('insert', 'refresh', 'resolve') then t else last_seen_at end as last_seen_at, case when action = 'resolve' then t end as resolved_at,
+             case when action in ('insert', 'refresh') then said when opened_at is not null then 'open since ' || opened_at // 1000000 end as message from s""",
     "sustained_breach": f"""with {WINDOWS} select patient_id as series, window_start as at, abnormal_count > 0 as breached,
       bool_and(abnormal_count > 0) over (partition by patient_id order by window_start range between 57600000000 preceding and current row)
       and window_start - min(window_start) over (partition by patient_id) >= 57600000000 as sustained from summary""",
@@ -451,4 +506,28 @@ ORACLE_SQL: dict[str, str] = {
     + ", is_abnormal from valid",
     "stream_sliding_summary": f"with {STREAM_EPISODES} {_SUMMARY}",
     "stream_alerts": f"with {STREAM_EPISODES} {_EPISODES}",
+    "alerts_by_batches": f"with {BATCHED} {_EPISODES}",
+    "alerts_by_arrival": f"with recursive {FOLDED} {_EPISODES}",
+    "stream_late_windows": f"""with {TURNS}, late as (
+        select x.*, (epoch_us(event_time) // 28800000000 - j) * 28800000000 as ws, mark from turned x join marks m on m.turn = x.turn, (values (0), (1), (2)) as s(j) where is_valid),
+      summary as (select patient_id, ws as window_start, ws + 86400000000 as window_end, avg(heart_rate) as avg_heart_rate, avg(spo2) as avg_spo2, avg(temperature) as avg_temperature,
+                         count(*) filter (where is_abnormal) as abnormal_count, count(*) as total_readings, max(heart_rate) as max_heart_rate, min(heart_rate) as min_heart_rate, min(spo2) as min_spo2,
+                         max(temperature) as max_temperature from late where ws + 86400000000 > mark group by patient_id, ws)
+      {_SUMMARY}""",
+    "late_correction": f"""with {TURNS}, p as (select 1 as day, 'again' as run, 2 as until union all select 2, 'first', 1)
+      select 'lab_results_day' || day || '_' || ({EPOCH} + day * 864000) || '.csv' as source_file, patient_id, run, count(*) as total_readings, count(*) filter (where is_abnormal) as abnormal_readings,
+             round(avg(heart_rate), 6) as avg_heart_rate, round(avg(spo2), 6) as avg_spo2, round(avg(temperature), 6) as avg_temperature, round(min(spo2), 6) as min_spo2, max(heart_rate) as max_heart_rate,
+             round(count(*) filter (where is_abnormal) / count(*), 6) as abnormal_ratio
+      from turned x join p on x.turn <= p.until and epoch_us(event_time) >= ({EPOCH} + (day - 1) * 864000) * 1000000 and epoch_us(event_time) < ({EPOCH} + day * 864000) * 1000000
+      where is_valid group by day, run, patient_id""",
+    "stream_progress": f"""with {TURNS}, b as (select turn as batch_id, count(*) as readings_in, count(*) filter (where not is_valid) as rejected from turned group by turn)
+      select *, (select round(rejected / readings_in, 6) from b order by batch_id desc limit 1) as speed_layer_rejected_ratio from b""",
+    "series_gaps": f"""with {READINGS}, s as (select distinct patient_id as series from readings),
+      x as (select patient_id as series, epoch_us(event_time) as moment from valid, now where event_time < t union all select series, epoch_us(t) from s, now),
+      g as (select series, coalesce(lag(moment) over (partition by series order by moment), {EPOCH} * 1000000) as gap_from, moment as gap_to from x)
+      select *, (gap_to - gap_from) / 1000000.0::double as seconds from g where gap_to - gap_from > 172800000000""",
+    "absent_series": f"""with {WINDOWS} select distinct patient_id as series from readings
+      where patient_id not in (select patient_id from summary, now where abnormal_count > 0 and window_start > epoch_us(t) - 259200000000)""",
+    "lab_drop_listing": f"""with {LABS} select source_file as file_name, cast(regexp_extract(source_file, 'day(\\d+)', 1) as bigint) as day, epoch, (epoch - 864000) * 1000000 as window_start, epoch * 1000000 as window_end,
+      count(*) as lines from labs_raw group by source_file, epoch""",
 }

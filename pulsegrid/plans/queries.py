@@ -12,7 +12,7 @@ from pulsegrid.operators import episodes, files, health, ingest, labs, report, r
 from pulsegrid.settings import RISK_ORDER
 from pulsegrid.sources import adapters as a
 from pulsegrid.sources import readers
-from pulsegrid.streaming import replay
+from pulsegrid.streaming import progress, replay, sinks
 
 DAY = 86_400
 
@@ -50,12 +50,16 @@ def as_of(spark: SparkSession, sf: str) -> Column:
     return F.timestamp_micros(F.lit(last or 0))
 
 
-def summary(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.sliding_summary(valid(spark, sf), a.WINDOW, a.SLIDE)
+def before(at: Column, days: int) -> Column:
+    return at - F.make_dt_interval(days=F.lit(days))
 
 
-def log(spark: SparkSession, sf: str) -> DataFrame:
-    return windows.alerts(summary(spark, sf)).withColumn("batch_id", F.lit(0).cast("long"))
+def summary(spark: SparkSession, sf: str, ending_after: Column | None = None) -> DataFrame:
+    return windows.sliding_summary(valid(spark, sf), a.WINDOW, a.SLIDE, ending_after=ending_after)
+
+
+def log(spark: SparkSession, sf: str, ending_after: Column | None = None) -> DataFrame:
+    return windows.alerts(summary(spark, sf, ending_after)).withColumn("batch_id", F.lit(0).cast("long"))
 
 
 def alert_episodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,8 +92,10 @@ def report_table(spark: SparkSession, sf: str) -> DataFrame:
     return risk.report_rows(risk_rows(spark, sf), F.concat(F.lit("run-"), epoch.cast("string")), F.timestamp_seconds(epoch), a.DAY_SECONDS)
 
 
-def ward(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.ward_patients(valid(spark, sf), summary(spark, sf), alert_episodes(spark, sf), report_table(spark, sf), as_of(spark, sf), 2 * DAY, 2 * DAY, 2 * DAY, 5 * DAY)
+def ward(spark: SparkSession, sf: str, now: Column) -> DataFrame:
+    """Windows and alerts are made from the readings that they need: ten days for alerts, twice as many where one is older."""
+    alerts = episodes.active(lambda edge: log(spark, sf, edge), now, 2 * DAY, 10 * DAY)
+    return serving.ward_patients(valid(spark, sf), summary(spark, sf, before(now, 10)), alerts, report_table(spark, sf), now, 2 * DAY, 2 * DAY, 2 * DAY, 5 * DAY)
 
 
 # ---- queries ---------------------------------------------------------------------------------------------------------
@@ -207,11 +213,12 @@ def latest_reading(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ward_patients(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(ward(spark, sf))
+    return plain(ward(spark, sf, as_of(spark, sf)))
 
 
 def ward_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    return plain(serving.ward_snapshot(valid(spark, sf), ward(spark, sf), as_of(spark, sf), 2 * DAY, 5 * DAY))
+    now = as_of(spark, sf)
+    return plain(serving.ward_snapshot(valid(spark, sf), ward(spark, sf, now), now, 2 * DAY, 5 * DAY))
 
 
 def patient_detail(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,14 +239,15 @@ def readings_per_file(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+    """The catalogue of lab files, and the newest one's time as a literal."""
     found = files.catalog(a.lab_files(spark, sf), DAY)
     return found, F.lit(found.agg(F.max("epoch")).first()[0] or 0)
 
 
-def _waiting(spark: SparkSession, sf: str) -> tuple[DataFrame, Column]:
+def _waiting(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Column]:
     found, now = _catalog(spark, sf)
     done = a.run_events(spark, sf).filter(F.col("status") == "success")
-    return files.pending(found, done, now, DAY, 1500 * DAY), now
+    return files.pending(found, done, now, DAY, 1500 * DAY), found, now
 
 
 def pending_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,7 +255,7 @@ def pending_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def completeness_gate(spark: SparkSession, sf: str) -> DataFrame:
-    waiting, now = _waiting(spark, sf)
+    waiting, _, now = _waiting(spark, sf)
     rows = files.gate(waiting, now - 200 * DAY, now, DAY, 30 * DAY)
     return plain(rows.select("file_name", "caught_up", "waited_out", "maybe_incomplete", "ready"))
 
@@ -257,20 +265,28 @@ def ingest_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    now, readings, beats = as_of(spark, sf), valid(spark, sf), judged(spark, sf)
-    hour = F.date_trunc("hour", "ingested_at")
-    beats = beats.groupBy(hour.alias("beat_at")).agg(
+    """One conditional aggregate for each table, over the part of it that counts; two jobs give the times that bound them."""
+    facts = judged(spark, sf)
+    last, newest, hour = facts.agg(
+        F.max(F.unix_micros("event_time")), F.max(F.when(F.col("is_valid"), F.unix_micros("ingested_at"))), F.max(F.unix_micros(F.date_trunc("hour", "ingested_at")))
+    ).first()
+    now, newest, hour = (F.timestamp_micros(F.lit(x or 0)) for x in (last, newest, hour))
+    readings = facts.filter("is_valid").drop("reject_reasons", "is_valid")
+    beats = facts.filter(F.col("ingested_at") >= hour).groupBy(F.date_trunc("hour", "ingested_at").alias("beat_at")).agg(
         F.struct(F.count("*").alias("readings_in"), F.count_if(~F.col("is_valid")).alias("rejected"), (F.count("*") / 3600.0).alias("input_rate")).alias("details")
     )
-    waiting, last_file = _waiting(spark, sf)
+    waiting, catalog, last_file = _waiting(spark, sf)
     runs = a.run_events(spark, sf)
+    # the newest reading's windows are the newest; alerts that are active or opened lately need no more than five days
+    recent = summary(spark, sf, F.least(newest, before(now, 5)))
+    alerts = episodes.episodes(windows.alerts(recent).withColumn("batch_id", F.lit(0).cast("long")))
     return health.unpivoted(
-        health.reading_metrics(readings, now, 5 * DAY, 2 * DAY, 5 * DAY),
-        health.window_metrics(summary(spark, sf), now, "window_start"),
+        health.reading_metrics(readings, now, 5 * DAY, 2 * DAY, newest),
+        health.window_metrics(recent, now, "window_start"),
         health.heartbeat_metrics(beats, now),
-        health.alert_metrics(alert_episodes(spark, sf), now, 2 * DAY, 5 * DAY),
+        health.alert_metrics(alerts, now, 2 * DAY, 5 * DAY),
         health.run_metrics(runs, F.timestamp_seconds(last_file), 200 * DAY),
-        health.file_metrics(_catalog(spark, sf)[0], waiting, last_file + DAY),
+        health.file_metrics(catalog, waiting, last_file + DAY),
         health.open_alert_metrics(health.run_alerts(runs)),
     )
 
@@ -292,8 +308,8 @@ def run_alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exposition(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of the text format; values without a common text form are left to pipeline_metrics."""
-    rows = health.exposition(metrics(spark, sf).withColumn("value", F.floor("value").cast("double")), evaluated(spark, sf))
+    """Lines of the text format, with the values that a reader sees."""
+    rows = health.exposition(metrics(spark, sf), readers.rules(spark), DAY)
     return rows.select(F.col("place.part").cast("long").alias("part"), F.col("place.of").alias("of"), "text")
 
 
@@ -306,9 +322,11 @@ def alert_sync(spark: SparkSession, sf: str) -> DataFrame:
     half = F.timestamp_seconds(F.lit(a.EPOCH + 15 * DAY))
     found = windows.alerts(summary(spark, sf))
     opened = found.filter(F.col("window_start") < half).groupBy(F.col("patient_id").alias("name")).agg(F.min("window_start").alias("opened_at"), F.max("window_start").alias("last_seen_at"))
+    opened = opened.withColumn("message", F.concat(F.lit("open since "), F.unix_seconds("opened_at").cast("string")))
     late = found.filter(F.col("window_start") >= half).groupBy("patient_id").agg(F.count("*").alias("n"), F.max("severity").alias("severity"))
     people = valid(spark, sf).select("patient_id").distinct().join(late, "patient_id", "left")
-    results = people.select(F.col("patient_id").alias("name"), "severity", (F.coalesce("n", F.lit(0)) >= 3).alias("breached"), F.col("n").cast("double").alias("value"))
+    said = F.concat("patient_id", F.lit(": "), F.coalesce(F.col("n"), F.lit(0)).cast("string"), F.lit(" windows"))
+    results = people.select(F.col("patient_id").alias("name"), "severity", (F.coalesce("n", F.lit(0)) >= 3).alias("breached"), F.col("n").cast("double").alias("value"), said.alias("message"))
     return plain(health.sync(results, opened, as_of(spark, sf)))
 
 
@@ -318,15 +336,114 @@ def sustained_breach(spark: SparkSession, sf: str) -> DataFrame:
     return plain(health.sustained(samples, 16 * 3600))
 
 
-_drained: dict[tuple[str, str], str] = {}
+def series_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Series: patients; samples: valid readings; gaps of over two days."""
+    samples = valid(spark, sf).select(F.col("patient_id").alias("series"), F.col("event_time").alias("at"))
+    expected = a.readings(spark, sf).select(F.col("patient_id").alias("series"))
+    return plain(health.gaps(expected, samples, F.timestamp_seconds(F.lit(a.EPOCH)), as_of(spark, sf), 2 * DAY))
+
+
+def absent_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Series: patients; those without a window with an abnormal reading that began in the last three days."""
+    windowed = summary(spark, sf).filter("abnormal_count > 0").select(F.col("patient_id").alias("series"), F.col("window_start").alias("at"))
+    expected = a.readings(spark, sf).select(F.col("patient_id").alias("series")).distinct()
+    return plain(health.absent(expected, windowed, as_of(spark, sf), 3 * DAY))
+
+
+# ---- alerts by batches -----------------------------------------------------------------------------------------------
+
+
+def arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """Breach observations as seven batches bring them: a patient's windows come in turn in five, and every fourth comes again in one of two."""
+    slot = F.floor(F.unix_seconds("window_start") / 28_800)
+    first = log(spark, sf).withColumn("batch_id", F.pmod(slot + F.substring("patient_id", 2, 20).cast("long"), F.lit(5)))
+    return first.unionByName(first.filter(F.pmod(slot, F.lit(4)) == 0).withColumn("batch_id", 5 + F.pmod(slot, F.lit(8)) / 4)).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def alerts_by_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The alert table after seven batches that come out of order, bridge what were separate alerts, and come twice; compacted in between."""
+    base = readers.scratch(spark, "alerts")
+    arrivals(spark, sf).write.partitionBy("batch_id").parquet(f"{base}/log")
+    found = spark.read.parquet(f"{base}/log")
+    for n in range(7):
+        batch = found.filter(F.col("batch_id") == n).drop("batch_id")
+        sinks.merge_alerts(batch, n, f"{base}/alerts", 32)
+        if n == 3:
+            sinks.merge_alerts(batch, n, f"{base}/alerts", 32)  # replayed
+        if n == 4:
+            sinks.compact_alerts(spark, f"{base}/alerts", 3)
+    return plain(sinks.current_alerts(spark, f"{base}/alerts"))
+
+
+def alerts_by_arrival(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(episodes.arrival_episodes(arrivals(spark, sf)))
+
+
+# ---- streams ---------------------------------------------------------------------------------------------------------
+
+
+def stream_sliding_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(replay.summary(spark, replay.drain(as_records(spark, sf), a.WINDOW, a.SLIDE)))
 
 
-def drained(spark: SparkSession, sf: str) -> str:
-    """The tables that the live path leaves after reading the records of sf; drained once for each application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _drained:
-        _drained[key] = replay.drain(as_records(spark, sf), a.WINDOW, a.SLIDE)
-    return _drained[key]
+def stream_raw_append(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(replay.master(spark, replay.drain(as_records(spark, sf), a.WINDOW, a.SLIDE)))
+
+
+def stream_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    return plain(replay.alerts(spark, replay.drain(as_records(spark, sf), a.WINDOW, a.SLIDE)))
+
+
+def in_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Records that arrive in three turns, ten days each; every seventh of the first twenty days comes late, in the last turn."""
+    late = F.when(F.col("offset") % 7 == 0, 2)
+    day = lambda n: F.timestamp_seconds(F.lit(a.EPOCH + n * DAY))
+    at = F.col("timestamp")
+    return as_records(spark, sf).withColumn("turn", F.when(at < day(10), F.coalesce(late, F.lit(0))).when(at < day(20), F.coalesce(late, F.lit(1))).otherwise(2))
+
+
+def stream_late_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows under a watermark of two days: what comes after its window has closed isn't in it."""
+    base, records = readers.scratch(spark, "late"), in_turns(spark, sf)
+    for turn in range(3):
+        replay.arrive(records, turn, base, a.WINDOW, a.SLIDE, "2 days")
+    return plain(replay.summary(spark, base))
+
+
+def late_correction(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports of the first two lab files' periods before the late turn; afterwards the first file's is made again from the master, and only it is replaced."""
+    base, records = readers.scratch(spark, "late"), in_turns(spark, sf)
+    for turn in range(2):
+        replay.arrive(records, turn, base, a.WINDOW, a.SLIDE, "2 days")
+    replay.report(spark, base, periods(spark, sf).filter("day <= 2"), a.DAY_SECONDS, "first")
+    replay.arrive(records, 2, base, a.WINDOW, a.SLIDE, "2 days")
+    replay.report(spark, base, periods(spark, sf).filter("day = 1"), a.DAY_SECONDS, "again")
+    return plain(replay.reports(spark, base).drop(*_TRENDS))
+
+
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """The progress table of the running queries: for each batch of the raw query its readings and rejects, and the metrics of the last beat."""
+    base, records = readers.scratch(spark, "progress"), in_turns(spark, sf)
+    for turn in range(3):
+        replay.arrive(records, turn, base, a.WINDOW, a.SLIDE, "2 days")
+    beats = progress.batches(spark, f"{base}/progress").filter((F.col("component") == "raw") & (F.col("details.readings_in") > 0))
+    ratio = health.heartbeat_metrics(progress.heartbeats(spark, f"{base}/progress").filter("component = 'raw'"), F.timestamp_seconds(F.lit(0))).select("speed_layer_rejected_ratio")
+    return plain(beats.select("batch_id", "details.readings_in", "details.rejected").join(F.broadcast(ratio)))  # one row
+
+
+# ---- lab drops -------------------------------------------------------------------------------------------------------
+
+
+def lab_drop_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of drops, listed: its lab files and how many lines they hold; what has another name falls out."""
+    folder, lines = readers.scratch(spark, "drops"), a.labs_raw(spark, sf)
+    columns = [f.name for f in readers.LAB_SCHEMA]
+    names = [r[0] for r in lines.select("source_file").distinct().collect()]  # three files
+    for name in (*names, "notes_1.txt"):
+        lines.filter(F.col("source_file") == name).select(*columns).write.option("header", True).csv(f"{folder}/{name}")
+    found = files.catalog(readers.listing(spark, folder), a.DAY_SECONDS)
+    held = readers.lab_csv(spark, *(f"{folder}/{name}" for name in names)).groupBy(F.element_at(F.split("path", "/"), -2).alias("file_name")).agg(F.count("*").alias("lines"))
+    return plain(found.filter("size > 0").join(held, "file_name").select("file_name", "day", "epoch", "window_start", "window_end", "lines"))
 
 
 def lab_csv_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -350,11 +467,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         decode_payload, parse_readings, reading_quality, readings_in_window, sliding_summary, window_alerts, lab_clean, lab_rollup, lab_quality, day_summary,
         vitals_trend, risk_report, risk_reasons, report_rows, report_markdown, report_consolidated, risk_counts, labs_effect, run_stats, report_validation, latest_reading, ward_patients,
         ward_snapshot, patient_detail, alert_list, report_list, readings_per_file, pending_files, completeness_gate, ingest_stats, pipeline_metrics, rule_eval,
-        health_status, run_alerts, exposition, alert_sync, sustained_breach, lab_csv_scan, lab_file_catalog,
+        health_status, run_alerts, exposition, alert_sync, sustained_breach, series_gaps, absent_series, lab_csv_scan, lab_file_catalog,
+        lab_drop_listing, alerts_by_batches, alerts_by_arrival, stream_sliding_summary, stream_raw_append, stream_alerts, stream_late_windows, late_correction, stream_progress,
     )
-} | {
-    "alert_episodes": lambda spark, sf: plain(alert_episodes(spark, sf)),
-    "stream_sliding_summary": lambda spark, sf: plain(replay.summary(spark, drained(spark, sf))),
-    "stream_raw_append": lambda spark, sf: plain(replay.master(spark, drained(spark, sf))),
-    "stream_alerts": lambda spark, sf: plain(replay.alerts(spark, drained(spark, sf))),
-}
+} | {"alert_episodes": lambda spark, sf: plain(alert_episodes(spark, sf))}

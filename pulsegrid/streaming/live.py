@@ -13,7 +13,7 @@ from pulsegrid.streaming import progress, sinks
 
 
 def start(records: Callable[[], DataFrame], decode: Callable[[DataFrame], DataFrame], base: str, settings: Settings = DEFAULT, available_now: bool = False, watermark: str | None = None) -> list[StreamingQuery]:
-    """Start the raw and the window query under the folder ``base``: master, quarantine, windows, breaches.
+    """Start the raw and the window query under the folder ``base``: master, quarantine, windows, breaches, alerts.
 
     The raw query keeps late readings; the window query drops what its watermark has passed. With available_now both
     take what is there and end. Each replayed batch leaves the tables as they were.
@@ -27,13 +27,19 @@ def start(records: Callable[[], DataFrame], decode: Callable[[DataFrame], DataFr
         return {"availableNow": True} if available_now else {"processingTime": seconds}
 
     def raw(batch: DataFrame, batch_id: int) -> None:
-        sinks.append_readings(batch, batch_id, f"{base}/master", f"{base}/quarantine")
+        batch = batch.persist()  # read once, so that the progress report counts each record once
+        try:
+            sinks.append_readings(batch, batch_id, f"{base}/master", f"{base}/quarantine")
+        finally:
+            batch.unpersist()
 
     def live(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             sinks.upsert_windows(batch, batch_id, f"{base}/windows")
-            sinks.log_breaches(windows.alerts(batch, settings.limits), batch_id, f"{base}/breaches")
+            found = windows.alerts(batch, settings.limits)
+            sinks.log_breaches(found, batch_id, f"{base}/breaches")
+            sinks.merge_alerts(found, batch_id, f"{base}/alerts")
         finally:
             batch.unpersist()
 

@@ -26,17 +26,17 @@ def details(progress: dict) -> tuple:
 
 
 class Beats(StreamingQueryListener):
-    """Keeps the last progress of each query; ``flush`` appends it to the table. One line for each query and flush."""
+    """Keeps each progress report of running queries until ``flush`` appends it to the table: a line for each query and batch."""
 
     def __init__(self) -> None:
-        self.last: dict[str, dict] = {}
+        self.seen: dict[tuple[str, int | None], tuple[datetime, dict]] = {}
         self.failed: dict[str, str] = {}
 
     def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
         pass
 
     def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
-        self.last[event.progress.name or str(event.progress.id)] = json.loads(event.progress.json)
+        self.add(event.progress.name or str(event.progress.id), json.loads(event.progress.json))
 
     def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
         pass
@@ -45,16 +45,33 @@ class Beats(StreamingQueryListener):
         if event.exception:
             self.failed[str(event.id)] = event.exception
 
+    def add(self, name: str, report: dict) -> None:
+        """A report; of one batch the one with input counts, then the last."""
+        key = (name, report.get("batchId"))
+        if key not in self.seen or report.get("numInputRows") or not self.seen[key][1].get("numInputRows"):
+            self.seen[key] = (datetime.now(UTC), report)
+
+    def take(self, query: StreamingQuery) -> None:
+        """What a query itself remembers of its progress, whether or not the listener has been told yet."""
+        for report in query.recentProgress:
+            self.add(query.name or str(query.id), json.loads(report.json))
+
     def flush(self, spark: SparkSession, path: str) -> None:
-        now = datetime.now(UTC)
-        rows = [(name, now, details(p)) for name, p in self.last.items()]
+        """Append what is new since the last flush."""
+        rows, self.seen = [(name, at, details(p)) for (name, _), (at, p) in self.seen.items()], {}
         if rows:
-            spark.createDataFrame(rows, BEAT).write.mode("append").parquet(path)
+            spark.createDataFrame(rows, BEAT).coalesce(1).write.mode("append").parquet(path)
+
+
+def batches(spark: SparkSession, path: str) -> DataFrame:
+    """The last report of each component and batch."""
+    rows = spark.read.parquet(path).withColumn("batch_id", F.col("details.batch_id"))
+    return latest(rows, ["component", "batch_id"], F.col("details.readings_in"), "beat_at")
 
 
 def heartbeats(spark: SparkSession, path: str) -> DataFrame:
     """The last beat of each component."""
-    return latest(spark.read.parquet(path), "component", "beat_at")
+    return latest(spark.read.parquet(path), "component", "beat_at", F.col("details.batch_id"))
 
 
 def run_until_any_ends(spark: SparkSession, queries: list[StreamingQuery], beats: Beats | None = None, path: str | None = None, every_seconds: int = 15) -> None:

@@ -184,7 +184,7 @@ def test_rules_and_alert_life(spark) -> None:  # noqa: ANN001
     evaluated = health.evaluate(metrics, found, 120)
     assert health.overall(evaluated).first()[:] == ("critical", True, 4)
     assert health.overall(evaluated.limit(0)).first()[:] == ("ok", False, 0)
-    opened = spark.createDataFrame([("vitals_stream_stale", AT, AT), ("batch_backlog", AT, AT), ("gone", AT, AT)], "name string, opened_at timestamp, last_seen_at timestamp")
+    opened = spark.createDataFrame([("vitals_stream_stale", AT, AT, "m"), ("batch_backlog", AT, AT, "m"), ("gone", AT, AT, "m")], "name string, opened_at timestamp, last_seen_at timestamp, message string")
     actions = {r["name"]: r["action"] for r in health.sync(evaluated, opened, F.lit(AT)).collect()}
     assert (actions["vitals_stream_stale"], actions["batch_backlog"], actions["speed_layer_down"], actions["batch_job_failing"], actions["gone"]) == ("refresh", "resolve", "insert", "nothing", "nothing")
     state = health.sync(evaluated, opened, F.lit(AT))
@@ -193,7 +193,7 @@ def test_rules_and_alert_life(spark) -> None:  # noqa: ANN001
     messages = {r["name"]: r["message"] for r in evaluated.collect()}
     assert messages["vitals_stream_stale"] == "No vitals reading stored in the last 60s - producer, Kafka or speed layer is down (value=61.00, threshold=60)"
     assert messages["data_quality_rejects_high"].endswith("(value=no data, threshold=0.05)")
-    text = [r["text"] for r in health.exposition(metrics, evaluated).collect()]
+    text = [r["text"] for r in health.exposition(metrics, found, 120).collect()]
     assert text[0] == "# HELP pipeline_batch_failure_ratio_30m Failed / finished batch runs in the last 30 minutes\n# TYPE pipeline_batch_failure_ratio_30m gauge\npipeline_batch_failure_ratio_30m NaN"
     assert text[4] == f"# HELP pipeline_health_rule_breached {health.RULE_HELP}\n# TYPE pipeline_health_rule_breached gauge"
     assert text[-1] == 'pipeline_health_rule_breached{rule="ward_abnormal_rate_high"} 0' and len(text) == 4 + 1 + 8
@@ -236,10 +236,11 @@ def test_run_metrics(spark) -> None:  # noqa: ANN001
 def test_reading_metrics_of_an_old_feed(spark) -> None:  # noqa: ANN001
     kind = "patient_id string, event_time timestamp, ingested_at timestamp, is_abnormal boolean"
     frame = spark.createDataFrame([("P1", AT, AT + timedelta(seconds=2), True)], kind)
-    late = health.reading_metrics(frame, F.lit(AT + timedelta(days=3)), 300, 120).first()
-    assert late[:] == (3 * 86_400 - 2.0, 2.0, 0.0, None, 0.0)
-    soon = health.reading_metrics(frame, F.lit(AT + timedelta(seconds=62)), 300, 120).first()
-    assert soon[:] == (60.0, 2.0, 1.0, 1.0, 1.0)
+    for newest in (None, F.lit(AT + timedelta(seconds=2))):
+        late = health.reading_metrics(frame, F.lit(AT + timedelta(days=3)), 300, 120, newest).first()
+        assert late[:] == (3 * 86_400 - 2.0, 2.0, 0.0, None, 0.0)
+        soon = health.reading_metrics(frame, F.lit(AT + timedelta(seconds=62)), 300, 120, newest).first()
+        assert soon[:] == (60.0, 2.0, 1.0, 1.0, 1.0)
 
 
 def test_adapters_without_their_modules(tmp_path) -> None:  # noqa: ANN001
@@ -316,3 +317,118 @@ def test_open_alerts(spark) -> None:  # noqa: ANN001
     alerts = spark.createDataFrame([("x", None), ("y", AT), ("z", None)], "name string, resolved_at timestamp")
     assert health.open_alert_metrics(alerts).first()["pipeline_alerts_open"] == 2
     assert health.open_alert_metrics(alerts.limit(0)).first()["pipeline_alerts_open"] == 0
+
+
+def test_general_numbers(spark) -> None:  # noqa: ANN001
+    rng = random.Random(3)
+    values = [0.0, 1.0, 0.5, 0.05, 60.0, 216_000.0, 999_999.0, 999_999.6, 1e6, 1_000_000.5, 1e-4, 1e-5, 123_456.7, 1e21, -2.5, -1e7, 0.1234567] + [rng.choice((1, -1)) * 10 ** rng.uniform(-8, 12) for _ in range(500)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").select("v", health.general(F.col("v")).alias("said"))
+    for r in frame.collect():
+        assert r.said == f"{r.v:g}", r
+    assert spark.range(1).select(health.general(F.lit(None).cast("double")).alias("x")).first()["x"] is None
+
+
+def test_sync_carries_the_message(spark) -> None:  # noqa: ANN001
+    results = [("new", "warning", True, 1.0, "n"), ("on", "critical", True, 2.0, "o"), ("off", "warning", False, 3.0, "f"), ("calm", "warning", False, 4.0, "c")]
+    results = spark.createDataFrame(results, "name string, severity string, breached boolean, value double, message string")
+    opened = spark.createDataFrame([(n, AT, AT, f"old {n}") for n in ("on", "off", "gone")], "name string, opened_at timestamp, last_seen_at timestamp, message string")
+    now = AT + timedelta(minutes=1)
+    got = {r.name: r for r in health.sync(results, opened, F.lit(now)).collect()}
+    utc = lambda t: t and t.astimezone(UTC)
+    assert {n: (r.action, r.message, utc(r.opened_at), utc(r.last_seen_at), utc(r.resolved_at)) for n, r in got.items()} == {
+        "new": ("insert", "n", now, now, None), "on": ("refresh", "o", AT, now, None), "off": ("resolve", "old off", AT, now, now), "calm": ("nothing", None, None, None, None),
+        "gone": ("nothing", "old gone", AT, AT, None),
+    }
+
+
+def test_bounds_of_reference_ranges(spark) -> None:  # noqa: ANN001
+    cases = {
+        "0-10 mg/L": (0.0, 10.0), "4.5-11.0": (4.5, 11.0), " 12 - 16g/dL": (12.0, 16.0), "-5--1 u": (-5.0, -1.0), "-3 - 2": (-3.0, 2.0), "0-0.5 x-y": (0.0, 0.5), "1-2-3": (1.0, 2.0),
+        "unknown": (None, None), "": (None, None), "5-": (None, None), "-": (None, None), "a5-7": (None, None), "1.-2": (None, None), "5": (None, None), "1e5-7": (None, None), "x 1-2": (None, None),
+    }
+    low, high = labs.bounds(F.col("t"))
+    frame = spark.createDataFrame([(t,) for t in (*cases, None)], "t string").select("t", low.alias("low"), high.alias("high"))
+    for r in frame.collect():
+        want = cases.get(r.t, (None, None))
+        assert (r.low, r.high) == want or (None in (r.low, r.high) and None in want), r
+
+
+def test_gaps_of_series(spark) -> None:  # noqa: ANN001
+    at = lambda s: AT + timedelta(seconds=s)
+    samples = spark.createDataFrame([("a", at(5)), ("a", at(20)), ("a", at(20)), ("a", at(90)), ("x", at(1)), ("b", at(-50)), ("b", at(200))], "series string, at timestamp")
+    expected = spark.createDataFrame([("a",), ("b",), ("b",)], "series string")
+    rows = health.gaps(expected, samples, F.lit(AT), F.lit(at(100)), 15).collect()
+    assert sorted((r.series, r.gap_from.astimezone(UTC), r.gap_to.astimezone(UTC), r.seconds) for r in rows) == [("a", at(20), at(90), 70.0), ("b", at(0), at(100), 100.0)]
+
+
+def test_listing_of_drops(spark, tmp_path) -> None:  # noqa: ANN001
+    """Files and folders of part files; names that need escapes; nothing where there is nothing."""
+    (tmp_path / "lab_results_day1_5.csv").write_text("abc")
+    (tmp_path / "with space+%.txt").write_text("abcd")
+    spark.range(10).repartition(3).write.csv(f"{tmp_path}/lab_results_day2_9.csv")
+    got = {r.file_name: r["size"] for r in readers.listing(spark, str(tmp_path)).collect()}
+    assert got == {"lab_results_day1_5.csv": 3, "with space+%.txt": 4, "lab_results_day2_9.csv": 20}
+    assert [(r.file_name, r.day, r.epoch) for r in files.catalog(readers.listing(spark, str(tmp_path)), 120).orderBy("epoch").collect()] == [("lab_results_day1_5.csv", 1, 5), ("lab_results_day2_9.csv", 2, 9)]
+
+
+def test_jdbc_range_in_partitions(spark, sf_dir) -> None:  # noqa: ANN001
+    """An embedded database: bounds and columns go to it, and each connection reads its part of the time."""
+    from pulsegrid.sources import adapters
+
+    url, driver = "jdbc:derby:memory:ward;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = ingest.judge(adapters.readings(spark, sf_dir)).filter("is_valid").select("patient_id", "heart_rate", "spo2", "event_time")
+    rows.write.format("jdbc").options(url=url, dbtable="vitals", driver=driver).mode("overwrite").save()
+    start, end = datetime(2024, 1, 5, tzinfo=UTC), datetime(2024, 1, 12, 6, tzinfo=UTC)
+    want = sorted(map(str, rows.filter((F.col("event_time") >= F.lit(start)) & (F.col("event_time") < F.lit(end))).collect()))
+    for partitions in (1, 4):
+        got = readers.jdbc(spark, url, "vitals", start, end, partitions, driver=driver)
+        assert got.rdd.getNumPartitions() == partitions and sorted(map(str, got.collect())) == want
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == partitions and max(sizes) < 2 * min(sizes)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(got.select("spo2", "event_time")._jdf.queryExecution(), "formatted")
+        assert "*GreaterThanOrEqual(event_time,2024-01-05" in plan and "*LessThan(event_time,2024-01-12 06" in plan and "ReadSchema: struct<spo2:double,event_time:timestamp>" in plan
+
+
+def test_plain_numbers(spark) -> None:  # noqa: ANN001
+    rng = random.Random(4)
+    values = [0.0, 1.0, 60.0, 0.5, 0.001, 0.0001, 0.00012345, 1e-05, 1.5e-7, 9999999.0, 1e7, 12345678.25, 1.23456789e15, 1e16, 1.5e300, -0.05, -2e8] + [round(rng.uniform(0, 1) * 10 ** rng.randint(-3, 14), 3) for _ in range(300)]
+    for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", health.plain_number(F.col("v")).alias("said")).collect():
+        assert r.said == repr(r.v)
+    assert spark.range(1).select(health.plain_number(F.lit(None).cast("double")).alias("x")).first()["x"] == "NaN"
+
+
+def test_windows_that_end_after_a_time(spark, sf_dir) -> None:  # noqa: ANN001
+    """The same rows as with a filter afterwards, and the bound is in the scan."""
+    from pulsegrid.operators import windows
+    from pulsegrid.sources import adapters
+
+    rows = ingest.judge(adapters.readings(spark, sf_dir)).filter("is_valid")
+    edge = F.lit(datetime(2024, 1, 20, 5, tzinfo=UTC))
+    bounded = windows.sliding_summary(rows, adapters.WINDOW, adapters.SLIDE, ending_after=edge)
+    whole = windows.sliding_summary(rows, adapters.WINDOW, adapters.SLIDE).filter(F.col("window_end") > edge)
+    assert sorted(map(str, bounded.collect())) == sorted(map(str, whole.collect())) and bounded.count() > 100
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(bounded._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(ts,2024-01-19T05:00" in plan
+
+
+def test_active_episodes_are_whole(spark) -> None:  # noqa: ANN001
+    """However far back an active episode goes, and with nothing read before what it needs."""
+    rng = random.Random(5)
+    log = []
+    for p in range(40):
+        for s in range(200):
+            if rng.random() < (0.97 if p % 4 == 0 else 0.7):
+                start = AT + timedelta(seconds=10 * s)
+                severity = rng.choice(["warning", "critical"])
+                log.append((0, f"P{100 + p}", start, start + timedelta(seconds=20), severity, [(severity, float(s))], 1.0, 1.0, 1.0, 1.0))
+    log = spark.createDataFrame(log, LOG)
+    now, seen = F.lit(AT + timedelta(seconds=2020)), []
+
+    def after(edge):  # noqa: ANN001, ANN202
+        seen.append(edge)
+        return log.filter(F.col("window_end") > edge)
+
+    got = episodes.active(after, now, 60, 100)
+    want = episodes.episodes(log).filter(F.col("last_window_end") > F.lit(AT + timedelta(seconds=1960)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and 2 < len(seen) < 8
+    assert episodes.active(after, now, 60, 100, oldest=F.lit(AT + timedelta(seconds=1900))).count() == want.count()
