@@ -45,6 +45,8 @@ MOST_KEPT = 200_000
 #: Characters of the longest fragment that shares the agenda in arrays, and fragments that share one.
 SHORT = 48
 AT_ONCE = 20_000
+#: Rank of a pair that joins to no piece.
+NONE = 1 << 30
 SLICE_BYTES = 2 << 20
 SPACE = "▁".encode()
 
@@ -154,29 +156,33 @@ class PieceEncoder:
         symbol = np.array([self.id_of.get(c, top + i) for i, c in enumerate(names)], dtype=np.int64)[which]
         owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(symbol):
-            key = symbol[:-1] << 32 | symbol[1:]
+        # what the agenda holds of the pair that begins at each symbol: its rank (NONE: it joins to no piece) and the piece
+        rank, new = np.full(len(symbol), NONE, dtype=np.int64), np.zeros(len(symbol), dtype=np.int64)
+
+        def offer(left: np.ndarray) -> None:
+            key = symbol[left] << 32 | symbol[left + 1]
             at = np.searchsorted(self.pair, key)
             at[at == len(self.pair)] = 0
-            can = (self.pair[at] == key) & (owner[:-1] == owner[1:])
-            left = np.flatnonzero(can)
-            if not len(left):
-                done.append((owner, symbol))
-                break
-            # best score, then first place, of each fragment
-            best = left[np.lexsort((left, self.rank[at[left]], owner[left]))]
-            whose = owner[best]
-            best = best[np.concatenate([[True], whose[1:] != whose[:-1]])]
-            going = np.zeros(len(texts), dtype=bool)
-            going[owner[best]] = True
-            symbol[best] = self.joined[at[best]]
-            stay = np.ones(len(symbol), dtype=bool)
+            rank[left] = np.where(self.pair[at] == key, self.rank[at], NONE)
+            new[left] = self.joined[at]
+
+        offer(np.flatnonzero(owner[:-1] == owner[1:]))
+        while len(symbol):
+            starts = np.flatnonzero(np.diff(owner, prepend=-1))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(rank)), starts)  # best score, then first place, of each fragment
+            going = best >> 32 < NONE
+            stay = np.repeat(going, np.diff(np.append(starts, len(owner))))
+            if not going.all():
+                done.append((owner[~stay], symbol[~stay]))
+            best = best[going] & 0xFFFFFFFF
+            symbol[best] = new[best]
+            rank[best] = NONE
             stay[best + 1] = False
-            ended = ~going[owner]
-            if ended.any():
-                done.append((owner[ended], symbol[ended]))
-                stay &= ~ended
-            symbol, owner = symbol[stay], owner[stay]
+            place = np.cumsum(stay)[best] - 1
+            symbol, owner, rank, new = symbol[stay], owner[stay], rank[stay], new[stay]
+            # pairs with the new symbol come in
+            offer(place[(place + 1 < len(owner)) & (owner[np.minimum(place + 1, len(owner) - 1)] == owner[place])] if len(place) else place)
+            offer(place[(place > 0) & (owner[place - 1] == owner[place])] - 1)
         owner = np.concatenate([o for o, _ in done]) if done else np.empty(0, dtype=np.int64)
         symbol = np.concatenate([s for _, s in done]) if done else np.empty(0, dtype=np.int64)
         order = np.argsort(owner, kind="stable")
