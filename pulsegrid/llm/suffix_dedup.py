@@ -15,9 +15,9 @@ UTF-8 bytes, overlaps count, and strings are judged on the input. The text is ne
    Every group holds all its occurrences, not just neighbours, and all but those of its least document are marked.
 4. Marks go back to their documents, where covered bytes are merged and cut.
 
-Buckets follow the bytes of the table, about ``BUCKET_BYTES`` of text each. Hot strings: what occurs in many documents of one slice of texts is combined there. Of an anchor hash only two
-documents go to its bucket, and of equal surroundings only those of the least document; the rest are flagged or marked
-on the spot. Slices hold at most ``SLICE`` bytes or one text; very long texts are read in overlapping pieces.
+Buckets follow the bytes of the table, about ``BUCKET_BYTES`` of text each. Hot strings: what occurs in many documents
+of one slice of texts is combined there. Of an anchor hash only two documents go to its bucket, and of equal surroundings
+only those of the least document; the rest are flagged or marked on the spot. Hot ids: texts are dealt by id and hash. Slices hold at most ``SLICE`` bytes or one text; very long texts are read in overlapping pieces.
 
 Defined cases: a null text counts as empty; texts shorter than LENGTH stay; rows with equal doc_id and equal text are
 one document, so both rows get the same result, and rows with equal doc_id never remove each other's bytes; a null
@@ -249,36 +249,42 @@ def _unpack(data: bytes, kind: type, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=kind).reshape(n, -1), axis=1, dtype=kind)
 
 
+def _short(th: np.ndarray) -> np.ndarray:
+    """The part of a text's hash that leads an answer to it; texts of one id that share it get one another's answers, too."""
+    return th & np.int64(0xFFFFFFFF)
+
+
 def _ask(n_buckets: int):  # noqa: ANN202
     """Send anchor hashes to their buckets, with the documents that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(3).is_valid())  # texts that equal a smaller document don't ask
-            for doc, _, texts in _sliced(batch):
+            for doc, th, texts in _sliced(batch):
                 text, _, own, _, _ = anchors(texts)
                 if not len(own):
                     continue
-                order = np.lexsort((doc[text], own))
+                order = np.lexsort((text, doc[text], own))
                 own, text = own[order], text[order]
-                fresh = np.ones(len(own), dtype=bool)  # a document asks once for a hash
-                fresh[1:] = (own[1:] != own[:-1]) | (doc[text[1:]] != doc[text[:-1]])
+                fresh = np.ones(len(own), dtype=bool)  # a text asks once for a hash
+                fresh[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
                 own, text = own[fresh], text[fresh]
                 at = np.flatnonzero(np.diff(own, prepend=~own[:1]))
                 count = np.diff(np.append(at, len(own)))
                 rank = np.arange(len(own)) - np.repeat(at, count)
-                # of a hash that five or more documents of the slice have, two ask and the others know
+                # of a hash that five or more texts of the slice have, two ask (of the least and the greatest id) and the
+                # others take it as shared, which costs something but changes nothing if all have the same id
                 known = np.repeat(count > 4, count) & (rank != 0) & (rank != np.repeat(count - 1, count))
                 bucket = (own % np.uint64(n_buckets)).astype(np.int64)
                 bucket[known] = -1 - (bucket[known] + int(doc[0])) % n_buckets
                 rows = list(_by_bucket(bucket))
-                docs = [np.unique(doc[text[i]], return_inverse=True) for _, i in rows]
+                texts_of = [np.unique(text[i], return_inverse=True) for _, i in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([b for b, _ in rows], pa.int32()),
-                        pa.array([_pack(u) for u, _ in docs], pa.binary()),
+                        pa.array([_pack(doc[u], _short(th[u])) for u, _ in texts_of], pa.binary()),
                         pa.array([own[i].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for _, i in rows], pa.binary()),  # 48 bits
-                        pa.array([v.astype(np.uint16 if len(u) < 65_536 else np.uint32).tobytes() for u, v in docs], pa.binary()),
+                        pa.array([v.astype(np.uint16 if len(u) < 65_536 else np.uint32).tobytes() for u, v in texts_of], pa.binary()),
                     ],
                     ["bucket", "docs", "hashes", "more"],
                 )
@@ -286,11 +292,12 @@ def _ask(n_buckets: int):  # noqa: ANN202
     return run
 
 
-def _read(docs: bytes, hashes_: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _read(docs: bytes, hashes_: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = np.zeros((len(hashes_) // 6, 8), dtype=np.uint8)
     wide[:, 2:] = np.frombuffer(hashes_, dtype=np.uint8).reshape(-1, 6)
     number = np.frombuffer(more, dtype=np.uint16 if len(more) == 2 * len(wide) else np.uint32)
-    return _unpack(docs, np.int64, 1)[0][number], wide.view(np.uint64).ravel()
+    doc, short = _unpack(docs, np.int64, 2)
+    return doc[number], short[number], wide.view(np.uint64).ravel()
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -302,20 +309,20 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 
 def _answer(key: tuple, group: pa.Table) -> pa.Table:
-    """Hashes of a bucket that at least two documents have, for each of these documents."""
+    """Hashes of a bucket that at least two documents have, for each text of these documents."""
     parts = [_read(*x) for x in zip(*(group.column(c).to_pylist() for c in ("docs", "hashes", "more")), strict=True)]
-    doc, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc, short, own = (np.concatenate(x) for x in zip(*parts, strict=True))
     if key[0].as_py() >= 0:
         order = np.lexsort((doc, own))
-        doc, own = doc[order], own[order]
+        doc, short, own = doc[order], short[order], own[order]
         at, stops = _runs(own)
         several = np.repeat(doc[at] != doc[np.array(stops) - 1], np.array(stops) - at)
-        doc, own = doc[several], own[several]
-    order = np.argsort(doc, kind="stable")
-    doc, own = doc[order], own[order]
-    at, stops = _runs(doc)
+        doc, short, own = doc[several], short[several], own[several]
+    order = np.lexsort((short, doc))
+    doc, short, own = doc[order], short[order], own[order]
+    at, stops = _runs(doc, short)
     packed = [own[a:b].view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() for a, b in zip(at.tolist(), stops, strict=True)]
-    return pa.table({"doc": pa.array(doc[at], pa.int64()), "own": pa.array(packed, pa.binary())})
+    return pa.table({"doc": pa.array(doc[at], pa.int64()), "short": pa.array(short[at], pa.int64()), "own": pa.array(packed, pa.binary())})
 
 
 def _gather(n_buckets: int):  # noqa: ANN202
@@ -442,18 +449,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LONG_MAX))
-    least = docs.groupBy(F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("th")).agg(F.min(doc).alias("first_doc"))
-    least = least.select("first_doc", F.col("th").alias("first_th"), F.lit(True).alias("alone"))
-    # One exchange of the texts, by document, serves all three steps that read them. Where an id has several texts, the
-    # text's hash is compared besides (in a form that doesn't ask for another exchange).
-    rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).repartition("doc")
-    same = (rows["doc"] == least["first_doc"]) & (rows["th"].bitwiseXOR(least["first_th"]) == 0)
-    rows = rows.join(least, same, "left").select("doc", "th", "text", "alone")
-    asked = rows.mapInArrow(_ask(n_buckets), _SENT)
-    shared = asked.groupBy("bucket").applyInArrow(_answer, "doc long, own binary").groupBy("doc").agg(F.collect_list("own").alias("own"))
-    sent = rows.join(shared, "doc").select("doc", "th", "text", "alone", "own").mapInArrow(_gather(n_buckets), _SENT)
-    marks = sent.groupBy("bucket").applyInArrow(_judge, "doc long, th long, own binary").groupBy("doc").agg(F.collect_list(F.struct("th", "own")).alias("own"))
-    judged = rows.join(marks, "doc", "left").select("doc", "th", "text", "alone", "own", F.nullif("doc", F.lit(LONG_MAX)).alias("doc_id"))
+    short = lambda th: F.col(th).bitwiseAND(F.lit(0xFFFFFFFF)).alias("short")
+    least = docs.groupBy(F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("th")).agg(F.min(doc).alias("doc"))
+    least = least.select("doc", short("th"), F.col("th").alias("first_th"), F.lit(True).alias("alone"))
+    # One exchange of the texts, by document and part of the text's hash, serves all three steps that read them: a
+    # repeated id, or none, is no hot key. The whole hash is compared in a form that doesn't ask for another exchange.
+    rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).select("*", short("th")).repartition("doc", "short")
+    same = (rows["doc"] == least["doc"]) & (rows["short"] == least["short"]) & (rows["th"].bitwiseXOR(least["first_th"]) == 0)
+    rows = rows.join(least, same, "left").select(rows["doc"], rows["short"], "th", "text", "alone")
+    asked = rows.select("doc", "th", "text", "alone").mapInArrow(_ask(n_buckets), _SENT)
+    shared = asked.groupBy("bucket").applyInArrow(_answer, "doc long, short long, own binary").groupBy("doc", "short").agg(F.collect_list("own").alias("own"))
+    sent = rows.join(shared, ["doc", "short"]).select("doc", "th", "text", "alone", "own").mapInArrow(_gather(n_buckets), _SENT)
+    marks = sent.groupBy("bucket").applyInArrow(_judge, "doc long, th long, own binary").select("*", short("th")).groupBy("doc", "short").agg(F.collect_list(F.struct("th", "own")).alias("own"))
+    judged = rows.join(marks, ["doc", "short"], "left").select("doc", "th", "text", "alone", "own", F.nullif("doc", F.lit(LONG_MAX)).alias("doc_id"))
     return judged.mapInArrow(_cut(with_text), _CUT + (", kept binary" if with_text else ""))
 
 
