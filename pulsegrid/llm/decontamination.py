@@ -11,8 +11,9 @@ that overlap by half, and only places where T hits of one band lie within w + e
 short q-grams there, too, are verified by banded alignment of the item's windows. The filter loses nothing; the alignment decides.
 
 The benchmark's index travels to the tasks: its size is checked, and a benchmark of over ``BLOCK_BYTES`` is dealt by a
-hash into blocks that are searched one after the other, with what was found so far written in between, so that a worker
-holds one block's index. Documents aren't moved: no shuffle.
+hash into blocks that are searched one after the other, so that a worker holds one block's index. With one block,
+documents aren't moved: no shuffle. With several, each search writes only the hashes of texts with a hit and their items;
+these are joined with the documents once, at the end.
 
 Defined cases: a null document text counts as empty, a null or empty benchmark text (once normalised) matches nothing;
 very long texts are searched whole; equal items match alike; repeated rows are judged each; an empty table on either
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import lean, table, write_table
@@ -201,41 +202,62 @@ def banded(item: bytes, text: bytes, starts: np.ndarray, w: int, diagonal: int,
     return cost.min(axis=1)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with item_ids (array of the items found in the text, ascending) and contaminated."""
-    made = ["item_ids", "contaminated"]
-    rows = docs.drop(*made)
-    names, at = list(rows.columns), rows.columns.index("text")
+def _indexes(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[int, int, Index]]:
+    """(block, number of blocks, index) of the blocks of a benchmark; each is at most about block_bytes of text."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    spark = docs.sparkSession
-    out = rows.withColumn("item_ids", F.array().cast("array<long>"))
-    schema = out.schema
     for block in range(n_blocks):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block) if n_blocks > 1 else benchmark
-        # at most about block_bytes of text, checked above
         index = Index.build([(r[0], r[1]) for r in part.select(F.col("item_id").cast("long"), "text").collect()])
-        if index is None:
-            continue
-        shared = spark.sparkContext.broadcast(index)
-
-        def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = shared.value
-            for batch in batches:
-                texts, before = batch.column(at), batch.column(len(names))
-                sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts.cast(pa.large_binary())], dtype=np.int64)
-                for start, length in slices(sizes):
-                    found = index.search([normal(x) for x in texts.slice(start, length).to_pylist()])
-                    ids = [sorted({*old, *(index.ids[t] for t in new)}) for old, new in zip(before.slice(start, length).to_pylist(), found, strict=True)]
-                    part = batch.slice(start, length)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(names))), pa.array(ids, pa.list_(pa.int64()))], [*names, "item_ids"])
-
-        out = out.mapInArrow(lean(judge), schema)
-        if block < n_blocks - 1:
-            out = write_table(out, "contamination")
+        if index is not None:
+            yield block, n_blocks, index
+
+
+def _searched(rows: DataFrame, index: Index) -> DataFrame:
+    """rows with item_ids: the items of one index found in the text (ascending, none: empty)."""
+    names, at = list(rows.columns), rows.columns.index("text")
+    shared = rows.sparkSession.sparkContext.broadcast(index)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            texts = batch.column(at)
+            sizes = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in texts.cast(pa.large_binary())], dtype=np.int64)
+            for start, length in slices(sizes):
+                found = index.search([normal(x) for x in texts.slice(start, length).to_pylist()])
+                ids = [sorted({index.ids[t] for t in new}) for new in found]
+                part = batch.slice(start, length)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(names))), pa.array(ids, pa.list_(pa.int64()))], [*names, "item_ids"])
+
+    return rows.mapInArrow(lean(judge), rows.withColumn("item_ids", F.array().cast("array<long>")).schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with item_ids (array of the items found in the text, ascending) and contaminated."""
+    rows = docs.drop("item_ids", "contaminated")
+    none = F.array().cast("array<long>")
+    out, hits = rows.withColumn("item_ids", none), None
+    for _, n_blocks, index in _indexes(benchmark, block_bytes):
+        if n_blocks == 1:
+            out = _searched(rows, index)
+            break
+        # of texts with a hit: hashes and length, which tell texts apart, and the items
+        found = _searched(rows.select("text"), index).filter(F.size("item_ids") > 0)
+        found = found.select(*(c.alias(n) for n, c in _text_key().items()), F.explode("item_ids").alias("_item")).distinct()
+        found = write_table(found, "contamination")
+        hits = found if hits is None else hits.unionByName(found)
+    if hits is not None:
+        items = hits.distinct().groupBy(*_text_key()).agg(F.array_sort(F.collect_set("_item")).alias("item_ids"))
+        keyed = rows.withColumns(_text_key())
+        out = keyed.join(items, [*_text_key()], "left").select(*rows.columns, F.coalesce("item_ids", none).alias("item_ids"))
     return out.withColumn("contaminated", F.size("item_ids") > 0)
 
 
+def _text_key() -> dict[str, Column]:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return {"_text_hash": F.xxhash64(text), "_text_crc": F.crc32(text.cast("binary")), "_text_size": F.octet_length(text)}
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the benchmark items found in them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -521,3 +521,18 @@ def test_decontamination_finds_whole_passages(spark, sf_dir) -> None:  # noqa: A
     items = [(i, decontamination.normal(t)) for i, t in bench.select("item_id", "text").collect()]
     want = {(d, i) for d, t in documents.select("doc_id", "text").collect() for i, x in items if x in decontamination.normal(t)}
     assert want and want <= got
+
+
+def test_decontamination_in_blocks_equals_one_block(spark, sf_dir) -> None:  # noqa: ANN001
+    """A benchmark in many blocks gives the same rows: repeated texts, no texts, several items in one text, extra columns."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = [r.text for r in bench.orderBy("item_id").limit(30).collect() if r.text]
+    texts = [None, "", "clean words only", f"a {items[0]} b {items[1]} c", f"a {items[0]} b {items[1]} c", *(f"so {x} it goes" for x in items[:8])]
+    rows = docs(spark, texts, item_ids="clash", _text_hash_of="kept")
+    rows = rows.unionByName(rows)
+    one = decontamination.contamination(rows, bench)
+    many = decontamination.contamination(rows, bench, block_bytes=2000)
+    assert one.columns == many.columns
+    said = lambda df: sorted(map(str, df.collect()))
+    assert said(one) == said(many) and many.filter("contaminated").count() >= 20
+    assert many.filter(F.size("item_ids") > 1).count() >= 4
