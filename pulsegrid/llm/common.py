@@ -7,6 +7,7 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the scratch blocks that are open, the innermost last.
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints and tables of this block lie in a folder of its own, which goes at its end: write what it gives inside it."""
+    context = spark.sparkContext
+    folder, before = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", context.getCheckpointDir()
+    context.setCheckpointDir(folder)
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.remove(folder)
+        context.setCheckpointDir(before or shared_dir(spark))
+        remove(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows go to the shared folder as a checkpoint, which outlives lost executors."""
     spark = df.sparkSession
@@ -41,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once as compressed Parquet under the shared folder and read them back."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

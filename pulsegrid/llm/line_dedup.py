@@ -8,7 +8,8 @@ A window is known by 96 bits (a 64-bit and a 32-bit hash of its lines). First oc
 the join that marks the others is a plain equi-join, whose hot keys adaptive execution splits.
 
 Defined cases: a null text stays null and has no lines; a text of fewer than three lines has no window and stays;
-windows of blank lines only aren't counted; rows with equal doc_id and equal text are the same document, so they get
+windows of blank lines only aren't counted; a very long text is split as a whole, and its windows are rows of their own,
+so a task holds one text's lines at a time; rows with equal doc_id and equal text are the same document, so they get
 the same result and don't count as repeats of one another; a null doc_id counts as greater than any other; an empty
 table gives an empty result; extra columns pass through unless they carry the name of a column made here.
 """

@@ -26,7 +26,7 @@ Defined cases: a null text counts as empty; a text without words has fingerprint
 with equal doc_id each get their own row, with the same component if their texts are equal; a very long text is read
 whole, its shingles counted in blocks; a null doc_id takes part
 but never names a component, unless the component has no other id; an empty table gives an empty result; extra columns
-pass through unless they carry the name of a column made here.
+are ignored, whatever they are called: the result has the columns made here alone.
 """
 
 from __future__ import annotations

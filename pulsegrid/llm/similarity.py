@@ -11,13 +11,14 @@ meets four leaders of the group (the least and greatest of two orders), which co
 and connects most of a larger group of copies. Then only pairs of different components can add anything: in a larger
 group that holds several components, the nodes outside its most common component meet all others. Both kinds are dealt
 by a hash into parts of bounded rows and bytes, each two parts meet in one task, and a task returns spanning-forest edges
-of verified links, never the pairs themselves. A group without a common core takes time by the square of its nodes, but
-no memory beyond two parts.
+of verified links, never the pairs themselves; inside a task only sets that hold a row's rarest shingles and have a
+fitting size are compared. A group without a common core takes tasks by the square of its parts, but no memory beyond
+two parts.
 
 Defined cases: a null text counts as empty; texts of fewer words than a shingle are compared as wholes; texts without
 words are equal; a very long text is one node, read whole; rows with equal doc_id and equal text are one document, of
 which one row stays; a null doc_id counts as greater than any other; of a component one row stays, that of the least id
-(and of its texts, the least hash); an empty table gives an empty result; extra columns are kept.
+(and of its texts, the least hash); an empty table gives an empty result; extra columns are kept, with any name.
 """
 
 from __future__ import annotations
@@ -142,23 +143,36 @@ def similar(pairs: DataFrame, own: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def forest(label: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links between rows of left and of right that join the components of label: edges of a spanning forest."""
+    """Links between rows of left and of right that join the components of label: edges of a spanning forest.
+
+    A similar set lacks at most n - ceil(similarity n) of a row's n shingles, so it holds one of any that many and one
+    more: only holders of a row's rarest so many, with a size that can be similar, are compared.
+    """
     label, sizes = label.copy(), np.array([len(x) for x in sets])
     at = np.concatenate([[0], np.cumsum(sizes)])
     shingle = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
     holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(shingle, kind="stable")]  # of the first shingle, the second, ...
     counts = np.bincount(shingle)
     starts = np.cumsum(counts) - counts
+    on_right = np.zeros(len(sets), dtype=bool)
+    on_right[right] = True
+    mine_too = np.zeros(len(counts), dtype=bool)
     edges = []
     for i in left.tolist():
-        other = right[label[right] != label[i]]
+        mine = shingle[at[i] : at[i + 1]]
+        probe = mine[np.argsort(counts[mine], kind="stable")[: len(mine) - int(np.ceil(similarity * len(mine) - 1e-9)) + 1]]
+        n = counts[probe]
+        places = np.repeat(starts[probe] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        other = np.unique(holders[places])
+        other = other[on_right[other] & (label[other] != label[i]) & (sizes[other] >= similarity * sizes[i]) & (sizes[i] >= similarity * sizes[other])]
         if not len(other):
             continue
-        mine = shingle[at[i] : at[i + 1]]
-        n = counts[mine]
-        places = np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        shared = np.bincount(holders[places], minlength=len(sets))[other]
-        for j in other[shared >= similarity * (sizes[i] + sizes[other] - shared)].tolist():
+        mine_too[mine] = True
+        size = sizes[other]
+        rows = np.arange(size.sum()) + np.repeat(at[other] - (np.cumsum(size) - size), size)
+        shared = np.add.reduceat(mine_too[shingle[rows]].astype(np.int64), np.cumsum(size) - size)
+        mine_too[mine] = False
+        for j in other[shared >= similarity * (sizes[i] + size - shared)].tolist():
             if label[i] != label[j]:
                 label[label == label[j]] = label[i]
                 edges.append((i, j))
@@ -224,8 +238,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: one row of each group."""
+    """docs without near-duplicates: one row of each group. Columns keep their names and values, whatever they are called."""
     doc = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(LONG_MAX))
-    first = groups(docs).groupBy("group").agg(F.min(F.struct(doc("doc_id").alias("_doc"), "_hash")).alias("m")).select("m.*")
-    keyed = docs.withColumns({"_doc": doc("doc_id"), "_hash": F.xxhash64(text_or_empty())})
-    return keyed.join(first, ["_doc", "_hash"], "left_semi").dropDuplicates(["_doc", "_hash"]).select(*docs.columns)
+    first = groups(docs.select("doc_id", "text")).groupBy("group").agg(F.min(F.struct(doc("doc_id").alias("_doc"), "_hash")).alias("m")).select("m.*")
+    keyed = docs.select(doc("doc_id").alias("_doc"), F.xxhash64(text_or_empty()).alias("_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return keyed.join(first, ["_doc", "_hash"], "left_semi").dropDuplicates(["_doc", "_hash"]).select("row.*")
