@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import encode_digests
-from pulsegrid.llm.common import remove, shared_dir, table
+from pulsegrid.llm.common import remove, scratch, shared_dir, table
 from pulsegrid.llm.decontamination import keep_clean
 from pulsegrid.llm.line_dedup import dedup_lines
 from pulsegrid.llm.quality import keep_good
@@ -63,12 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, over documents."""
+    """The stages, one after the other, over documents. What a stage writes in between goes with it."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name.replace(' ', '_')}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
             remove(spark, before)  # what the stage has read
