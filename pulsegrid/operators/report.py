@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,32 @@ PATIENT_FIELDS = (
     "avg_temperature", "min_spo2", "max_heart_rate", "hr_trend_bpm_per_min", "spo2_trend_pct_per_min", "patient_abnormal_lab_count", "risk_reasons",
 )
 FILE_FIELDS = ("report_day", "run_id", "window_start", "window_end", "generated_at")
+# The text of a written report. Names in braces stand for values.
+HEAD_LINES = (
+    "# Daily Patient Risk Report - simulated day {report_day}",
+    "",
+    "- **Lab file:** `{file}`",
+    "- **Vitals window (UTC):** {window_start} -> {window_end}",
+    "- **Generated:** {generated_at} (run `{run_id}`)",
+    "",
+    "## Risk summary",
+    "",
+    "| Risk flag | Patients |",
+    "|---|---|",
+)
+EFFECT_LINES = (
+    "",
+    "**How yesterday's labs change the risk picture**",
+    "",
+    "- Escalated to *high* (concerning vitals confirmed by abnormal labs): {escalated_by_labs}",
+    "- Newly flagged by labs alone (vitals looked normal): {newly_flagged_by_labs}",
+    "",
+    "## Patients (most severe first)",
+    "",
+    "| Patient | Risk | Vitals-only | Readings | Abnormal % | Avg HR | Avg SpO2 | Avg Temp | HR trend (bpm/min) | SpO2 trend (%/min) | Reasons |",
+    "|---|---|---|---|---|---|---|---|---|---|---|",
+)
+LAB_LINES = ("", "## Lab results", "", "| Patient | Test | Result | Reference range | Abnormal |", "|---|---|---|---|---|")
 
 
 def consolidated(rows: DataFrame, key: str = "source_file") -> DataFrame:
@@ -61,68 +89,57 @@ def validation(requested: DataFrame, runs: DataFrame, stored: DataFrame) -> Data
     return found.select("source_file", F.col("run.status").alias("status"), F.col("run.rows_written").alias("rows_written"), rows.alias("stored_rows"), problem.alias("problem"))
 
 
-def _numbered(*lines: Column | str) -> Column:
-    return F.posexplode(F.array(*(F.lit(x) if isinstance(x, str) else x for x in lines))).alias("place", "line")
+def _line(section: int, rank: Column | int, patient: Column | str, place: Column | int, line: Column) -> Column:
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(F.lit(section).alias("section"), as_column(rank).alias("risk_rank"), as_column(patient).alias("patient_id"), as_column(place).alias("place"), line.alias("line"))
+
+
+def _filled(text: str, values: dict[str, Column]) -> Column:
+    """A fixed text with its values."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return F.concat(*(values[x] if k % 2 else F.lit(x) for k, x in enumerate(parts)))
 
 
 def markdown_lines(rows: DataFrame, key: str = "source_file") -> DataFrame:
     """Lines of the Markdown reports: key, section, risk_rank, patient_id, place, line, to be written in this order.
 
-    Sections: 0 the head, 1 the table of risks, 2 what the labs changed, 3 patients, 4 laboratory results.
+    Sections: 0 the head, 1 the table of risks, 2 what the labs changed, 3 patients, 4 laboratory results. One aggregate
+    gives all lines of a file's own, and each patient's row gives all of theirs.
     """
     patients = consolidated(rows, key)
     when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ssxxx")
-    none, empty = F.lit(0), F.lit("")
-    one = lambda c: F.first(c, ignorenulls=True).alias(c)
-    head = patients.groupBy(key).agg(*map(one, FILE_FIELDS)).select(
-        key, none.alias("section"), none.alias("risk_rank"), empty.alias("patient_id"),
-        _numbered(
-            F.concat(F.lit("# Daily Patient Risk Report - simulated day "), F.col("report_day").cast("string")), "",
-            F.concat(F.lit("- **Lab file:** `"), F.col(key), F.lit("`")),
-            F.concat(F.lit("- **Vitals window (UTC):** "), when("window_start"), F.lit(" -> "), when("window_end")),
-            F.concat(F.lit("- **Generated:** "), when("generated_at"), F.lit(" (run `"), F.col("run_id").cast("string"), F.lit("`)")),
-            "", "## Risk summary", "", "| Risk flag | Patients |", "|---|---|",
-        ),
-    )
-    counts = risk_counts(patients, key).select(key, F.lit(1).alias("section"), "risk_rank", empty.alias("patient_id"), _numbered(F.format_string("| %s | %d |", "risk", "patients")))
     said = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none")
-    effect = labs_effect(patients, key).select(
-        key, F.lit(2).alias("section"), none.alias("risk_rank"), empty.alias("patient_id"),
-        _numbered(
-            "", "**How yesterday's labs change the risk picture**", "",
-            F.concat(F.lit("- Escalated to *high* (concerning vitals confirmed by abnormal labs): "), said("escalated_by_labs")),
-            F.concat(F.lit("- Newly flagged by labs alone (vitals looked normal): "), said("newly_flagged_by_labs")),
-            "", "## Patients (most severe first)", "",
-            "| Patient | Risk | Vitals-only | Readings | Abnormal % | Avg HR | Avg SpO2 | Avg Temp | HR trend (bpm/min) | SpO2 trend (%/min) | Reasons |", "|---|---|---|---|---|---|---|---|---|---|---|",
-        ),
-    )
+    ids = lambda found: F.array_sort(F.collect_list(F.when(found, F.col("patient_id"))))
+    per_file = patients.groupBy(key).agg(
+        *(F.first(c, ignorenulls=True).alias(c) for c in FILE_FIELDS),
+        *(F.count_if(F.col("risk_flag") == flag).alias(f"n_{flag}") for flag in RISK_ORDER),
+        ids((F.col("vitals_only_risk") == "elevated") & (F.col("risk_flag") == "high")).alias("up"),
+        ids(F.col("risk_flag") == "elevated_labs").alias("fresh"),
+    )
+    values = {
+        "file": F.col(key), "report_day": F.col("report_day").cast("string"), "run_id": F.col("run_id").cast("string"), "escalated_by_labs": said("up"), "newly_flagged_by_labs": said("fresh"),
+        **{c: when(c) for c in ("window_start", "window_end", "generated_at")},
+    }
+    own = [_line(section, 0, "", i, _filled(text, values)) for section, lines in ((0, HEAD_LINES), (2, EFFECT_LINES), (4, LAB_LINES)) for i, text in enumerate(lines)]
+    own += [_line(1, rank, "", 0, F.format_string("| %s | %d |", F.lit(flag), F.col(f"n_{flag}"))) for rank, flag in enumerate(RISK_ORDER)]
     number = lambda c, digits, sign="": F.coalesce(F.when(c.isNotNull(), shown(c, digits, sign)), F.lit("-"))
-    rank = rules.rank_in(RISK_ORDER, F.col("risk_flag")).alias("risk_rank")
     cells = (
         F.col("patient_id"), F.concat(F.lit("**"), F.col("risk_flag"), F.lit("**")), F.col("vitals_only_risk"), F.col("total_readings").cast("string"),
         number(F.col("abnormal_ratio") * 100, 0), number(F.col("avg_heart_rate"), 0), number(F.col("avg_spo2"), 1), number(F.col("avg_temperature"), 1),
-        number(F.col("hr_trend_bpm_per_min"), 1, "+"), number(F.col("spo2_trend_pct_per_min"), 2, "+"), F.coalesce("risk_reasons", empty),
+        number(F.col("hr_trend_bpm_per_min"), 1, "+"), number(F.col("spo2_trend_pct_per_min"), 2, "+"), F.coalesce("risk_reasons", F.lit("")),
     )
     row = lambda *c: F.concat(F.lit("| "), F.concat_ws(" | ", *c), F.lit(" |"))
-    table = patients.select(key, F.lit(3).alias("section"), rank, "patient_id", none.alias("place"), row(*cells).alias("line"))
-    titles = patients.select(key).distinct().select(
-        key, F.lit(4).alias("section"), none.alias("risk_rank"), empty.alias("patient_id"),
-        _numbered("", "## Lab results", "", "| Patient | Test | Result | Reference range | Abnormal |", "|---|---|---|---|---|"),
-    )
-    labs = patients.select(key, rank, "patient_id", F.posexplode("labs").alias("place", "lab")).select(
-        key, F.lit(4).alias("section"), "risk_rank", "patient_id", "place",
-        row(F.col("patient_id"), F.col("lab.test_type"), F.col("lab.result_value").cast("string"), F.col("lab.reference_range"), F.when(F.col("lab.abnormal"), "**YES**").otherwise("no")).alias("line"),
-    )
-    out = head
-    for part in (counts, effect, table, titles, labs):
-        out = out.unionByName(part)
-    return out
+    rank, patient = rules.rank_in(RISK_ORDER, F.col("risk_flag")), F.col("patient_id")
+    lab = lambda x: row(patient, x["test_type"], x["result_value"].cast("string"), x["reference_range"], F.when(x["abnormal"], "**YES**").otherwise("no"))
+    theirs = F.concat(F.array(_line(3, rank, patient, 0, row(*cells))), F.transform("labs", lambda x, i: _line(4, rank, patient, i, lab(x))))
+    return per_file.select(key, F.inline(F.array(*own))).unionByName(patients.select(key, F.inline(theirs)))
 
 
 def write_markdown(rows: DataFrame, path: str, key: str = "source_file") -> None:
-    """One folder of text for each file; a file's lines are its report, sorted by one task for each file."""
-    lines = markdown_lines(rows, key)
-    lines.repartition(key).sortWithinPartitions(key, "section", "risk_rank", "patient_id", "place").select(key, F.col("line").alias("value")).write.partitionBy(key).mode("overwrite").text(path)
+    """One folder of text for each file; its parts, in the order of their names, are its report. A large report has several tasks."""
+    order = (key, "section", "risk_rank", "patient_id", "place")
+    lines = markdown_lines(rows, key).repartitionByRange(*order).sortWithinPartitions(*order)
+    lines.select(key, F.col("line").alias("value")).write.option("partitionOverwriteMode", "dynamic").partitionBy(key).mode("overwrite").text(path)
 
 
 def write_csv(rows: DataFrame, path: str, key: str = "source_file") -> None:

@@ -90,9 +90,10 @@ def newest(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
 
 
 def latest_report(report: DataFrame) -> DataFrame:
-    """The report rows of each patient's latest file."""
-    last = report.groupBy("patient_id").agg(F.max_by("source_file", F.struct("generated_at", "source_file")).alias("source_file"))
-    return report.join(last, ["patient_id", "source_file"], "left_semi")
+    """The report rows of each patient's latest file, in one pass over the report."""
+    at = F.struct("generated_at", "source_file")
+    last = F.max(at).over(Window.partitionBy("patient_id"))
+    return report.withColumn("_last", last).filter(at == F.col("_last")).drop("_last")
 
 
 def patient_detail(readings: DataFrame, windows: DataFrame, episodes: DataFrame, report: DataFrame, as_of: Column, minutes: int, most_readings: int = 200, most_windows: int = 60, most_alerts: int = 20) -> DataFrame:

@@ -111,6 +111,40 @@ def test_report_rows(spark) -> None:  # noqa: ANN001
     assert seconds[:] == (1704067080, 1704067200)
 
 
+REPORT_FILE = "lab_results_day1_1704067200.csv"
+
+
+def written(folder) -> tuple[int, list[str]]:  # noqa: ANN001
+    """How many parts a written report has, and its lines: those of the parts in the order of their names."""
+    parts = sorted(folder.glob("part-*"))
+    return len(parts), [line for p in parts for line in p.read_text().splitlines()]
+
+
+def test_a_report_is_written_by_several_tasks_in_order(spark, sf_dir, tmp_path) -> None:  # noqa: ANN001
+    from pulsegrid.plans import queries
+
+    rows = queries.report_table(spark, sf_dir)
+    want = report.markdown_lines(rows).orderBy("source_file", "section", "risk_rank", "patient_id", "place").collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report.write_markdown(rows, f"{tmp_path}/md")
+        report.write_markdown(rows.filter(F.col("report_day") == 2), f"{tmp_path}/md")  # replaces its file alone
+        report.write_csv(rows, f"{tmp_path}/csv")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted({r.source_file for r in want})
+    several = 0
+    for name in names:
+        parts, lines = written(tmp_path / "md" / f"source_file={name}")
+        several += parts > 1
+        assert lines == [r.line for r in want if r.source_file == name]
+    assert several >= 2
+    ordered = rows.orderBy(*risk.report_order()).select("source_file", "patient_id", "lab_test_type").collect()
+    for name in names:
+        cells = [x.split(",") for x in written(tmp_path / "csv" / f"source_file={name}")[1] if not x.startswith("report_day,")]
+        assert [x[1] for x in cells] == [r.patient_id for r in ordered if r.source_file == name]
+
+
 def test_report_views(spark, tmp_path) -> None:  # noqa: ANN001
     frame = report_table(spark, REPORT)
     patients = report.consolidated(frame)
@@ -124,7 +158,7 @@ def test_report_views(spark, tmp_path) -> None:  # noqa: ANN001
     assert (effect["escalated_by_labs"], effect["newly_flagged_by_labs"]) == (["P2"], ["P3"])
     assert report.run_stats(frame).first()["high_patients"] == 1
     report.write_markdown(frame, f"{tmp_path}/md")
-    lines = [r["value"] for r in spark.read.text(f"{tmp_path}/md").collect()]
+    lines = written(tmp_path / "md" / f"source_file={REPORT_FILE}")[1]
     assert lines[0] == "# Daily Patient Risk Report - simulated day 1"
     assert "| high | 1 |" in lines and "- Escalated to *high* (concerning vitals confirmed by abnormal labs): P2" in lines
     people = [x for x in lines if x.startswith(("| P1 | **", "| P2 | **", "| P3 | **"))]
