@@ -84,9 +84,14 @@ def ward_snapshot(readings: DataFrame, patients: DataFrame, as_of: Column, monit
     return facts.drop("_wide").join(F.broadcast(states))  # one row each
 
 
+def placed(rows: DataFrame, *order: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with place, from 1, in an order within each ``by`` (files, states): what a reader of the ordered view sees."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def newest(rows: DataFrame, key: str, n: int, *order: Column) -> DataFrame:
     """The first n rows of each key in the given order."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("place") <= n)
+    return placed(rows, *order, by=(key,)).filter(F.col("place") <= n)
 
 
 def latest_report(report: DataFrame) -> DataFrame:
@@ -136,7 +141,7 @@ def report_list(runs: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
-def report_of(report: DataFrame, runs: DataFrame, source_file: str | None = None) -> DataFrame:
+def report_of(report: DataFrame, runs: DataFrame, source_file: str | Column | None = None) -> DataFrame:
     """Report rows of one file, or of the file of the last successful run."""
     if source_file is not None:
         return report.filter(F.col("source_file") == source_file)

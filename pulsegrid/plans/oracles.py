@@ -528,6 +528,28 @@ ORACLE_SQL: dict[str, str] = {
       select *, (gap_to - gap_from) / 1000000.0::double as seconds from g where gap_to - gap_from > 172800000000""",
     "absent_series": f"""with {WINDOWS} select distinct patient_id as series from readings
       where patient_id not in (select patient_id from summary, now where abnormal_count > 0 and window_start > epoch_us(t) - 259200000000)""",
+    "report_order": f"""with {REPORT} select source_file, patient_id, risk_flag, lab_test_type,
+      row_number() over (partition by source_file order by {_RANK}, patient_id, coalesce(lab_test_type, '')) as place from kept""",
+    "ward_order": f"""with {WARD}, w as (select *, list_position(['critical', 'warning', 'no_signal', 'normal'], status) as r from ward_status)
+      select cast(r as bigint) as status_rank, row_number() over (partition by status order by patient_id) as place, patient_id, status from w""",
+    "pipeline_alerts": f"""with {METRICS}, s as (select *, if(resolved_at is null, 'open', 'resolved') as state from run_alerts)
+      select state, row_number() over (partition by state order by opened_at desc, name) as place, name, opened_at * 1000000 as opened_at, resolved_at * 1000000 as resolved_at from s""",
+    "latest_report": f"""with {REPORT} select asked, source_file, patient_id, lab_test_type, risk_flag, report_day
+      from kept join (values ('latest', 3), ('named', 1)) as x(asked, d) on report_day = d""",
+    "master_range": f"with {READINGS} "
+    + _MASTER.format(spo2="spo2", temperature="temperature", time="epoch_us(event_time)")
+    + f", is_abnormal from valid where epoch_us(event_time) >= ({EPOCH} + 864000) * 1000000 and epoch_us(event_time) < ({EPOCH} + 1728000) * 1000000",
+    "quarantine": f"""with {READINGS} select kafka_offset, patient_id, 0 as batch_id,
+      concat_ws(',', case when not regexp_matches(patient_id, '^P\\d{{3,}}$') then 'patient_id' end, case when heart_rate between 20 and 250 then null else 'heart_rate' end,
+        case when spo2 between 50 and 100 then null else 'spo2' end, case when temperature between 30 and 45 then null else 'temperature' end, case when systolic_bp between 30 and 260 then null else 'systolic_bp' end,
+        case when diastolic_bp between 30 and 260 then null else 'diastolic_bp' end, case when systolic_bp > diastolic_bp then null else 'pressure_order' end) as reject_reasons
+      from judged where not is_valid""",
+    "run_audit": f"""with {FILES} select run_id, source_file, status, coalesce(finished_at, started_at) * 1000000 as at, rows_written from runs""",
+    "window_counts": f"""with {ARRIVALS}, x as (select *, max(window_end) over (partition by patient_id order by batch, window_start, window_end rows between unbounded preceding and 1 preceding) as reach from log),
+      b as (select batch as batch_id, count(*) as windows, count(distinct patient_id) as patients, count(*) filter (where reach is null or reach < window_start) as alerts_opened,
+                   count(*) filter (where reach >= window_start) as alerts_extended from x group by batch)
+      select *, cast(sum(windows) over o as bigint) as total_windows, cast(sum(alerts_opened) over o as bigint) as total_alerts_opened, cast(sum(alerts_extended) over o as bigint) as total_alerts_extended
+      from b window o as (order by batch_id rows unbounded preceding)""",
     "lab_drop_listing": f"""with {LABS} select source_file as file_name, cast(regexp_extract(source_file, 'day(\\d+)', 1) as bigint) as day, epoch, (epoch - 864000) * 1000000 as window_start, epoch * 1000000 as window_end,
       count(*) as lines from labs_raw group by source_file, epoch""",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
 from pulsegrid.operators import episodes, files, health, ingest, labs, report, risk, serving, windows
-from pulsegrid.settings import RISK_ORDER
+from pulsegrid.settings import RISK_ORDER, STATUS_ORDER
 from pulsegrid.sources import adapters as a
 from pulsegrid.sources import readers
 from pulsegrid.streaming import progress, replay, sinks
@@ -350,6 +350,76 @@ def absent_series(spark: SparkSession, sf: str) -> DataFrame:
     return plain(health.absent(expected, windowed, as_of(spark, sf), 3 * DAY))
 
 
+# ---- ordered views ---------------------------------------------------------------------------------------------------
+
+
+def report_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each row of the report table stands in its file's report."""
+    rows = serving.placed(report_table(spark, sf), *risk.report_order(), by=("source_file",))
+    return plain(rows.select("source_file", "place", "patient_id", "risk_flag", "lab_test_type"))
+
+
+def ward_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each patient stands among those of the same state, and the state's rank."""
+    rows = serving.placed(ward(spark, sf, as_of(spark, sf)), *serving.ward_order(), by=("status",))
+    return plain(rows.select(rules.rank_in(STATUS_ORDER, F.col("status")).alias("status_rank"), "place", "patient_id", "status"))
+
+
+def pipeline_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts of tasks by state: open ones and resolved ones, each with its place from the newest on."""
+    found = health.run_alerts(a.run_events(spark, sf))
+    parts = [health.by_status(found, state).withColumn("state", F.lit(state)) for state in ("open", "resolved")]
+    rows = serving.placed(parts[0].unionByName(parts[1]), F.desc("opened_at"), F.col("name"), by=("state",))
+    return plain(rows.select("state", "place", "name", "opened_at", "resolved_at"))
+
+
+def latest_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report of the file whose run succeeded last, and that of a file asked for by name (a run's report comes a day after its file)."""
+    table = report_table(spark, sf)
+    runs = table.select("source_file", "run_id", F.col("generated_at").alias("finished_at")).distinct().withColumn("status", F.lit("success"))
+    first = F.concat(F.lit("lab_results_day1_"), F.lit(a.EPOCH + a.DAY_SECONDS), F.lit(".csv"))
+    asked = serving.report_of(table, runs, first)
+    rows = serving.report_of(table, runs).withColumn("asked", F.lit("latest")).unionByName(asked.withColumn("asked", F.lit("named")))
+    return plain(rows.select("asked", "source_file", "patient_id", "lab_test_type", "risk_flag", "report_day"))
+
+
+# ---- the master table and audits -------------------------------------------------------------------------------------
+
+
+def master_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings of the second ten days, read from a master table that three batches have filled (the third with much that was there), compacted in between."""
+    base, rows = readers.scratch(spark, "master"), judged(spark, sf)
+    for n, batch in enumerate((rows.filter("kafka_offset % 3 < 2"), rows.filter("kafka_offset % 3 = 2"), rows.filter("kafka_offset % 2 = 0"))):
+        sinks.append_readings(batch, n, f"{base}/master", f"{base}/quarantine")
+        if n == 1:
+            sinks.compact_master(spark, f"{base}/master", 0)
+    start, end = (F.timestamp_seconds(F.lit(a.EPOCH + k * a.DAY_SECONDS)) for k in (1, 2))
+    return plain(readers.master(spark, f"{base}/master", start, end))
+
+
+def quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Rejected readings with their reasons, as a batch's quarantine holds them after the batch ran twice."""
+    base, rows = readers.scratch(spark, "quarantine"), judged(spark, sf)
+    for _ in range(2):
+        sinks.append_readings(rows, 0, f"{base}/master", f"{base}/quarantine")
+    return plain(spark.read.parquet(f"{base}/quarantine").select("kafka_offset", "patient_id", "reject_reasons", "batch_id"))
+
+
+def run_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of each run from its audit lines: one when it starts, one when it ends."""
+    runs = a.run_events(spark, sf)
+    starts = runs.select("run_id", "source_file", F.lit("running").alias("status"), F.col("started_at").alias("at"), F.lit(None).cast("long").alias("rows_written"))
+    ends = runs.filter("finished_at is not null").select("run_id", "source_file", "status", F.col("finished_at").alias("at"), "rows_written")
+    return plain(sinks.run_states(starts.unionByName(ends)))
+
+
+def window_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the batches of breach observations: windows, patients, alerts opened and extended, and all of them so far."""
+    found = arrivals(spark, sf)
+    stats = ingest.window_stats(found.select("batch_id", "patient_id"), found)
+    return plain(ingest.cumulative(stats, ("windows", "alerts_opened", "alerts_extended")))
+
+
 # ---- alerts by batches -----------------------------------------------------------------------------------------------
 
 
@@ -468,6 +538,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vitals_trend, risk_report, risk_reasons, report_rows, report_markdown, report_consolidated, risk_counts, labs_effect, run_stats, report_validation, latest_reading, ward_patients,
         ward_snapshot, patient_detail, alert_list, report_list, readings_per_file, pending_files, completeness_gate, ingest_stats, pipeline_metrics, rule_eval,
         health_status, run_alerts, exposition, alert_sync, sustained_breach, series_gaps, absent_series, lab_csv_scan, lab_file_catalog,
-        lab_drop_listing, alerts_by_batches, alerts_by_arrival, stream_sliding_summary, stream_raw_append, stream_alerts, stream_late_windows, late_correction, stream_progress,
+        report_order, ward_order, pipeline_alerts, latest_report, master_range, quarantine, run_audit, window_counts, lab_drop_listing, alerts_by_batches, alerts_by_arrival, stream_sliding_summary, stream_raw_append, stream_alerts, stream_late_windows, late_correction, stream_progress,
     )
 } | {"alert_episodes": lambda spark, sf: plain(alert_episodes(spark, sf))}

@@ -179,4 +179,9 @@ def append_run_event(spark: SparkSession, path: str, run_id: str, source_file: s
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """The latest state of each run."""
-    return latest(spark.read.schema(RUN_EVENT).parquet(path), ["run_id", "source_file"], "at", F.col("status") != "running")
+    return run_states(spark.read.schema(RUN_EVENT).parquet(path))
+
+
+def run_states(lines: DataFrame) -> DataFrame:
+    """The latest of each run's audit lines (run_id, source_file, status, at, ...); of lines of one moment the one that ends it."""
+    return latest(lines, ["run_id", "source_file"], "at", F.col("status") != "running")
