@@ -36,14 +36,28 @@ def gate(waiting: DataFrame, latest_event_epoch: Column, as_of_epoch: Column, gr
     return rows.withColumn("ready", F.bool_and(F.col("caught_up") | F.col("waited_out")).over(prefix))
 
 
-def readings_per_file(readings: DataFrame, files: DataFrame, day_seconds: int) -> DataFrame:
+#: Most files whose periods are taken to the driver and broadcast.
+MOST_FILES = 10_000
+
+
+def readings_per_file(readings: DataFrame, files: DataFrame, day_seconds: int, most_files: int = MOST_FILES) -> DataFrame:
     """Readings of each file's period [epoch - day, epoch), all files in one job; periods may overlap.
 
-    Readings and periods meet by bins of a period's length: an equi-join, in which each period touches two bins.
+    Readings and periods meet by bins of a period's length: an equi-join, in which each period touches two bins. The
+    periods of up to ``most_files`` files are broadcast, so that readings aren't exchanged, and their first and last time
+    bounds the scan of readings. With more files both sides are exchanged, each bin in parts by patient.
     """
     periods = files.select(F.col("file_name").alias("source_file"), "window_start", "window_end")
     tile = lambda c: F.floor(F.unix_micros(c) / F.lit(1_000_000 * day_seconds))
-    last = F.timestamp_micros(F.unix_micros("window_end") - 1)
-    tiled = periods.withColumn("_bin", F.explode(F.sequence(tile(F.col("window_start")), tile(last))))
+    bins = F.explode(F.sequence(tile(F.col("window_start")), tile(F.timestamp_micros(F.unix_micros("window_end") - 1)))).alias("_bin")
     inside = (F.col("event_time") >= F.col("window_start")) & (F.col("event_time") < F.col("window_end"))
-    return readings.withColumn("_bin", tile(F.col("event_time"))).join(tiled, "_bin").filter(inside).drop("_bin")
+    few = periods.limit(most_files + 1).collect()
+    if len(few) <= most_files:
+        at = F.col("event_time")
+        near = readings.filter((at >= F.lit(min(r[1] for r in few))) & (at < F.lit(max(r[2] for r in few)))) if few else readings.limit(0)
+        tiled = F.broadcast(readings.sparkSession.createDataFrame(few, periods.schema).select("*", bins))
+        return near.withColumn("_bin", tile(at)).join(tiled, "_bin").filter(inside).drop("_bin")
+    parts = int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiled = periods.select("*", bins).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = readings.withColumns({"_bin": tile(F.col("event_time")), "_part": F.pmod(F.xxhash64("patient_id"), F.lit(parts)).cast("int")})
+    return dealt.join(tiled, ["_bin", "_part"]).filter(inside).drop("_bin", "_part")

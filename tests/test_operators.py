@@ -466,3 +466,19 @@ def test_active_episodes_are_whole(spark) -> None:  # noqa: ANN001
     want = episodes.episodes(log).filter(F.col("last_window_end") > F.lit(AT + timedelta(seconds=1960)))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and 2 < len(seen) < 8
     assert episodes.active(after, now, 60, 100, oldest=F.lit(AT + timedelta(seconds=1900))).count() == want.count()
+
+
+def test_readings_of_few_and_many_files(spark, sf_dir) -> None:  # noqa: ANN001
+    """Broadcast periods or exchanged bins: the same rows; the former bound the scan and exchange no reading."""
+    from pulsegrid.sources import adapters
+
+    rows = ingest.judge(adapters.readings(spark, sf_dir)).filter("is_valid")
+    at = lambda h: datetime(2024, 1, 6, tzinfo=UTC) + timedelta(hours=h)
+    spans = [(f"f{h}", at(h), at(h + 48)) for h in range(0, 200, 20)]
+    found = spark.createDataFrame(spans, "file_name string, window_start timestamp, window_end timestamp")
+    few, many = (files.readings_per_file(rows, found, 2 * 86_400, most) for most in (100, 5))
+    said = lambda df: sorted(map(str, df.select("source_file", "kafka_offset", "window_start").collect()))
+    assert said(few) == said(many) and few.count() > 500
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(few._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(ts,2024-01-06T00:00" in plan and "hashpartitioning" not in plan
+    assert files.readings_per_file(rows, found.limit(0), 86_400).count() == 0
