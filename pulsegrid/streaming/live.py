@@ -12,11 +12,12 @@ from pulsegrid.settings import DEFAULT, Settings
 from pulsegrid.streaming import progress, sinks
 
 
-def start(records: Callable[[], DataFrame], decode: Callable[[DataFrame], DataFrame], base: str, settings: Settings = DEFAULT, available_now: bool = False, watermark: str | None = None) -> list[StreamingQuery]:
+def start(records: Callable[[], DataFrame], decode: Callable[[DataFrame], DataFrame], base: str, settings: Settings = DEFAULT, available_now: bool = False, watermark: str | None = None, compact_every: int = 100) -> list[StreamingQuery]:
     """Start the raw and the window query under the folder ``base``: master, quarantine, windows, breaches, alerts.
 
     The raw query keeps late readings; the window query drops what its watermark has passed. With available_now both
-    take what is there and end. Each replayed batch leaves the tables as they were.
+    take what is there and end. Each replayed batch leaves the tables as they were. Each compact_every-th batch compacts
+    what the batches before it, which have ended, wrote.
     """
     times = settings.times
 
@@ -30,6 +31,8 @@ def start(records: Callable[[], DataFrame], decode: Callable[[DataFrame], DataFr
         batch = batch.persist()  # read once, so that the progress report counts each record once
         try:
             sinks.append_readings(batch, batch_id, f"{base}/master", f"{base}/quarantine")
+            if batch_id and batch_id % compact_every == 0:
+                sinks.compact_master(batch.sparkSession, f"{base}/master", batch_id - 1)
         finally:
             batch.unpersist()
 
@@ -40,6 +43,9 @@ def start(records: Callable[[], DataFrame], decode: Callable[[DataFrame], DataFr
             found = windows.alerts(batch, settings.limits)
             sinks.log_breaches(found, batch_id, f"{base}/breaches")
             sinks.merge_alerts(found, batch_id, f"{base}/alerts")
+            if batch_id and batch_id % compact_every == 0:
+                sinks.compact_windows(batch.sparkSession, f"{base}/windows", batch_id - 1)
+                sinks.compact_alerts(batch.sparkSession, f"{base}/alerts", batch_id - 1)
         finally:
             batch.unpersist()
 

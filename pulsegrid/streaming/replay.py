@@ -16,12 +16,12 @@ from pulsegrid.streaming import live, progress, sinks
 NEVER_LATE = "100000 days"
 
 
-def run(spark: SparkSession, base: str, schema, window: str, slide: str, watermark: str = NEVER_LATE, files: int = 4) -> None:  # noqa: ANN001
+def run(spark: SparkSession, base: str, schema, window: str, slide: str, watermark: str = NEVER_LATE, files: int = 4, compact_every: int = 100) -> None:  # noqa: ANN001
     """Read what is new in the folder of records through both queries, until they are done; their progress goes to a table."""
     source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{base}/records")
     settings = replace(DEFAULT, times=replace(DEFAULT.times, window=window, slide=slide))
     beats = progress.Beats()
-    queries = live.start(source, ingest.decode_json, base, settings, available_now=True, watermark=watermark)
+    queries = live.start(source, ingest.decode_json, base, settings, available_now=True, watermark=watermark, compact_every=compact_every)
     for query in queries:
         query.awaitTermination()
         beats.take(query)

@@ -14,7 +14,7 @@ from pulsegrid.operators import episodes, ingest
 from pulsegrid.plans import queries
 from pulsegrid.settings import DEFAULT
 from pulsegrid.sources import adapters, layout, readers
-from pulsegrid.streaming import live, progress, sinks
+from pulsegrid.streaming import live, progress, replay, sinks
 
 AT = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -287,6 +287,24 @@ def test_progress_table_of_batches(spark, tmp_path) -> None:  # noqa: ANN001
     assert progress.heartbeats(spark, path).first()["details"]["batch_id"] == 2
 
 
+def test_rate_limit_and_compaction_of_the_running_path(spark, tmp_path) -> None:  # noqa: ANN001
+    """One file for each trigger gives a batch for each; compacting every second batch leaves all views as they are."""
+    rng, kind = random.Random(9), "partition int, offset long, timestamp timestamp, value binary"
+    rows = [[reading(f"P{rng.randint(100, 104)}", 20 * n + i, 300 * n + 15 * i, rng.choice([80, 140])) for i in range(20)] for n in range(5)]
+    views = []
+    for name, every in (("often", 2), ("never", 100)):
+        base = f"{tmp_path}/{name}"
+        for batch in rows:
+            spark.createDataFrame(batch, kind).coalesce(1).write.mode("append").parquet(f"{base}/records")
+        replay.run(spark, base, spark.createDataFrame([], kind).schema, "30 seconds", "10 seconds", files=1, compact_every=every)
+        views.append([rows_of(x) for x in (readers.master(spark, f"{base}/master"), sinks.current_windows(spark, f"{base}/windows"), sinks.current_alerts(spark, f"{base}/alerts"))])
+        told = progress.batches(spark, f"{base}/progress").filter("component = 'raw' and details.readings_in > 0").collect()
+        assert sorted((r.batch_id, r.details.readings_in) for r in told) == [(n, 20) for n in range(5)]
+        parts = {f.split("part=")[1][0] for f in readers.master(spark, f"{base}/master").inputFiles()}
+        assert parts == ({"b", "c"} if every == 2 else {"b"})
+    assert views[0] == views[1] and all(views[0])
+
+
 def test_drained_stream_equals_batch(spark, sf_dir) -> None:  # noqa: ANN001
     got = queries.QUERIES["stream_raw_append"](spark, sf_dir)
     assert got.count() == queries.valid(spark, sf_dir).count()
