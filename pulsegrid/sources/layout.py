@@ -50,7 +50,8 @@ class BatchTable:
         self._put(rows, f"b-{batch_id:012d}")
 
     def _put(self, rows: DataFrame, part: str) -> None:
-        rows.withColumn(PART, F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.group, PART).parquet(self.path)
+        # else each task would write a file into each group
+        rows.withColumn(PART, F.lit(part)).hint("rebalance", self.group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.group, PART).parquet(self.path)
 
     def groups(self, spark: SparkSession) -> list[str]:
         return folders(spark, self.path, f"{self.group}=")
@@ -96,7 +97,7 @@ class BatchTable:
                 spent[g] = old + merged
                 todo += [f"{self.path}/{self.group}={g}/{PART}={p}" for p in merged]
         if todo:
-            self._put(reduce(self._scan(spark, schema, todo)).hint("rebalance", self.group), f"c-{upto:012d}")
+            self._put(reduce(self._scan(spark, schema, todo)), f"c-{upto:012d}")
         for g, parts in spent.items():
             for p in parts:  # from the oldest on
                 folder, files = _hadoop(spark, f"{self.path}/{self.group}={g}/{PART}={p}")
