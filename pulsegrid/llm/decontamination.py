@@ -248,8 +248,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         hits = found if hits is None else hits.unionByName(found)
     if hits is not None:
         items = hits.distinct().groupBy(*_text_key()).agg(F.array_sort(F.collect_set("_item")).alias("item_ids"))
-        keyed = rows.withColumns(_text_key())
-        out = keyed.join(items, [*_text_key()], "left").select(*rows.columns, F.coalesce("item_ids", none).alias("item_ids"))
+        keyed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), *(c.alias(n) for n, c in _text_key().items()))
+        out = keyed.join(items, [*_text_key()], "left").select("row.*", F.coalesce("item_ids", none).alias("item_ids"))
     return out.withColumn("contaminated", F.size("item_ids") > 0)
 
 

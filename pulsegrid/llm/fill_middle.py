@@ -173,7 +173,7 @@ def fill_middle(docs: DataFrame, unit: str = "characters", plain_percent: int =
     """
     made = [c for c in MADE if c != "text"]
     kept = [c for c in docs.columns if c not in MADE]
-    rows = docs.select(*kept, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), "text")
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), "text")
     p, s, m = (x.encode() for x in (markers.prefix, markers.suffix, markers.middle))
 
     def one(text: bytes, first: int, second: int, spm: bool) -> bytes:
@@ -202,10 +202,10 @@ def fill_middle(docs: DataFrame, unit: str = "characters", plain_percent: int =
                 out = [t if is_plain else one(t, a, b, turned) for t, is_plain, (a, b), turned in zip(own, plain.tolist(), at.tolist(), spm.tolist(), strict=True)]
                 form = np.where(plain, "plain", np.where(spm, "spm", "psm"))
                 columns = [pa.array(form.tolist(), pa.string()), pa.array(n, pa.int64()), pa.array(cuts[:, 0], pa.int64(), mask=plain), pa.array(cuts[:, 1] - cuts[:, 0], pa.int64(), mask=plain)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), pa.array(out, pa.binary()).cast(pa.string()), *columns], [*kept, "text", *made])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), pa.array(out, pa.binary()).cast(pa.string()), *columns], [*(f"c{i}" for i in range(len(kept))), "text", *made])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"{c} {t}" for c, t in MADE.items())])
-    return rows.mapInArrow(lean(run), schema)
+    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), *(f"{c} {t}" for c, t in MADE.items())])
+    return rows.mapInArrow(lean(run), schema).toDF(*kept, *MADE)
 
 
 def restored(text: Column, form: Column, markers: Markers = Markers()) -> Column:

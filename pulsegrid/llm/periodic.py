@@ -181,7 +181,7 @@ def collapse_runs(docs: DataFrame, least: int = LEAST, order: Order | None = Non
     from the keys of a slice's rows and their numbers of words.
     """
     kept = [c for c in docs.columns if c not in MADE]
-    rows = docs.select(*kept, F.col(key).cast("string").alias("_key"), "text")
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(key).cast("string").alias("_key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,10 +203,10 @@ def collapse_runs(docs: DataFrame, least: int = LEAST, order: Order | None = Non
                 offsets = np.searchsorted(owner, np.arange(length + 1)).astype(np.int32)
                 runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(3)], ["start", "length", "period"]))
                 out = pa.array(joined_texts(coded.dictionary, code[stay], left), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), out, runs], [*kept, *MADE])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), out, runs], [*(f"c{i}" for i in range(len(kept))), *MADE])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"{c} {t}" for c, t in MADE.items())])
-    return rows.mapInArrow(lean(run), schema)
+    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), *(f"{c} {t}" for c, t in MADE.items())])
+    return rows.mapInArrow(lean(run), schema).toDF(*kept, *MADE)
 
 
 def planted(keys: list, n: np.ndarray) -> np.ndarray:

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import gathered
 from pulsegrid.llm.common import lean, table
@@ -289,7 +290,7 @@ def encode_pieces(docs: DataFrame, model_path: str | None = None, with_ids: bool
     """docs without text, with ids (array of int, begin and end ids too), n_tokens, ids_sha256, decoded_sha256, and agrees if checked."""
     made = ({"ids": "array<int>"} if with_ids else {}) | {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"agrees": "boolean"} if check else {})
     kept = [c for c in docs.columns if c not in made and c != "text"]
-    rows = docs.select(*kept, "text")
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), "text")
     shared = docs.sparkSession.sparkContext.broadcast(model_of(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +315,10 @@ def encode_pieces(docs: DataFrame, model_path: str | None = None, with_ids: bool
                     columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)), pa.array(every))
                 if check:
                     columns["agrees"] = pa.array(agreement(by.model, [t.decode() for t in own], packed, [x.digest() for x in said]), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), *(columns[c] for c in made)], [*kept, *made])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, length) for i in range(len(kept))), *(columns[c] for c in made)], [*(f"c{i}" for i in range(len(kept))), *made])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema), *(f"{c} {t}" for c, t in made.items())])
-    return rows.mapInArrow(lean(run), schema)
+    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)), *(f"{c} {t}" for c, t in made.items())])
+    return rows.mapInArrow(lean(run), schema).toDF(*kept, *made)
 
 
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

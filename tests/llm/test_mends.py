@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import common, line_dedup, similarity, simhash
+from pulsegrid.llm import common, decontamination, fill_middle, line_dedup, periodic, pieces, similarity, simhash
 
 
 def test_keep_one_leaves_columns_as_they_are(spark) -> None:  # noqa: ANN001
@@ -63,3 +63,11 @@ def test_what_a_stage_writes_goes_with_it(spark, tmp_path) -> None:  # noqa: ANN
     left = {p.name for p in set(shared.iterdir()) - before}
     assert not any(n.startswith(("scratch", "sketches", "shingle")) for n in left)
     assert common.cut(docs).count() == 20  # checkpoints still have a folder
+
+
+def test_columns_of_any_name_pass(spark) -> None:  # noqa: ANN001
+    frame = spark.createDataFrame([(1, "some words here", 5, 6, 7), (None, None, 5, 6, 7)], "doc_id long, text string, `a.b c` long, _key long, _text_hash long")
+    bench = spark.createDataFrame([(1, "some words here"), (2, "other words that are long enough to be an item")], "item_id long, text string")
+    for out in (fill_middle.fill_middle(frame), periodic.collapse_runs(frame), pieces.encode_pieces(frame), decontamination.contamination(frame, bench, block_bytes=20)):
+        assert [(r["a.b c"], r["_key"], r["_text_hash"]) for r in out.collect()] == [(5, 6, 7)] * 2
+    assert [r.item_ids for r in decontamination.contamination(frame, bench, block_bytes=20).orderBy("doc_id").collect()] == [[], [1]]
