@@ -29,39 +29,63 @@ STATE = [
 ]
 
 
-def _numbered(rows: DataFrame, start: str, end: str, *order: str) -> DataFrame:
+#: Breach observations of a patient are brought into episodes by parts of so many seconds first.
+TILE_SECONDS = 86_400
+
+
+def _numbered(rows: DataFrame, start: str, end: str, *order: str, keys: tuple[str, ...] = ("patient_id",)) -> DataFrame:
     """rows with _reach (how far those before them in the order go) and _episode: one number for rows that overlap or touch."""
-    by = Window.partitionBy("patient_id").orderBy(*order)
+    by = Window.partitionBy(*keys).orderBy(*order)
     opens = F.coalesce(F.col(start) > F.col("_reach"), F.lit(True))
     reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("_reach", reach).withColumn("_episode", F.sum(opens.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def episodes(log: DataFrame) -> DataFrame:
+def episodes(log: DataFrame, tile_seconds: int = TILE_SECONDS) -> DataFrame:
     """log: batch_id, patient_id, window_start, window_end, severity, reasons, max/min extremes. Key: patient, first start.
 
     breaching_windows counts windows, not repeated observations; severity stays critical once it was; reasons are those
     of the last critical observation, or of the last one.
+
+    Observations are dealt by patient and tile of their window's end, so that one patient's log is no single task; what
+    overlaps or touches inside a tile becomes one interval, and only those meet by patient. A window's observations lie in
+    one tile, so distinct windows add up.
     """
-    critical = F.col("severity") == "critical"
-    return (
-        _numbered(log, "window_start", "window_end", "window_start", "window_end", "batch_id")
-        .groupBy("patient_id", "_episode")
+    tiles = log.withColumns({"_tile": F.floor(F.unix_micros("window_end") / F.lit(1_000_000 * tile_seconds)), "_critical": F.col("severity") == "critical"})
+    tiles = tiles.withColumn("_rank", F.struct("_critical", "batch_id", "window_start"))
+    parts = (
+        _numbered(tiles, "window_start", "window_end", "window_start", "window_end", "batch_id", keys=("patient_id", "_tile"))
+        .groupBy("patient_id", "_tile", "_episode")
         .agg(
             F.min("window_start").alias("first_window_start"),
             F.max("window_end").alias("last_window_end"),
-            F.when(F.bool_or(critical), "critical").otherwise("warning").alias("severity"),
+            F.bool_or("_critical").alias("_critical"),
             F.count_distinct("window_end").alias("breaching_windows"),
-            F.max_by("reasons", F.struct(critical, "batch_id", "window_start")).alias("reasons"),
-            F.max("max_heart_rate").alias("max_heart_rate"),
-            F.min("min_heart_rate").alias("min_heart_rate"),
-            F.min("min_spo2").alias("min_spo2"),
-            F.max("max_temperature").alias("max_temperature"),
+            F.max_by("reasons", "_rank").alias("reasons"),
+            F.max("_rank").alias("_rank"),
+            *_extremes(),
+        )
+        .drop("_tile", "_episode")
+    )
+    return (
+        _numbered(parts, "first_window_start", "last_window_end", "first_window_start", "last_window_end")
+        .groupBy("patient_id", "_episode")
+        .agg(
+            F.min("first_window_start").alias("first_window_start"),
+            F.max("last_window_end").alias("last_window_end"),
+            F.when(F.bool_or("_critical"), "critical").otherwise("warning").alias("severity"),
+            F.sum("breaching_windows").alias("breaching_windows"),
+            F.max_by("reasons", "_rank").alias("reasons"),
+            *_extremes(),
         )
         .drop("_episode")
     )
 
 
+def _extremes() -> list[Column]:
+    return [f(c).alias(c) for f, c in ((F.max, "max_heart_rate"), (F.min, "min_heart_rate"), (F.min, "min_spo2"), (F.max, "max_temperature"))]
+
+
 def active(log_after: Callable[[Column], DataFrame], as_of: Column, active_seconds: int, horizon_seconds: int, oldest: Column | None = None) -> DataFrame:
     """Episodes that reach into the last active_seconds before as_of, whole, from a log that is read no further back than they go.
 
@@ -111,10 +135,7 @@ def merge(state: DataFrame, log: DataFrame) -> DataFrame:
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("window_ends")))).alias("window_ends"),
             F.max_by("reasons", "rank").alias("reasons"),
             F.max("rank").alias("rank"),
-            F.max("max_heart_rate").alias("max_heart_rate"),
-            F.min("min_heart_rate").alias("min_heart_rate"),
-            F.min("min_spo2").alias("min_spo2"),
-            F.max("max_temperature").alias("max_temperature"),
+            *_extremes(),
             F.max(F.when(F.col("_new"), F.col("batch_id"))).alias("batch_id"),
         )
         .filter(F.col("batch_id").isNotNull())
@@ -151,10 +172,7 @@ def arrival_episodes(log: DataFrame) -> DataFrame:
             F.when(F.bool_or(critical), "critical").otherwise("warning").alias("severity"),
             F.count_if(moves).alias("breaching_windows"),
             F.max_by("reasons", F.struct(critical, "batch_id", "window_start", "window_end")).alias("reasons"),
-            F.max("max_heart_rate").alias("max_heart_rate"),
-            F.min("min_heart_rate").alias("min_heart_rate"),
-            F.min("min_spo2").alias("min_spo2"),
-            F.max("max_temperature").alias("max_temperature"),
+            *_extremes(),
         )
         .drop("_episode")
     )

@@ -30,7 +30,8 @@ def fold(log: list[tuple]) -> list[tuple]:
     return sorted((p, s.timestamp(), e.timestamp(), v, len(n), max(x[:3] for x in r)[0]) for p, s, e, v, n, r in out)
 
 
-def test_episodes_equal_a_fold(spark) -> None:  # noqa: ANN001
+@pytest.mark.parametrize("tile_seconds", [episodes.TILE_SECONDS, 70])
+def test_episodes_equal_a_fold(spark, tile_seconds) -> None:  # noqa: ANN001
     rng = random.Random(1)
     log = []
     for p in range(60):
@@ -38,7 +39,7 @@ def test_episodes_equal_a_fold(spark) -> None:  # noqa: ANN001
             start = AT + timedelta(seconds=10 * rng.randint(0, 60))
             severity = rng.choice(["warning", "critical"])
             log += [(rng.randint(0, 3), f"P{100 + p}", start, start + timedelta(seconds=30), severity, [(severity, 1.0)], 1.0, 1.0, 1.0, 1.0)] * rng.randint(1, 2)
-    got = episodes.episodes(spark.createDataFrame(log, LOG).repartition(3))
+    got = episodes.episodes(spark.createDataFrame(log, LOG).repartition(3), tile_seconds)
     rows = got.select("patient_id", F.unix_seconds("first_window_start").cast("double"), F.unix_seconds("last_window_end").cast("double"), "severity", "breaching_windows", F.element_at("reasons", 1)["code"] == "critical").collect()
     assert sorted(map(tuple, rows)) == fold(log)
 
@@ -53,6 +54,24 @@ def test_touching_windows_merge_and_a_bridge_joins(spark) -> None:  # noqa: ANN0
     assert (one["severity"], one["breaching_windows"], one["reasons"][0]["code"]) == ("critical", 2, "critical2")
 
 
+def test_one_patient_with_most_observations_is_dealt_by_tiles(spark, capsys) -> None:  # noqa: ANN001
+    """One patient breaches for twelve days without a gap, and repeatedly: no exchange of the log is by patient alone."""
+    at = F.timestamp_seconds(F.lit(int(AT.timestamp())) + 10 * (F.col("id") % 100_000))
+    log = spark.range(120_000, numPartitions=8).select(
+        F.lit(0).cast("long").alias("batch_id"), F.when(F.col("id") < 0, "P2").otherwise("P1").alias("patient_id"), at.alias("window_start"), (at + F.expr("interval 30 seconds")).alias("window_end"),
+        F.when(F.col("id") == 7, "critical").otherwise("warning").alias("severity"), F.array(F.struct(F.col("id").cast("string").alias("code"), F.col("id").cast("double").alias("value"))).alias("reasons"),
+        *(F.col("id").cast("double").alias(c) for c in ("max_heart_rate", "min_heart_rate", "min_spo2", "max_temperature")),
+    )
+    (one,) = episodes.episodes(log).collect()
+    assert (one["severity"], one["breaching_windows"], one["reasons"][0]["code"], one["min_spo2"], one["max_heart_rate"]) == ("critical", 100_000, "7", 0.0, 119_999.0)
+    assert (one["first_window_start"].timestamp(), (one["last_window_end"] - one["first_window_start"]).total_seconds()) == (AT.timestamp(), 1_000_020.0)
+    tasks = episodes._numbered(log.withColumn("_tile", F.to_date("window_end")), "window_start", "window_end", "window_start", keys=("patient_id", "_tile"))
+    assert tasks.groupBy("_tile").count().agg(F.max("count")).first()[0] < 20_000
+    episodes.episodes(log).explain()
+    exchanges = [line for line in capsys.readouterr().out.splitlines() if "hashpartitioning" in line]
+    assert len(exchanges) == 2 and "_tile" in exchanges[-1] and "_tile" not in exchanges[0]
+
+
 def test_risk_report(spark) -> None:  # noqa: ANN001
     """Five patients: both, labs only abnormal, nothing, labs without vitals, vitals without labs; a trend of 4 a minute."""
     kind = "patient_id string, heart_rate int, spo2 double, temperature double, is_abnormal boolean, event_time timestamp"
