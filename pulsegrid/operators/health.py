@@ -218,18 +218,27 @@ def absent(expected: DataFrame, samples: DataFrame, as_of: Column, seconds: int)
     return expected.join(recent, "series", "left_anti")
 
 
-def gaps(expected: DataFrame, samples: DataFrame, start: Column, end: Column, seconds: int) -> DataFrame:
+def gaps(expected: DataFrame, samples: DataFrame, start: Column, end: Column, seconds: int, tile_seconds: int = 86_400) -> DataFrame:
     """Stretches of over so many seconds from start to end in which a series of expected (series) has no sample (series, at).
 
     series, gap_from, gap_to, seconds; a series without any sample is one gap. What is known of a sample lasts until the
     next one, so a gap begins at a sample (or at start) and ends at the next (or at end).
+
+    Samples are dealt by series and tile of time, so that one series is no single task; of a tile only its first and last
+    sample and those after a gap go on, which meet by series.
     """
     inside = samples.filter((F.col("at") >= start) & (F.col("at") < end)).select("series", "at")
     ends = expected.select("series").distinct().withColumn("at", end)
-    before = F.lag("at").over(Window.partitionBy("series").orderBy("at"))
-    rows = inside.join(ends.select("series"), "series", "left_semi").unionByName(ends).withColumn("gap_from", F.coalesce(before, start))
-    lasted = (F.unix_micros("at") - F.unix_micros("gap_from")) / 1_000_000.0
-    return rows.select("series", "gap_from", F.col("at").alias("gap_to"), lasted.alias("seconds")).filter(F.col("seconds") > seconds)
+    tile = F.floor(F.unix_micros("at") / F.lit(1_000_000 * tile_seconds))
+    inside = inside.join(ends.select("series"), "series", "left_semi").unionByName(ends).withColumn("_tile", tile)
+    near = Window.partitionBy("series", "_tile").orderBy("at")
+    lasted = lambda since: (F.unix_micros("at") - F.unix_micros(since)) / 1_000_000.0
+    rows = inside.withColumns({"_before": F.lag("at").over(near), "_after": F.lead("at").over(near)})
+    rows = rows.filter(F.col("_before").isNull() | F.col("_after").isNull() | (lasted("_before") > seconds))
+    # the first sample of a tile comes before others of its time, so that it follows the last one of an earlier tile
+    far = F.lag("at").over(Window.partitionBy("series").orderBy("at", F.asc_nulls_first("_before")))
+    rows = rows.withColumn("gap_from", F.coalesce("_before", far, start)).withColumn("seconds", lasted("gap_from"))
+    return rows.select("series", "gap_from", F.col("at").alias("gap_to"), "seconds").filter(F.col("seconds") > seconds)
 
 
 def by_status(alerts: DataFrame, status: str = "all", limit: int | None = None) -> DataFrame:

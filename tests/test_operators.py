@@ -414,6 +414,21 @@ def test_gaps_of_series(spark) -> None:  # noqa: ANN001
     assert sorted((r.series, r.gap_from.astimezone(UTC), r.gap_to.astimezone(UTC), r.seconds) for r in rows) == [("a", at(20), at(90), 70.0), ("b", at(0), at(100), 100.0)]
 
 
+@pytest.mark.parametrize("tile_seconds", [7, 40, 86_400])
+def test_gaps_in_tiles_equal_a_walk(spark, tile_seconds) -> None:  # noqa: ANN001
+    rng = random.Random(4)
+    at = lambda s: AT + timedelta(seconds=s)
+    found = {f"s{i}": [rng.randint(0, 400) for _ in range(rng.choice([0, 1, 5, 60]))] for i in range(12)}
+    samples = spark.createDataFrame([(s, at(x)) for s, xs in found.items() for x in xs], "series string, at timestamp").repartition(3)
+    want = []
+    for s, xs in found.items():
+        seen = [0, *sorted(x for x in xs if 0 <= x < 300), 300]
+        want += [(s, a, b, float(b - a)) for a, b in zip(seen, seen[1:], strict=False) if b - a > 12]
+    rows = health.gaps(spark.createDataFrame([(s,) for s in found], "series string"), samples, F.lit(AT), F.lit(at(300)), 12, tile_seconds).collect()
+    seconds = lambda t: int((t.astimezone(UTC) - AT).total_seconds())
+    assert sorted((r.series, seconds(r.gap_from), seconds(r.gap_to), r.seconds) for r in rows) == sorted(want)
+
+
 def test_listing_of_drops(spark, tmp_path) -> None:  # noqa: ANN001
     """Files and folders of part files; names that need escapes; nothing where there is nothing."""
     (tmp_path / "lab_results_day1_5.csv").write_text("abc")
