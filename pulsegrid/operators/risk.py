@@ -36,8 +36,8 @@ def day_summary(readings: DataFrame, origin: Column, keys: tuple[str, ...] = ())
         F.count("*").alias("total_readings"),
         F.count_if("is_abnormal").alias("abnormal_readings"),
         F.avg("heart_rate").alias("avg_heart_rate"),
-        F.avg("spo2").alias("avg_spo2"),
-        F.avg("temperature").alias("avg_temperature"),
+        rules.mean("spo2").alias("avg_spo2"),
+        rules.mean("temperature").alias("avg_temperature"),
         F.min("spo2").alias("min_spo2"),
         F.max("heart_rate").alias("max_heart_rate"),
         F.regr_slope("heart_rate", "_minute").alias("heart_rate_trend"),

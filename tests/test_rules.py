@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from functools import reduce
+from itertools import permutations
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import rules
-from pulsegrid.operators import ingest, labs, windows
+from pulsegrid.operators import ingest, labs, risk, windows
 from pulsegrid.settings import RISK_ORDER, STATUS_ORDER
 
 READING = "patient_id string, heart_rate int, spo2 double, systolic_bp int, diastolic_bp int, temperature double, event_time timestamp"
@@ -113,3 +116,21 @@ def test_windows_overlap(spark) -> None:  # noqa: ANN001
     found = windows.sliding_summary(frame).select(F.unix_seconds("window_start").alias("s"), F.unix_seconds("window_end").alias("e")).orderBy("s").collect()
     base = int(AT.timestamp())
     assert [(r["s"] - base, r["e"] - base) for r in found] == [(0, 30), (10, 40), (20, 50)]
+
+
+def test_means_on_a_limit_do_not_depend_on_the_order_of_rows(spark) -> None:  # noqa: ANN001
+    # four values whose mean is the limit itself; their floating-point sum is below it in some orders
+    low, high = (86.1, 86.4, 93.7, 93.8), (92.1, 92.4, 97.7, 97.8)
+    assert min(reduce(add, p) for p in permutations(low)) < 360.0 and min(reduce(add, p) for p in permutations(high)) < 380.0
+    rows = [(f"P{limit}{k}", 80, x, 37.5, True, AT) for limit, values in ((90, low), (95, high)) for k, p in enumerate(permutations(values)) for x in p]
+    readings = spark.createDataFrame(rows, "patient_id string, heart_rate int, spo2 double, temperature double, is_abnormal boolean, event_time timestamp").coalesce(1)
+    summary = windows.sliding_summary(readings, "30 seconds", "10 seconds")
+    assert {r[0] for r in summary.select("avg_spo2").collect()} == {90.0, 95.0}
+    assert {r[0] for r in windows.alerts(summary).select("severity").collect()} == {"warning"}
+    days = risk.day_summary(readings, F.lit(AT))
+    assert {r[0] for r in days.select("avg_spo2").collect()} == {90.0, 95.0}
+    # values of more decimals, very large ones and unknown ones
+    one = spark.createDataFrame([(x,) for x in (1 / 3, 2 / 3, 1e9, None, 0.5)], "x double").agg(rules.mean("x"), F.avg("x"), rules.mean("x") - F.avg("x")).first()
+    assert abs(one[2]) < 1e-6
+    assert spark.createDataFrame([(None,)], "x double").agg(rules.mean("x")).first()[0] is None
+    assert spark.createDataFrame([(float("nan"),), (1.0,)], "x double").agg(F.isnan(rules.mean("x"))).first()[0]
