@@ -40,18 +40,21 @@ def _number(part: str) -> int:
 
 @dataclass(frozen=True)
 class BatchTable:
-    """One such table. group: the column that leads its layout."""
+    """One such table. group: the column that leads its layout; even: its groups are about equal, and many (buckets)."""
 
     path: str
     group: str
+    even: bool = False
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Rows of a batch (with the group column), in place of what the batch wrote before into the same groups."""
         self._put(rows, f"b-{batch_id:012d}")
 
     def _put(self, rows: DataFrame, part: str) -> None:
-        # else each task would write a file into each group
-        rows.withColumn(PART, F.lit(part)).hint("rebalance", self.group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.group, PART).parquet(self.path)
+        # else each task would write a file into each group; a rebalance leaves all small groups to one task, which for many is slow
+        rows = rows.withColumn(PART, F.lit(part))
+        dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.group) if self.even else rows.hint("rebalance", self.group)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.group, PART).parquet(self.path)
 
     def groups(self, spark: SparkSession) -> list[str]:
         return folders(spark, self.path, f"{self.group}=")

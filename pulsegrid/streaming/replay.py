@@ -14,11 +14,14 @@ from pulsegrid.sources import readers
 from pulsegrid.streaming import live, progress, sinks
 
 NEVER_LATE = "100000 days"
+#: Most batches that a drain takes.
+BATCHES = 3
 
 
-def run(spark: SparkSession, base: str, schema, window: str, slide: str, watermark: str = NEVER_LATE, files: int = 4, compact_every: int = 100) -> None:  # noqa: ANN001
-    """Read what is new in the folder of records through both queries, until they are done; their progress goes to a table."""
-    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{base}/records")
+def run(spark: SparkSession, base: str, schema, window: str, slide: str, watermark: str = NEVER_LATE, files: int | None = None, compact_every: int = 100) -> None:  # noqa: ANN001
+    """Read what is new in the folder of records through both queries, so many files in a batch (all, if None), until they are done; their progress goes to a table."""
+    limit = {"maxFilesPerTrigger": files} if files else {}
+    source = lambda: spark.readStream.schema(schema).options(**limit).parquet(f"{base}/records")
     settings = replace(DEFAULT, times=replace(DEFAULT.times, window=window, slide=slide))
     beats = progress.Beats()
     queries = live.start(source, ingest.decode_json, base, settings, available_now=True, watermark=watermark, compact_every=compact_every)
@@ -29,17 +32,22 @@ def run(spark: SparkSession, base: str, schema, window: str, slide: str, waterma
 
 
 def drain(records: DataFrame, window: str, slide: str) -> str:
-    """Run both queries over the records until they are done; the folder of their tables. No reading is late."""
-    base = readers.scratch(records.sparkSession, "replay")
+    """Run both queries over the records until they are done; the folder of their tables. No reading is late.
+
+    The files that tasks have written come in BATCHES batches, or four in each if they are few: more records make larger
+    batches, not more of them, since each batch has to look at what the ones before it have left.
+    """
+    spark, base = records.sparkSession, readers.scratch(records.sparkSession, "replay")
     records.write.parquet(f"{base}/records")
-    run(records.sparkSession, base, records.schema, window, slide)
+    written = len(spark.read.schema(records.schema).parquet(f"{base}/records").inputFiles())
+    run(spark, base, records.schema, window, slide, files=max(4, -(-written // BATCHES)))
     return base
 
 
 def arrive(records: DataFrame, turn: int, base: str, window: str, slide: str, watermark: str) -> None:
-    """The records of one turn (column turn) come in as one file, and the live path, started again, reads them."""
+    """The records of one turn (column turn) come in as one batch of files, and the live path, started again, reads them."""
     rows = records.filter(F.col("turn") == turn).drop("turn")
-    rows.coalesce(1).write.mode("append").parquet(f"{base}/records")
+    rows.write.mode("append").parquet(f"{base}/records")
     run(records.sparkSession, base, rows.schema, window, slide, watermark)
 
 

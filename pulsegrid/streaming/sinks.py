@@ -106,7 +106,7 @@ def breaches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def alert_table(path: str) -> BatchTable:
-    return BatchTable(path, "bucket")
+    return BatchTable(path, "bucket", even=True)
 
 
 ALERT = T.StructType([*episodes.STATE, T.StructField("bucket", T.IntegerType())])

@@ -308,3 +308,22 @@ def test_rate_limit_and_compaction_of_the_running_path(spark, tmp_path) -> None:
 def test_drained_stream_equals_batch(spark, sf_dir) -> None:  # noqa: ANN001
     got = queries.QUERIES["stream_raw_append"](spark, sf_dir)
     assert got.count() == queries.valid(spark, sf_dir).count()
+
+
+def test_a_turn_comes_in_several_files_and_one_batch(spark, sf_dir, tmp_path) -> None:  # noqa: ANN001
+    records = queries.in_turns(spark, sf_dir).repartition(6)
+    base = f"{tmp_path}/turns"
+    replay.arrive(records, 0, base, adapters.WINDOW, adapters.SLIDE, "2 days")
+    assert len(spark.read.parquet(f"{base}/records").inputFiles()) > 1
+    beats = progress.batches(spark, f"{base}/progress").filter("component = 'raw' and details.readings_in > 0").collect()
+    assert [(b["batch_id"], b["details"]["readings_in"]) for b in beats] == [(0, records.filter("turn = 0").count())]
+    # buckets of alerts are dealt to several tasks
+    written = sinks.alert_table(f"{base}/alerts").read(spark, sinks.ALERT).inputFiles()
+    assert len({f.rsplit("/part-", 1)[1][:5] for f in written}) > 1
+
+
+def test_more_files_make_no_more_batches(spark, sf_dir) -> None:  # noqa: ANN001
+    records = queries.as_records(spark, sf_dir).filter("offset < 300").repartition(24)
+    base = replay.drain(records, adapters.WINDOW, adapters.SLIDE)
+    beats = progress.batches(spark, f"{base}/progress").filter("component = 'raw' and details.readings_in > 0").collect()
+    assert len(beats) == replay.BATCHES and sum(b["details"]["readings_in"] for b in beats) == 300
