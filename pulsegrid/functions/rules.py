@@ -27,21 +27,23 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-#: Parts of a unit in which measurements are added up, and the greatest measurement that is.
-GRID, MOST = 1e6, 1e4
+#: Parts of a unit in which measurements are added up, the greatest measurement that is, and how far arithmetic may have
+#: left it beside such a part (36.1 + 0.2 isn't 36.3), as a share of it.
+GRID, MOST, NOISE = 1e6, 1e4, 2.0**-50
 
 
 def mean(name: str) -> Column:
     """The mean of a column of measurements, the same in whatever order and parts the rows come.
 
-    A floating-point sum depends on that order, which tips a mean that lies on a limit. Values of up to six decimals are
-    added up as whole numbers of millionths, which is exact; others (and very large ones) as they are.
+    A floating-point sum depends on that order, which tips a mean that lies on a limit. Values of up to six decimals (and
+    the last bits' noise) are added up as whole numbers of millionths, which is exact, and divided once, so that the mean
+    is rounded once; others (and very large ones) are added up as they are.
     """
     x = F.col(name).cast("double")
     parts = F.rint(x * GRID)
-    fits = (F.abs(x) <= MOST) & (parts / GRID == x)
-    whole, rest = F.sum(F.when(fits, parts.cast("long"))), F.sum(F.when(~fits, x))
-    return F.try_divide(F.coalesce(whole, F.lit(0)) / GRID + F.coalesce(rest, F.lit(0.0)), F.count(x))
+    fits = (F.abs(x) <= MOST) & (F.abs(parts / GRID - x) <= F.abs(x) * NOISE)
+    whole, rest, n = F.sum(F.when(fits, parts.cast("long"))), F.sum(F.when(~fits, x)), F.count(x)
+    return F.when(rest.isNull(), F.try_divide(whole, n * GRID)).otherwise((F.coalesce(whole, F.lit(0)) / GRID + rest) / n)
 
 
 def checks(limits: Limits = LIMITS) -> dict[str, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import UTC, datetime
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 from itertools import permutations
 from operator import add
@@ -134,3 +135,25 @@ def test_means_on_a_limit_do_not_depend_on_the_order_of_rows(spark) -> None:  #
     assert abs(one[2]) < 1e-6
     assert spark.createDataFrame([(None,)], "x double").agg(rules.mean("x")).first()[0] is None
     assert spark.createDataFrame([(float("nan"),), (1.0,)], "x double").agg(F.isnan(rules.mean("x"))).first()[0]
+
+
+def test_a_mean_is_rounded_once(spark) -> None:  # noqa: ANN001
+    """192 readings that add up to so many tenths: their means end in a half at the seventh decimal."""
+    tenths = (69129, 69159, 69189, 69219)
+    rows = [(f"P{t}", 80, (t // 192 + (i < t % 192)) / 10, (t // 192 + (i < t % 192)) / 10, False, AT) for t in tenths for i in range(192)]
+    readings = spark.createDataFrame(rows, "patient_id string, heart_rate int, spo2 double, temperature double, is_abnormal boolean, event_time timestamp")
+    expected = {(f"P{t}", t / 1920, float((Decimal(t) / 1920).quantize(Decimal("1e-6"), ROUND_HALF_UP))) for t in tenths}
+    for found in (risk.day_summary(readings, F.lit(AT)), windows.sliding_summary(readings)):
+        for name in ("avg_spo2", "avg_temperature"):
+            assert {tuple(r) for r in found.select("patient_id", name, F.round(name, 6)).distinct().collect()} == expected
+
+
+def test_noise_of_the_last_bits_does_not_tip_a_mean(spark) -> None:  # noqa: ANN001
+    """36.1 + 0.2 lies beside 36.3; half of the readings have it, and the mean is the limit, which is normal."""
+    noisy = 36.1 + 0.2
+    assert noisy != 36.3
+    rows = [("P101", 80, 98.0, x, False, AT) for x in (noisy, 38.7) * 13]
+    readings = spark.createDataFrame(rows, "patient_id string, heart_rate int, spo2 double, temperature double, is_abnormal boolean, event_time timestamp").coalesce(1)
+    day = risk.day_summary(readings, F.lit(AT)).withColumn("concerning", rules.concerning()).first()
+    assert (day["avg_temperature"], day["concerning"]) == (37.5, False)
+    assert {r[0] for r in windows.sliding_summary(readings).select("avg_temperature").collect()} == {37.5}
