@@ -13,7 +13,7 @@ import pytest
 from pulsegrid.plans import oracles, queries
 from tests.test_queries import rows
 
-AFFECTED = ("alerts_by_arrival", "risk_counts")
+AFFECTED = ("alerts_by_arrival", "risk_counts", "report_order")
 
 
 def exact(sql: str) -> str:
