@@ -13,7 +13,7 @@ import pytest
 from pulsegrid.plans import oracles, queries
 from tests.test_queries import rows
 
-AFFECTED = ("alerts_by_arrival", "risk_counts", "report_order", "latest_report", "report_consolidated", "labs_effect", "report_markdown")
+AFFECTED = ("alerts_by_arrival", "risk_counts", "report_order", "latest_report", "report_consolidated", "labs_effect", "report_markdown", "alerts_by_batches")
 
 
 def exact(sql: str) -> str:
