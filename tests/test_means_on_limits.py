@@ -13,7 +13,9 @@ import pytest
 from pulsegrid.plans import oracles, queries
 from tests.test_queries import rows
 
-AFFECTED = ("alerts_by_arrival", "risk_counts", "report_order", "latest_report", "report_consolidated", "labs_effect", "report_markdown", "alerts_by_batches")
+AFFECTED = (
+    "alerts_by_arrival", "alerts_by_batches", "labs_effect", "latest_report", "patient_detail", "report_consolidated", "report_markdown", "report_order", "risk_counts",
+)
 
 
 def exact(sql: str) -> str:
