@@ -10,7 +10,7 @@ from tests.test_means_on_limits import exact, tables  # noqa: F401
 from tests.test_queries import rows
 
 
-@pytest.mark.parametrize("name", ["alert_episodes", "alert_list", "report_rows", "window_alerts"])
+@pytest.mark.parametrize("name", ["alert_episodes", "alert_list", "report_rows", "ward_patients", "window_alerts"])
 def test_query(spark, tables, name) -> None:  # noqa: ANN001, F811
     con = duckdb.connect()
     for t in ("events", "orders"):
